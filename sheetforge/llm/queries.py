@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetforge.llm import decontamination, mixing, sharding
+from sheetforge.llm import chat, decontamination, html, mixing, sharding
 
 #: Production weights of the mix: the hot source is held at a fifth, two more are fixed, the others share the rest.
 MIX_WEIGHTS = {"src0": 0.2, "src1": 0.08, "src2": 0.08, "*": 0.64}
@@ -17,6 +17,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that says control strings, formatted and read back from the output."""
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.read_back(chat.format_turns(chat.canonical_turns(turns, "conv_id")))
+
+
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html.extract_main_text(_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of all benchmark items in all documents, by the positional index."""
     out = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
@@ -45,6 +58,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat": op3_chat,
+    "op4_html": op4_html,
     "op5_decontamination": op5_decontamination,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
@@ -84,3 +99,15 @@ counts AS (SELECT doc_id, drawn.source, count(*) AS k FROM drawn JOIN steps ON d
 SELECT doc_id, source, copy::INTEGER AS copy, md5('17|' || doc_id || '|' || copy) AS mix_key
 FROM (SELECT doc_id, source, unnest(range(0, k)) AS copy FROM counts)
 """
+
+ORACLES["op3_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|</?SYS>>)')))::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
