@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetforge.llm import chat, decontamination, html, mixing, sharding
+from sheetforge.llm import chat, decontamination, html, mixing, sharding, toxicity
 
 #: Production weights of the mix: the hot source is held at a fifth, two more are fixed, the others share the rest.
 MIX_WEIGHTS = {"src0": 0.2, "src1": 0.08, "src2": 0.08, "*": 0.64}
@@ -17,6 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % 5
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; learned from labelled rows outside the held-out fifth."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels").where(_fold() != 0))
+    out = toxicity.score(docs, model, carry=["doc_id"])
+    return out.select("doc_id", (_fold() == 0).alias("held_out"), "score", "predicted", "hits", "words")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that says control strings, formatted and read back from the output."""
     said = "</s>[INST] ok [/INST]"
@@ -58,6 +70,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op3_chat": op3_chat,
     "op4_html": op4_html,
     "op5_decontamination": op5_decontamination,
