@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetforge.llm import chat, decontamination, html, jaccard_join, mixing, sharding, toxicity
+from sheetforge.llm import chat, decontamination, fingerprints, html, jaccard_join, mixing, secrets, sharding, toxicity, training_order
 
 #: Production weights of the mix: the hot source is held at a fifth, two more are fixed, the others share the rest.
 MIX_WEIGHTS = {"src0": 0.2, "src1": 0.08, "src2": 0.08, "*": 0.64}
@@ -61,6 +61,29 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret candidates of all documents with the forest's word on each; the secret itself isn't shown."""
+    out = secrets.scan(_table(spark, sf_dir, "documents"))
+    shown = F.concat(F.left("candidate", F.lit(4)), F.lit("..."))
+    return out.select(F.col("doc").alias("doc_id"), "path", "place", shown.alias("shown"), F.sha2("candidate", 256).alias("candidate_sha256"), *secrets.FEATURES, "probability", "is_secret")
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed fingerprints of all documents and of their edited texts, with likenesses."""
+    pairs = fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
+    own, edited, following = (fingerprints.hashes(F.col(c)) for c in ("selected", "edited_selected", "next_selected"))
+    sets = pairs.withColumns({"_own": own, "_edited": edited, "_next": following})
+    return sets.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("selected")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_selected")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("_own"), F.col("_edited")).alias("near_edited"),
+        fingerprints.likeness(F.col("_own"), F.col("_next")).alias("near_next"),
+    )
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to MIX_WEIGHTS, in their global order; one row per copy."""
     out = mixing.mix_sources(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
@@ -75,14 +98,23 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as sequences of 512 token ids, written as shards in training order; one row per sequence."""
+    rows, _ = training_order.materialise(_table(spark, sf_dir, "documents"))
+    return rows.select(F.col("doc").alias("doc_id"), "chunk", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard": op2_jaccard,
     "op3_chat": op3_chat,
     "op4_html": op4_html,
     "op5_decontamination": op5_decontamination,
+    "op6_secrets": op6_secrets,
+    "op7_fingerprints": op7_fingerprints,
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
+    "op10_training_order": op10_training_order,
 }
 
 ORACLES: dict[str, str] = {}

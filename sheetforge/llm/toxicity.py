@@ -238,10 +238,10 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
-            found = [weigh(fold(t or ""), automaton) for t in batch[0].to_pylist()]
+            found = [weigh(fold(t or ""), automaton) for t in batch.column(text_col).to_pylist()]
             scores = [score_of(w, n, model.coefficients) for w, _, n in found]
             own = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array([h for _, h, _ in found], pa.int64()), pa.array([n for _, _, n in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(batch[i + 1] for i in range(len(names))), *own], names=[*names, *added])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *own], names=[*names, *added])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
-    return docs.select(F.col(text_col).alias("_text"), *names).mapInArrow(run, f"{kinds}score double, predicted int, hits long, words long")
+    return docs.select(*dict.fromkeys([*names, text_col])).mapInArrow(run, f"{kinds}score double, predicted int, hits long, words long")
