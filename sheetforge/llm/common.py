@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetforge.shipping import ship
+
 _fallback: dict[str, str] = {}
 
 
@@ -44,6 +46,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, with the package's code on the executors."""
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def hex_key(*parts: Column) -> Column:
     """128-bit key of the parts as hex text; the same in every engine that has md5."""
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))

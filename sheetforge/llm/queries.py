@@ -8,30 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetforge.llm import chat, decontamination, fingerprints, html, jaccard_join, mixing, secrets, sharding, toxicity, training_order
+from sheetforge.llm.common import table
 
 #: Production weights of the mix: the hot source is held at a fifth, two more are fixed, the others share the rest.
 MIX_WEIGHTS = {"src0": 0.2, "src1": 0.08, "src2": 0.08, "*": 0.64}
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; learned from labelled rows outside the held-out fifth."""
-    docs = _table(spark, sf_dir, "documents")
-    model = toxicity.learn(docs, _table(spark, sf_dir, "labels").where(_fold() != 0))
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(_fold() != 0))
     out = toxicity.score(docs, model, carry=["doc_id"])
     return out.select("doc_id", (_fold() == 0).alias("held_out"), "score", "predicted", "hits", "words")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under links of 0.8 Jaccard similarity on 5-word shingles."""
-    out = jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=80)
+    out = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=5, percent=80)
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
@@ -39,18 +36,18 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that says control strings, formatted and read back from the output."""
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     return chat.read_back(chat.format_turns(chat.canonical_turns(turns, "conv_id")))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
-    return html.extract_main_text(_table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+    return html.extract_main_text(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 10 words of all benchmark items in all documents, by the positional index."""
-    out = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    out = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     return out.select(
         F.col("doc").alias("doc_id"),
         "n_words",
@@ -63,14 +60,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret candidates of all documents with the forest's word on each; the secret itself isn't shown."""
-    out = secrets.scan(_table(spark, sf_dir, "documents"))
+    out = secrets.scan(table(spark, sf_dir, "documents"))
     shown = F.concat(F.left("candidate", F.lit(4)), F.lit("..."))
     return out.select(F.col("doc").alias("doc_id"), "path", "place", shown.alias("shown"), F.sha2("candidate", 256).alias("candidate_sha256"), *secrets.FEATURES, "probability", "is_secret")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of all documents and of their edited texts, with likenesses."""
-    pairs = fingerprints.edited_pairs(_table(spark, sf_dir, "documents"))
+    pairs = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
     own, edited, following = (fingerprints.hashes(F.col(c)) for c in ("selected", "edited_selected", "next_selected"))
     sets = pairs.withColumns({"_own": own, "_edited": edited, "_next": following})
     return sets.select(
@@ -86,13 +83,13 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to MIX_WEIGHTS, in their global order; one row per copy."""
-    out = mixing.mix_sources(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    out = mixing.mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return out.select("doc_id", "source", "copy", "mix_key")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes; equal texts stay together."""
-    docs = _table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
     out = sharding.assign_shards(docs, 24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -100,7 +97,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sequences of 512 token ids, written as shards in training order; one row per sequence."""
-    rows, _ = training_order.materialise(_table(spark, sf_dir, "documents"))
+    rows, _ = training_order.materialise(table(spark, sf_dir, "documents"))
     return rows.select(F.col("doc").alias("doc_id"), "chunk", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32")
 
 
