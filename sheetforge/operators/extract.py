@@ -92,7 +92,11 @@ def gather(blobs: DataFrame, key: str = "drawing_id", pos: str = "pos") -> DataF
     lists = some.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(pos, *LISTS))).alias("_l"))
     joined = blobs.select(key).distinct().join(lists, key, "left")
     empty = {c: "array<array<string>>" if c == "material_class" else "array<string>" for c in LISTS}
-    return joined.select(key, *[F.coalesce(F.flatten(F.transform("_l", lambda x, c=c: x[c])), F.array().cast(empty[c])).alias(c) for c in LISTS])
+
+    def joined_up(name: str) -> Column:
+        return F.coalesce(F.flatten(F.transform("_l", lambda x: x[name])), F.array().cast(empty[name])).alias(name)
+
+    return joined.select(key, *[joined_up(c) for c in LISTS])
 
 
 def outer_measures(blobs: DataFrame, key: str = "drawing_id", pos: str = "pos") -> DataFrame:

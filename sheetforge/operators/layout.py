@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetforge.scratch import stored
+
 FRAME_SHARE, TOUCH, GROWN, EPS, MIN_POINTS = 0.33, 20, 5, 20, 20
 
 
@@ -60,7 +62,9 @@ def reachable_cells(rects: DataFrame, frames: DataFrame, dist: int = TOUCH) -> D
 
     names = ["drawing_id", "rect_id", "x", "y", "w", "h"]
     schema = ", ".join(f"{c} {rects.schema[c].dataType.simpleString()}" for c in names)
-    return rects.select(*names).groupBy("drawing_id").cogroup(frames.select(*names).groupBy("drawing_id")).applyInPandas(spread, schema)
+    # frames usually come from the same rectangles; fresh aliases keep the two sides apart
+    apart = frames.select(*[F.col(c).alias(c) for c in names])
+    return rects.select(*names).groupBy("drawing_id").cogroup(apart.groupBy("drawing_id")).applyInPandas(spread, schema)
 
 
 def rotate_rects(rects: DataFrame, rotation: str = "rotation", width: str = "image_w", height: str = "image_h") -> DataFrame:
@@ -281,12 +285,12 @@ def merge_text(boxes: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFram
     Cells of the info block, text clusters and single measures of the drawing region; of pages without a frame the
     boxes as they are. Empty cells give no row; boxes elsewhere are dropped.
     """
-    frames = inner_frames(rects, pages)
-    burnt = reachable_cells(rects, frames)
-    placed = box_regions(boxes, burnt, frames)
+    frames = stored(inner_frames(rects, pages), "frames")
+    burnt = stored(reachable_cells(rects, frames), "cells")
+    placed = stored(box_regions(boxes, burnt, frames), "regions")
     cells = without_frame(distinct_rects(burnt), frames)
     info_cells = _regions(cells, burnt, frames, "rect_id", GROWN).where("region = 'info'").select("drawing_id", "rect_id")
-    cells = without_nested(cells.join(info_cells, ["drawing_id", "rect_id"], "left_semi"))
+    cells = stored(without_nested(cells.join(info_cells, ["drawing_id", "rect_id"], "left_semi")), "info")
     framed = frames.select("drawing_id")
 
     in_cells = assign_cells(placed.where("region = 'info'").drop("region"), cells)
@@ -297,7 +301,7 @@ def merge_text(boxes: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFram
     drawn = placed.where("region = 'drawing'").drop("region")
     is_text = letter_share(F.col("text")) > 0.5
     wordy = drawn.where(is_text)
-    clustered = wordy.join(text_clusters(wordy), ["drawing_id", "pos"])
+    clustered = stored(wordy.join(text_clusters(wordy), ["drawing_id", "pos"]), "clusters")
     key = ["drawing_id", "cluster"]
     cluster_text = merged_text(clustered, line_groups(clustered, key), key)
     from_clusters = outer_boxes(clustered, key).join(cluster_text, key).select("drawing_id", "x", "y", "w", "h", "text", F.lit(True).alias("is_text"), F.lit("cluster").alias("kind"))

@@ -15,7 +15,7 @@ PARENTS = {"runtimes": [("drawing_id", "drawings")], "searchdata": [("drawing_id
 
 def lookup(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` is among ``keys`` (a table with that column): by primary or by foreign key."""
-    return df.join(keys.select(column).distinct(), column, "left_semi")
+    return df.join(keys.select(column).distinct(), column, "left_semi").select(*df.columns)
 
 
 def not_found(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -35,7 +35,7 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, order: str | None = None
 
 def delete(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     """Rows whose ``column`` is not among ``keys``; rows with a null there stay."""
-    return df.join(keys.select(column).distinct(), column, "left_anti")
+    return df.join(keys.select(column).distinct(), column, "left_anti").select(*df.columns)
 
 
 def blocked_keys(children: DataFrame, keys: DataFrame, column: str) -> DataFrame:

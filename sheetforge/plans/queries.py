@@ -34,7 +34,7 @@ def query(*names: str, sql: str | None = None, uses: tuple[str, ...] | None = No
 # ------------------------------------------------------------------------------ sources
 
 
-@query("corpus", sql="SELECT drawing_id, len(search_vector) AS n, round(list_sum(search_vector::DOUBLE[]), 3) AS total FROM corpus")
+@query("corpus", sql="SELECT drawing_id, len(search_vector) AS n, round(list_sum(search_vector::DOUBLE[]), 3) + 0.0 AS total FROM corpus")
 def a3_array_literals(corpus: DataFrame) -> DataFrame:
     """Vectors written as array literals and parsed again."""
     text = corpus.select("drawing_id", files.numbers_literal(F.col("search_vector")).alias("t"))

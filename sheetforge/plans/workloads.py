@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheetforge.functions.distance import LAYOUT
 from sheetforge.operators import encode, evaluate, extract, fuzzy, layout, search, store
+from sheetforge.scratch import stored
 
 
 def index_drawings(boxes: DataFrame, rects: DataFrame, pages: DataFrame, materials: DataFrame, norms: DataFrame | None = None) -> DataFrame:
@@ -14,8 +15,8 @@ def index_drawings(boxes: DataFrame, rects: DataFrame, pages: DataFrame, materia
 
     ``materials`` and ``norms`` are small dictionaries; without norms their section is empty.
     """
-    blobs = layout.merge_text(boxes, rects, pages).withColumn("pos", F.xxhash64("x", "y", "kind", "text"))
-    found = extract.extract_blobs(fuzzy.match_attributes(blobs, materials))
+    blobs = stored(layout.merge_text(boxes, rects, pages).withColumn("pos", F.xxhash64("x", "y", "kind", "text")), "blobs")
+    found = stored(extract.extract_blobs(fuzzy.match_attributes(blobs, materials)), "found")
     gathered = extract.gather(found).join(extract.outer_measures(found), "drawing_id", "left")
     if norms is not None:
         gathered = gathered.join(fuzzy.norm_flags(gathered, norms), "drawing_id", "left")
