@@ -128,7 +128,8 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     sample = known.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(fit_rows)
-    rows = docs.select(id_col, text_col).join(sample, id_col).select(text_col, F.col("_label").cast("int").alias("label"))
+    # at most fit_rows rows, so the texts stay where they are
+    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, F.col("_label").cast("int").alias("label"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
