@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,9 +82,8 @@ def shingle_levels(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
 # Signatures
 
 
-def _bitmap(h: np.ndarray) -> bytes:
-    """Bits of the set at h mod width; the width is a power of two of at least 4 bits for each member."""
-    width = max(LEAST_WIDTH, 1 << int(4 * len(h) - 1).bit_length())
+def _bitmap(h: np.ndarray, width: int) -> bytes:
+    """Bits of the set at h mod width."""
     bits = np.zeros(width, dtype=np.uint8)
     bits[(h & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -102,6 +102,11 @@ def needed(n_a: int, n_b: int, percent: int) -> int:
     return -(-percent * (n_a + n_b) // (100 + percent))
 
 
+def _width(n: int, each: int, least: int) -> int:
+    """Power of two of at least ``each`` bits for each of n members, and ``least``."""
+    return max(least, 1 << (each * n - 1).bit_length())
+
+
 def could_link(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes, percent: int) -> bool:
     """Whether the maximum possible overlap by size and bitmap reaches the needed one."""
     if min(n_a, n_b) < needed(n_a, n_b, percent):
@@ -114,7 +119,8 @@ def could_link(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes, percent: int) -
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, *, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(doc, n, key_a, key_b, bits, prefix): set size, 128-bit key of the set, bitmap, first shingles in the order."""
+    """(doc, n, key_a, key_b, bits, prefix): set size, 128-bit key of the set, bitmap of at least 4 bits
+    for each member, first shingles in the order."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -134,7 +140,7 @@ def signatures(docs: DataFrame, levels: np.ndarray, *, id_col: str, text_col: st
                     again = mix64(h ^ np.uint64(0x5851F42D4C957F2D))
                     key_a.append(int(np.add.reduce(again).view(np.int64)))
                     key_b.append(int(np.bitwise_xor.reduce(mix64(again)).view(np.int64)))
-                    bits.append(_bitmap(h))
+                    bits.append(_bitmap(h, _width(n, 4, LEAST_WIDTH)))
                     level = levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     first = n - -(-percent * n // 100) + 1
                     prefix.append(h[np.argsort(level, kind="stable")[:first]].view(np.int64))
@@ -150,16 +156,57 @@ def signatures(docs: DataFrame, levels: np.ndarray, *, id_col: str, text_col: st
 # Verification
 
 
+def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
+    """Bloom filter (one byte for each bit) of the ids of a one-column table, 16 bits an id and at most ``most_bits``.
+
+    Its size is bounded, so it may go through the driver; a fuller filter lets more ids pass and loses none.
+    """
+    bits = min(most_bits, max(1 << 16, 1 << (16 * ids.count() - 1).bit_length()))
+    each = bits // SLICES
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            for at in _places(batch[0].to_numpy(), bits):
+                own[at] = True
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([np.packbits(own[i * each : (i + 1) * each]).tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "marks"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, marks in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                found[s] = found.get(s, np.uint8(0)) | np.frombuffer(marks, dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["slice", "marks"])
+
+    out = np.zeros(bits, dtype=bool)
+    schema = "slice int, marks binary"
+    for row in ids.mapInArrow(mark, schema).repartition("slice").mapInArrow(either, schema).collect():
+        out[row["slice"] * each : (row["slice"] + 1) * each] |= np.unpackbits(np.frombuffer(row["marks"], dtype=np.uint8)).astype(bool)
+    return np.packbits(out)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts' shingle sets have the similarity."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "wanted")
+    """The (a, b) of ``pairs`` whose texts' shingle sets have the similarity.
+
+    The texts are scanned in place and only sets of wanted ids, by a filter of bounded size, leave the scan.
+    """
+    wanted = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, len(whole), 256):
-                batch = whole.slice(start, 256)
-                found = [np.unique(shingle_hashes(t, k)).tobytes() for t in batch[1].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch[0].cast(pa.int64()), pa.array(found, pa.binary())], names=["id", "shingles"])
+        have = np.unpackbits(wanted).astype(bool)
+        for batch in batches:
+            ids = batch[0].cast(pa.int64())
+            one, two = _places(ids.fill_null(0).to_numpy(), len(have))
+            few = pa.RecordBatch.from_arrays([ids, batch[1]], names=["id", "text"]).filter(pa.array(have[one] & have[two]))
+            for start in range(0, len(few), 256):
+                part = few.slice(start, 256)
+                found = [np.unique(shingle_hashes(t, k)).tobytes() for t in part[1].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part[0], pa.array(found, pa.binary())], names=["id", "shingles"])
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,22 +217,35 @@ def verified(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch[0], batch[1]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_col).join(wanted, "_id", "left_semi")
-    found = stored(texts.mapInArrow(sets, "id long, shingles binary"), "sets")
+    found = stored(docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(sets, "id long, shingles binary"), "sets")
     left, right = found.select(F.col("id").alias("a"), F.col("shingles").alias("x")), found.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
 
 
+def _maybe(bits: np.ndarray):
+    """Column function: whether the filter can't rule an id out; false for null."""
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        have = np.unpackbits(bits).astype(bool)
+        one, two = _places(key.to_numpy(), len(have))
+        return pd.Series(have[one] & have[two])
+
+    return lambda column: F.when(column.isNull(), F.lit(False)).otherwise(test(F.coalesce(column, F.lit(0))))
+
+
 def _pruned(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and bitmaps allow; ``marks`` has (doc, n, bits)."""
+    """Pairs (a, b) that sizes and bitmaps allow; ``marks`` has (doc, n, bits). Only bitmaps of wanted ids are moved."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [could_link(n, x, m, y, percent) for n, x, m, y in zip(*(batch[i].to_pylist() for i in range(2, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch[0], batch[1]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = marks.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = marks.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    wanted = _maybe(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    slim = marks.select("doc", "n", "bits").where(wanted(F.col("doc")))
+    left = slim.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = slim.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(test, "a long, b long")
 
 
@@ -247,6 +307,71 @@ def _node_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(test, "block long, node_a long, node_b long")
 
 
+def _leaf_pairs(percent: int):
+    """Task function (same, x, y lists of members) -> pairs (a, b) of different components that the bitmaps allow."""
+
+    def unpacked(members: list[dict]) -> list[tuple[int, int, int, int, int]]:
+        rows = [(m["n"], m["doc"], m["component"], 8 * len(m["bits"]), int.from_bytes(m["bits"], "little")) for m in members]
+        return sorted(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # pairs judged already; a pair can stand in many blocks
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for same, left, right in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
+                a = unpacked(left)
+                b = a if same else unpacked(right)
+                for i, (n, doc, component, width, bits) in enumerate(a):
+                    for m, other, theirs, wide, map_b in b[i + 1 :] if same else b:
+                        if 100 * n < percent * m:
+                            break  # sizes rise
+                        if component == theirs or 100 * m < percent * n:
+                            continue
+                        pair = (doc, other) if doc < other else (other, doc)
+                        if pair in seen:
+                            continue
+                        seen.add(pair)
+                        x, y = bits, map_b
+                        if width != wide:
+                            x, y = folded(x, width, min(width, wide)), folded(y, wide, min(width, wide))
+                        if (x & y).bit_count() + min(n - x.bit_count(), m - y.bit_count()) >= needed(n, m, percent):
+                            found.append(pair)
+            if len(seen) > 2_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def leaf_candidates(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components and fitting sizes in blocks of one leaf (at most FAN members).
+
+    Such a block needs no tree above it. Many of them hold the same pairs, so bitmaps are joined to the distinct
+    pairs later rather than carried by every member. ``members`` has (block, doc, component, n).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # only spares repeats, so it may be emptied
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for rows in batch[0].to_pylist():
+                a = sorted((m["n"], m["doc"], m["component"]) for m in rows)
+                for i, (n, doc, component) in enumerate(a):
+                    for m, other, theirs in a[i + 1 :]:
+                        if 100 * n < percent * m:
+                            break  # sizes rise
+                        pair = (doc, other) if doc < other else (other, doc)
+                        if component != theirs and pair not in seen:
+                            seen.add(pair)
+                            found.append(pair)
+            if len(seen) > 2_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    leaves = members.groupBy("block").agg(F.collect_list(F.struct("doc", "component", "n")).alias("x"))
+    return leaves.select("x").mapInArrow(run, "a long, b long").distinct()
+
+
 def tree_candidates(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one block and of different components that the trees can't rule out.
 
@@ -255,43 +380,27 @@ def tree_candidates(members: DataFrame, percent: int) -> DataFrame:
     placed = members.withColumn("node", F.expr(f"(row_number() over (partition by block order by n, component, doc) - 1) div {FAN}"))
     leaves = stored(placed.groupBy("block", "node").agg(F.collect_list(F.struct("doc", "component", "n", "bits")).alias("members")), "leaves")
     top = leaves.agg(F.max("node")).first()[0] or 0
-    levels = [stored(_leaf_nodes(leaves), "nodes")] if top else []
+    levels = [stored(_leaf_nodes(leaves), "nodes")]
     while top >= FAN:
         levels.append(stored(_parents(levels[-1]), "nodes"))
         top //= FAN
-    at = leaves.select("block", F.col("node").alias("node_a"), F.col("node").alias("node_b"))
-    if levels:
-        # the top level has up to FAN nodes of a block, all under one root
-        pairs = levels[-1].select("block").distinct().select("block", F.lit(0).cast("long").alias("node_a"), F.lit(0).cast("long").alias("node_b"))
-        for nodes in reversed(levels):
-            low = nodes.withColumn("up", F.expr(f"node div {FAN}"))
-            a = low.select("block", F.col("up").alias("node_a"), F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("low", "high", "slack", "bits")])
-            b = low.select("block", F.col("up").alias("node_b"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("low", "high", "slack", "bits")])
-            down = (
-                pairs.join(a, ["block", "node_a"])
-                .join(b, ["block", "node_b"])
-                .where("a <= b")
-                .select("block", "a", "b", "low_a", "high_a", "slack_a", "bits_a", "low_b", "high_b", "slack_b", "bits_b")
-            )
-            pairs = stored(_node_pairs(down, percent), "pairs")
-        at = pairs
-
-    def leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: set[tuple[int, int]] = set()
-            for same, left, right in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
-                for i, x in enumerate(left):
-                    for y in left[i + 1 :] if same else right:
-                        if x["component"] != y["component"] and could_link(x["n"], x["bits"], y["n"], y["bits"], percent):
-                            found.add((min(x["doc"], y["doc"]), max(x["doc"], y["doc"])))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
+    # the top level has up to FAN nodes of a block, all under one root
+    pairs = levels[-1].select("block").distinct().select("block", F.lit(0).cast("long").alias("node_a"), F.lit(0).cast("long").alias("node_b"))
+    for nodes in reversed(levels):
+        low = nodes.withColumn("up", F.expr(f"node div {FAN}"))
+        a = low.select("block", F.col("up").alias("node_a"), F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("low", "high", "slack", "bits")])
+        b = low.select("block", F.col("up").alias("node_b"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("low", "high", "slack", "bits")])
+        down = (
+            pairs.join(a, ["block", "node_a"])
+            .join(b, ["block", "node_b"])
+            .where("a <= b")
+            .select("block", "a", "b", "low_a", "high_a", "slack_a", "bits_a", "low_b", "high_b", "slack_b", "bits_b")
+        )
+        pairs = stored(_node_pairs(down, percent), "pairs")
     left = leaves.select("block", F.col("node").alias("node_a"), F.col("members").alias("x"))
     right = leaves.select("block", F.col("node").alias("node_b"), F.col("members").alias("y"))
-    met = at.where("node_a = node_b").join(left, ["block", "node_a"]).select(F.lit(True).alias("same"), "x", F.col("x").alias("y"))
-    if levels:
-        met = met.unionByName(at.where("node_a < node_b").join(left, ["block", "node_a"]).join(right, ["block", "node_b"]).select(F.lit(False).alias("same"), "x", "y"))
-    return met.mapInArrow(leaf_pairs, "a long, b long").distinct()
+    met = pairs.join(left, ["block", "node_a"]).join(right, ["block", "node_b"]).select((F.col("node_a") == F.col("node_b")).alias("same"), "x", "y")
+    return met.mapInArrow(_leaf_pairs(percent), "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------------------------------------
@@ -331,20 +440,21 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     twice = slim.where("rep is not null and doc is not null")
     least = twice.groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     same_id = twice.join(least, "doc").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-    first = verified(stored(_pruned(stars, marks, percent), "stars"), docs, percent=percent, **source)
+    first = verified(stored(_pruned(stored(stars, "hubs"), marks, percent), "stars"), docs, percent=percent, **source)
     one = stored(connected_components(first.unionByName(same_id)), "components")
 
     # trees over what is left
     labelled = blocks.join(one.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = stored(labelled.withColumns({"lo": F.min("component").over(token), "hi": F.max("component").over(token)}).where("lo <> hi").drop("lo", "hi"), "mixed")
     alike = mixed.groupBy("token").agg(F.bit_xor(F.xxhash64("rep")).alias("p"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("q"), F.count("*").alias("m"))
-    chosen = alike.groupBy("p", "q", "m").agg(F.min("token").alias("token")).select("token")
-    members = (
-        mixed.join(chosen, "token", "left_semi")
-        .join(marks.select(F.col("doc").alias("rep"), "bits"), "rep")
-        .select(F.col("token").alias("block"), F.col("rep").alias("doc"), "component", "n", "bits")
-    )
-    more = verified(stored(tree_candidates(members, percent), "candidates"), docs, percent=percent, **source)
+    chosen = stored(alike.groupBy("p", "q", "m").agg(F.min("token").alias("token")).select("token", "m"), "chosen")
+
+    def members(which: str) -> DataFrame:
+        return mixed.join(chosen.where(which), "token", "left_semi").select(F.col("token").alias("block"), F.col("rep").alias("doc"), "component", "n")
+
+    near = leaf_candidates(members(f"m <= {FAN}"), percent)
+    near = near.unionByName(tree_candidates(members(f"m > {FAN}").join(marks.select("doc", "bits"), "doc"), percent)).distinct()
+    more = verified(stored(_pruned(stored(near, "near"), marks, percent), "candidates"), docs, percent=percent, **source)
     node = one.withColumnRenamed("component", "root")
     lifted = (
         more.join(node.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
@@ -359,3 +469,33 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         .join(two.select(F.col("node").alias("c1"), F.col("component").alias("c2")), "c1", "left")
         .select("doc", F.col("n").alias("n_shingles"), F.coalesce("c2", "c1", "rep", "doc").alias("component"))
     )
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in the one-column table ``ids``; null ids stay.
+
+    A filter of bounded size tells most rows apart in place; only rows that it can't clear are joined.
+    """
+    name = ids.columns[0]
+    listed = stored(ids.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias("_gone")).distinct(), "gone")
+    maybe = _maybe(id_filter(listed))
+    marked = docs.withColumn("_maybe", maybe(F.col(id_col).cast("long")))
+    clear = marked.where("not _maybe").drop("_maybe")
+    rest = marked.where("_maybe").drop("_maybe")
+    return clear.unionByName(rest.join(listed, rest[id_col].cast("long") == listed["_gone"], "left_anti"))
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest id.
+
+    Rows that repeat the kept id are one document; one of the least text is kept. Rows with a null id stay. Columns stay as they are.
+    """
+    found = stored(jaccard_components(docs, id_col=id_col, text_col=text_col, k=k, percent=percent), "found")
+    losers = found.where("doc <> component").select("doc")
+    kept = without_ids(docs, losers, id_col)
+    repeated = stored(found.where("doc = component").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = without_ids(kept, repeated, id_col)
+    ranked = kept.join(repeated, F.col(id_col).cast("long") == F.col("doc"), "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
+    return once.unionByName(ranked.where("_r = 1").drop("_r"))
