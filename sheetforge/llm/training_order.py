@@ -1,9 +1,9 @@
 """Training-order materialisation: every sequence gets a global slot, shards are written in slot order.
 
-Texts are encoded once and cut into sequences of fixed length. Sequences are numbered without a gap; a keyed
+Texts are encoded once and cut into sequences of fixed length. Sequences are numbered by text; a keyed
 Feistel network on the smallest even number of bits that holds the count, walked until it falls below the count, permutes the numbers.
-So a sequence's slot follows from its number and the key alone: no sort of random keys, no state. Ranges of
-slots are shards; a shard is a file of records of one stride, so slot s lies at a known offset of a known file,
+So a sequence's place follows from its number and the key alone: no random keys, no state. Ranges of
+places are shards; a shard is a file of records of one stride, so slot s lies at a known offset of a known file,
 and a reader can resume at any slot. Shards are written under a temporary name and renamed, and whole
 ones are kept when a lost task is run again.
 """
@@ -11,8 +11,10 @@ ones are kept when a lost task is run again.
 from __future__ import annotations
 
 import base64
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,46 +30,26 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 HEADER = np.dtype([("row", "<i8"), ("chunk", "<i4"), ("used", "<i4")])
 
 
-class PieceEncoder(dict):
-    """Token ids (as little-endian uint16 bytes) of texts, by way of a cache of space-separated pieces.
+_encodings: dict[str, object] = {}
 
-    A space between two characters that are no white space always starts a new unit of the pattern, so
-    pieces cut there are encoded alone with the same result.
-    """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
-        import tiktoken
+def encoding_for(path: str):
+    """The process's tokenizer for a file of ranks; later tasks find it loaded."""
+    import tiktoken
 
+    if path not in _encodings:
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.most = most
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u2").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = self.encode(" " + piece)
-        if len(piece) < 64:
-            self[piece] = out
-        return out
-
-    def __call__(self, text: str) -> bytes:
-        pieces = text.split(" ")
-        if len(pieces) == 1:
-            return self.encode(text)
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in pieces):
-            joined, run = [], pieces[0]
-            for p in pieces[1:]:
-                if run and p and not run[-1].isspace() and not p[0].isspace():
-                    joined.append(run)
-                    run = p
-                else:
-                    run += " " + p
-            pieces = [*joined, run]
-        return self.encode(pieces[0]) + b"".join(map(self.__getitem__, pieces[1:]))
+        _encodings[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path]
+
+
+def encode(encoding, text: str) -> bytes:
+    """Token ids of a text as little-endian uint16."""
+    ids = array("H", encoding.encode_ordinary(text))
+    if sys.byteorder != "little":
+        ids.byteswap()
+    return ids.tobytes()
 
 
 def feistel(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -86,123 +68,125 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def encoded(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id: int, length: int) -> DataFrame:
-    """(doc, row, tokens, at, n): ids of each text and the end id, as uint16 bytes.
-
-    row numbers the rows, n is the number of sequences of a text and ``at`` that of all texts before it in its
-    task, which the upper bits of row tell. Null texts are empty.
-    """
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(tokenizer)
-        stop = np.array([end_id], dtype="<u2").tobytes()
-        before = 0
-        for whole in batches:
-            for start in range(0, len(whole), 256):
-                batch = whole.slice(start, 256)
-                tokens = [encoder(t or "") + stop for t in batch[2].to_pylist()]
-                n = np.array([-(-len(x) // (2 * length)) for x in tokens], dtype=np.int64)
-                at = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(tokens, pa.binary()), pa.array(at), pa.array(n)], names=["doc", "row", "tokens", "at", "n"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc"), F.monotonically_increasing_id().alias("row"), text_col).mapInArrow(encode, f"doc {kind}, row long, tokens binary, at long, n long")
-
-
 def materialise(
     docs: DataFrame, *, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text",
-    length: int = 512, end_id: int = 50_256, key: int = 2_024, shard_slots: int = 16_384, out_dir: str | None = None,
+    length: int = 512, end_id: int = 50_256, key: int = 2_024, shard_span: int = 40_960, out_dir: str | None = None,
 ) -> tuple[DataFrame, str]:
     """Writes all documents as shards of fixed-stride records in training order.
 
-    Returns (rows, folder); computing the rows writes the shards. Rows: doc, row, chunk, slot, shard, byte_offset (of the
-    record in its shard), n_tokens (without padding), tokens_crc32. A record is HEADER and ``length`` uint16 ids, padded with ``end_id``. Every
-    text, the empty and null ones too, ends with ``end_id``, so each row has a sequence; repeated rows are kept. An empty
-    table has no shard. ``out_dir`` is a folder that all executors share; default: a new one below spark.checkpoint.dir.
+    Returns (rows, folder). Rows: doc, row, chunk, slot, shard, byte_offset (of the
+    record in its shard), n_tokens, tokens_crc32 (both without padding). A record is HEADER and ``length`` uint16 ids, padded
+    with ``end_id``. Every text, the empty and null ones too, ends with ``end_id``, so each row has a sequence;
+    repeated rows are kept; an empty table has no shard. ``docs`` is read twice and must come the same way both
+    times, as a table read from files does. ``out_dir`` is a folder that all executors share; default: a new one below
+    spark.checkpoint.dir.
+
+    A text has at most as many tokens as bytes, so it gets numbers for that many sequences without being encoded; those that
+    it doesn't need stay unused. The permutation runs over all numbers; ``shard_span`` permuted numbers make a shard, and a
+    sequence's slot is its rank among the used ones. So texts are encoded once and sequences shuffled once.
     """
     spark = docs.sparkSession
     folder = out_dir or f"{shared_dir(spark)}/sheetforge/shards-{uuid.uuid4().hex}"
-    table = stored(encoded(docs, tokenizer, id_col=id_col, text_col=text_col, end_id=end_id, length=length), "encoded")
-    part = F.shiftrightunsigned("row", 33).alias("part")
-    sums = table.select(part, "n").groupBy("part").agg(F.sum("n").alias("n"))  # one row for each task of the first pass
-    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    before = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     kind = docs.schema[id_col].dataType.simpleString()
     stride = HEADER.itemsize + 2 * length
-    pad = np.array([end_id], dtype="<u2").tobytes()
+    stop = np.array([end_id], dtype="<u2").tobytes()
+    row, text = F.monotonically_increasing_id(), F.coalesce(F.col(text_col), F.lit(""))
+    most = F.ceil((F.octet_length(text) + 1) / F.lit(float(length))).cast("long")
+    # rows are numbered within their task, whose number is the upper bits
+    numbered = docs.select(F.col(id_col).alias("doc"), row.alias("row"), F.shiftrightunsigned(row, 33).alias("part"), text.alias("text"))
+    sums = stored(docs.select(F.shiftrightunsigned(row, 33).alias("part"), most.alias("n")).groupBy("part").agg(F.sum("n").alias("n")), "numbers")
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("part", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, done = encoding_for(tokenizer), 0
         for whole in batches:
             for start in range(0, len(whole), 64):
                 batch = whole.slice(start, 64)
-                docs_, rows, numbers, used, records, index = [], [], [], [], [], []
-                for doc, row, tokens, first in zip(*(batch[i].to_pylist() for i in range(4)), strict=True):
-                    for c in range(-(-len(tokens) // (2 * length))):
-                        part = tokens[2 * length * c : 2 * length * (c + 1)]
-                        n = len(part) // 2
-                        head = np.array([(row, c, n)], dtype=HEADER).tobytes()
-                        docs_.append(doc)
-                        rows.append(row)
-                        numbers.append(c)
-                        used.append(n)
-                        index.append(first + c)
-                        records.append(head + part + pad * (length - n))
-                slots = feistel(np.array(index, dtype=np.int64), total, key)
+                docs_, rows, numbers, records, index = [], [], [], [], []
+                for doc, row, text, base in zip(*(batch[i].to_pylist() for i in range(4)), strict=True):
+                    tokens = encode(encoding, text) + stop
+                    n = -(-len(tokens) // (2 * length))
+                    docs_ += [doc] * n
+                    rows += [row] * n
+                    numbers += range(n)
+                    index += range(base + done, base + done + n)
+                    records += [tokens[2 * length * c : 2 * length * (c + 1)] for c in range(n)]
+                    done += -(-(len(text.encode()) + 1) // length)
+                order = feistel(np.array(index, dtype=np.int64), total, key)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots // shard_slots, pa.int64()), pa.array(slots, pa.int64()), pa.array(docs_, batch.schema.field(0).type), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(used, pa.int32()), pa.array(records, pa.binary())],
-                    names=["shard", "slot", "doc", "row", "chunk", "n_tokens", "record"],
+                    [pa.array(order // shard_span, pa.int64()), pa.array(order, pa.int64()), pa.array(docs_, batch.schema.field(0).type), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(records, pa.binary())],
+                    names=["shard", "place", "doc", "row", "chunk", "tokens"],
                 )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        shard, sink, name = None, None, ""
+        shard, sink, name, at = None, None, "", 0
 
         def close() -> None:
             if sink is not None:
                 sink.close()
-                store.move(name, f"{root}/shard-{shard:06d}.bin")
+                store.move(name, shard_path(root, shard))
 
         for batch in batches:
-            offsets, sums_ = [], []
-            for s, slot, record in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[6], strict=True):
+            places, sizes, sums_ = [], [], []
+            for s, row, chunk, tokens in zip(*(batch[i].to_pylist() for i in (0, 2, 3, 4)), strict=True):
                 if s != shard:
                     close()
-                    shard, name = s, f"{root}/.shard-{s:06d}-{uuid.uuid4().hex}"
-                    final = store.get_file_info(f"{root}/shard-{s:06d}.bin")
-                    whole = min(shard_slots, total - s * shard_slots) * stride
-                    sink = None if final.size == whole else store.open_output_stream(name)
-                data = record.as_buffer()
+                    shard, at, name = s, 0, f"{root}/.shard-{s:06d}-{uuid.uuid4().hex}"
+                    done = store.get_file_info(shard_path(root, s)).type == fs.FileType.File
+                    sink = None if done else store.open_output_stream(name)
+                n = len(tokens) // 2
                 if sink is not None:
-                    sink.write(data)
-                offsets.append(slot % shard_slots * stride)
-                sums_.append(zlib.crc32(memoryview(data)[HEADER.itemsize :]))
-            yield pa.RecordBatch.from_arrays([batch[2], batch[3], batch[4], batch[1], batch[0], pa.array(offsets, pa.int64()), batch[5], pa.array(sums_, pa.int64())], names=["doc", "row", "chunk", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32"])
+                    sink.write(np.array([(row, chunk, n)], dtype=HEADER).tobytes() + tokens + stop * (length - n))
+                places.append(at)
+                sizes.append(n)
+                sums_.append(zlib.crc32(tokens))
+                at += 1
+            yield pa.RecordBatch.from_arrays([batch[1], batch[2], batch[3], batch[0], pa.array(places, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sums_, pa.int64())], names=["doc", "row", "chunk", "shard", "at", "n_tokens", "tokens_crc32"])
         close()
 
-    numbered = table.withColumn("part", part).join(before, "part").select("doc", "row", "tokens", (F.col("at") + F.col("base")).alias("first"))
-    sequences = numbered.mapInArrow(cut, f"shard long, slot long, doc {kind}, row long, chunk int, n_tokens int, record binary")
-    shards = max(1, -(-total // shard_slots))
-    # a shard is a range of slots and goes to one task whole; a task may have several
-    placed = sequences.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
-    rows = placed.mapInArrow(write, f"doc {kind}, row long, chunk int, slot long, shard long, byte_offset long, n_tokens int, tokens_crc32 long")
+    # one row for each task, so it may be broadcast; the texts stay in their tasks and in their order
+    based = numbered.join(F.broadcast(before), "part").select("doc", "row", "text", "base")
+    sequences = based.mapInArrow(cut, f"shard long, place long, doc {kind}, row long, chunk int, tokens binary")
+    shards = max(1, -(-total // shard_span))
+    # a shard goes to one task whole; a task may have several
+    placed = sequences.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "doc", "row", "chunk", "tokens")
+    written = stored(placed.mapInArrow(write, f"doc {kind}, row long, chunk int, shard long, at long, n_tokens int, tokens_crc32 long"), "written")
+    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    counts = written.groupBy("shard").agg(F.count("*").alias("n"))  # one row for each shard
+    firsts = counts.select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"))
+    rows = written.join(F.broadcast(firsts), "shard").select(
+        "doc", "row", "chunk", (F.col("first") + F.col("at")).alias("slot"), "shard", (F.col("at") * stride).alias("byte_offset"), "n_tokens", "tokens_crc32"
+    )
     return rows, folder
 
 
-def read_slots(folder: str, first: int, count: int, *, length: int = 512, shard_slots: int = 16_384) -> list[tuple[int, int, np.ndarray]]:
-    """(row, chunk, ids) of the sequences at ``count`` slots from ``first`` on; reads stop at the end of the order."""
+def shard_path(root: str, shard: int) -> str:
+    return f"{root}/shard-{shard:08d}.bin"
+
+
+def read_slots(folder: str, first: int, count: int, *, length: int = 512) -> list[tuple[int, int, np.ndarray]]:
+    """(row, chunk, ids) of the sequences at ``count`` slots from ``first`` on; reads stop at the end of the order.
+
+    Slots run through the shards in the order of their names; file sizes tell where each begins.
+    """
     store, root = fs.FileSystem.from_uri(folder)
     stride = HEADER.itemsize + 2 * length
-    out = []
-    for slot in range(first, first + count):
-        info = store.get_file_info(f"{root}/shard-{slot // shard_slots:06d}.bin")
-        at = slot % shard_slots * stride
-        if info.size is None or at >= info.size:
-            break
-        with store.open_input_file(info.path) as file:
-            file.seek(at)
-            data = file.read(stride)
-        row, chunk, used = np.frombuffer(data[: HEADER.itemsize], dtype=HEADER)[0].tolist()
-        out.append((row, chunk, np.frombuffer(data[HEADER.itemsize :], dtype="<u2")[:used]))
+    files = sorted((i.path, i.size) for i in store.get_file_info(fs.FileSelector(root)) if i.path.rsplit("/", 1)[-1].startswith("shard-"))
+    out: list[tuple[int, int, np.ndarray]] = []
+    start = 0
+    for path, size in files:
+        n = size // stride
+        wanted = range(max(first, start), min(first + count, start + n))
+        if wanted:
+            with store.open_input_file(path) as file:
+                file.seek((wanted[0] - start) * stride)
+                for _ in wanted:
+                    data = file.read(stride)
+                    row, chunk, used = np.frombuffer(data[: HEADER.itemsize], dtype=HEADER)[0].tolist()
+                    out.append((row, chunk, np.frombuffer(data[HEADER.itemsize :], dtype="<u2")[:used]))
+        start += n
     return out
