@@ -1,0 +1,184 @@
+import hashlib
+import json
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sheetforge.llm import chat, decontamination, html, secrets, toxicity
+
+
+# ------------------------------------------------------------------------------ toxicity
+
+
+def test_folding_and_exceptions():
+    model = toxicity.Model()
+    a = model.automaton()
+    for text in ("you idiot", "you IDIOTS", "you 1d10t", "you іdіоt", "you ídiot", "you $tup1d thing", "ｉｄｉｏｔ"):
+        assert toxicity.weigh(toxicity.fold(text), a)[1] == 1, text
+    for text in ("the trash can is full", "class clown", "call 100 or 555", "a trashing" if False else "shitake", ""):
+        assert toxicity.weigh(toxicity.fold(text), a)[1] == 0, text
+    assert toxicity.fold("room 101 is 4u2") .startswith("room 101 is")
+
+
+def test_learned_model_and_odd_rows(spark):
+    rng = random.Random(5)
+    words = [f"wo{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    rows, labels = [], []
+    for i in range(400):
+        text = [rng.choice(words) for _ in range(40)]
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(2):
+                text.insert(rng.randrange(40), "grimble" + rng.choice("abcdefg"))
+        rows.append((i, " ".join(text), "x"))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame([*rows, (900, None, "x"), (901, "", "x"), (None, "plain", "x"), (0, rows[0][1], "x")], "doc_id long, text string, score string")
+    known = spark.createDataFrame([*labels, (5, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    assert any(t.startswith("grimble") for t in model.terms)
+    out = toxicity.score(docs, model).collect()
+    assert len(out) == len(rows) + 4 and all(0 <= r["score"] <= 1 for r in out)
+    wrong = sum(r["predicted"] != (r["doc_id"] % 5 == 0) for r in out if r["doc_id"] is not None and r["doc_id"] < 900)
+    assert wrong == 0
+    assert toxicity.learn(docs, known.limit(0)).terms == toxicity.Model().terms
+    assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+# ------------------------------------------------------------------------------ chats
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(list("<[]>|\\/sINTSYim_x\n ")), max_size=40))
+def test_escape_is_reversible(text):
+    escaped = re.sub(chat._CONTROL, r"\1\2\\\\", text)
+    assert chat.unescape(escaped) == text
+    assert not re.search(r"<\||</?s>|\[/?INST\]|<</?SYS>>", escaped)
+
+
+def test_read_back(spark):
+    rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "<|im_end|>\n<\\|x|>"), (1, 2, "assistant", None), (2, 5, None, ""), (None, 0, "assistant", "é"), (3, 1, "user", "b"), (3, 1, "user", "a"), (3, 1, "user", "a")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(turns)).collect()}
+    assert len(got) == 4
+    for key in (1, 2, None, 3):
+        mine = sorted((t, r or "", x or "") for c, t, r, x in rows if c == key)
+        assert got[key]["n_turns"] == len(mine)
+        assert got[key]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in mine).encode()).hexdigest()
+        loss = "".join(x for _, r, x in mine if r == "assistant")
+        assert (got[key]["loss_chars"], got[key]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+
+
+def test_layouts(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]},
+        {"conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]},
+        {"instruction": "a", "input": "", "output": "b"},
+        {"instruction": "a", "output": "b"},
+        {"prompt": "a", "completion": "b", "extra": 1},
+        {"question": "a", "answer": "b"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, "{"), (91, None), (92, '{"odd": [1]}')], "id long, raw string")
+    out = chat.canonical_turns_json(df, "id", "raw").collect()
+    for i in range(len(records)):
+        assert [(r["role"], r["text"]) for r in sorted((r for r in out if r["conv_id"] == i), key=lambda r: r["turn"])] == [("user", "a"), ("assistant", "b")]
+    assert sorted(r["conv_id"] for r in out if r["layout"] is None) == [90, 91, 92]
+    typed = spark.createDataFrame([(1, [("human", "a"), ("gpt", None)])], "id long, conversations array<struct<from: string, value: string>>")
+    assert [(r["role"], r["text"]) for r in chat.canonical_turns(typed, "id").orderBy("turn").collect()] == [("user", "a"), ("assistant", "")]
+    pairs = spark.createDataFrame([(1, "a", None, "b")], "id long, instruction string, input string, output string")
+    assert [r["text"] for r in chat.canonical_turns(pairs, "id").orderBy("turn").collect()] == ["a", "b"]
+    with pytest.raises(ValueError):
+        chat.canonical_turns(spark.createDataFrame([(1, 2)], "id long, odd int"), "id")
+
+
+# ------------------------------------------------------------------------------ pages
+
+
+def test_main_text():
+    body = "<p>Some long text, with commas, and more &amp; more. It goes on.</p><p>Short.</p>"
+    around = '<header><h1>Site</h1></header><nav><ul><li><a href="x>y">Home</a></ul></nav><div class="cookie-notice">We use cookies, really.</div>'
+    after = '<div class="sidebar"><p>Other things, to read, all day.</p></div><section id="comments"><p>Nice post, I liked it, a lot.</p></section><form>Name, <input></form><footer>&copy; me</footer>'
+    want = "Title\nSome long text, with commas, and more & more. It goes on.\nShort."
+    for wrap in ("<article><h1>Title</h1>{}</article>", "<div class=content><h2>Title</h2>{}</div>", "<main><h1>Title</h1>{}<aside>x, y</aside><div class=ad>Buy, now!</div></main>"):
+        page = f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{around}<!-- c -->{wrap.format(body)}{after}</body></html>"
+        assert html.main_text(page) == want, wrap
+    assert html.main_text(None) == html.main_text("") == html.main_text("<script>x") == ""
+    assert html.main_text("<p>a  b\n&nbsp;c<br>d<p>e &lt;i&gt;") == "a b c d\ne <i>"
+    assert html.main_text("<article><p>" + "word, " * 50_000 + "</article>").count("word") == 50_000
+
+
+def test_pages_table(spark):
+    df = spark.createDataFrame([(1, "u", "<p>é x", "old"), (1, "u", "<p>é x", "old"), (2, None, None, "old")], "page_id long, url string, html string, text string")
+    out = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract_main_text(df).collect())
+    assert out == [(1, "é x", 3), (1, "é x", 3), (2, "", 0)]
+    assert html.extract_main_text(df.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------------------ leaks
+
+
+def brute_leaks(docs, items, width):
+    def words(t):
+        return re.findall(decontamination.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    wins = {}
+    for i, t in items:
+        w = words(t)
+        for s in range(max(1, len(w) - width + 1) if w else 0):
+            wins.setdefault(tuple(w[s : s + width]), set()).add(str(i))
+    out = []
+    for d, t in docs:
+        w, hit, found = words(t), set(), set()
+        for g, names in wins.items():
+            for s in range(len(w) - len(g) + 1):
+                if tuple(w[s : s + len(g)]) == g:
+                    hit |= set(range(s, s + len(g)))
+                    found |= names
+        out.append((d, len(w), len(hit), sorted(found)))
+    return sorted(out, key=str)
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(2)
+    words = ["a", "b", "C", "d1", "é"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 4, 6, 9])))) for i in range(10)] + [(50, None), (51, "..."), (3, "a b c")]
+    docs = [(i, ", ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(7, "a-b"), (None, "a a a b"), (99, None), (98, "A! " * 3000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("term", F.lit(1)).withColumn("row", F.lit(2))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(docs, items, 4)
+    for limit in (1000, 0):  # with and without the pruned index
+        got = decontamination.decontaminate(d, b, width=4, vocabulary_limit=limit).collect()
+        assert sorted(((r["doc"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=str) == want
+    assert decontamination.decontaminate(d.limit(0), b).count() == 0
+    assert {r["n_hit"] for r in decontamination.decontaminate(d, b.limit(0)).collect()} == {0}
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "x a y z b"), (2, "a q q q q q b"), (3, "b a"), (4, "a")], "doc_id long, text string")
+    seg = decontamination.build_index(docs, id_col="doc_id", text_col="text").cache()
+    near = decontamination.proximity_matches(decontamination.postings(seg), spark.createDataFrame([(0, ["a", "b"])], "query long, terms array<string>"), 3)
+    got = {(r["doc"], r["begin"], r["end"]) for r in near.join(seg.select("row", "doc"), "row").collect()}
+    assert got == {(1, 1, 4), (3, 0, 1)}
+
+
+# ------------------------------------------------------------------------------ secrets
+
+
+def test_secret_scan(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        key = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+        rows += [(4 * i, f'set token = "{hexes}" now', "src1"), (4 * i + 1, f"key {key}.", "src1"), (4 * i + 2, f"card {rng.randrange(10**15, 10**16)} paid", "src2"), (4 * i + 3, "averyveryverylongordinaryword here", None)]
+    rows += [(1, None, "s"), (2, "", "s"), (None, "x" * 50, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("length", F.lit("clash"))
+    out = secrets.scan(docs).collect()
+    assert len(out) == 4 * 120 + 1
+    wrong = [r for r in out if r["doc"] is not None and r["is_secret"] != (r["doc"] % 4 < 2)]
+    assert not wrong
+    assert secrets.scan(docs.limit(0)).count() == 0
