@@ -204,11 +204,32 @@ def perimeter(x: int, y: int, w: int, h: int) -> np.ndarray:
     )
 
 
+def _few_clusters(points: np.ndarray, eps: float, least: int) -> np.ndarray:
+    x, y = points[:, 0], points[:, 1]
+    near = (x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= eps * eps
+    core = near.sum(1) >= least
+    labels, now = np.full(len(points), -1), 0
+    for i in np.flatnonzero(core):
+        if labels[i] != -1:
+            continue
+        labels[i] = now
+        front = np.array([i])
+        while len(front):
+            fresh = np.flatnonzero(near[front].any(0) & (labels == -1))
+            labels[fresh] = now
+            front = fresh[core[fresh]]
+        now += 1
+    return labels
+
+
 def density_clusters(points: np.ndarray, eps: float = EPS, least: int = MIN_POINTS) -> np.ndarray:
     """DBSCAN labels of integer points, repeats counted; clusters in the order of their first core point, noise -1.
 
-    Points lie in a grid of cells of ``eps``; neighbours are looked up in the nine cells around.
+    Few points are compared all with all; more lie in a grid of cells of ``eps``, and neighbours are looked up in the nine
+    cells around.
     """
+    if len(points) <= 1_500:
+        return _few_clusters(points, eps, least)
     size = int(np.ceil(eps))
     grid: dict[tuple[int, int], list[int]] = {}
     for i, (x, y) in enumerate(points // size):

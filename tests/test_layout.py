@@ -38,6 +38,11 @@ def test_density_clusters(points):
     assert [g for g, c in zip(got, core) if c] == [w for w, c in zip(want, core) if c]
 
 
+def test_grid_equals_all_pairs():
+    points = np.random.default_rng(2).integers(0, 400, (1_600, 2))
+    assert (layout.density_clusters(points, 9, 6) == layout._few_clusters(points, 9, 6)).all()
+
+
 def test_corners_count_twice():
     edges = layout.perimeter(0, 0, 2, 1)
     assert len(edges) == 2 * 3 + 2 * 2 and (edges == [0, 0]).all(1).sum() == 2
