@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -139,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                 seen: set[str] = set()
                 before = ""
                 for w in words:
-                    bit = 1 << (sum(before.encode()) * 31 + len(before)) % 62 if label else 0
+                    bit = 1 << zlib.crc32(before.encode("utf-8", "surrogatepass")) % 62 if label else 0
                     for term in (*(w[:n] + "*" for n in range(3, min(10, len(w)) + 1)), w):
                         x = found.get(term)
                         if x is None:

@@ -19,7 +19,7 @@ def test_folding_and_exceptions():
     a = model.automaton()
     for text in ("you idiot", "you IDIOTS", "you 1d10t", "you іdіоt", "you ídiot", "you $tup1d thing", "ｉｄｉｏｔ"):
         assert toxicity.weigh(toxicity.fold(text), a)[1] == 1, text
-    for text in ("the trash can is full", "class clown", "call 100 or 555", "a trashing" if False else "shitake", ""):
+    for text in ("the trash can is full", "class clown", "call 100 or 555", "shitake", ""):
         assert toxicity.weigh(toxicity.fold(text), a)[1] == 0, text
     assert toxicity.fold("room 101 is 4u2") .startswith("room 101 is")
 
@@ -54,7 +54,7 @@ def test_learned_model_and_odd_rows(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(list("<[]>|\\/sINTSYim_x\n ")), max_size=40))
 def test_escape_is_reversible(text):
-    escaped = re.sub(chat._CONTROL, r"\1\2\\\\", text)
+    escaped = re.sub(chat._CONTROL, lambda m: m[1] + m[2] + "\\", text)
     assert chat.unescape(escaped) == text
     assert not re.search(r"<\||</?s>|\[/?INST\]|<</?SYS>>", escaped)
 
