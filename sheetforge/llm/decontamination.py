@@ -22,6 +22,7 @@ from sheetforge.llm.common import stored
 
 #: Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SALTS = 16
 _SEPARATORS = bytes(32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
 
@@ -113,14 +114,16 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     """
     slots = windows.select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term"))
     wanted = slots.select("term").distinct()
-    counts = index.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = index.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term", "left_semi")
     # a window with a term that has no posting cannot match
     ranked = slots.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     order = Window.partitionBy("window").orderBy("n", "offset")
     ranked = ranked.withColumn("place", F.row_number().over(order)).withColumn("least", F.min("n").over(Window.partitionBy("window"))).where("least > 0")
     first = ranked.where("place = 1").select("window", "length", "term", "offset")
     rest = ranked.where("place > 1").select("window", "term", "offset")
-    start = index.join(first, "term").select("window", "row", (F.col("position") - F.col("offset")).alias("begin"), "length").where("begin >= 0")
+    # a frequent term's postings are dealt to several tasks
+    salted = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    start = index.withColumn("_salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"]).select("window", "row", (F.col("position") - F.col("offset")).alias("begin"), "length").where("begin >= 0")
     need = start.join(rest, "window", "left").select("window", "row", "begin", "length", "term", (F.col("begin") + F.col("offset")).alias("position"))
     alone = need.where("term is null").select("window", "row", "begin")
     met = (
@@ -142,7 +145,7 @@ def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFr
     others within ``slop`` positions of it; begin and end span the nearest ones.
     """
     slots = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
-    counts = index.join(slots.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = index.groupBy("term").agg(F.count("*").alias("n")).join(slots.select("term").distinct(), "term", "left_semi")
     ranked = slots.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     per = Window.partitionBy("query")
     ranked = ranked.withColumn("place", F.row_number().over(per.orderBy("n", "term"))).withColumn("terms", F.count("*").over(per)).withColumn("least", F.min("n").over(per)).where("least > 0")
