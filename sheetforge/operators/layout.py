@@ -7,17 +7,46 @@ equi-key with the inequalities behind it. Only order-dependent steps run as help
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sheetforge.scratch import stored
 
 FRAME_SHARE, TOUCH, GROWN, EPS, MIN_POINTS = 0.33, 20, 5, 20, 20
 
 
+def _each_group(df: DataFrame, group: list[str], columns: list[str], run, added: str) -> DataFrame:
+    """(group, added columns) from ``run(rows)`` for each group, rows being dicts sorted by ``columns``.
+
+    A group is a page, a cell or a cluster, so its few boxes travel as one list, and a batch of lists is one call.
+    """
+    names = [part.split()[0] for part in added.split(", ")]
+    kinds = [df.schema[c].dataType for c in group] + [T._parse_datatype_string(added)[n].dataType for n in names]
+    arrow = [to_arrow_type(k) for k in kinds]
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [batch[i].to_pylist() for i in range(len(group))]
+            out: list[list] = [[] for _ in arrow]
+            for i, rows in enumerate(batch[len(group)].to_pylist()):
+                found = run(rows)
+                for j, key in enumerate(keys):
+                    out[j] += [key[i]] * len(found)
+                for j in range(len(names)):
+                    out[len(group) + j] += [r[j] for r in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, arrow, strict=True)], names=[*group, *names])
+
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in group) + ", " + added
+    lists = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
+    return lists.mapInArrow(call, schema)
+
+
 def polygon_box(points: Column) -> Column:
     """struct(x, y, w, h) around an array of points."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
@@ -43,12 +72,11 @@ def reachable_cells(rects: DataFrame, frames: DataFrame, dist: int = TOUCH) -> D
     A search through each drawing's rectangles, which are a page's cells and so few.
     """
 
-    def spread(key: tuple, cells: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
-        if cells.empty or frame.empty:
-            return cells.iloc[:0]
-        x, y, w, h = (cells[c].to_numpy(dtype=np.float64) for c in "xywh")
+    def spread(rows: list[dict]) -> list[tuple]:
+        cells = [r for r in rows if not r["_frame"]]
+        x, y, w, h = (np.array([r[c] for r in cells], dtype=np.float64) for c in "xywh")
         burnt, half = np.zeros(len(cells), dtype=bool), dist / 2
-        todo = deque(frame[["x", "y", "w", "h"]].astype(float).itertuples(index=False, name=None))
+        todo = deque((float(r["x"]), float(r["y"]), float(r["w"]), float(r["h"])) for r in rows if r["_frame"])
         while todo:
             fx, fy, fw, fh = todo.popleft()
             near = np.zeros(len(cells), dtype=bool)
@@ -58,13 +86,12 @@ def reachable_cells(rects: DataFrame, frames: DataFrame, dist: int = TOUCH) -> D
             fresh = np.flatnonzero(near & ~burnt)
             burnt[fresh] = True
             todo.extend(zip(x[fresh], y[fresh], w[fresh], h[fresh], strict=True))
-        return cells[burnt]
+        return [(r["rect_id"], r["x"], r["y"], r["w"], r["h"]) for r, b in zip(cells, burnt, strict=True) if b]
 
-    names = ["drawing_id", "rect_id", "x", "y", "w", "h"]
-    schema = ", ".join(f"{c} {rects.schema[c].dataType.simpleString()}" for c in names)
-    # frames usually come from the same rectangles; fresh aliases keep the two sides apart
-    apart = frames.select(*[F.col(c).alias(c) for c in names])
-    return rects.select(*names).groupBy("drawing_id").cogroup(apart.groupBy("drawing_id")).applyInPandas(spread, schema)
+    names = ["rect_id", "x", "y", "w", "h"]
+    both = rects.select("drawing_id", *names, F.lit(False).alias("_frame")).unionByName(frames.select("drawing_id", *names, F.lit(True).alias("_frame")))
+    added = ", ".join(f"{c} {rects.schema[c].dataType.simpleString()}" for c in names)
+    return _each_group(both, ["drawing_id"], [*names, "_frame"], spread, added)
 
 
 def rotate_rects(rects: DataFrame, rotation: str = "rotation", width: str = "image_w", height: str = "image_h") -> DataFrame:
@@ -167,17 +194,12 @@ def line_rows(ys: list[int], avg_height: int) -> list[list[int]]:
 def line_groups(boxes: DataFrame, group: list[str], pos: str = "pos") -> DataFrame:
     """(group, pos, line): lines of the boxes of a cell or cluster, taken in the order of ``pos``; a box can be in two."""
 
-    def lines(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        height = round(pdf["h"].sum() / len(pdf))
-        ys = (pdf["y"] + pdf["h"] // 2).astype(int).tolist()
-        out = [(i, r) for r, members in enumerate(line_rows(ys, height)) for i in members]
-        frame = pdf.iloc[[i for i, _ in out]][[*group, pos]].copy()
-        frame["line"] = np.array([r for _, r in out], dtype=np.int32)
-        return frame
+    def lines(rows: list[dict]) -> list[tuple]:
+        height = round(sum(r["h"] for r in rows) / len(rows))
+        found = line_rows([r["y"] + r["h"] // 2 for r in rows], height)
+        return [(rows[i][pos], line) for line, members in enumerate(found) for i in members]
 
-    schema = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in [*group, pos])
-    return boxes.select(*group, pos, "y", "h").groupBy(*group).applyInPandas(lines, f"{schema}, line int")
+    return _each_group(boxes.select(*group, pos, "y", "h"), group, [pos, "y", "h"], lines, f"{pos} {boxes.schema[pos].dataType.simpleString()}, line int")
 
 
 def merged_text(boxes: DataFrame, lines: DataFrame, group: list[str], pos: str = "pos") -> DataFrame:
@@ -275,23 +297,17 @@ def text_clusters(boxes: DataFrame, pos: str = "pos") -> DataFrame:
     the others.
     """
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(pos, kind="stable")
-        edges = [perimeter(*(int(v) for v in r)) for r in pdf[["x", "y", "w", "h"]].itertuples(index=False, name=None)]
-        points = np.concatenate(edges)
+    def cluster(rows: list[dict]) -> list[tuple]:
+        points = np.concatenate([perimeter(r["x"], r["y"], r["w"], r["h"]) for r in rows])
         labels = density_clusters(points)
         first: dict[tuple[int, int], int] = {}
         for i, p in enumerate(map(tuple, points.tolist())):
             first.setdefault(p, i)
-        own = np.array([labels[first[(int(x), int(y))]] for x, y in zip(pdf["x"], pdf["y"], strict=True)])
-        lonely = np.flatnonzero(own == -1)
-        own[lonely] = labels.max(initial=-1) + 1 + np.arange(len(lonely))
-        out = pdf[["drawing_id", pos]].copy()
-        out["cluster"] = own.astype(np.int32)
-        return out
-
-    schema = ", ".join(f"{c} {boxes.schema[c].dataType.simpleString()}" for c in ["drawing_id", pos])
-    return boxes.select("drawing_id", pos, "x", "y", "w", "h").groupBy("drawing_id").applyInPandas(cluster, f"{schema}, cluster int")
+        own = [int(labels[first[r["x"], r["y"]]]) for r in rows]
+        free = iter(range(int(labels.max(initial=-1)) + 1, len(points) + 1))
+        return [(r[pos], next(free) if label == -1 else label) for r, label in zip(rows, own, strict=True)]
+
+    return _each_group(boxes.select("drawing_id", pos, "x", "y", "w", "h"), ["drawing_id"], [pos, "x", "y", "w", "h"], cluster, f"{pos} {boxes.schema[pos].dataType.simpleString()}, cluster int")
 
 
 def outer_boxes(boxes: DataFrame, group: list[str]) -> DataFrame:
