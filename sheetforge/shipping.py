@@ -10,13 +10,18 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _done: set[str] = set()
+#: Rows that go to a Python worker at once. Texts can be long, and two copies of a batch live in each worker.
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each application.
+    """Sends the package to the executors, once for each application, and bounds the batches of Python helpers.
 
     Python helpers run in workers that have their own search path; a cluster needs the code there.
     """
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(limit, "10000")) > BATCH_ROWS:
+        spark.conf.set(limit, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _done:
         return
