@@ -1,20 +1,24 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-Tokens are the pieces of a text between white space. Each run of K tokens has a hash; of every WINDOW
-neighbouring hashes the least is selected, the rightmost on ties, with its position. Two texts that share
-K + WINDOW - 1 tokens in a row share a selected hash.
+Each run of CHARS code points has a hash; of every SPAN neighbouring hashes the least is selected, the rightmost on
+ties, with its position. Two texts that share CHARS + SPAN - 1 code points in a row share a selected hash, whatever their
+script and with or without white space. A text with fewer than SPAN hashes keeps them all. ``winnowed`` does the same
+over white-space separated tokens.
 
 Hash and position are packed into one long: 36 bits of hash above 27 bits of reversed position, so that a
 plain minimum prefers the smaller hash and then the later position. The minimum over a window is built by
-doubling, in a number of array passes that grows with log2(WINDOW).
+doubling, in a number of array passes that grows with the logarithm of the window.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, WINDOW = 3, 8
+K, WINDOW = 3, 8  # of tokens
+CHARS, SPAN = 10, 16  # of code points
 _POSITIONS = 1 << 27
 
 
@@ -28,16 +32,41 @@ def winnowed(df: DataFrame, text_col: str, out: str, k: int = K, window: int = W
     df = df.withColumn("_t", tokens)
     grams = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("_t") - k, F.lit(0))),
-        lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[F.get("_t", i + j if j else i) for j in range(k)]), 28), 27) + (F.lit(_POSITIONS - 1) - i),
+        lambda i: _packed(F.xxhash64(*[F.get("_t", i + j if j else i) for j in range(k)]), i),
     )
     df = df.withColumn("_g", grams).withColumn("_n", F.size("_g")).drop("_t")
-    span, mins = 1, F.col("_g")
+    return _window_minima(df, window).withColumn(out, F.array_distinct(F.slice("_g", F.lit(1), F.greatest(F.col("_n") - (window - 1), F.lit(1))))).drop("_g", "_n")
+
+
+def winnowed_chars(df: DataFrame, text_col: str, out: str, k: int = CHARS, window: int = SPAN) -> DataFrame:
+    """``df`` with ``out``: packed selected hashes of the runs of k code points of a text, in text order.
+
+    Every text has at least one, the empty one too; null counts as empty. A text of fewer than k code points has one gram,
+    itself; one of fewer than ``window`` grams keeps them all.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # an overlapping match begins at each code point; the second half of a surrogate pair is none
+    runs = F.regexp_extract_all(text, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{k}}}))"), F.lit(1))
+    df = df.withColumn("_t", F.when(F.length(text) > k, runs).otherwise(F.array(text)))
+    df = df.withColumn("_g", F.transform("_t", lambda x, i: _packed(F.xxhash64(x), i))).drop("_t").withColumn("_n", F.size("_g"))
+    df = df.withColumn("_few", F.when(F.col("_n") < window, F.col("_g")))
+    least = F.array_distinct(F.slice("_g", F.lit(1), F.greatest(F.col("_n") - (window - 1), F.lit(1))))
+    return _window_minima(df, window).withColumn(out, F.coalesce("_few", least)).drop("_g", "_n", "_few")
+
+
+def _packed(value: Column, position: Column) -> Column:
+    return F.shiftleft(F.shiftrightunsigned(value, 28), 27) + (F.lit(_POSITIONS - 1) - position)
+
+
+def _window_minima(df: DataFrame, window: int) -> DataFrame:
+    """``df`` whose _g, an array of _n values, has at each place the least of the ``window`` values from there on."""
+    span = 1
     while span < window:
         step = min(span, window - span)
-        # least() skips the nulls past the end, where windows are cut off and dropped below
+        # least() skips the nulls past the end, where windows are cut off and dropped by the caller
         df = df.withColumn("_g", F.zip_with(F.col("_g"), F.slice("_g", F.lit(step + 1), F.col("_n")), lambda x, y: F.least(x, y)))
         span += step
-    return df.withColumn(out, F.array_distinct(F.slice("_g", F.lit(1), F.greatest(F.col("_n") - (window - 1), F.lit(1))))).drop("_g", "_n")
+    return df
 
 
 def hashes(selected: Column) -> Column:
@@ -55,8 +84,10 @@ def likeness(a: Column, b: Column) -> Column:
     return 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)).cast("double")
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], order: list[str]) -> DataFrame:
-    """``docs`` with next_<column>: the values of the next row by ``id_col``, then ``order``; the first row follows the last.
+def with_next(docs: DataFrame, id_col: str, columns: list[str], order: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``derive(docs)`` with next_<column>: the values of the next row by ``id_col``, then ``order``; the first row follows the last.
+
+    ``derive`` adds columns row by row; it runs where rows have been dealt, so what it adds isn't shuffled.
 
     Rows are dealt to buckets between quantiles of the id, so that no task sorts the table. The last row of a
     bucket takes the first of the next bucket from a table of one row for each bucket. Null ids come first.
@@ -70,16 +101,18 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], order: list[str]
     line = Window.partitionBy("_bucket").orderBy("_key", *order)
     first_key = dealt.groupBy("_bucket").agg(F.min("_key").alias("_key"))
     at_first = dealt.join(F.broadcast(first_key), ["_bucket", "_key"])  # at most `buckets` rows
-    firsts = at_first.withColumn("_r", F.row_number().over(line)).where("_r = 1").select("_bucket", *[F.col(c).alias(f"_first_{c}") for c in columns])
+    firsts = at_first.withColumn("_r", F.row_number().over(line)).where("_r = 1").transform(derive).select("_bucket", *[F.col(c).alias(f"_first_{c}") for c in columns])
     ring = Window.orderBy("_bucket")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follow = firsts.select("_bucket", *[F.coalesce(F.lead(f"_first_{c}").over(ring), F.first(f"_first_{c}").over(whole)).alias(f"_first_{c}") for c in columns])
-    led = dealt.withColumns({f"next_{c}": F.lead(c).over(line) for c in columns} | {"_last": F.lead("_key").over(line).isNull()})
+    led = derive(dealt.repartition("_bucket"))
+    kept = [c for c in led.columns if c not in ("_key", "_bucket")]
+    led = led.withColumns({f"next_{c}": F.lead(c).over(line) for c in columns} | {"_last": F.lead("_key").over(line).isNull()})
     joined = led.join(follow, "_bucket")
-    return joined.select(*docs.columns, *[F.when(F.col("_last"), F.col(f"_first_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns])
+    return joined.select(*kept, *[F.when(F.col("_last"), F.col(f"_first_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in columns])
 
 
-def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, window: int = WINDOW) -> DataFrame:
+def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = CHARS, window: int = SPAN) -> DataFrame:
     """(doc_id, n_chars, edited, selected, edited_selected, next_selected) of all rows.
 
     The edited text has its last floor(n_chars / 4) code points replaced by as many first ones of the next
@@ -87,9 +120,8 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     next. Other columns are dropped.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = winnowed(slim, "text", "selected", k, window)
-    both = with_next(own, "doc_id", ["text", "selected"], ["text"])
+    both = with_next(slim, "doc_id", ["text", "selected"], ["text"], lambda df: winnowed_chars(df, "text", "selected", k, window))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = both.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("left(next_text, cast(floor(length(text) / 4) as int))")).alias("edited"), "selected", F.col("next_selected"))
-    return winnowed(edited, "edited", "edited_selected", k, window)
+    return winnowed_chars(edited, "edited", "edited_selected", k, window)
