@@ -2,8 +2,8 @@
 
 Every text block of a page has a root-to-leaf tag path. Per path the text length per block and the share of
 punctuation are aggregated, smoothed over the blocks in page order, and multiplied. Paths above
-a threshold are content paths; the deepest element that holds nearly all of their text is the article,
-and all its blocks are kept but those inside menus, forms, adverts, comments and the like.
+a threshold are content paths; the smallest element that holds all of their text and the heading before it is the
+article (or all <article> and <main> elements together, where they hold most text), and all its blocks are kept but those inside menus, forms, adverts, comments and the like.
 """
 
 from __future__ import annotations
@@ -42,21 +42,21 @@ BOILERPLATE_WORDS = {
     "newsletter", "subscribe", "subscription", "signup", "login", "social", "share", "sharing", "related", "recommended", "recommendations", "widget", "widgets",
     "toolbar", "pagination", "pager", "copyright", "skip", "hidden",
 }
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: A new tag of the key closes an open tag of the values, up to the nearest tag in _SCOPE.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "a": {"a"}}
 _SCOPE = {"ul", "ol", "dl", "table", "select", "body", "html", "article", "main", "section", "div", "td", "th"}
 
 
 class _Node:
-    __slots__ = ("boiler", "chars", "depth", "in_article", "parent", "path", "tag")
+    __slots__ = ("boiler", "holds", "in_article", "parent", "path", "tag")
 
     def __init__(self, tag: str, parent: _Node | None, boiler: bool) -> None:
         self.tag, self.parent = tag, parent
         self.boiler = boiler or (parent is not None and parent.boiler)
-        self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
-        self.chars = 0.0
+        self.holds = 0
 
 
 def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -189,11 +189,12 @@ def path_scores(blocks: list[tuple[_Node, str, float]]) -> dict[str, float]:
     return {p: s / n for p, (s, n) in sums.items()}
 
 
-def main_text(page: str | None, *, share: float = 0.9, threshold: float = 0.1) -> str:
+def main_text(page: str | None, *, threshold: float = 0.1) -> str:
     """Main text of a page: blocks joined by newlines; empty for null or when there is none.
 
-    Content paths score at least ``threshold`` of the best path. The article is the deepest element that holds
-    ``share`` of their text. Inside a block white space is one space; character references are decoded.
+    Content paths score at least ``threshold`` of the best path. Where at least half of the text outside links is in
+    <article> and <main> elements, they are the article; else it is the smallest element that holds all blocks on content paths and
+    the last heading before them. Inside a block white space is one space; character references are decoded.
     """
     if not page:
         return ""
@@ -201,30 +202,24 @@ def main_text(page: str | None, *, share: float = 0.9, threshold: float = 0.1) -
     if not blocks:
         return ""
     inside = [b for b in blocks if b[0].in_article]
-    if inside and sum(len(t) for _, t, _ in inside) * 2 >= max((len(t) for _, t, _ in blocks), default=0):
+    unlinked = sum(len(t) * (1 - link) for _, t, link in blocks)
+    whole = bool(inside) and 2 * sum(len(t) * (1 - link) for _, t, link in inside) >= unlinked
+    if whole:
         blocks = inside
     scores = path_scores(blocks)
     best = max(scores.values())
-    total = 0.0
-    for node, text, link in blocks:
-        if scores[node.path] >= threshold * best:
-            weight = len(text) * (1 - link)
-            total += weight
-            up: _Node | None = node
-            while up is not None:
-                up.chars += weight
-                up = up.parent
-    if not total:
+    content = [i for i, (node, _, link) in enumerate(blocks) if scores[node.path] >= threshold * best and link < 1]
+    if not content:
         return "\n".join(t for _, t, _ in blocks)
-    article, seen = None, set()
-    for node, _, _ in blocks:
-        up = node
-        while up is not None and id(up) not in seen:
-            seen.add(id(up))
-            if up.chars >= share * total and (article is None or up.depth > article.depth):
-                article = up
+    heading = next((i for i in range(content[0], -1, -1) if blocks[i][0].tag in HEADINGS), content[0])
+    covered = [blocks[i][0] for i in {heading, *content}]
+    for node in covered:
+        up: _Node | None = node
+        while up is not None:
+            up.holds += 1
             up = up.parent
-    while article.parent is not None and article.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "dd", "dt", "blockquote", "pre", "ul", "ol", "tr", "tbody", "table", "figure", "header"):
+    article = covered[0]
+    while article.parent is not None and (whole or article.holds < len(covered) or article.tag in ("p", *HEADINGS, "li", "td", "th", "dd", "dt", "blockquote", "pre", "ul", "ol", "tr", "tbody", "table", "figure", "header")):
         article = article.parent
     kept = []
     for node, text, link in blocks:
