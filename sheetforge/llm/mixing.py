@@ -7,8 +7,6 @@ document id, so it needs no state: any task, at any time, draws the same count f
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +42,17 @@ def source_rates(docs: DataFrame, weights: dict[str, float], *, source_col: str,
     )
 
 
-def poisson_count(u: Column, rate: Column, most: int) -> Column:
+#: Largest mean that one draw inverts: exp(-rate) and the tail stay well inside doubles.
+MOST_RATE = 600
+
+
+def poisson_count(u: Column, rate: Column, most: int | Column) -> Column:
     """Smallest k whose Poisson(rate) distribution function exceeds u, for k up to ``most``.
 
     A rate of 0 gives 0. ``most`` must lie far in the tail of the largest rate.
     """
     step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(most)),
+        F.sequence(F.lit(1), F.lit(most) if isinstance(most, int) else most),
         F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k")),
         lambda a, i: F.struct(
             (a["p"] * rate / i).alias("p"),
@@ -62,6 +64,21 @@ def poisson_count(u: Column, rate: Column, most: int) -> Column:
     return step
 
 
+def repetitions(known: Column, rate: Column, seed: int) -> Column:
+    """Poisson count of mean ``rate``, drawn by seed and id.
+
+    A rate above MOST_RATE is the sum of m draws of mean rate / m, each at a uniform of its own; the sum of
+    Poisson counts is Poisson with the whole rate.
+    """
+
+    def draw(u: Column, mean: Column) -> Column:
+        return poisson_count(u, mean, F.ceil(mean + 12 * F.sqrt(mean) + 24).cast("int"))
+
+    m = F.ceil(rate / MOST_RATE).cast("int")
+    sum_ = F.aggregate(F.sequence(F.lit(1), m), F.lit(0), lambda total, i: total + draw(unit_hash(hex_key(F.lit(seed), known, F.lit("part"), i)), rate / m))
+    return F.when(rate > MOST_RATE, sum_).otherwise(draw(unit_hash(hex_key(F.lit(seed), known)), rate))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -79,22 +96,18 @@ def mix_sources(
     The size of a row is ``size`` (default 1: shares of documents). mix_key is a 128-bit hash of
     seed, id and copy; the result is range-partitioned and sorted by it, which is the global shuffle.
     Rows with equal ids (repeated rows, null ids) draw the same count; a null source is a source
-    of its own; an empty table gives an empty result. Columns of ``docs`` called copy or mix_key
+    of its own; a rate of any size is drawn; an empty table gives an empty result. Columns of ``docs`` called copy or mix_key
     are replaced.
     """
     carried = [c for c in docs.columns if c not in ("copy", "mix_key")]
     weights = weights or DEFAULT_WEIGHTS
     rates = source_rates(docs, weights, source_col=source_col, size=F.lit(1) if size is None else size, total=total, temper=temper)
-    top = rates.agg(F.max("_rate")).first()[0] or 0.0
-    if top > 600:
-        raise ValueError(f"a source would be repeated {top:.0f} times on average; lower its weight or the total")
-    most = math.ceil(top + 12 * math.sqrt(top) + 24)
     known = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     drawn = (
         docs.select(*carried)
         # one row per source: small, but checked by Spark's own size estimate rather than forced
         .join(rates, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-        .withColumn("_n", poisson_count(unit_hash(hex_key(F.lit(seed), known)), F.coalesce("_rate", F.lit(0.0)), most))
+        .withColumn("_n", repetitions(known, F.coalesce("_rate", F.lit(0.0)), seed))
         .where("_n > 0")
         .select(*carried, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
         .withColumn("mix_key", hex_key(F.lit(seed), known, F.col("copy")))
