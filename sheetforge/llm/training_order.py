@@ -16,11 +16,12 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetforge.llm.common import mix64, shared_dir, stored
@@ -68,6 +69,23 @@ def feistel(index: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
+_SPLITS = "spark.sql.files.minPartitionNum"
+
+
+@contextmanager
+def _held_splits(spark: SparkSession, parts: str) -> Iterator[None]:
+    """Within it, files are split for ``parts`` parts at least, not for the cores of live executors."""
+    was = spark.conf.get(_SPLITS, None)
+    spark.conf.set(_SPLITS, parts)
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(_SPLITS)
+        else:
+            spark.conf.set(_SPLITS, was)
+
+
 def materialise(
     docs: DataFrame, *, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text",
     length: int = 512, end_id: int = 50_256, key: int = 2_024, shard_span: int = 40_960, out_dir: str | None = None,
@@ -78,7 +96,8 @@ def materialise(
     record in its shard), n_tokens, tokens_crc32 (both without padding). A record is HEADER and ``length`` uint16 ids, padded
     with ``end_id``. Every text, the empty and null ones too, ends with ``end_id``, so each row has a sequence;
     repeated rows are kept; an empty table has no shard. ``docs`` is read twice and must come the same way both
-    times, as a table read from files does. ``out_dir`` is a folder that all executors share; default: a new one below
+    times. For a table read from files the splits are held for both reads, so executors may come and go; if the rows of a
+    task differ all the same, the job fails. ``out_dir`` is a folder that all executors share; default: a new one below
     spark.checkpoint.dir.
 
     A text has at most as many tokens as bytes, so it gets numbers for that many sequences without being encoded; those that
@@ -94,16 +113,21 @@ def materialise(
     most = F.ceil((F.octet_length(text) + 1) / F.lit(float(length))).cast("long")
     # rows are numbered within their task, whose number is the upper bits
     numbered = docs.select(F.col(id_col).alias("doc"), row.alias("row"), F.shiftrightunsigned(row, 33).alias("part"), text.alias("text"))
-    sums = stored(docs.select(F.shiftrightunsigned(row, 33).alias("part"), most.alias("n")).groupBy("part").agg(F.sum("n").alias("n")), "numbers")
+    parts = next(filter(None, (spark.conf.get(c, None) for c in (_SPLITS, "spark.sql.leafNodeDefaultParallelism"))), str(spark.sparkContext.defaultParallelism))
+    with _held_splits(spark, parts):
+        sums = stored(docs.select(F.shiftrightunsigned(row, 33).alias("part"), most.alias("n")).groupBy("part").agg(F.sum("n").alias("n")), "numbers")
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("part", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"))
+    before = sums.select("part", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("base"), F.col("n").alias("whole"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, done = encoding_for(tokenizer), 0
-        for whole in batches:
-            for start in range(0, len(whole), 64):
-                batch = whole.slice(start, 64)
+        encoding, done, want = encoding_for(tokenizer), 0, 0
+        for table in batches:
+            for start in range(0, len(table), 64):
+                batch = table.slice(start, 64)
+                if batch[3].null_count:
+                    raise RuntimeError("rows of a task that was not there when they were counted; docs came in other splits")
+                want = batch[4][0].as_py()
                 docs_, rows, numbers, records, index = [], [], [], [], []
                 for doc, row, text, base in zip(*(batch[i].to_pylist() for i in range(4)), strict=True):
                     tokens = encode(encoding, text) + stop
@@ -114,11 +138,15 @@ def materialise(
                     index += range(base + done, base + done + n)
                     records += [tokens[2 * length * c : 2 * length * (c + 1)] for c in range(n)]
                     done += -(-(len(text.encode()) + 1) // length)
+                if done > want:
+                    raise RuntimeError(f"more rows in a task than were counted ({done} numbers, {want} counted); docs came in other splits")
                 order = feistel(np.array(index, dtype=np.int64), total, key)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(order // shard_span, pa.int64()), pa.array(order, pa.int64()), pa.array(docs_, batch.schema.field(0).type), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(records, pa.binary())],
                     names=["shard", "place", "doc", "row", "chunk", "tokens"],
                 )
+        if done != want:
+            raise RuntimeError(f"fewer rows in a task than were counted ({done} numbers, {want} counted); docs came in other splits")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -149,12 +177,13 @@ def materialise(
         close()
 
     # one row for each task, so it may be broadcast; the texts stay in their tasks and in their order
-    based = numbered.join(F.broadcast(before), "part").select("doc", "row", "text", "base")
+    based = numbered.join(F.broadcast(before), "part", "left").select("doc", "row", "text", "base", "whole")
     sequences = based.mapInArrow(cut, f"shard long, place long, doc {kind}, row long, chunk int, tokens binary")
     shards = max(1, -(-total // shard_span))
     # a shard goes to one task whole; a task may have several
     placed = sequences.repartition(shards, "shard").sortWithinPartitions("shard", "place").select("shard", "doc", "row", "chunk", "tokens")
-    written = stored(placed.mapInArrow(write, f"doc {kind}, row long, chunk int, shard long, at long, n_tokens int, tokens_crc32 long"), "written")
+    with _held_splits(spark, parts):
+        written = stored(placed.mapInArrow(write, f"doc {kind}, row long, chunk int, shard long, at long, n_tokens int, tokens_crc32 long"), "written")
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = written.groupBy("shard").agg(F.count("*").alias("n"))  # one row for each shard
     firsts = counts.select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("first"))
