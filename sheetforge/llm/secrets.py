@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
-A candidate is a token-like string of at least 16 characters. Its features are length, character transitions,
+A candidate is a token-like string of at least 16 characters, or a value of any length and alphabet that follows a
+secret name or stands as the password of user:password@host. Its features are length, character transitions,
 coverage by dictionary words, the path it stands under and the words around it. The forest is trained
 from labelled findings; ``label_findings`` labels those that a known format or a plain non-secret shape decides, and
 the forest judges the others.
@@ -16,11 +17,21 @@ from pyspark.sql import functions as F
 
 from sheetforge.llm.common import stored
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\.[A-Za-z0-9_-]{16,}){0,2}={0,2}"
+_NAME = r"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
+_TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\.[A-Za-z0-9_-]{16,}){0,2}={0,2}"
+# The short lookbehinds come first; they end the attempt at nearly all places of a text. Lookbehinds need a bound: 8 blanks on each side.
+_NAMED = (
+    r"(?<=[:=>\s\"'])(?<=[:=>]\s{0,8}[\"']?)(?<=(?i:" + _NAME + r")[\"']?\s{0,8}[:=]{1,2}>?\s{0,8}[\"']?)"
+    r"(?:(?<=\")(?:[^\"\\\r\n]|\\.)++(?=\")|(?<=')(?:[^'\\\r\n]|\\.)++(?=')|(?!" + _TOKEN + r"[&,;)\]}<>])(?<![\"'])[^\s\"':=>][^\s\"']*(?<![,;.)\]}])|(?<=[\"'])[^\s\"']+(?<![,;.)\]}]))"
+)
+_LOGIN = r"(?<=:)(?<=[A-Za-z0-9._%+-]:)(?!/)[^\s\"'<>]+(?=@[A-Za-z0-9\[])"
+CANDIDATE = f"{_NAMED}|{_LOGIN}|{_TOKEN}"
 
 # Formats that vendors document for their keys, and key names that announce a secret.
 KNOWN_FORMATS = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}|^sk_live_[A-Za-z0-9]{16,}|^xox[abprs]-[A-Za-z0-9-]{10,}|^AIza[A-Za-z0-9_-]{35}$|^eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+$"
-SECRET_NAMES = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)['\"]?\s*[:=]\s*['\"]?$"
+SECRET_NAMES = r"(?i)(pass(word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)['\"]?\s*[:=]{1,2}>?\s*['\"]?$"
+#: Before the password of user:password@host.
+LOGIN = r"[A-Za-z0-9._%+-]:$"
 SECRET_WORDS = r"(?i)(pass(word|wd|phrase)?|secret|token|key|auth|credential|bearer|login)"
 HARMLESS_WORDS = r"(?i)\b(commit|sha\d*|md5|checksum|digest|hash|uuid|guid|etag|isbn|card|phone|tel|invoice|order|version|revision)\b"
 TEST_PATHS = r"(?i)(test|mock|fixture|example|sample|demo|doc)"
@@ -47,14 +58,18 @@ def _share(text: Column, pattern: str) -> Column:
 def find_candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """(doc, path, place, candidate, before, after): one row per candidate of every whole text.
 
-    before and after are up to 80 characters around it, cut at other candidates. place counts from 0 in
+    before and after are up to 80 characters around it, cut at other candidates, but a name that is one itself and
+    is assigned to this one belongs to before. place counts from 0 in
     text order. Null and empty texts have none; repeated rows have theirs each.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(path_col).alias("path"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"), text.alias("text")).where(F.size("found") > 0)
     around = rows.select("doc", "path", "found", F.transform(F.split("text", CANDIDATE), lambda x: F.struct(F.right(x, F.lit(80)).alias("end"), F.left(x, F.lit(80)).alias("start"))).alias("gaps"))
-    return around.select("doc", "path", "gaps", F.posexplode("found").alias("place", "candidate")).select(
-        "doc", "path", "place", "candidate", F.coalesce(F.get("gaps", F.col("place"))["end"], F.lit("")).alias("before"), F.coalesce(F.get("gaps", F.col("place") + 1)["start"], F.lit("")).alias("after")
+    gap = F.coalesce(F.get("gaps", F.col("place"))["end"], F.lit(""))
+    last = F.get("found", F.col("place") - 1)
+    name = F.when(gap.rlike(r"^['\"]?\s*[:=]{0,2}>?\s*['\"]?$") & F.concat(last, gap).rlike(r"[:=]>?\s*['\"]?$"), last)
+    return around.select("doc", "path", "gaps", "found", F.posexplode("found").alias("place", "candidate")).select(
+        "doc", "path", "place", "candidate", F.right(F.concat(F.coalesce(name, F.lit("")), gap), F.lit(80)).alias("before"), F.coalesce(F.get("gaps", F.col("place") + 1)["start"], F.lit("")).alias("after")
     )
 
 
@@ -74,7 +89,7 @@ def with_features(candidates: DataFrame) -> DataFrame:
         "vowel_share": _share(low, "[aeiou]"),
         "slashes": F.length(c) - F.length(F.replace(c, F.lit("/"))),
         "known_shape": c.rlike(KNOWN_FORMATS),
-        "assigned": F.col("before").rlike(r"[:=]\s*['\"]?$"),
+        "assigned": F.col("before").rlike(r"[:=]>?\s*['\"]?$"),
         "quoted": F.col("before").rlike(r"['\"]$") & F.col("after").rlike(r"^['\"]"),
         "secret_word": near.rlike(SECRET_WORDS),
         "harmless_word": near.rlike(HARMLESS_WORDS),
@@ -86,8 +101,9 @@ def with_features(candidates: DataFrame) -> DataFrame:
 def label_findings(candidates: DataFrame) -> DataFrame:
     """Candidates that a rule decides, with label 1.0 (secret) or 0.0."""
     c = F.col("candidate")
-    yes = c.rlike(KNOWN_FORMATS) | (F.col("before").rlike(SECRET_NAMES) & c.rlike("[0-9]"))
-    no = c.rlike(r"^[A-Za-z]+$|^[0-9]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[A-Za-z_/.-]+$|(.)\1{7}") & ~yes
+    named = F.col("before").rlike(SECRET_NAMES)
+    yes = c.rlike(KNOWN_FORMATS) | (named & c.rlike("[0-9]"))
+    no = c.rlike(r"^[A-Za-z]+$|^[0-9]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[A-Za-z_/.-]+$|(.)\1{7}") & ~yes & ~named
     return candidates.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).where("label is not null")
 
 
@@ -115,7 +131,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, *, id_col: str = "d
     model = train(label_findings(found) if findings is None else findings)
     if model is None:
         sure = F.col("known_shape") == 1.0
-        named = F.col("before").rlike(SECRET_NAMES) & F.col("candidate").rlike("[0-9]")
+        named = (F.col("before").rlike(SECRET_NAMES) & F.col("candidate").rlike("[0-9]")) | (F.col("before").rlike(LOGIN) & F.col("after").startswith("@"))
         scored = found.withColumn("probability", (sure | named).cast("double"))
     else:
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
