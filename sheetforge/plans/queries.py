@@ -255,7 +255,7 @@ def c13_letter_share(blobs: DataFrame) -> DataFrame:
 @query("boxes")
 def c14_text_clusters(boxes: DataFrame) -> DataFrame:
     """Density clusters of text boxes; tested against a plain version."""
-    return layout.text_clusters(boxes.where("pos <= 7"))
+    return layout.text_clusters(boxes)
 
 
 @query("boxes", sql="SELECT drawing_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM boxes GROUP BY 1")
@@ -794,7 +794,14 @@ def w1_index(boxes: DataFrame, rects: DataFrame, pages: DataFrame, part: DataFra
     return out.select("drawing_id", F.size("ocr_vector").alias("width"), F.array_join("surfaces", "|").alias("surfaces"))
 
 
-@query("corpus", "ranked", "drawings")
-def w3_retrieval(corpus: DataFrame, ranked: DataFrame, drawings: DataFrame) -> DataFrame:
-    """Text retrieval with its labelling tasks and precision@k by tag."""
-    return workloads.retrieval_precision(_codes(ranked), ks=(3, 5))
+@query("corpus", "drawings")
+def w3_retrieval(corpus: DataFrame, drawings: DataFrame) -> DataFrame:
+    """Text retrieval, its labelling tasks and precision@k by tag; a hit is right when its label is the prompt's."""
+    nodes = corpus.select("drawing_id", F.col("search_vector").alias("llm_vector"))
+    prompts = corpus.where("drawing_id % 20 = 0").select(F.col("drawing_id").cast("long").alias("prompt_id"), F.col("search_vector").alias("llm_vector"), F.col("label").cast("string").alias("tag"))
+    truth = corpus.select("drawing_id", F.col("label").cast("string").alias("_truth"))
+
+    def judge(tasks: DataFrame) -> DataFrame:
+        return tasks.join(truth, "drawing_id").withColumn("label", F.when(F.col("_truth").eqNullSafe(F.col("tag")), "Both Relevant").otherwise("NOT Relevant"))
+
+    return workloads.text_retrieval(prompts, nodes, drawings.select("drawing_id", "name"), judge, dim=64)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,16 @@ def retrieval_precision(ranked: DataFrame, ks: tuple[int, ...] = (3, 5)) -> Data
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select("k", "tag", F.round("precision", 6).alias("precision"), "n")
+
+
+def text_retrieval(prompts: DataFrame, nodes: DataFrame, documents: DataFrame, judge: Callable[[DataFrame], DataFrame], *, dim: int, k: int = 10, labelled: int = 5, ks: tuple[int, ...] = (3, 5)) -> DataFrame:
+    """(k, tag, precision, n) of the nearest ``k`` nodes of each prompt, the first ``labelled`` of which are judged.
+
+    ``prompts`` has prompt_id, tag and llm_vector, ``nodes`` drawing_id and llm_vector. ``judge`` adds the label text to the
+    labelling tasks. A prompt without a task counts with precision 0.
+    """
+    hits = stored(search.text_search(prompts.withColumnRenamed("prompt_id", "query_id"), nodes, k, dim=dim), "hits")
+    asked = prompts.select("prompt_id", "tag")
+    judged = judge(evaluate.labelling_tasks(asked, hits, documents, labelled))
+    codes = evaluate.relevance_codes(judged).select("prompt_id", "rank", "relevance")
+    return retrieval_precision(asked.join(codes, "prompt_id", "left"), ks)
