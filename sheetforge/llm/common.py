@@ -2,44 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetforge.scratch import dropped, shared_dir, stored  # noqa: F401
 from sheetforge.shipping import ship
 
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (single-machine tests) is a folder of our own made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="sheetforge-")
-    return _fallback[app]
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back.
-
-    This cuts the lineage: what follows survives the loss of executors without computing ``df`` anew,
-    and several readers share one computation.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sheetforge/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only, as the word definitions of the near-duplicate operators ask."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -52,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer form of it that no column of ``df`` has."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name = "_" + name
+    return name
+
+
 def hex_key(*parts: Column) -> Column:
     """128-bit key of the parts as hex text; the same in every engine that has md5."""
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
@@ -62,6 +39,20 @@ def unit_hash(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def with_extremes(df: DataFrame, keys: list[str], spread: str, values: dict[str, tuple]) -> DataFrame:
+    """``df`` with aggregates (minima or maxima, by name) over ``keys``; rows of one key never gather in one task.
+
+    Rows are dealt by keys and a salt of ``spread``. Aggregates of the salts are merged for each key, go back to the salts that
+    the key has, and are joined there.
+    """
+    tasks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(tasks)))
+    some = dealt.groupBy(*keys, "_salt").agg(*[f(v).alias(k) for k, (f, v) in values.items()])
+    whole = some.groupBy(*keys).agg(*[f(k).alias(k) for k, (f, _) in values.items()], F.collect_list("_salt").alias("_salt"))
+    back = whole.select(*keys, *values, F.explode("_salt").alias("_salt"))
+    return dealt.join(back, [*keys, "_salt"], "left").drop("_salt")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of an undirected graph.
 
@@ -69,29 +60,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     another one. Alternates large-star and small-star steps until no edge changes; each round
     is a table in the shared folder, so nothing of the graph passes through the driver except two numbers.
     """
-    spark = edges.sparkSession
     slim = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     current = stored(slim, "edges")
     digest = None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (
-            both.join(least, "u")
+            with_extremes(both, ["u"], "v", {"m": (F.min, "v")})
             .where("v > u")
             .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
             .where("u <> v")
             .distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u")
+            with_extremes(large, ["u"], "v", {"m": (F.min, "v")})
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")
             .distinct()
         )
-        current = stored(small, "edges")
+        before, current = current, stored(small, "edges")
+        dropped(before)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == digest:
             break

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetforge.llm.common import hex_key, unit_hash
+from sheetforge.llm.common import hex_key, stored, unit_hash, unused
 
 #: Share of the mixed corpus by source. Sources that aren't listed share the weight of "*" in proportion
 #: to the square root of their size.
@@ -18,27 +18,29 @@ DEFAULT_WEIGHTS = {"*": 1.0}
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float], *, source_col: str, size: Column, total: float | None = None, temper: float = 0.5) -> DataFrame:
-    """(source, rate): mean number of repetitions that brings each source to its target share.
+    """(_source, _rate): mean number of repetitions that brings each source to its target share.
 
     rate = share * total / size of the source; ``total`` (default: the size of the corpus) is the size
-    of the mixed corpus. One row per source; the sizes are summed over all documents.
+    of the mixed corpus. One row per source; the sizes are summed over all documents. Weights of listed sources that
+    have no document, and of "*" where all sources are listed, go to the others in proportion.
     """
     spark = docs.sparkSession
     sizes = docs.groupBy(F.col(source_col).alias("_source")).agg(F.sum(size).cast("double").alias("_size"))
     listed = {k: v for k, v in weights.items() if k != "*"}
-    scale = sum(weights.values())
     if listed:
-        wanted = spark.createDataFrame([(k, float(v) / scale) for k, v in listed.items()], "_s string, _w double")
+        wanted = spark.createDataFrame([(k, float(v)) for k, v in listed.items()], "_s string, _w double")
         sizes = sizes.join(F.broadcast(wanted), F.col("_source") == F.col("_s"), "left").drop("_s")
     else:
         sizes = sizes.withColumn("_w", F.lit(None).cast("double"))
-    free = F.when(F.col("_w").isNull(), F.pow("_size", F.lit(temper))).otherwise(F.lit(0.0))
-    sums = sizes.agg(F.sum("_size").alias("_all"), F.sum(free).alias("_free"))
-    rest = float(weights.get("*", 0.0)) / scale
-    share = F.coalesce(F.col("_w"), F.lit(rest) * free / F.col("_free"))
+    has = F.col("_size") > 0
+    free = F.when(F.col("_w").isNull() & has, F.pow("_size", F.lit(temper))).otherwise(F.lit(0.0))
+    rest = F.lit(float(weights.get("*", 0.0)))
+    sums = sizes.agg(F.sum("_size").alias("_all"), F.sum(free).alias("_free"), F.sum(F.when(has, F.coalesce("_w", F.lit(0.0))).otherwise(F.lit(0.0))).alias("_held"))
+    scale = F.col("_held") + F.when(F.col("_free") > 0, rest).otherwise(F.lit(0.0))
+    share = F.coalesce(F.col("_w"), rest * free / F.nullif(F.col("_free"), F.lit(0.0))) / F.nullif(scale, F.lit(0.0))
     whole = F.col("_all") if total is None else F.lit(float(total))
     return sizes.crossJoin(F.broadcast(sums)).select(  # one row of sums
-        "_source", F.when(F.col("_size") > 0, share * whole / F.col("_size")).otherwise(F.lit(0.0)).alias("_rate")
+        "_source", F.when(has, F.coalesce(share, F.lit(0.0)) * whole / F.col("_size")).otherwise(F.lit(0.0)).alias("_rate")
     )
 
 
@@ -79,6 +81,10 @@ def repetitions(known: Column, rate: Column, seed: int) -> Column:
     return F.when(rate > MOST_RATE, sum_).otherwise(draw(unit_hash(hex_key(F.lit(seed), known)), rate))
 
 
+#: Rate tables of up to so many sources go to every task; larger ones are joined by shuffling.
+MOST_SOURCES = 200_000
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
@@ -94,24 +100,31 @@ def mix_sources(
     """``docs`` with each row repeated by its Poisson count, plus copy (0, 1, ...) and mix_key.
 
     The size of a row is ``size`` (default 1: shares of documents). mix_key is a 128-bit hash of
-    seed, id and copy; the result is range-partitioned and sorted by it, which is the global shuffle.
+    seed, id and copy; partition p has the p-th range of it and is sorted by it, which is the global shuffle. The key is uniform, so
+    the ranges follow from its first digits, without sampling.
     Rows with equal ids (repeated rows, null ids) draw the same count; a null source is a source
     of its own; a rate of any size is drawn; an empty table gives an empty result. Columns of ``docs`` called copy or mix_key
-    are replaced.
+    are replaced; any other names may be used. The rates are one row for each source. They are broadcast up to MOST_SOURCES of them, so
+    that no source, however hot, is gathered; beyond that they are joined, and Spark splits hot sources.
     """
-    carried = [c for c in docs.columns if c not in ("copy", "mix_key")]
+    spark = docs.sparkSession
+    carried = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
     weights = weights or DEFAULT_WEIGHTS
-    rates = source_rates(docs, weights, source_col=source_col, size=F.lit(1) if size is None else size, total=total, temper=temper)
+    rates = stored(source_rates(docs, weights, source_col=source_col, size=F.lit(1) if size is None else size, total=total, temper=temper), "rates")
+    source, rate = unused(docs, "source_of_rate"), unused(docs, "rate")
+    rates = rates.toDF(source, rate)
+    if rates.count() <= MOST_SOURCES:
+        rates = F.broadcast(rates)
     known = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     drawn = (
         docs.select(*carried)
-        # one row per source: small, but checked by Spark's own size estimate rather than forced
-        .join(rates, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-        .withColumn("_n", repetitions(known, F.coalesce("_rate", F.lit(0.0)), seed))
-        .where("_n > 0")
-        .select(*carried, F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("copy"))
+        .join(rates, F.col(source_col).eqNullSafe(F.col(source)), "left")
+        # the count stands in one place only, so each row is drawn once
+        .select(*carried, F.posexplode(F.array_repeat(F.lit(True), repetitions(known, F.coalesce(F.col(rate), F.lit(0.0)), seed))).alias("copy", "mix_key"))
         .withColumn("mix_key", hex_key(F.lit(seed), known, F.col("copy")))
     )
     if not shuffled:
         return drawn
-    return drawn.repartitionByRange("mix_key").sortWithinPartitions("mix_key")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    place = F.floor(unit_hash(F.col("mix_key")) * parts).cast("int")
+    return drawn.repartitionById(parts, place).sortWithinPartitions("mix_key")
