@@ -9,10 +9,13 @@ The result is the linked components, exact, without listing all pairs of a group
    (prefix filter), so each such shingle that several sets have is a block, and no link is outside all blocks.
 3. *Hubs.* Each member of a block is tested against the block's smallest member; the links found give first
    components. Pairs inside one component need no further test.
-4. *Signature trees.* A block that still joins several components becomes a tree: leaves hold up to FAN members
-   sorted by size, inner nodes the OR of their token bitmaps, their size range and collision slack. A dual traversal from the root
-   down drops node pairs whose maximum possible overlap is below what the smallest sizes would need; at the
-   leaves the same bound drops single pairs. Surviving pairs are verified on the full sets.
+4. *Signature trees.* Every block that still joins several components becomes a tree: leaves hold up to FAN members
+   of like size and component, inner nodes the OR of their token bitmaps, their size range and collision slack. A dual traversal from the root
+   down drops node pairs whose maximum possible overlap is below what the smallest sizes would need, and those inside one component; at the
+   leaves sizes and then the members' own bitmaps drop single pairs. Surviving pairs are verified on the full sets.
+
+No key gathers rows: minima over hot keys are taken in two steps (``with_extremes``), hubs with many pairs are dealt to
+several tasks, and large blocks are numbered in chunks.
 
 Bounds never drop a link: common shingles set common bits, and shingles that fall on an occupied
 bit are counted as slack.
@@ -28,12 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheetforge.llm.common import connected_components, mix64, shingle_hashes, stored
+from sheetforge.llm.common import connected_components, dropped, mix64, shingle_hashes, stored, unused, with_extremes
 
 SKETCH_BITS = 18
 SLICES = 64
-LEAST_WIDTH = 2048  # bits of a bitmap, and of all inner nodes
-FAN = 64
+LEAST_WIDTH = 2048  # bits of a bitmap, and of all nodes
+FAN = 16
+CHUNK = 8192  # members of a block that are numbered together
+MOST_IDS = 8_000_000  # ids that a filter of bounded size tells apart well; more are joined
+SALTS = 64
+HOT_LEVEL = 10  # a counter about 1,000 above what is usual
 
 
 # ---------------------------------------------------------------------------------------------
@@ -161,12 +168,15 @@ def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def id_filter(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
-    """Bloom filter (one byte for each bit) of the ids of a one-column table, 16 bits an id and at most ``most_bits``.
+def id_filter(ids: DataFrame) -> np.ndarray | None:
+    """Bloom filter (packed bits) of the ids of a one-column table, 16 bits an id; None for more than MOST_IDS ids.
 
-    Its size is bounded, so it may go through the driver; a fuller filter lets more ids pass and loses none.
+    Its size is bounded, so it may go through the driver; ids that it lets pass wrongly are dealt with by the joins behind it.
     """
-    bits = min(most_bits, max(1 << 16, 1 << (16 * ids.count() - 1).bit_length()))
+    n = ids.count()
+    if n > MOST_IDS:
+        return None
+    bits = max(1 << 16, 1 << (16 * n - 1).bit_length())
     each = bits // SLICES
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,19 +200,67 @@ def id_filter(ids: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
     return np.packbits(out)
 
 
+def _maybe(bits: np.ndarray):
+    """Column function: whether the filter can't rule an id out; false for null."""
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        have = np.unpackbits(bits).astype(bool)
+        one, two = _places(key.to_numpy(), len(have))
+        return pd.Series(have[one] & have[two])
+
+    return lambda column: F.when(column.isNull(), F.lit(False)).otherwise(test(F.coalesce(column, F.lit(0))))
+
+
+def _endpoints(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
+def _met(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the columns of ``table`` (id, ...) for both ends, as <column>_a and <column>_b.
+
+    A hub stands in many pairs. Ids with more pairs than a task should get have their row repeated SALTS times and their pairs dealt
+    over the repetitions.
+    """
+    spark = pairs.sparkSession
+    fair = max(1_000, pairs.count() // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hubs = stored(_endpoints(pairs).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > fair).select("id"), "hot")
+    hot = None if hubs.isEmpty() else id_filter(hubs)
+    values = [c for c in table.columns if c != "id"]
+
+    def salted(df: DataFrame, key: str, salt) -> DataFrame:
+        return df.withColumn("salt", F.lit(0) if hot is None else F.when(_maybe(hot)(F.col(key)), salt).otherwise(F.lit(0)))
+
+    if hot is None:
+        rows = table.withColumn("salt", F.lit(0))
+    else:
+        rows = table.withColumn("salt", F.explode(F.when(_maybe(hot)(F.col("id")), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    out = pairs.select("a", "b")
+    for key, other in (("a", "b"), ("b", "a")):
+        side = rows.select(F.col("id").alias(key), "salt", *[F.col(c).alias(f"{c}_{key}") for c in values])
+        out = salted(out, key, F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(side, [key, "salt"]).drop("salt")
+    return out
+
+
 def verified(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts' shingle sets have the similarity.
 
-    The texts are scanned in place and only sets of wanted ids, by a filter of bounded size, leave the scan.
+    The texts are scanned in place and only sets of wanted ids, by a filter of bounded size, leave the scan. Where more ids are wanted than
+    a filter holds, the texts are joined with them instead.
     """
-    wanted = id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = _endpoints(pairs).distinct()
+    wanted = id_filter(ids)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if wanted is None:
+        texts = texts.join(ids, "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.unpackbits(wanted).astype(bool)
+        have = None if wanted is None else np.unpackbits(wanted).astype(bool)
         for batch in batches:
-            ids = batch[0].cast(pa.int64())
-            one, two = _places(ids.fill_null(0).to_numpy(), len(have))
-            few = pa.RecordBatch.from_arrays([ids, batch[1]], names=["id", "text"]).filter(pa.array(have[one] & have[two]))
+            few = batch
+            if have is not None:
+                one, two = _places(batch[0].fill_null(0).to_numpy(), len(have))
+                few = batch.filter(pa.array(have[one] & have[two]))
             for start in range(0, len(few), 256):
                 part = few.slice(start, 256)
                 found = [np.unique(shingle_hashes(t, k)).tobytes() for t in part[1].to_pylist()]
@@ -217,21 +275,8 @@ def verified(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch[0], batch[1]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = stored(docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(sets, "id long, shingles binary"), "sets")
-    left, right = found.select(F.col("id").alias("a"), F.col("shingles").alias("x")), found.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
-
-
-def _maybe(bits: np.ndarray):
-    """Column function: whether the filter can't rule an id out; false for null."""
-
-    @F.pandas_udf("boolean")
-    def test(key: pd.Series) -> pd.Series:
-        have = np.unpackbits(bits).astype(bool)
-        one, two = _places(key.to_numpy(), len(have))
-        return pd.Series(have[one] & have[two])
-
-    return lambda column: F.when(column.isNull(), F.lit(False)).otherwise(test(F.coalesce(column, F.lit(0))))
+    found = stored(texts.mapInArrow(sets, "id long, shingles binary"), "sets")
+    return _met(pairs, found).select("a", "b", "shingles_a", "shingles_b").mapInArrow(test, "a long, b long")
 
 
 def _pruned(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -242,37 +287,41 @@ def _pruned(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
             keep = [could_link(n, x, m, y, percent) for n, x, m, y in zip(*(batch[i].to_pylist() for i in range(2, 6)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch[0], batch[1]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    wanted = _maybe(id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-    slim = marks.select("doc", "n", "bits").where(wanted(F.col("doc")))
-    left = slim.select(F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    right = slim.select(F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(test, "a long, b long")
+    wanted = id_filter(_endpoints(pairs).distinct())
+    slim = marks.where("n > 0").select(F.col("doc").alias("id"), "n", "bits")
+    if wanted is not None:
+        slim = slim.where(_maybe(wanted)(F.col("id")))
+    return _met(pairs, slim).select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(test, "a long, b long")
 
 
 # ---------------------------------------------------------------------------------------------
 # Signature trees
 
-_NODE = "block long, node long, low long, high long, slack long, bits binary"
+_NODE = "block long, node long, low long, high long, slack long, one long, bits binary"
+
 
+def _leaf_nodes(members: DataFrame) -> DataFrame:
+    """Node of each leaf: size range, slack, the component if it is a single one, and OR of the members' bitmaps at LEAST_WIDTH.
 
-def _leaf_nodes(leaves: DataFrame) -> DataFrame:
-    """Node of each leaf: size range, slack and OR of the members' bitmaps at LEAST_WIDTH."""
+    ``members`` has (block, node, n, component, bits). A leaf has few members, so they travel as one list.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for members in batch[2].to_pylist():
-                either, slack, sizes = 0, 0, []
-                for m in members:
-                    bits = folded(int.from_bytes(m["bits"], "little"), 8 * len(m["bits"]), LEAST_WIDTH)
-                    either |= bits
-                    slack = max(slack, m["n"] - bits.bit_count())
-                    sizes.append(m["n"])
-                out.append((min(sizes), max(sizes), slack, either.to_bytes(LEAST_WIDTH // 8, "little")))
-            low, high, slack, bits = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(slack, pa.int64()), pa.array(bits, pa.binary())], names=["block", "node", "low", "high", "slack", "bits"])
+            either, slack = [], []
+            for sizes, maps in zip(batch[5].to_pylist(), batch[6].to_pylist(), strict=True):
+                x, most = 0, 0
+                for n, raw in zip(sizes, maps, strict=True):
+                    bits = folded(int.from_bytes(raw, "little"), 8 * len(raw), LEAST_WIDTH)
+                    x |= bits
+                    most = max(most, n - bits.bit_count())
+                either.append(x.to_bytes(LEAST_WIDTH // 8, "little"))
+                slack.append(most)
+            yield pa.RecordBatch.from_arrays([*(batch[i] for i in range(4)), pa.array(slack, pa.int64()), batch[4], pa.array(either, pa.binary())], names=["block", "node", "low", "high", "slack", "one", "bits"])
 
-    return leaves.select("block", "node", "members").mapInArrow(build, _NODE)
+    single = F.when(F.min("component") == F.max("component"), F.min("component"))
+    rows = members.groupBy("block", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), single.alias("one"), F.collect_list(F.struct("n", "bits")).alias("m"))
+    return rows.select("block", "node", "low", "high", "one", F.col("m.n").alias("sizes"), F.col("m.bits").alias("maps")).mapInArrow(build, _NODE)
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
@@ -281,126 +330,104 @@ def _parents(nodes: DataFrame) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             either = []
-            for maps in batch[5].to_pylist():
+            for maps in batch[6].to_pylist():
                 x = 0
                 for bits in maps:
                     x |= int.from_bytes(bits, "little")
                 either.append(x.to_bytes(LEAST_WIDTH // 8, "little"))
-            yield pa.RecordBatch.from_arrays([*(batch[i] for i in range(5)), pa.array(either, pa.binary())], names=["block", "node", "low", "high", "slack", "bits"])
+            yield pa.RecordBatch.from_arrays([*(batch[i] for i in range(6)), pa.array(either, pa.binary())], names=["block", "node", "low", "high", "slack", "one", "bits"])
 
-    up = nodes.groupBy("block", F.expr(f"node div {FAN}").alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), F.collect_list("bits").alias("bits"))
+    single = F.when((F.min("one") == F.max("one")) & (F.count("one") == F.count("*")), F.min("one"))
+    up = nodes.groupBy("block", F.expr(f"node div {FAN}").alias("node")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("slack").alias("slack"), single.alias("one"), F.collect_list("bits").alias("bits"))
     return up.mapInArrow(build, _NODE)
 
 
 def _node_pairs(pairs: DataFrame, percent: int) -> DataFrame:
-    """(block, node_a, node_b) of node pairs whose maximum possible overlap suffices for their smallest members."""
+    """(block, node_a, node_b) of node pairs of several components whose maximum possible overlap suffices for their smallest members."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for low_a, high_a, slack_a, bits_a, low_b, high_b, slack_b, bits_b in zip(*(batch[i].to_pylist() for i in range(3, 11)), strict=True):
-                near = 100 * high_a >= percent * low_b and 100 * high_b >= percent * low_a
-                most = (int.from_bytes(bits_a, "little") & int.from_bytes(bits_b, "little")).bit_count() + min(slack_a, slack_b)
-                keep.append(near and most >= needed(low_a, low_b, percent))
+            for low_a, high_a, slack_a, one_a, bits_a, low_b, high_b, slack_b, one_b, bits_b in zip(*(batch[i].to_pylist() for i in range(3, 13)), strict=True):
+                near = 100 * high_a >= percent * low_b and 100 * high_b >= percent * low_a and not (one_a is not None and one_a == one_b)
+                keep.append(near and (int.from_bytes(bits_a, "little") & int.from_bytes(bits_b, "little")).bit_count() + min(slack_a, slack_b) >= needed(low_a, low_b, percent))
             yield pa.RecordBatch.from_arrays([batch[0], batch[1], batch[2]], names=["block", "node_a", "node_b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(test, "block long, node_a long, node_b long")
 
 
 def _leaf_pairs(percent: int):
-    """Task function (same, x, y lists of members) -> pairs (a, b) of different components that the bitmaps allow."""
-
-    def unpacked(members: list[dict]) -> list[tuple[int, int, int, int, int]]:
-        rows = [(m["n"], m["doc"], m["component"], 8 * len(m["bits"]), int.from_bytes(m["bits"], "little")) for m in members]
-        return sorted(rows)
+    """Task function (same, x, y lists of members) -> pairs (a, b) of different components and fitting sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # pairs judged already; a pair can stand in many blocks
+        seen: set[tuple[int, int]] = set()  # pairs listed already; a pair can stand in many blocks. It only spares repeats, so it may be emptied
         for batch in batches:
             found: list[tuple[int, int]] = []
             for same, left, right in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
-                a = unpacked(left)
-                b = a if same else unpacked(right)
-                for i, (n, doc, component, width, bits) in enumerate(a):
-                    for m, other, theirs, wide, map_b in b[i + 1 :] if same else b:
+                a = sorted((m["n"], m["doc"], m["component"]) for m in left)
+                b = a if same else sorted((m["n"], m["doc"], m["component"]) for m in right)
+                for i, (n, doc, component) in enumerate(a):
+                    for m, other, theirs in a[i + 1 :] if same else b:
                         if 100 * n < percent * m:
                             break  # sizes rise
                         if component == theirs or 100 * m < percent * n:
                             continue
                         pair = (doc, other) if doc < other else (other, doc)
-                        if pair in seen:
-                            continue
-                        seen.add(pair)
-                        x, y = bits, map_b
-                        if width != wide:
-                            x, y = folded(x, width, min(width, wide)), folded(y, wide, min(width, wide))
-                        if (x & y).bit_count() + min(n - x.bit_count(), m - y.bit_count()) >= needed(n, m, percent):
-                            found.append(pair)
-            if len(seen) > 2_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-    return run
-
-
-def leaf_candidates(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components and fitting sizes in blocks of one leaf (at most FAN members).
-
-    Such a block needs no tree above it. Many of them hold the same pairs, so bitmaps are joined to the distinct
-    pairs later rather than carried by every member. ``members`` has (block, doc, component, n).
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # only spares repeats, so it may be emptied
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            for rows in batch[0].to_pylist():
-                a = sorted((m["n"], m["doc"], m["component"]) for m in rows)
-                for i, (n, doc, component) in enumerate(a):
-                    for m, other, theirs in a[i + 1 :]:
-                        if 100 * n < percent * m:
-                            break  # sizes rise
-                        pair = (doc, other) if doc < other else (other, doc)
-                        if component != theirs and pair not in seen:
+                        if pair not in seen:
                             seen.add(pair)
                             found.append(pair)
             if len(seen) > 2_000_000:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    leaves = members.groupBy("block").agg(F.collect_list(F.struct("doc", "component", "n")).alias("x"))
-    return leaves.select("x").mapInArrow(run, "a long, b long").distinct()
+    return run
 
 
-def tree_candidates(members: DataFrame, percent: int) -> DataFrame:
+def tree_candidates(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one block and of different components that the trees can't rule out.
 
-    ``members`` has (block, doc, component, n, bits). Blocks of any size are cut into leaves, so no task holds a block.
+    ``members`` has (block, m, doc, component, n), m being the block's size; ``marks`` (doc, n, bits). Members are cut into leaves in the order of size
+    band, component and size; of a block of more than CHUNK members each chunk, dealt by hash, is numbered by itself, so no task holds a block.
+    A tree of one leaf has no node above it, and only members of larger trees bring their bitmaps; the bitmaps of single members are
+    set against each other once for each pair, whatever the number of its blocks (``_pruned``).
     """
-    placed = members.withColumn("node", F.expr(f"(row_number() over (partition by block order by n, component, doc) - 1) div {FAN}"))
-    leaves = stored(placed.groupBy("block", "node").agg(F.collect_list(F.struct("doc", "component", "n", "bits")).alias("members")), "leaves")
-    top = leaves.agg(F.max("node")).first()[0] or 0
-    levels = [stored(_leaf_nodes(leaves), "nodes")]
-    while top >= FAN:
-        levels.append(stored(_parents(levels[-1]), "nodes"))
-        top //= FAN
-    # the top level has up to FAN nodes of a block, all under one root
-    pairs = levels[-1].select("block").distinct().select("block", F.lit(0).cast("long").alias("node_a"), F.lit(0).cast("long").alias("node_b"))
-    for nodes in reversed(levels):
-        low = nodes.withColumn("up", F.expr(f"node div {FAN}"))
-        a = low.select("block", F.col("up").alias("node_a"), F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("low", "high", "slack", "bits")])
-        b = low.select("block", F.col("up").alias("node_b"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("low", "high", "slack", "bits")])
-        down = (
-            pairs.join(a, ["block", "node_a"])
-            .join(b, ["block", "node_b"])
-            .where("a <= b")
-            .select("block", "a", "b", "low_a", "high_a", "slack_a", "bits_a", "low_b", "high_b", "slack_b", "bits_b")
-        )
-        pairs = stored(_node_pairs(down, percent), "pairs")
+    room = 4 * CHUNK // FAN
+    chunk = F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / CHUNK))
+    order = Window.partitionBy("block", "chunk").orderBy(F.floor(F.log(F.col("n").cast("double")) / F.lit(0.2)), "component", "n", "doc")
+    numbered = members.withColumn("chunk", chunk).withColumn("at", F.row_number().over(order) - 1)
+    placed = stored(numbered.select("block", F.expr(f"chunk * {room} + at div {FAN}").alias("node"), F.col("m") > FAN, "doc", "component", "n").toDF("block", "node", "inner", "doc", "component", "n"), "placed")
+    leaves = stored(placed.groupBy("block", "node", "inner").agg(F.collect_list(F.struct("doc", "component", "n")).alias("members")), "leaves")
+    single = leaves.where("not inner").select("block", F.col("node").alias("node_a"), F.col("node").alias("node_b"))
+    larger = placed.where("inner").select("block", "node", "doc", "component")
+    top = larger.agg(F.max("node")).first()[0]
+    made, pairs = [], single
+    if top is not None:
+        bits = marks.where("n > 0").select("doc", "n", "bits")
+        wanted = id_filter(larger.select("doc").distinct())
+        if wanted is not None:
+            bits = bits.where(_maybe(wanted)(F.col("doc")))
+        levels = [stored(_leaf_nodes(larger.join(bits, "doc")), "nodes")]
+        while top >= FAN:
+            levels.append(stored(_parents(levels[-1]), "nodes"))
+            top //= FAN
+        # the top level has up to FAN nodes of a block, all under one root
+        down = levels[-1].select("block").distinct().select("block", F.lit(0).cast("long").alias("node_a"), F.lit(0).cast("long").alias("node_b"))
+        columns = ("low", "high", "slack", "one", "bits")
+        for nodes in reversed(levels):
+            low = nodes.withColumn("up", F.expr(f"node div {FAN}"))
+            a = low.select("block", F.col("up").alias("node_a"), F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
+            b = low.select("block", F.col("up").alias("node_b"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
+            met = down.join(a, ["block", "node_a"]).join(b, ["block", "node_b"]).where("a <= b")
+            down = stored(_node_pairs(met.select("block", "a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns]), percent), "pairs")
+            made.append(down)
+        pairs = single.unionByName(down)
+        made = [*levels, *made[:-1]]
     left = leaves.select("block", F.col("node").alias("node_a"), F.col("members").alias("x"))
     right = leaves.select("block", F.col("node").alias("node_b"), F.col("members").alias("y"))
     met = pairs.join(left, ["block", "node_a"]).join(right, ["block", "node_b"]).select((F.col("node_a") == F.col("node_b")).alias("same"), "x", "y")
-    return met.mapInArrow(_leaf_pairs(percent), "a long, b long").distinct()
+    out = stored(met.mapInArrow(_leaf_pairs(percent), "a long, b long").distinct(), "near")
+    dropped(placed, leaves, *made)
+    return out
 
 
 # ---------------------------------------------------------------------------------------------
@@ -420,19 +447,23 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     source = {"id_col": id_col, "text_col": text_col, "k": k}
     levels = shingle_levels(docs, text_col, k)
     marks = stored(signatures(docs, levels, percent=percent, **source), "signatures")
-    classes = marks.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc").alias("rep"))
-    slim = stored(marks.select("doc", "n", "key_a", "key_b").join(classes, ["key_a", "key_b", "n"], "left").select("doc", "n", "rep"), "classes")
+    slim = stored(with_extremes(marks.select("doc", "n", "key_a", "key_b"), ["key_a", "key_b", "n"], "doc", {"rep": (F.min, "doc")}).select("doc", "n", "rep"), "classes")
 
-    # blocks: shingles in the prefixes of different sets
+    # blocks: shingles in the prefixes of different sets. A shingle whose counter is low has few rows, so they may meet in a window;
+    # those of the other shingles count as shared
     token = Window.partitionBy("token")
+    slot = F.shiftrightunsigned("token", 64 - SKETCH_BITS)
+    often = [i for i, level in enumerate(levels.tolist()) if level >= HOT_LEVEL]
     rows = marks.where("n > 0 and doc is not null").select("doc", "key_a", F.explode("prefix").alias("token"))
-    shared = rows.withColumns({"lo": F.min("key_a").over(token), "hi": F.max("key_a").over(token)}).where("lo <> hi").select("token", "doc")
-    blocks = stored(shared.join(slim.where("rep is not null").select("doc", "rep", "n"), "doc").select("token", "rep", "n").distinct(), "blocks")
+    hot = slot.isin(often) if often else F.lit(False)
+    rare = rows.where(~hot).withColumns({"lo": F.min("key_a").over(token), "hi": F.max("key_a").over(token)}).where("lo <> hi").select("token", "doc")
+    shared = rare.unionByName(rows.where(hot).select("token", "doc")) if often else rare
+    # the smallest document of a class stands for it
+    blocks = stored(shared.join(slim.where("rep = doc").select("doc", "n").distinct(), "doc").select("token", F.col("doc").alias("rep"), "n").distinct(), "blocks")
 
     # hubs
-    hub = F.min(F.struct("rep", "n")).over(token)
     stars = (
-        blocks.withColumn("hub", hub)
+        with_extremes(blocks, ["token"], "rep", {"hub": (F.min, F.struct("rep", "n"))})
         .where((F.col("rep") != F.col("hub.rep")) & (100 * F.col("n") >= percent * F.col("hub.n")) & (100 * F.col("hub.n") >= percent * F.col("n")))
         .select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
         .distinct()
@@ -440,21 +471,22 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     twice = slim.where("rep is not null and doc is not null")
     least = twice.groupBy("doc").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
     same_id = twice.join(least, "doc").where("rep <> lo").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
-    first = verified(stored(_pruned(stored(stars, "hubs"), marks, percent), "stars"), docs, percent=percent, **source)
-    one = stored(connected_components(first.unionByName(same_id)), "components")
+    hubs = stored(stars, "hubs")
+    tested = stored(_pruned(hubs, marks, percent), "stars")
+    one = stored(connected_components(verified(tested, docs, percent=percent, **source).unionByName(same_id)), "components")
 
     # trees over what is left
-    labelled = blocks.join(one.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = stored(labelled.withColumns({"lo": F.min("component").over(token), "hi": F.max("component").over(token)}).where("lo <> hi").drop("lo", "hi"), "mixed")
-    alike = mixed.groupBy("token").agg(F.bit_xor(F.xxhash64("rep")).alias("p"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("q"), F.count("*").alias("m"))
+    labelled = stored(blocks.join(one.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+    alike = (
+        labelled.groupBy("token")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("p"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("q"), F.count("*").alias("m"))
+        .where("lo <> hi")
+    )
     chosen = stored(alike.groupBy("p", "q", "m").agg(F.min("token").alias("token")).select("token", "m"), "chosen")
-
-    def members(which: str) -> DataFrame:
-        return mixed.join(chosen.where(which), "token", "left_semi").select(F.col("token").alias("block"), F.col("rep").alias("doc"), "component", "n")
-
-    near = leaf_candidates(members(f"m <= {FAN}"), percent)
-    near = near.unionByName(tree_candidates(members(f"m > {FAN}").join(marks.select("doc", "bits"), "doc"), percent)).distinct()
-    more = verified(stored(_pruned(stored(near, "near"), marks, percent), "candidates"), docs, percent=percent, **source)
+    members = labelled.join(chosen, "token").select(F.col("token").alias("block"), "m", F.col("rep").alias("doc"), "component", "n")
+    near = tree_candidates(members, marks, percent)
+    left = stored(_pruned(near, marks, percent), "candidates")
+    more = verified(left, docs, percent=percent, **source)
     node = one.withColumnRenamed("component", "root")
     lifted = (
         more.join(node.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left")
@@ -462,7 +494,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     )
     two = stored(connected_components(lifted), "components")
+    dropped(marks, blocks, hubs, tested, labelled, chosen, near, left)
 
+    # the components of documents that are in none stay out of the join keys' way: null keys meet nothing
     return (
         slim.join(one.select(F.col("node").alias("rep"), F.col("component").alias("c1")), "rep", "left")
         .withColumn("c1", F.coalesce("c1", "rep"))
@@ -474,28 +508,34 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose id is in the one-column table ``ids``; null ids stay.
 
-    A filter of bounded size tells most rows apart in place; only rows that it can't clear are joined.
+    A filter of bounded size tells most rows apart in place; only rows that it can't clear are joined. Where there are more ids than it holds,
+    all rows are.
     """
     name = ids.columns[0]
-    listed = stored(ids.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias("_gone")).distinct(), "gone")
-    maybe = _maybe(id_filter(listed))
-    marked = docs.withColumn("_maybe", maybe(F.col(id_col).cast("long")))
-    clear = marked.where("not _maybe").drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe")
-    return clear.unionByName(rest.join(listed, rest[id_col].cast("long") == listed["_gone"], "left_anti"))
+    gone, maybe = unused(docs, "gone"), unused(docs, "maybe")
+    listed = stored(ids.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias(gone)).distinct(), "gone")
+    bits = id_filter(listed)
+    if bits is None:
+        return docs.join(listed, docs[id_col].cast("long") == listed[gone], "left_anti")
+    marked = docs.withColumn(maybe, _maybe(bits)(F.col(id_col).cast("long")))
+    clear = marked.where(~F.col(maybe)).drop(maybe)
+    rest = marked.where(F.col(maybe)).drop(maybe)
+    return clear.unionByName(rest.join(listed, rest[id_col].cast("long") == listed[gone], "left_anti"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id.
 
-    Rows that repeat the kept id are one document; one of the least text is kept. Rows with a null id stay. Columns stay as they are.
+    Rows that repeat the kept id are one document; one of the least text is kept. Rows with a null id stay. Columns stay as they are, whatever
+    their names.
     """
     found = stored(jaccard_components(docs, id_col=id_col, text_col=text_col, k=k, percent=percent), "found")
     losers = found.where("doc <> component").select("doc")
     kept = without_ids(docs, losers, id_col)
-    repeated = stored(found.where("doc = component").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "repeated")
+    twice, rank = unused(docs, "twice"), unused(docs, "rank")
+    repeated = stored(found.where("doc = component").groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc").alias(twice)), "repeated")
     if repeated.isEmpty():
         return kept
     once = without_ids(kept, repeated, id_col)
-    ranked = kept.join(repeated, F.col(id_col).cast("long") == F.col("doc"), "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
-    return once.unionByName(ranked.where("_r = 1").drop("_r"))
+    ranked = kept.join(repeated, kept[id_col].cast("long") == repeated[twice], "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col)))
+    return once.unionByName(ranked.where(F.col(rank) == 1).drop(rank))
