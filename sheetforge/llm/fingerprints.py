@@ -1,70 +1,84 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-Each run of CHARS code points has a hash; of every SPAN neighbouring hashes the least is selected, the rightmost on
+Each run of CHARS code points has a Karp-Rabin hash; of every SPAN neighbouring hashes the least is selected, the rightmost on
 ties, with its position. Two texts that share CHARS + SPAN - 1 code points in a row share a selected hash, whatever their
-script and with or without white space. A text with fewer than SPAN hashes keeps them all. ``winnowed`` does the same
-over white-space separated tokens.
+script and with or without white space. A text with fewer than SPAN hashes keeps them all.
 
-Hash and position are packed into one long: 36 bits of hash above 27 bits of reversed position, so that a
-plain minimum prefers the smaller hash and then the later position. The minimum over a window is built by
-doubling, in a number of array passes that grows with the logarithm of the window.
+The rolling hash of a run is the polynomial of its code points, sum of (code + 1) * BASE^i modulo MODULUS. All runs are hashed at once by doubling: the
+polynomial of 2m code points is that of the first m plus BASE^m times that of the next m, so a run of k code points
+costs log2(k) array passes instead of one row-wise scan, which SQL functions lack. Hash and position are packed into one long: 31 bits of hash
+above 27 bits of reversed position, so that a plain minimum prefers the smaller hash and then the later position. The
+minimum over a window is built by doubling too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, WINDOW = 3, 8  # of tokens
+from sheetforge.llm.common import unused
+
 CHARS, SPAN = 10, 16  # of code points
+BASE, MODULUS = 1_664_525_021, (1 << 31) - 1  # products of two residues fit a long
 _POSITIONS = 1 << 27
 
 
-def winnowed(df: DataFrame, text_col: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
-    """``df`` with ``out``: packed selected hashes of a text in text order, as array of long.
+def rolling_hashes(df: DataFrame, text: Column, out: str, k: int = CHARS) -> DataFrame:
+    """``df`` with ``out``: the hashes of all runs of k code points of a text, in order, as array of long.
 
-    Every text has at least one, the empty one too; null counts as empty. A text of fewer than k
-    tokens has one gram of all of them.
+    A text of fewer than k code points has one, of all of them; the empty one too.
     """
-    tokens = F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\x0b\x0c\r", "     "), " ")
-    df = df.withColumn("_t", tokens)
-    grams = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("_t") - k, F.lit(0))),
-        lambda i: _packed(F.xxhash64(*[F.get("_t", i + j if j else i) for j in range(k)]), i),
-    )
-    df = df.withColumn("_g", grams).withColumn("_n", F.size("_g")).drop("_t")
-    return _window_minima(df, window).withColumn(out, F.array_distinct(F.slice("_g", F.lit(1), F.greatest(F.col("_n") - (window - 1), F.lit(1))))).drop("_g", "_n")
-
-
-def winnowed_chars(df: DataFrame, text_col: str, out: str, k: int = CHARS, window: int = SPAN) -> DataFrame:
+    codes, size = unused(df, "codes"), unused(df, "size")
+    df = df.withColumn(codes, F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long") + 1)).withColumn(size, F.size(codes))
+
+    def joined(first: str, m: int, second: str) -> Column:
+        """Polynomials of the runs that begin with those of ``first``, of m code points, and go on with those of ``second``."""
+        later = F.slice(second, F.lit(m + 1), F.col(size))
+        return F.zip_with(F.col(first), later, lambda x, y: (x + F.coalesce(y, F.lit(0)) * F.lit(pow(BASE, m, MODULUS))) % F.lit(MODULUS))
+
+    runs, steps = {1: codes}, []
+    while 2 * max(runs) <= k:
+        m = max(runs)
+        steps.append(unused(df, f"run{2 * m}"))
+        df = df.withColumn(steps[-1], joined(runs[m], m, runs[m]))
+        runs[2 * m] = steps[-1]
+    have, whole = max(runs), runs[max(runs)]
+    while have < k:
+        more = max(m for m in runs if m <= k - have)
+        steps.append(unused(df, f"run{have + more}"))
+        df = df.withColumn(steps[-1], joined(whole, have, runs[more]))
+        have, whole = have + more, steps[-1]
+    return df.withColumn(out, F.slice(whole, F.lit(1), F.greatest(F.col(size) - (k - 1), F.lit(1)))).drop(codes, size, *steps)
+
+
+def winnowed(df: DataFrame, text_col: str, out: str, k: int = CHARS, window: int = SPAN) -> DataFrame:
     """``df`` with ``out``: packed selected hashes of the runs of k code points of a text, in text order.
 
     Every text has at least one, the empty one too; null counts as empty. A text of fewer than k code points has one gram,
-    itself; one of fewer than ``window`` grams keeps them all.
+    itself; one of fewer than ``window`` grams keeps them all. Very long texts are read in whole, up to 2^27 code points.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # an overlapping match begins at each code point; the second half of a surrogate pair is none
-    runs = F.regexp_extract_all(text, F.lit(rf"(?s)(?![\uDC00-\uDFFF])(?=(.{{{k}}}))"), F.lit(1))
-    df = df.withColumn("_t", F.when(F.length(text) > k, runs).otherwise(F.array(text)))
-    df = df.withColumn("_g", F.transform("_t", lambda x, i: _packed(F.xxhash64(x), i))).drop("_t").withColumn("_n", F.size("_g"))
-    df = df.withColumn("_few", F.when(F.col("_n") < window, F.col("_g")))
-    least = F.array_distinct(F.slice("_g", F.lit(1), F.greatest(F.col("_n") - (window - 1), F.lit(1))))
-    return _window_minima(df, window).withColumn(out, F.coalesce("_few", least)).drop("_g", "_n", "_few")
+    grams, n, few = unused(df, "grams"), unused(df, "n_grams"), unused(df, "few")
+    df = rolling_hashes(df, F.coalesce(F.col(text_col), F.lit("")), grams, k)
+    df = df.withColumn(grams, F.transform(grams, _packed)).withColumn(n, F.size(grams))
+    df = df.withColumn(few, F.when(F.col(n) < window, F.col(grams)))
+    least = F.array_distinct(F.slice(grams, F.lit(1), F.greatest(F.col(n) - (window - 1), F.lit(1))))
+    return _window_minima(df, grams, n, window).withColumn(out, F.coalesce(few, least)).drop(grams, n, few)
 
 
 def _packed(value: Column, position: Column) -> Column:
-    return F.shiftleft(F.shiftrightunsigned(value, 28), 27) + (F.lit(_POSITIONS - 1) - position)
+    return F.shiftleft(value, 27) + (F.lit(_POSITIONS - 1) - position)
 
 
-def _window_minima(df: DataFrame, window: int) -> DataFrame:
-    """``df`` whose _g, an array of _n values, has at each place the least of the ``window`` values from there on."""
+def _window_minima(df: DataFrame, column: str, n: str, window: int) -> DataFrame:
+    """``df`` whose ``column``, an array of ``n`` values, has at each place the least of the ``window`` values from there on."""
     span = 1
     while span < window:
         step = min(span, window - span)
         # least() skips the nulls past the end, where windows are cut off and dropped by the caller
-        df = df.withColumn("_g", F.zip_with(F.col("_g"), F.slice("_g", F.lit(step + 1), F.col("_n")), lambda x, y: F.least(x, y)))
+        df = df.withColumn(column, F.zip_with(F.col(column), F.slice(column, F.lit(step + 1), F.col(n)), lambda x, y: F.least(x, y)))
         span += step
     return df
 
@@ -94,10 +108,14 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], order: list[str]
     """
     spark = docs.sparkSession
     buckets = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = docs.agg(F.percentile_approx(id_col, [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
-    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    dealt = docs.withColumns({"_key": key, "_bucket": F.size(F.filter(edges, lambda b: b <= key))})
+    bounds = docs.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
+    # a binary search among the bounds, however many
+    splits = [float("-inf"), *sorted({float(b) for b in bounds}), float("inf")]
+    dealt = docs.withColumn("_key", key).withColumn("_at", key.cast("double")).withColumn("_bucket", F.lit(0))
+    if len(splits) > 2:
+        dealt = Bucketizer(splits=splits, inputCol="_at", outputCol="_bucket").transform(dealt.drop("_bucket"))
+    dealt = dealt.withColumn("_bucket", F.col("_bucket").cast("int")).drop("_at")
     line = Window.partitionBy("_bucket").orderBy("_key", *order)
     first_key = dealt.groupBy("_bucket").agg(F.min("_key").alias("_key"))
     at_first = dealt.join(F.broadcast(first_key), ["_bucket", "_key"])  # at most `buckets` rows
@@ -117,11 +135,27 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The edited text has its last floor(n_chars / 4) code points replaced by as many first ones of the next
     document (or all of it). Null texts are empty; rows with equal ids follow each other by text; a single row is its own
-    next. Other columns are dropped.
+    next; an empty table gives an empty result. Other columns are dropped, whatever their names.
+
+    What is selected from windows inside the unedited part is the same in both texts, so of an edited text only the windows that
+    reach beyond it are winnowed; the result is that of the whole text.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = with_next(slim, "doc_id", ["text", "selected"], ["text"], lambda df: winnowed_chars(df, "text", "selected", k, window))
-    n = F.length("text")
-    quarter = F.floor(n / 4).cast("int")
-    edited = both.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("left(next_text, cast(floor(length(text) / 4) as int))")).alias("edited"), "selected", F.col("next_selected"))
-    return winnowed_chars(edited, "edited", "edited_selected", k, window)
+    both = with_next(slim, "doc_id", ["text", "selected"], ["text"], lambda df: winnowed(df, "text", "selected", k, window))
+    quarter = "cast(floor(length(text) / 4) as int)"
+    edited = F.concat(F.expr(f"left(text, length(text) - {quarter})"), F.expr(f"left(next_text, {quarter})"))
+    # a window is k + window - 1 code points; positions up to `same` are selected by windows of the unedited part alone
+    kept = F.expr(f"length(text) - {quarter}")
+    span = k + window - 1
+    enough = kept >= span + window - 1
+    same = F.when(enough, kept - span).otherwise(F.lit(-1))
+    start = F.when(enough, kept - (span + window - 1)).otherwise(F.lit(0))
+    rows = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "selected", "next_selected", same.alias("same"), start.alias("start"))
+    tail = winnowed(rows.withColumn("tail", F.expr("substring(edited, start + 1)")), "tail", "tail_selected", k, window)
+
+    def at(x: Column) -> Column:
+        return F.lit(_POSITIONS - 1) - x.bitwiseAND(F.lit(_POSITIONS - 1))
+
+    first = F.filter("selected", lambda x: at(x) <= F.col("same"))
+    rest = F.filter(F.transform("tail_selected", lambda x: x - F.col("start")), lambda x: at(x) > F.col("same"))
+    return tail.select("doc_id", "n_chars", "edited", "selected", F.concat(first, rest).alias("edited_selected"), "next_selected")

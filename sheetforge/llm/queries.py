@@ -177,3 +177,56 @@ reach(doc_id, other) AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1) USING (doc_id)
 """
+
+ORACLES["op7_fingerprints"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nt,
+  coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d),
+e AS (SELECT doc_id, t, next_id, left(t, length(t) - length(t) // 4) || left(nt, length(t) // 4) AS edited FROM n),
+texts AS (SELECT doc_id, 0 AS kind, t FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+chars AS (SELECT doc_id, kind, length(t) AS n, unnest(regexp_extract_all(t, '(?s).')) AS ch, unnest(range(0, length(t))) AS i FROM texts WHERE t <> ''
+  UNION ALL SELECT doc_id, kind, 0, NULL, 0 FROM texts WHERE t = ''),
+codes AS (SELECT doc_id, kind, n, i, CASE WHEN ch IS NULL THEN 1 ELSE unicode(ch) + 1 END::HUGEINT AS c FROM chars),
+runs AS (SELECT doc_id, kind, n, i, greatest(n - {fingerprints.CHARS - 1}, 1) AS g,
+  ((c {" ".join(f"+ coalesce(lead(c, {j}) OVER w, 0) * {pow(fingerprints.BASE, j, fingerprints.MODULUS)}" for j in range(1, fingerprints.CHARS))}) % {fingerprints.MODULUS})::BIGINT AS h
+  FROM codes WINDOW w AS (PARTITION BY doc_id, kind ORDER BY i)),
+grams AS (SELECT doc_id, kind, i, g, h * 134217728 + 134217727 - i AS p FROM runs WHERE i < g),
+least_ AS (SELECT doc_id, kind, i, g, p, min(p) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN CURRENT ROW AND {fingerprints.SPAN - 1} FOLLOWING) AS m FROM grams),
+chosen AS (SELECT DISTINCT doc_id, kind, CASE WHEN g < {fingerprints.SPAN} THEN p ELSE m END AS p FROM least_ WHERE g < {fingerprints.SPAN} OR i <= g - {fingerprints.SPAN}),
+prints AS (SELECT doc_id, kind, string_agg(printf('%X@%d', p // 134217728, 134217727 - p % 134217728), ' ' ORDER BY 134217727 - p % 134217728) AS f, list_distinct(list(p // 134217728)) AS hs FROM chosen GROUP BY 1, 2)
+SELECT e.doc_id, length(e.t)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, a.f AS fingerprint, b.f AS edited_fingerprint,
+  2 * len(list_intersect(a.hs, b.hs)) / (len(a.hs) + len(b.hs))::DOUBLE AS near_edited, 2 * len(list_intersect(a.hs, c.hs)) / (len(a.hs) + len(c.hs))::DOUBLE AS near_next
+FROM e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN prints c ON c.doc_id = e.next_id AND c.kind = 0
+"""
+
+
+def _crc_table() -> list[int]:
+    """CRC-32 of each single byte, by the rule of its polynomial."""
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+ORACLES["op9_sharding"] = f"""
+WITH RECURSIVE crc AS (SELECT {_crc_table()}::BIGINT[] AS steps),
+keyed AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, sha256(coalesce(text, '')) AS k,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT), lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS crc
+  FROM documents, crc),
+groups AS (SELECT k, sum(size) AS bytes FROM keyed GROUP BY 1),
+bound AS (SELECT greatest(1, (sum(size) / 24.0 / 512)::DOUBLE) AS b FROM keyed),
+named AS (SELECT k, bytes, CASE WHEN bytes >= floor(b) THEN k ELSE 'b' || (('0x' || k[1:12])::BIGINT % 24576) END AS item FROM groups, bound),
+items AS (SELECT item, bytes, row_number() OVER (ORDER BY bytes DESC, item) AS i FROM (SELECT item, sum(bytes)::BIGINT AS bytes FROM named GROUP BY 1)),
+lpt(i, loads, shard) AS (
+  SELECT 0::BIGINT, list_transform(range(24), lambda x: 0::BIGINT), 0
+  UNION ALL
+  SELECT items.i, list_transform(range(24), lambda x: loads[x + 1] + CASE WHEN x + 1 = list_position(loads, list_min(loads)) THEN bytes ELSE 0 END), list_position(loads, list_min(loads)) - 1
+  FROM lpt JOIN items ON items.i = lpt.i + 1),
+placed AS (SELECT item, shard FROM items JOIN lpt USING (i))
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY item, doc_id, k) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM keyed JOIN named USING (k) JOIN placed USING (item)
+"""

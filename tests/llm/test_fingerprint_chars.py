@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sheetforge.llm import fingerprints
+from sheetforge.llm import fingerprints, queries
 
 
 def test_texts_without_white_space(spark):
@@ -24,23 +24,49 @@ def test_shared_code_points_share_a_hash(spark):
         a, b, shared = ("".join(rng.choice("漢字仮名交文\U00020000bcd ") for _ in range(n)) for n in (rng.randint(0, 90), rng.randint(0, 90), fingerprints.CHARS + fingerprints.SPAN - 1))
         rows.append((i, a + shared + b, b + shared + a))
     df = spark.createDataFrame(rows, "i long, a string, b string")
-    both = fingerprints.winnowed_chars(fingerprints.winnowed_chars(df, "a", "x"), "b", "y")
+    both = fingerprints.winnowed(fingerprints.winnowed(df, "a", "x"), "b", "y")
     assert all(r["n"] > 0 for r in both.select(F.size(F.array_intersect(fingerprints.hashes(F.col("x")), fingerprints.hashes(F.col("y")))).alias("n")).collect())
 
 
+def plain(text, k=fingerprints.CHARS, window=fingerprints.SPAN):
+    """[(position, hash)] by the definition: a hash for each run, the rightmost least of each window."""
+    codes = [ord(c) + 1 for c in text] or [1]
+    runs = [codes[i : i + k] for i in range(max(1, len(codes) - k + 1))]
+    hashes = [sum(c * pow(fingerprints.BASE, j, fingerprints.MODULUS) for j, c in enumerate(run)) % fingerprints.MODULUS for run in runs]
+    if len(hashes) < window:
+        return list(enumerate(hashes))
+    return sorted({(i + max(j for j in range(window) if hashes[i + j] == min(hashes[i : i + window])), min(hashes[i : i + window])) for i in range(len(hashes) - window + 1)})
+
+
 def test_selection_equals_plain_version(spark):
     rng = random.Random(6)
     texts = ["".join(rng.choice("ab\U0001f600\n") for _ in range(n)) for n in (0, 1, 9, 10, 11, 24, 25, 26, 300)]
-    grams = [[t[i : i + 10] for i in range(max(1, len(t) - 9))] for t in texts]
-    every = sorted({g for gs in grams for g in gs})
-    value = dict(zip(every, [r[0] for r in spark.createDataFrame([(g,) for g in every], "g string").coalesce(1).select(F.shiftrightunsigned(F.xxhash64("g"), 28)).collect()], strict=True))
-    got = [r["s"] for r in fingerprints.winnowed_chars(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t", "s").collect()]
-    for gs, packed in zip(grams, got, strict=True):
-        hashes = [value[g] for g in gs]
-        want = list(range(len(gs))) if len(gs) < 16 else []
-        for i in range(len(gs) - 15):
-            part = hashes[i : i + 16]
-            at = i + max(j for j in range(16) if part[j] == min(part))
-            if at not in want:
-                want.append(at)
-        assert [((1 << 27) - 1 - (p & ((1 << 27) - 1)), p >> 27) for p in packed] == [(i, hashes[i]) for i in want]
+    got = fingerprints.winnowed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), "t", "s").collect()
+    for r in got:
+        assert [((1 << 27) - 1 - (p & ((1 << 27) - 1)), p >> 27) for p in r["s"]] == plain(texts[r["i"]])
+    for k in (1, 3, 8):
+        got = fingerprints.winnowed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string"), "t", "s", k, 5).collect()
+        assert all([((1 << 27) - 1 - (p & ((1 << 27) - 1)), p >> 27) for p in r["s"]] == plain(texts[r["i"]], k, 5) for r in got)
+
+
+def test_edited_selection_is_that_of_the_whole_edited_text(spark):
+    rng = random.Random(7)
+    rows = [(i, "".join(rng.choice("abcd é漢") for _ in range(n))) for i, n in enumerate([0, 1, 5, 30, 39, 40, 52, 53, 54, 55, 60, 61, 80, 200, 1000])]
+    rows.append((99, "very long " * 30_000))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1)).withColumn("start", F.lit(1))
+    for r in fingerprints.edited_pairs(docs).collect():
+        assert [((1 << 27) - 1 - (p & ((1 << 27) - 1)), p >> 27) for p in r["edited_selected"]] == plain(r["edited"]), r["n_chars"]
+
+
+def test_likenesses_of_all_documents_against_plain_version(spark):
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect())
+    got = {r["doc_id"]: r for r in queries.op7_fingerprints(spark, "/root/testdata/sf0.001").collect()}
+
+    def likeness(a, b):
+        a, b = ({h for _, h in plain(t)} for t in (a, b))
+        return 2 * len(a & b) / (len(a) + len(b))
+
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert got[d]["near_edited"] == likeness(t, edited) and got[d]["near_next"] == likeness(t, after)

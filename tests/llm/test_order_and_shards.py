@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -32,22 +33,6 @@ def test_likeness_and_next(spark):
     assert sum(long) / len(long) > 0.55
 
 
-def test_winnowing_picks_rightmost_minimum(spark):
-    text = " ".join(random.Random(3).choice("ab") for _ in range(80))
-    df = spark.createDataFrame([(text,)], "text string")
-    tokens = text.split(" ")
-    hashes = [r[0] for r in spark.createDataFrame([tuple(tokens[i : i + 3]) for i in range(78)], "a string, b string, c string").select(F.shiftrightunsigned(F.xxhash64("a", "b", "c"), 28)).collect()]
-    want = []
-    for i in range(len(hashes) - 7):
-        part = hashes[i : i + 8]
-        at = i + max(j for j in range(8) if part[j] == min(part))
-        if at not in want:
-            want.append(at)
-    packed = fingerprints.winnowed(df, "text", "s").first()["s"]
-    assert [(1 << 27) - 1 - (p & ((1 << 27) - 1)) for p in packed] == want
-    assert [p >> 27 for p in packed] == [hashes[i] for i in want]
-
-
 def test_single_row_and_empty_table(spark):
     one = spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")
     assert fingerprints.edited_pairs(one).first()["edited"] == "abcdefab"
@@ -140,3 +125,86 @@ def test_shards_round_trip(spark, tmp_path):
     got = sorted((-1 if d != d or d is None else int(d), b"".join(parts[c].tobytes() for c in sorted(parts))) for (_, d), parts in texts.items())
     assert got == sorted((-1 if d is None else d, training_order.encode(encoding, t or "") + np.array([50256], dtype="<u2").tobytes()) for d, t in rows)
     assert training_order.materialise(docs.limit(0), length=16)[0].count() == 0
+
+
+def test_a_folder_never_mixes_two_inputs(spark, tmp_path):
+    out_dir = f"file://{tmp_path}/out"
+    for texts in (["alpha"] * 40, ["other words here"] * 40, ["alpha"] * 40):
+        name = f"{tmp_path}/{len(list(tmp_path.iterdir()))}"
+        spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(name)
+        table, folder = training_order.materialise(spark.read.parquet(name), length=16, shard_span=20, out_dir=out_dir)
+        read = training_order.read_slots(folder, 0, 1000, length=16)
+        rows = table.orderBy("slot").collect()
+        assert [zlib.crc32(ids.astype("<u2").tobytes()) for _, _, ids in read] == [r["tokens_crc32"] for r in rows] and len(rows) == 40
+
+
+def test_order_equals_plain_version(spark, tmp_path):
+    """Slots, shards and offsets of all documents against a plain computation from the rows' order."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/t")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    length, span, key = 64, 1000, 2_024
+    table, _ = training_order.materialise(docs, length=length, shard_span=span, key=key, out_dir=f"file://{tmp_path}/out")
+    encoding, numbers, base = training_order.encoding_for("/opt/tokenizers/byte_bpe_50k.tiktoken"), [], 0
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).orderBy("row").collect()
+    for r in rows:
+        tokens = [*encoding.encode_ordinary(r["text"] or ""), 50256]
+        numbers += [(base + c, r["row"], c, len(tokens[c * length : (c + 1) * length])) for c in range(-(-len(tokens) // length))]
+        base += -(-(len((r["text"] or "").encode()) + 1) // length)
+    half = max(1, (max(base - 1, 1).bit_length() + 1) // 2)
+
+    def place(x):
+        while True:
+            left, right = x >> half, x & (1 << half) - 1
+            for r in range(4):
+                spin = int(training_order.mix64(np.array([(right + key * 0x9E3779B97F4A7C15 + r * 0xC2B2AE3D27D4EB4F) % 2**64], dtype=np.uint64))[0])
+                left, right = right, left ^ spin & (1 << half) - 1
+            x = left << half | right
+            if x < base:
+                return x
+
+    want, first = [], {}
+    for slot, (at, row, chunk, n) in enumerate(sorted((place(x), row, chunk, n) for x, row, chunk, n in numbers)):
+        first.setdefault(at // span, slot)
+        want.append((row, chunk, slot, at // span, (slot - first[at // span]) * (16 + 2 * length), n))
+    assert [tuple(r) for r in table.select("row", "chunk", "slot", "shard", "byte_offset", "n_tokens").orderBy("slot").collect()] == want
+
+
+def test_ids_of_four_bytes(spark, tmp_path):
+    with pytest.raises(ValueError, match="id_bytes"):
+        training_order.encode(type("E", (), {"encode_ordinary": lambda self, t: [70_000]})(), "x")
+    spark.createDataFrame([(1, "alpha beta")], "doc_id long, text string").write.parquet(f"{tmp_path}/t")
+    _, folder = training_order.materialise(spark.read.parquet(f"{tmp_path}/t"), length=8, id_bytes=4, out_dir=f"file://{tmp_path}/out")
+    (_, _, ids), = training_order.read_slots(folder, 0, 9, length=8, id_bytes=4)
+    assert ids.tolist() == [*training_order.encoding_for("/opt/tokenizers/byte_bpe_50k.tiktoken").encode_ordinary("alpha beta"), 50256]
+
+
+def test_mixing_names_and_absent_sources(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 4 else "b", "x") for i in range(4000)], "doc_id long, source string, rate string").withColumn("source_of_rate", F.lit(1)).withColumn("_rate", F.lit(2))
+    out = mixing.mix_sources(docs, {"a": 0.3, "gone": 0.4, "b": 0.3})
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    assert abs(n["a"] - 2000) < 250 and abs(n["b"] - 2000) < 350  # the absent weight goes to both
+    assert out.columns == ["doc_id", "source", "rate", "source_of_rate", "_rate", "copy", "mix_key"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(source" not in plan
+
+
+def test_shards_equal_plain_version(spark):
+    """Shard and slot of all documents against a plain LPT; also with clashing names."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").withColumn("item_", F.lit("clash"))
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.assign_shards(docs, 24).collect()}
+    rows = [(r["doc_id"], len((r["text"] or "").encode()) + 8, hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect()]
+    total, size, item = sum(r[1] for r in rows), {}, {}
+    for _, n, k in rows:
+        size[k] = size.get(k, 0) + n
+    for k, n in size.items():
+        item[k] = k if n >= max(1, int(total / 24 / 512)) else f"b{int(k[:12], 16) % 24_576}"
+    loads, placed, of = [0] * 24, {}, {}
+    for k, n in size.items():
+        of[item[k]] = of.get(item[k], 0) + n
+    for name, n in sorted(of.items(), key=lambda x: (-x[1], x[0])):
+        placed[name] = min(range(24), key=lambda s: (loads[s], s))
+        loads[placed[name]] += n
+    assert {d: got[d][0] for d, _, _ in rows} == {d: placed[item[k]] for d, _, k in rows}
+    for s in range(24):
+        assert sorted(x for shard, x in got.values() if shard == s) == list(range(sum(shard == s for shard, _ in got.values())))
