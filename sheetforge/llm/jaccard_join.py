@@ -28,16 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sheetforge.llm.common import connected_components, dropped, mix64, shingle_hashes, stored, unused, with_extremes
 
 SKETCH_BITS = 18
 SLICES = 64
-LEAST_WIDTH = 2048  # bits of a bitmap, and of all nodes
-FAN = 16
-CHUNK = 8192  # members of a block that are numbered together
+LEAST_WIDTH = 2048  # bits of a document's bitmap
+TREE_WIDTH = 512  # bits of the bitmaps in trees: members' ones folded
+FAN = 32
+CHUNK = 256  # members of a block that are numbered together
 MOST_IDS = 8_000_000  # ids that a filter of bounded size tells apart well; more are joined
 SALTS = 64
 HOT_LEVEL = 10  # a counter about 1,000 above what is usual
@@ -126,14 +127,14 @@ def could_link(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes, percent: int) -
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, *, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(doc, n, key_a, key_b, bits, prefix): set size, 128-bit key of the set, bitmap of at least 4 bits
-    for each member, first shingles in the order."""
+    """(doc, n, key_a, key_b, bits, small, prefix): set size, 128-bit key of the set, bitmap of at least 4 bits
+    for each member, the same folded to TREE_WIDTH, first shingles in the order."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, len(whole), 256):  # long texts: keep results of a few rows at a time
                 batch = whole.slice(start, 256)
-                size, key_a, key_b, bits, prefix = [], [], [], [], []
+                size, key_a, key_b, bits, small, prefix = [], [], [], [], [], []
                 for text in batch[1].to_pylist():
                     h = np.unique(shingle_hashes(text, k))
                     n = len(h)
@@ -142,21 +143,23 @@ def signatures(docs: DataFrame, levels: np.ndarray, *, id_col: str, text_col: st
                         key_a.append(None)
                         key_b.append(None)
                         bits.append(None)
+                        small.append(None)
                         prefix.append([])
                         continue
                     again = mix64(h ^ np.uint64(0x5851F42D4C957F2D))
                     key_a.append(int(np.add.reduce(again).view(np.int64)))
                     key_b.append(int(np.bitwise_xor.reduce(mix64(again)).view(np.int64)))
                     bits.append(_bitmap(h, _width(n, 4, LEAST_WIDTH)))
+                    small.append(_bitmap(h, TREE_WIDTH))
                     level = levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     first = n - -(-percent * n // 100) + 1
                     prefix.append(h[np.argsort(level, kind="stable")[:first]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch[0].cast(pa.int64()), pa.array(size, pa.int64()), pa.array(key_a, pa.int64()), pa.array(key_b, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc", "n", "key_a", "key_b", "bits", "prefix"],
+                    [batch[0].cast(pa.int64()), pa.array(size, pa.int64()), pa.array(key_a, pa.int64()), pa.array(key_b, pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                    names=["doc", "n", "key_a", "key_b", "bits", "small", "prefix"],
                 )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(sign, "doc long, n long, key_a long, key_b long, bits binary, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(sign, "doc long, n long, key_a long, key_b long, bits binary, small binary, prefix array<long>")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -300,28 +303,24 @@ def _pruned(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
 _NODE = "block long, node long, low long, high long, slack long, one long, bits binary"
 
 
-def _leaf_nodes(members: DataFrame) -> DataFrame:
-    """Node of each leaf: size range, slack, the component if it is a single one, and OR of the members' bitmaps at LEAST_WIDTH.
-
-    ``members`` has (block, node, n, component, bits). A leaf has few members, so they travel as one list.
-    """
+def _leaf_nodes(leaves: DataFrame) -> DataFrame:
+    """Node of each leaf: size range, slack, the component if it is a single one, and OR of the members' bitmaps."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            either, slack = [], []
-            for sizes, maps in zip(batch[5].to_pylist(), batch[6].to_pylist(), strict=True):
-                x, most = 0, 0
-                for n, raw in zip(sizes, maps, strict=True):
-                    bits = folded(int.from_bytes(raw, "little"), 8 * len(raw), LEAST_WIDTH)
-                    x |= bits
-                    most = max(most, n - bits.bit_count())
-                either.append(x.to_bytes(LEAST_WIDTH // 8, "little"))
-                slack.append(most)
-            yield pa.RecordBatch.from_arrays([*(batch[i] for i in range(4)), pa.array(slack, pa.int64()), batch[4], pa.array(either, pa.binary())], names=["block", "node", "low", "high", "slack", "one", "bits"])
-
-    single = F.when(F.min("component") == F.max("component"), F.min("component"))
-    rows = members.groupBy("block", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), single.alias("one"), F.collect_list(F.struct("n", "bits")).alias("m"))
-    return rows.select("block", "node", "low", "high", "one", F.col("m.n").alias("sizes"), F.col("m.bits").alias("maps")).mapInArrow(build, _NODE)
+            out = []
+            for members in batch[2].to_pylist():
+                either, slack = 0, 0
+                for m in members:
+                    bits = int.from_bytes(m["small"], "little")
+                    either |= bits
+                    slack = max(slack, m["n"] - bits.bit_count())
+                sizes, parts = [m["n"] for m in members], {m["component"] for m in members}
+                out.append((min(sizes), max(sizes), slack, parts.pop() if len(parts) == 1 else None, either.to_bytes(TREE_WIDTH // 8, "little")))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch[0], batch[1], *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["block", "node", "low", "high", "slack", "one", "bits"])
+
+    return leaves.select("block", "node", "members").mapInArrow(build, _NODE)
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
@@ -334,7 +333,7 @@ def _parents(nodes: DataFrame) -> DataFrame:
                 x = 0
                 for bits in maps:
                     x |= int.from_bytes(bits, "little")
-                either.append(x.to_bytes(LEAST_WIDTH // 8, "little"))
+                either.append(x.to_bytes(TREE_WIDTH // 8, "little"))
             yield pa.RecordBatch.from_arrays([*(batch[i] for i in range(6)), pa.array(either, pa.binary())], names=["block", "node", "low", "high", "slack", "one", "bits"])
 
     single = F.when((F.min("one") == F.max("one")) & (F.count("one") == F.count("*")), F.min("one"))
@@ -357,20 +356,24 @@ def _node_pairs(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _leaf_pairs(percent: int):
-    """Task function (same, x, y lists of members) -> pairs (a, b) of different components and fitting sizes."""
+    """Task function (same, x, y lists of members) -> pairs (a, b) of different components that sizes and bitmaps allow."""
+
+    def unpacked(members: list[dict]) -> list[tuple[int, int, int, int, int]]:
+        bits = [int.from_bytes(m["small"], "little") for m in members]
+        return sorted((m["n"], m["doc"], m["component"], x, m["n"] - x.bit_count()) for m, x in zip(members, bits, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # pairs listed already; a pair can stand in many blocks. It only spares repeats, so it may be emptied
         for batch in batches:
             found: list[tuple[int, int]] = []
             for same, left, right in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
-                a = sorted((m["n"], m["doc"], m["component"]) for m in left)
-                b = a if same else sorted((m["n"], m["doc"], m["component"]) for m in right)
-                for i, (n, doc, component) in enumerate(a):
-                    for m, other, theirs in a[i + 1 :] if same else b:
+                a = unpacked(left)
+                b = a if same else unpacked(right)
+                for i, (n, doc, component, x, slack) in enumerate(a):
+                    for m, other, theirs, y, more in a[i + 1 :] if same else b:
                         if 100 * n < percent * m:
                             break  # sizes rise
-                        if component == theirs or 100 * m < percent * n:
+                        if component == theirs or 100 * m < percent * n or (x & y).bit_count() + min(slack, more) < needed(n, m, percent):
                             continue
                         pair = (doc, other) if doc < other else (other, doc)
                         if pair not in seen:
@@ -383,30 +386,25 @@ def _leaf_pairs(percent: int):
     return run
 
 
-def tree_candidates(members: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+def tree_candidates(members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one block and of different components that the trees can't rule out.
 
-    ``members`` has (block, m, doc, component, n), m being the block's size; ``marks`` (doc, n, bits). Members are cut into leaves in the order of size
+    ``members`` has (block, m, doc, component, n, small), m being the block's size. Members are cut into leaves in the order of size
     band, component and size; of a block of more than CHUNK members each chunk, dealt by hash, is numbered by itself, so no task holds a block.
-    A tree of one leaf has no node above it, and only members of larger trees bring their bitmaps; the bitmaps of single members are
-    set against each other once for each pair, whatever the number of its blocks (``_pruned``).
+    Blocks of up to FAN members are trees of one leaf, which is the root: the traversal starts and ends there.
     """
     room = 4 * CHUNK // FAN
     chunk = F.pmod(F.xxhash64("doc"), F.ceil(F.col("m") / CHUNK))
     order = Window.partitionBy("block", "chunk").orderBy(F.floor(F.log(F.col("n").cast("double")) / F.lit(0.2)), "component", "n", "doc")
-    numbered = members.withColumn("chunk", chunk).withColumn("at", F.row_number().over(order) - 1)
-    placed = stored(numbered.select("block", F.expr(f"chunk * {room} + at div {FAN}").alias("node"), F.col("m") > FAN, "doc", "component", "n").toDF("block", "node", "inner", "doc", "component", "n"), "placed")
-    leaves = stored(placed.groupBy("block", "node", "inner").agg(F.collect_list(F.struct("doc", "component", "n")).alias("members")), "leaves")
-    single = leaves.where("not inner").select("block", F.col("node").alias("node_a"), F.col("node").alias("node_b"))
-    larger = placed.where("inner").select("block", "node", "doc", "component")
+    numbered = members.withColumn("chunk", chunk).withColumn("node", F.expr("chunk") * room + F.floor((F.row_number().over(order) - 1) / FAN).cast("long"))
+    # grouped where they were numbered, without another shuffle
+    gathered = numbered.groupBy("block", "chunk", "node").agg(F.max(F.col("m") > FAN).alias("inner"), F.collect_list(F.struct("doc", "component", "n", "small")).alias("members"))
+    leaves = stored(gathered.select("block", "node", "inner", "members"), "leaves")
+    larger = leaves.where("inner")
+    met, made = leaves.where("not inner").select(F.lit(True).alias("same"), F.col("members").alias("x"), F.expr("slice(members, 1, 0)").alias("y")), [leaves]
     top = larger.agg(F.max("node")).first()[0]
-    made, pairs = [], single
     if top is not None:
-        bits = marks.where("n > 0").select("doc", "n", "bits")
-        wanted = id_filter(larger.select("doc").distinct())
-        if wanted is not None:
-            bits = bits.where(_maybe(wanted)(F.col("doc")))
-        levels = [stored(_leaf_nodes(larger.join(bits, "doc")), "nodes")]
+        levels = [stored(_leaf_nodes(larger), "nodes")]
         while top >= FAN:
             levels.append(stored(_parents(levels[-1]), "nodes"))
             top //= FAN
@@ -417,16 +415,16 @@ def tree_candidates(members: DataFrame, marks: DataFrame, percent: int) -> DataF
             low = nodes.withColumn("up", F.expr(f"node div {FAN}"))
             a = low.select("block", F.col("up").alias("node_a"), F.col("node").alias("a"), *[F.col(c).alias(f"{c}_a") for c in columns])
             b = low.select("block", F.col("up").alias("node_b"), F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in columns])
-            met = down.join(a, ["block", "node_a"]).join(b, ["block", "node_b"]).where("a <= b")
-            down = stored(_node_pairs(met.select("block", "a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns]), percent), "pairs")
+            both = down.join(a, ["block", "node_a"]).join(b, ["block", "node_b"]).where("a <= b")
+            down = stored(_node_pairs(both.select("block", "a", "b", *[f"{c}_a" for c in columns], *[f"{c}_b" for c in columns]), percent), "pairs")
             made.append(down)
-        pairs = single.unionByName(down)
-        made = [*levels, *made[:-1]]
-    left = leaves.select("block", F.col("node").alias("node_a"), F.col("members").alias("x"))
-    right = leaves.select("block", F.col("node").alias("node_b"), F.col("members").alias("y"))
-    met = pairs.join(left, ["block", "node_a"]).join(right, ["block", "node_b"]).select((F.col("node_a") == F.col("node_b")).alias("same"), "x", "y")
+        made += levels
+        left = larger.select("block", F.col("node").alias("node_a"), F.col("members").alias("x"))
+        right = larger.select("block", F.col("node").alias("node_b"), F.col("members").alias("y"))
+        pairs = down.join(left, ["block", "node_a"]).join(right, ["block", "node_b"])
+        met = met.unionByName(pairs.select((F.col("node_a") == F.col("node_b")).alias("same"), "x", "y"))
     out = stored(met.mapInArrow(_leaf_pairs(percent), "a long, b long").distinct(), "near")
-    dropped(placed, leaves, *made)
+    dropped(*made)
     return out
 
 
@@ -484,7 +482,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
     chosen = stored(alike.groupBy("p", "q", "m").agg(F.min("token").alias("token")).select("token", "m"), "chosen")
     members = labelled.join(chosen, "token").select(F.col("token").alias("block"), "m", F.col("rep").alias("doc"), "component", "n")
-    near = tree_candidates(members, marks, percent)
+    near = tree_candidates(members.join(marks.where("n > 0").select("doc", "n", "small"), ["doc", "n"]), percent)
     left = stored(_pruned(near, marks, percent), "candidates")
     more = verified(left, docs, percent=percent, **source)
     node = one.withColumnRenamed("component", "root")
@@ -505,22 +503,27 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     )
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id is in the one-column table ``ids``; null ids stay.
+def without_keys(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in the one-column table ``gone``; null keys stay.
 
-    A filter of bounded size tells most rows apart in place; only rows that it can't clear are joined. Where there are more ids than it holds,
+    A filter of bounded size tells most rows apart in place; only rows that it can't clear are joined. Where there are more keys than it holds,
     all rows are.
     """
-    name = ids.columns[0]
-    gone, maybe = unused(docs, "gone"), unused(docs, "maybe")
-    listed = stored(ids.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias(gone)).distinct(), "gone")
-    bits = id_filter(listed)
+    name, own, maybe = unused(docs, "gone"), unused(docs, "key"), unused(docs, "maybe")
+    listed = stored(gone.where(F.col(gone.columns[0]).isNotNull()).toDF(name).distinct(), "gone")
+    keyed = docs.withColumn(own, key)
+    bits = id_filter(listed.select(F.xxhash64(name)))
     if bits is None:
-        return docs.join(listed, docs[id_col].cast("long") == listed[gone], "left_anti")
-    marked = docs.withColumn(maybe, _maybe(bits)(F.col(id_col).cast("long")))
-    clear = marked.where(~F.col(maybe)).drop(maybe)
-    rest = marked.where(F.col(maybe)).drop(maybe)
-    return clear.unionByName(rest.join(listed, rest[id_col].cast("long") == listed[gone], "left_anti"))
+        return keyed.join(listed, F.col(own) == F.col(name), "left_anti").drop(own)
+    marked = keyed.withColumn(maybe, _maybe(bits)(F.xxhash64(own)))
+    clear = marked.where(~F.col(maybe)).select(*docs.columns)
+    rest = marked.where(F.col(maybe))
+    return clear.unionByName(rest.join(listed, F.col(own) == F.col(name), "left_anti").select(*docs.columns))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id is in the one-column table ``ids``; null ids stay."""
+    return without_keys(docs, ids.select(F.col(ids.columns[0]).cast("long")), F.col(id_col).cast("long"))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:

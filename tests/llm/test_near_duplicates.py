@@ -49,9 +49,10 @@ def corpus(seed, n=60, copies=4):
     return [(i, " ".join(w)) for i, w in enumerate(rows)]
 
 
-@pytest.mark.parametrize("fan", [64, 4])
+@pytest.mark.parametrize("fan", [32, 4])
 def test_equals_brute_force(spark, monkeypatch, fan):
     monkeypatch.setattr(jaccard_join, "FAN", fan)  # 4: trees of several levels
+    monkeypatch.setattr(jaccard_join, "CHUNK", 2 * fan)
     rows = corpus(7) + [(9001, None), (9002, ""), (9003, " \t\n"), (9004, "one TWO"), (9005, "One two"), (9006, "x " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash")).withColumn("token", F.lit(0))
     got = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs).collect())
