@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetforge.llm.common import dropped, stored
+
 # Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = str.maketrans(
     "аеорсухіјѕԁһкмтвнгԛԝαοερτυνικηωχγß"
@@ -125,17 +127,22 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rows that have it are counted in Spark, and the different words that stand before it in toxic rows: copies of
     one text repeat the same neighbours, a term of its own has many. Kept are those with a
     likelihood ratio of at least ``min_ratio`` in ``min_share`` of the toxic rows, or one of 50 anywhere, and enough
-    neighbours (``min_contexts``, and a quarter of their toxic rows or 20); of nested ones only that with most evidence. Null labels and ids are left out. Without usable rows the seed model remains.
+    neighbours (``min_contexts``, and a quarter of their toxic rows or 20); of nested ones only that with most evidence. The rows are
+    split in two halves by a hash of the text, and a term must stand in toxic rows of both, so that one text and its repetitions teach nothing.
+    The lexicon has at most ``max_terms`` learned terms, those of most evidence (toxic rows times log ratio) of at most 40 * ``max_terms``
+    that Spark ranks by the same evidence; both bound the model, not the documents scored. Null labels and ids are left out. Without usable rows the seed model remains.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     sample = known.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(fit_rows)
     # at most fit_rows rows, so the texts stay where they are
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select(text_col, F.col("_label").cast("int").alias("label"))
+    labelled = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
+    # a bounded table, read by each of the steps below
+    rows = stored(labelled.select(F.col(text_col).alias("text"), F.col("_label").cast("int").alias("label"), F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(2)).cast("int").alias("half")), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
         for batch in batches:
-            for text, label in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+            for text, label, half in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
                 words = fold(text or "").split()
                 seen: set[str] = set()
                 before = ""
@@ -144,38 +151,42 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                     for term in (*(w[:n] + "*" for n in range(3, min(10, len(w)) + 1)), w):
                         x = found.get(term)
                         if x is None:
-                            x = found[term] = [0, 0, 0]
-                        x[2] |= bit
+                            x = found[term] = [0, 0, 0, 0, 0]
+                        x[4] |= bit
                         if term not in seen:
                             seen.add(term)
-                            x[0 if label else 1] += 1
+                            x[(0 if label else 2) + half] += 1
                     before = w
             if len(found) > 400_000:
                 yield flush(found)
         yield flush(found)
 
     def flush(found: dict[str, list[int]]) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in range(3))], names=["term", "pos", "neg", "near"])
+        out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in range(5))], names=["term", "pos0", "pos1", "neg0", "neg1", "near"])
         found.clear()
         return out
 
-    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n_pos, n_neg = totals.get(1, 0), totals.get(0, 0)
+    totals = {(r["label"], r["half"]): r["n"] for r in rows.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
+    n_pos, n_neg = (sum(n for (label, _), n in totals.items() if label == x) for x in (1, 0))
     if not n_pos or not n_neg:
         return Model()
-    ratio = (F.col("pos") / F.lit(n_pos)) / ((F.col("neg") + F.lit(0.5)) / F.lit(n_neg + 1))
+
+    over = (F.col("pos") / F.lit(n_pos)) / ((F.col("neg") + F.lit(0.5)) / F.lit(n_neg + 1))
+    evidence = F.round(F.col("pos") * (F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))), 6)
     best = (
-        rows.mapInArrow(count, "term string, pos long, neg long, near long")
+        rows.mapInArrow(count, "term string, pos0 long, pos1 long, neg0 long, neg1 long, near long")
         .groupBy("term")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_count(F.expr("bit_or(near)")).alias("near"))
-        .where((F.col("near") >= F.greatest(F.lit(min_contexts), F.least(F.lit(20), F.col("pos") / 4))) & ((ratio >= 50) | (ratio >= min_ratio) & (F.col("pos") >= min_share * n_pos)))
-        .orderBy(F.desc("pos"), "term")
+        .agg(*[F.sum(c).alias(c) for c in ("pos0", "pos1", "neg0", "neg1")], F.bit_count(F.expr("bit_or(near)")).alias("near"))
+        .withColumns({"pos": F.col("pos0") + F.col("pos1"), "neg": F.col("neg0") + F.col("neg1")})
+        .where((F.col("pos0") > 0) & (F.col("pos1") > 0) & (F.col("near") >= F.greatest(F.lit(min_contexts), F.least(F.lit(20), F.col("pos") / 4))) & ((over >= 50) | (over >= min_ratio) & (F.col("pos") >= min_share * n_pos)))
+        .orderBy(F.desc(evidence), "term")
         .limit(max_terms * 40)
         .collect()
     )
     model = Model()
     model.terms |= _strongest(best, n_pos, n_neg, max_terms)
-    sample_rows = rows.mapInArrow(_measurer(model), "weight double, hits long, words long, label int").collect()
+    sample_rows = rows.select("text", "label").mapInArrow(_measurer(model), "weight double, hits long, words long, label int").collect()
+    dropped(rows)
     model.coefficients = _fit([(r["weight"], r["words"], r["label"]) for r in sample_rows])
     return model
 
@@ -231,7 +242,7 @@ def _fit(rows: list[tuple[float, int, int]], rounds: int = 60, ridge: float = 1e
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns (default: all) plus score, predicted, hits, words.
 
-    One row per row; null and empty texts count as texts without words. Very long texts are read in whole.
+    One row per row, repeated rows too; null and empty texts count as texts without words; an empty table gives an empty result. Very long texts are read in whole.
     Carried columns named like an added one are replaced.
     """
     added = ("score", "predicted", "hits", "words")
