@@ -3,8 +3,9 @@
 A candidate is a token-like string of at least 16 characters, or a value of any length and alphabet that follows a
 secret name or stands as the password of user:password@host. Its features are length, character transitions,
 coverage by dictionary words, the path it stands under and the words around it. The forest is trained
-from labelled findings; ``label_findings`` labels those that a known format or a plain non-secret shape decides, and
-the forest judges the others.
+from labelled findings. ``label_findings`` makes them from evidence that the features don't hold: vendors' formats, the name that a
+value is assigned to, a word that says what a value is. These are cut out of the words around it before features are taken, so the
+forest learns from values, paths and other neighbours, and judges candidates without such evidence.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetforge.llm.common import stored
+from sheetforge.llm.common import dropped, stored
 
 _NAME = r"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)"
 _TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\.[A-Za-z0-9_-]{16,}){0,2}={0,2}"
@@ -48,7 +49,10 @@ DICTIONARY = [
     "style", "system", "table", "target", "template", "test", "text", "theme", "this", "time", "title", "type", "update", "user", "value", "version", "view", "web", "width", "window",
 ]
 
-FEATURES = ["length", "transitions", "distinct_share", "digit_share", "upper_share", "covered_share", "vowel_share", "slashes", "known_shape", "assigned", "quoted", "secret_word", "harmless_word", "test_path"]
+FEATURES = ["length", "transitions", "distinct_share", "digit_share", "upper_share", "covered_share", "vowel_share", "slashes", "secret_word", "harmless_word", "signs_near", "digits_near", "capitals_near", "test_path", "path_depth"]
+#: What ``label_findings`` reads at the end of before: a name and an assignment, or a word that says what the value is.
+_ASSIGNMENT = r"[A-Za-z0-9_.-]*['\"]?\s*[:=]{1,2}>?\s*['\"]?$"
+_SAID = r"(?i)\b(commit|sha\d*|md5|checksum|digest|hash|uuid|guid|etag|isbn|card|phone|tel|invoice|order|version|revision)\W{0,4}$"
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -74,11 +78,16 @@ def find_candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def with_features(candidates: DataFrame) -> DataFrame:
-    """``candidates`` plus FEATURES, all doubles."""
+    """``candidates`` plus FEATURES, all doubles; a null path has depth 0. Columns of these names are replaced.
+
+    The name that a value is assigned to, and a word just before it that says what it is, belong to the labels and are cut off first.
+    """
     c, low = F.col("candidate"), F.lower("candidate")
     upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
     kinds = F.translate(c, upper + lower + digits, "A" * 26 + "a" * 26 + "9" * 10)
-    near = F.concat_ws(" ", F.right("before", F.lit(48)), F.left("after", F.lit(24)))
+    rest = F.regexp_replace(F.regexp_replace("before", _ASSIGNMENT, ""), _SAID, "")
+    near = F.concat_ws(" ", F.right(rest, F.lit(48)), F.left(F.regexp_replace("after", "^['\"]", ""), F.lit(24)))
+    around = F.length(near).cast("double")
     values = {
         "length": F.length(c),
         "transitions": (F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1) / F.length(c),
@@ -88,22 +97,27 @@ def with_features(candidates: DataFrame) -> DataFrame:
         "covered_share": _share(low, "(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"),
         "vowel_share": _share(low, "[aeiou]"),
         "slashes": F.length(c) - F.length(F.replace(c, F.lit("/"))),
-        "known_shape": c.rlike(KNOWN_FORMATS),
-        "assigned": F.col("before").rlike(r"[:=]>?\s*['\"]?$"),
-        "quoted": F.col("before").rlike(r"['\"]$") & F.col("after").rlike(r"^['\"]"),
         "secret_word": near.rlike(SECRET_WORDS),
         "harmless_word": near.rlike(HARMLESS_WORDS),
+        "signs_near": (around - F.length(F.regexp_replace(near, "[=:;{}()<>\\[\\]\"'`#$&*/|]", ""))) / around,
+        "digits_near": (around - F.length(F.regexp_replace(near, "[0-9]", ""))) / around,
+        "capitals_near": (around - F.length(F.regexp_replace(near, "[A-Z]", ""))) / around,
         "test_path": F.coalesce(F.col("path").rlike(TEST_PATHS), F.lit(False)),
+        "path_depth": F.coalesce(F.size(F.split("path", "/")), F.lit(0)),
     }
     return candidates.withColumns({k: v.cast("double") for k, v in values.items()})
 
 
 def label_findings(candidates: DataFrame) -> DataFrame:
-    """Candidates that a rule decides, with label 1.0 (secret) or 0.0."""
+    """Candidates that evidence outside the features decides, with label 1.0 (secret) or 0.0.
+
+    Secret: a vendor's format, or a value with a digit after a secret name or as the password of user:password@host. No secret: a value after a
+    word that says what it is, a plain number, word or UUID, one sign many times; if nothing says the contrary.
+    """
     c = F.col("candidate")
-    named = F.col("before").rlike(SECRET_NAMES)
+    named = F.col("before").rlike(SECRET_NAMES) | (F.col("before").rlike(LOGIN) & F.col("after").startswith("@"))
     yes = c.rlike(KNOWN_FORMATS) | (named & c.rlike("[0-9]"))
-    no = c.rlike(r"^[A-Za-z]+$|^[0-9]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[A-Za-z_/.-]+$|(.)\1{7}") & ~yes & ~named
+    no = (F.col("before").rlike(_SAID) | c.rlike(r"^[A-Za-z]+$|^[0-9]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[A-Za-z_/.-]+$|(.)\1{7}")) & ~yes & ~named
     return candidates.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).where("label is not null")
 
 
@@ -113,11 +127,11 @@ def train(findings: DataFrame, *, fit_rows: int = 20_000, trees: int = 20, depth
     None when the findings have one label only, or there are none.
     """
     sample = findings.orderBy(F.xxhash64("candidate", "before", "doc"), "doc", "place").limit(fit_rows)
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label").cache()
+    rows = stored(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label"), "findings")
     if rows.select("label").distinct().count() < 2:
         return None
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32).fit(rows)
-    rows.unpersist()
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxBins=32, minInstancesPerNode=2, featureSubsetStrategy="sqrt").fit(rows)
+    dropped(rows)
     return model
 
 
@@ -125,14 +139,17 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, *, id_col: str = "d
     """(doc, path, place, candidate, FEATURES, probability, is_secret) of all candidates.
 
     ``findings`` are labelled candidates as of ``label_findings`` (default: those of ``docs`` themselves). Without
-    both labels among them the rule's word stands: probability 1 for a known format or a named secret, else 0.
+    both labels among them the evidence's word stands: probability 1 for a known format or a named secret, else 0.
+    Where the evidence decides a candidate, the forest's word on it is still given as probability, but is_secret follows a known format. Rows that
+    repeat an id, an empty table and texts without candidates need no care: candidates are rows of their own, none gives none. Other columns
+    of ``docs`` are ignored, whatever their names. Very long texts are searched in whole.
     """
     found = with_features(stored(find_candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col), "candidates"))
     model = train(label_findings(found) if findings is None else findings)
+    sure = F.col("candidate").rlike(KNOWN_FORMATS)
     if model is None:
-        sure = F.col("known_shape") == 1.0
         named = (F.col("before").rlike(SECRET_NAMES) & F.col("candidate").rlike("[0-9]")) | (F.col("before").rlike(LOGIN) & F.col("after").startswith("@"))
         scored = found.withColumn("probability", (sure | named).cast("double"))
     else:
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
-    return scored.select("doc", "path", "place", "candidate", *FEATURES, "probability", (F.col("probability") >= threshold).alias("is_secret"))
+    return scored.select("doc", "path", "place", "candidate", *FEATURES, "probability", ((F.col("probability") >= threshold) | sure).alias("is_secret"))
