@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,14 +50,17 @@ _SCOPE = {"ul", "ol", "dl", "table", "select", "body", "html", "article", "main"
 
 
 class _Node:
-    __slots__ = ("boiler", "holds", "in_article", "parent", "path", "tag")
+    """An element. ``path`` is a hash of the tags from the root, ``block`` the nearest element that is no run-on one."""
 
-    def __init__(self, tag: str, parent: _Node | None, boiler: bool) -> None:
-        self.tag, self.parent = tag, parent
+    __slots__ = ("block", "boiler", "holds", "in_article", "linked", "number", "parent", "path", "tag")
+
+    def __init__(self, tag: str, parent: _Node | None, boiler: bool, number: int) -> None:
+        self.tag, self.parent, self.number, self.holds = tag, parent, number, 0
         self.boiler = boiler or (parent is not None and parent.boiler)
-        self.path = f"{parent.path}/{tag}" if parent else tag
+        self.path = hash((parent.path if parent else 0, tag))
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
-        self.holds = 0
+        self.block = parent.block if parent is not None and tag in RUN_ON else self
+        self.linked = 3 if tag == "a" else max(0, parent.linked - 1) if parent else 0  # links reach two elements down
 
 
 def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
@@ -81,8 +85,9 @@ def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
 
 def text_blocks(page: str) -> list[tuple[_Node, str, float]]:
     """(element, text, share of it in links) of each block of a page, in page order."""
-    root = _Node("", None, False)
-    stack, blocks = [root], []
+    root = _Node("", None, False, 0)
+    stack, blocks, made = [root], [], 0
+    open_tags: Counter[str] = Counter()  # of the stack: searches for a tag that isn't open are spared
     parts: list[str] = []
     linked = [0]
 
@@ -94,20 +99,19 @@ def text_blocks(page: str) -> list[tuple[_Node, str, float]]:
             parts.clear()
             linked[0] = 0
 
-    def holder() -> _Node:
-        for node in reversed(stack):
-            if node.tag not in RUN_ON:
-                return node
-        return root
-
     def say(text: str) -> None:
-        if text and not (stack[-1].boiler and not text.strip()):
-            if stack[-1].boiler and not holder().boiler:  # an inline advert in an article block
+        top = stack[-1]
+        if text and not (top.boiler and not text.strip()):
+            if top.boiler and not top.block.boiler:  # an inline advert in an article block
                 return
             parts.append(text)
-            if stack[-1].tag == "a" or any(n.tag == "a" for n in stack[-3:]):
+            if top.linked:
                 linked[0] += len(text.strip())
 
+    def close_from(i: int) -> None:
+        open_tags.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -133,41 +137,44 @@ def text_blocks(page: str) -> list[tuple[_Node, str, float]]:
             parts.append(" ")
             continue
         if tag not in RUN_ON:
-            flush(holder())
+            flush(stack[-1].block)
         if tag in VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in RUN_ON and stack[i].tag not in RUN_ON:
-                    break
+            if open_tags[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        close_from(i)
+                        break
+                    if tag in RUN_ON and stack[i].tag not in RUN_ON:
+                        break
             continue
-        if tag in CLOSES:
+        if tag in CLOSES and any(open_tags[t] for t in CLOSES[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
+                    close_from(i)
                 elif stack[i].tag in _SCOPE:
                     break
-        if tag not in RUN_ON:  # a block ends an open paragraph
+        if tag not in RUN_ON and open_tags["p"]:  # a block ends an open paragraph
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close_from(i)
                     break
-                if stack[i].tag not in RUN_ON and stack[i].tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
+                if stack[i].tag not in RUN_ON and stack[i].tag not in HEADINGS:
                     break
         if attributes.endswith("/") and tag in RUN_ON:
             continue
-        stack.append(_Node(tag, stack[-1], _is_boilerplate(tag, attributes, stack[-1].in_article)))
-    flush(holder())
+        made += 1
+        stack.append(_Node(tag, stack[-1], _is_boilerplate(tag, attributes, stack[-1].in_article), made))
+        open_tags[tag] += 1
+    flush(stack[-1].block)
     return blocks
 
 
-def path_scores(blocks: list[tuple[_Node, str, float]]) -> dict[str, float]:
+def path_scores(blocks: list[tuple[_Node, str, float]]) -> dict[int, float]:
     """Tag path -> fused ratio: smoothed text length per block times smoothed punctuation share."""
     paths = [n.path for n, _, _ in blocks]
-    chars: dict[str, list[float]] = {}
+    chars: dict[int, list[float]] = {}
     for path, (_, text, link) in zip(paths, blocks, strict=True):
         total = chars.setdefault(path, [0.0, 0.0, 0.0])
         total[0] += len(text) * (1 - link)
@@ -181,7 +188,7 @@ def path_scores(blocks: list[tuple[_Node, str, float]]) -> dict[str, float]:
         return np.convolve(np.concatenate((x[:1], x, x[-1:])), kernel, "valid")
 
     fused = smooth(length) * smooth(marks)
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for path, value in zip(paths, fused, strict=True):
         total = sums.setdefault(path, [0.0, 0.0])
         total[0] += value
@@ -213,21 +220,30 @@ def main_text(page: str | None, *, threshold: float = 0.1) -> str:
         return "\n".join(t for _, t, _ in blocks)
     heading = next((i for i in range(content[0], -1, -1) if blocks[i][0].tag in HEADINGS), content[0])
     covered = [blocks[i][0] for i in {heading, *content}]
-    for node in covered:
+    # elements above any block, each once, in the order of their making: parents come before children
+    above: dict[int, _Node] = {}
+    for node, _, _ in blocks:
         up: _Node | None = node
-        while up is not None:
-            up.holds += 1
+        while up is not None and up.number not in above:
+            above[up.number] = up
             up = up.parent
+    order = [above[n] for n in sorted(above)]
+    for node in covered:
+        node.holds += 1
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.holds += node.holds
     article = covered[0]
     while article.parent is not None and (whole or article.holds < len(covered) or article.tag in ("p", *HEADINGS, "li", "td", "th", "dd", "dt", "blockquote", "pre", "ul", "ol", "tr", "tbody", "table", "figure", "header")):
         article = article.parent
+    inside_article: set[int] = set()
+    for node in order:
+        if node is article or (node.parent is not None and node.parent.number in inside_article):
+            inside_article.add(node.number)
     kept = []
     for node, text, link in blocks:
-        up = node
-        while up is not None and up is not article:
-            up = up.parent
         menu = link > 0.8 and scores[node.path] < threshold * best and not node.in_article
-        if up is not None and not menu:
+        if node.number in inside_article and not menu:
             kept.append(text)
     return "\n".join(kept)
 

@@ -17,3 +17,37 @@ def test_teaser_does_not_win_over_the_text():
     page = "<body><div class=text>" + "".join(f"<p>{p}</p>" for p in body) + "</div><div><article><p>" + "A teaser, in short, of another page. " * 4 + "</p></article></div></body>"
     text = html.main_text(page)
     assert all(p in text for p in body)
+
+
+def test_deep_and_unclosed_markup_is_linear():
+    import time
+
+    for piece in ("<div>text, more. ", "<span>x", "<p><b>x, y.", "</i></section>x", "<a href=x>y", "<li><span>z", '<div class="'):
+        began = time.perf_counter()
+        html.main_text(piece * 100_000)
+        assert time.perf_counter() - began < 30, piece
+    text = html.main_text("<div>" * 100_000 + "Deep text, of two sentences. It ends here." + "</div>" * 100_000)
+    assert text == "Deep text, of two sentences. It ends here."
+    nested = html.main_text("".join(f"<div>text {i}, more." for i in range(20_000)))
+    assert nested.count("more.") == 20_000
+
+
+def test_all_pages_against_a_plain_reading(spark):
+    """No text of an article block is lost or invented: each line of the result stands in the page's plain text, in order."""
+    import html as entities
+    import re
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for r in rows:
+        page = r["html"] or ""
+        plain = re.sub(r"(?is)<(script|style|noscript|textarea|title)\b.*?</\1[^>]*>|<!--.*?-->", " ", page)
+        plain = " ".join(entities.unescape(re.sub(r"(?s)<[^>]*>", " ", plain)).split()).replace(" ", "")
+        at = 0
+        for line in html.main_text(page).split("\n"):
+            found = plain.find(line.replace(" ", ""), at)
+            assert found >= 0, (r["page_id"], line[:80])
+            at = found + len(line.replace(" ", ""))
+        inside = re.search(r"(?is)<article\b[^>]*>(.*)</article>", page)
+        if inside:
+            for p in re.findall(r"(?is)<p>([^<]{80,})</p>", re.sub(r"(?is)<(aside|nav|footer|form|section|div)\b.*?</\1>", " ", inside[1])):
+                assert " ".join(entities.unescape(p).split()) in html.main_text(page), (r["page_id"], p[:80])
