@@ -114,7 +114,8 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     """
     slots = windows.select("window", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term"))
     wanted = slots.select("term").distinct()
-    counts = index.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term", "left_semi")
+    # a table of its own, so that Spark can split a term that many windows have when it joins the counts
+    counts = stored(index.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term", "left_semi"), "counts")
     # a window with a term that has no posting cannot match
     ranked = slots.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     order = Window.partitionBy("window").orderBy("n", "offset")
