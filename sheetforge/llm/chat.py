@@ -44,7 +44,7 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 def fingerprint(paths: list[str]) -> str:
     """Hash of a set of nested field paths."""
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -107,33 +107,54 @@ def canonical_turns(records: DataFrame, id_col: str) -> DataFrame:
     return rows.select("conv_id", F.col("turn").cast("long"), F.col("m.role"), F.coalesce("m.text", F.lit("")).alias("text"))
 
 
+def _clean(value: object) -> str:
+    """Text of a JSON value: empty for null, JSON for lists and objects; halves of surrogate pairs become the replacement sign."""
+    text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _record_turns(raw: str | None) -> tuple[str, str | None, list[tuple[int | None, str | None, str | None]]]:
+    """(fingerprint, layout, turns) of one JSON record; layout None where it can't be read by any."""
+    paths: list[str] = []
+    try:
+        value = json.loads(raw) if raw else None
+        paths = value_paths(value) if isinstance(value, dict) else []
+        name = layout_of(paths)
+        if name is not None:
+            spec = LAYOUTS[name]
+            if "row" in spec:
+                turn, role, text = (value[f] for f in spec["row"])
+                if isinstance(turn, bool) or not isinstance(turn, (int, str)) or not -(1 << 63) <= int(turn) < 1 << 63:
+                    raise ValueError(turn)
+                turns = [(int(turn), role, text)]
+            elif "each" in spec:
+                items, role, text = spec["each"]
+                if not all(isinstance(m, dict) for m in value[items]):
+                    raise ValueError(items)
+                turns = [(i, ROLES.get(m.get(role), m.get(role)) if isinstance(m.get(role), str) else m.get(role), m.get(text)) for i, m in enumerate(value[items])]
+            else:
+                turns = [(i, role, "\n\n".join(_clean(value[f]) for f in fields if value[f] not in (None, ""))) for i, (role, fields) in enumerate(spec["sequence"])]
+            return fingerprint(paths), name, [(turn, _clean(role), _clean(text)) for turn, role, text in turns]
+    except (ValueError, RecursionError):
+        pass
+    return fingerprint([_clean(p) for p in paths]), None, [(None, None, None)]
+
+
 def canonical_turns_json(records: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """(conv_id, fingerprint, layout, turn, role, text) of JSON records that may differ from row to row.
 
-    A record that is no JSON object or fits no layout gives one row with null layout, turn, role and text.
+    A record that is no JSON object, fits no layout or strays from its layout (a list with items that aren't objects, a turn that
+    is no whole number, nesting beyond what can be read) gives one row with null layout, turn, role and text. Texts that aren't strings become their
+    JSON. Roles of message lists are mapped by ROLES, those of the row layout are kept as they are. Repeated rows are kept; an empty
+    table gives an empty result.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, raw in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                try:
-                    value = json.loads(raw) if raw else None
-                except ValueError:
-                    value = None
-                paths = value_paths(value) if isinstance(value, dict) else []
-                name = layout_of(paths)
-                if name is None:
-                    out.append((key, fingerprint(paths), None, None, None, None))
-                    continue
-                spec = LAYOUTS[name]
-                if "row" in spec:
-                    turns = [(value[spec["row"][0]], value[spec["row"][1]], value[spec["row"][2]])]
-                elif "each" in spec:
-                    turns = [(i, m.get(spec["each"][1]), m.get(spec["each"][2])) for i, m in enumerate(value[spec["each"][0]])]
-                else:
-                    turns = [(i, role, "\n\n".join(str(value[f]) for f in fields if value[f] not in (None, ""))) for i, (role, fields) in enumerate(spec["sequence"])]
-                out += [(key, fingerprint(paths), name, turn, ROLES.get(role, role) or "", "" if text is None else str(text)) for turn, role, text in turns]
+                digest, name, turns = _record_turns(raw)
+                out += [(key, digest, name, *turn) for turn in turns]
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [batch.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "fingerprint", "layout", "turn", "role", "text"])
@@ -147,14 +168,16 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     A conversation's formatted text is the concatenation of its turns' formatted texts in the order of
     (turn, role, text). The loss mask covers the escaped text of assistant turns; it is empty for the others.
-    Very long conversations stay rows, so none has to fit one task.
+    Very long conversations stay rows, so none has to fit one task. Columns called formatted, loss_begin or loss_end are replaced;
+    null roles and texts are empty; repeated rows are kept.
     """
     role = F.replace(F.replace(F.coalesce("role", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
     escaped = F.regexp_replace(F.coalesce("text", F.lit("")), _CONTROL, r"$1$2\\")
     head = F.concat(F.lit(START), F.regexp_replace(role, _CONTROL, r"$1$2\\"), F.lit("\n"))
     begin = F.length(head)
     end = begin + F.when(F.col("role") == "assistant", F.length(escaped)).otherwise(0)
-    return turns.select("*", F.concat(head, escaped, F.lit(END + "\n")).alias("formatted"), begin.alias("loss_begin"), end.alias("loss_end"))
+    kept = [c for c in turns.columns if c.lower() not in ("formatted", "loss_begin", "loss_end")]
+    return turns.select(*kept, F.concat(head, escaped, F.lit(END + "\n")).alias("formatted"), begin.alias("loss_begin"), end.alias("loss_end"))
 
 
 def unescape(text: str) -> str:

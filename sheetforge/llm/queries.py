@@ -15,7 +15,7 @@ MIX_WEIGHTS = {"src0": 0.2, "src1": 0.08, "src2": 0.08, "*": 0.64}
 
 
 def _fold(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 5
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
