@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetforge.llm import decontamination, jaccard_join, mixing, sharding, toxicity
-from sheetforge.llm.common import shared_dir, stored, table
+from sheetforge.llm.common import shared_dir, table
 from sheetforge.llm.queries import MIX_WEIGHTS
 from sheetforge.shipping import ship
 
@@ -33,10 +33,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of 10 benchmark words."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10)
-    leaks = stored(found.where("n_hit > 0").select("doc"), "leaks")
-    return jaccard_join.without_ids(docs, leaks).select(*docs.columns)
+    """Documents without any window of 10 benchmark words.
+
+    Whether a row leaks follows from its text alone, so rows are told apart by the text's digest: rows with null or
+    repeated ids are judged like all others.
+    """
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    found = decontamination.decontaminate(docs.select(digest.alias("digest"), "text"), table(spark, sf_dir, "benchmark"), width=10, id_col="digest")
+    return jaccard_join.without_keys(docs, found.where("n_hit > 0").select("doc"), digest)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
