@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheetforge.operators.encode import surface_grade, three_measures
 from sheetforge.operators.extract import GDT_NAMES, gdt_parts
 
+# Names of the tolerance classes in descriptions.
 TOLERANCE_NAMES = {"f": "fine", "m": "medium", "c": "coarse", "v": "very coarse"}
 GEOMETRY_NAMES = {"h": "tight", "k": "normal", "l": "loose"}
 # The sentences before and instead of the results of a search.

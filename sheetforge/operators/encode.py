@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,11 +99,11 @@ def split_vector(df: DataFrame, vec_col: str = "search_vector", layout: dict[str
 def representative_embedding(views: DataFrame, key: str = "drawing_id", *, pos: str = "view_pos", vec_col: str = "embedding", drawings: DataFrame | None = None, dim: int = LAYOUT["shape"]) -> DataFrame:
     """(drawing_id, view_pos, shape): of each drawing the view nearest to the mean of its views, the first on ties.
 
-    Means are built per element with partial sums, so a drawing of very many views is no load on one task. Drawings of
+    Means are vectors summed in part before the shuffle, so a drawing of very many views is no load on one task. Drawings of
     ``drawings`` without a view get zeros.
     """
-    long = views.select(key, F.posexplode(vec_col).alias("_i", "_x"))
-    means = long.groupBy(key, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m")).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"]).alias("_mean"))
+    vectors = views.where(F.col(vec_col).isNotNull()).select(key, array_to_vector(F.col(vec_col).cast("array<double>")).alias("_v"))
+    means = vectors.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(key, vector_to_array("_m").alias("_mean"))
     gap = F.aggregate(F.zip_with(F.col(vec_col), F.col("_mean"), lambda x, m: (x.cast("double") - m) * (x.cast("double") - m)), F.lit(0.0), lambda a, x: a + x)
     measured = views.join(means, key).withColumn("_d", F.round(F.sqrt(gap), 9))
     best = measured.groupBy(key).agg(F.min_by(F.struct(F.col(pos).alias("view_pos"), F.col(vec_col).cast("array<double>").alias("shape")), F.struct("_d", pos)).alias("_b")).select(key, "_b.*")

@@ -22,13 +22,15 @@ def scores(tp: Column, fp: Column, fn: Column) -> Column:
 
 
 def match_exact(results: DataFrame, key: str, truth: str, found: str) -> DataFrame:
-    """(key, tp, fp, fn): multiset overlap of two list columns."""
-    t = results.select(key, F.explode(truth).alias("_v")).groupBy(key, "_v").agg(F.count("*").alias("_t"))
-    f = results.select(key, F.explode(found).alias("_v")).groupBy(key, "_v").agg(F.count("*").alias("_f"))
-    hits = t.join(f, [key, "_v"]).groupBy(key).agg(F.sum(F.least("_t", "_f")).cast("int").alias("_tp"))
-    sizes = results.select(key, F.coalesce(F.size(truth), F.lit(0)).alias("_n"), F.coalesce(F.size(found), F.lit(0)).alias("_m"))
-    tp = F.coalesce("_tp", F.lit(0))
-    return sizes.join(hits, key, "left").select(key, tp.alias("tp"), (F.col("_m") - tp).alias("fp"), (F.col("_n") - tp).alias("fn"))
+    """(key, tp, fp, fn): multiset overlap of two list columns; both lie in the same row, so nothing is shuffled. Null elements match nothing."""
+
+    def times(values: str, v: Column) -> Column:
+        return F.size(F.filter(values, lambda x: x == v))
+
+    hits = F.transform(F.array_distinct(truth), lambda v: F.least(times(truth, v), times(found, v)))
+    tp = F.coalesce(F.aggregate(hits, F.lit(0), lambda a, x: a + x), F.lit(0))
+    rows = results.select(key, F.greatest(F.size(truth), F.lit(0)).alias("_n"), F.greatest(F.size(found), F.lit(0)).alias("_m"), tp.alias("tp"))
+    return rows.select(key, "tp", (F.col("_m") - F.col("tp")).alias("fp"), (F.col("_n") - F.col("tp")).alias("fn"))
 
 
 def gdt_keys(gdts: Column) -> Column:
@@ -44,7 +46,10 @@ def match_fuzzy(results: DataFrame, key: str, truth: str, found: str, cutoff: fl
     """
     skipping = variant == "skipping"
     tp = match_count(cutoff, spaceless=not skipping, skipping=skipping)(F.col(truth), F.col(found))
-    rows = results.select(key, F.size(truth).alias("_n"), F.size(found).alias("_m"), tp.alias("tp"))
+    # equal pairs of lists are matched once
+    matched = results.select(truth, found).distinct().withColumn("tp", tp)
+    same = results.alias("r").join(matched.alias("m"), F.col(f"r.{truth}").eqNullSafe(F.col(f"m.{truth}")) & F.col(f"r.{found}").eqNullSafe(F.col(f"m.{found}")))
+    rows = same.select(F.col(f"r.{key}").alias(key), F.greatest(F.size(f"r.{truth}"), F.lit(0)).alias("_n"), F.greatest(F.size(f"r.{found}"), F.lit(0)).alias("_m"), "m.tp")
     return rows.select(key, "tp", (F.col("_m") - F.col("tp")).alias("fp"), (F.col("_n") - F.col("tp")).alias("fn"))
 
 
@@ -59,9 +64,17 @@ def tolerance_scores(truth: Column, found: Column) -> Column:
     return F.struct((tp / 2).alias("accuracy"), both["precision"].alias("precision"), both["recall"].alias("recall"))
 
 
-def name_match(truth: Column, found: Column, above: float = 90) -> Column:
-    """1.0 when the names match fuzzily, case aside, else 0.0."""
-    return F.when(partial_ratio(F.lower(truth), F.lower(found)) > above, 1.0).otherwise(0.0)
+def match_names(results: DataFrame, truth: str, found: str, *, above: float = 90, out: str = "match") -> DataFrame:
+    """``results`` plus ``out``: 1.0 when the names match fuzzily, case aside, else 0.0; also where either is null.
+
+    A name inside the other matches in full. Only distinct pairs that this doesn't decide are aligned.
+    """
+    t, f = F.lower(truth), F.lower(found)
+    inside = ((t.contains(f) | f.contains(t)) & (t != "") & (f != "")) | (t == f)
+    marked = results.withColumns({"_t": t, "_f": f, "_in": F.coalesce(inside, F.lit(False))})
+    open_ = marked.where("not _in and _t is not null and _f is not null").select("_t", "_f").distinct()
+    scored = open_.withColumn("_s", partial_ratio("_t", "_f"))
+    return marked.join(scored, ["_t", "_f"], "left").select(*results.columns, F.when(F.col("_in") | (F.col("_s") > above), 1.0).otherwise(0.0).alias(out))
 
 
 def measure_distance(truth: Column, found: Column) -> Column:
@@ -88,7 +101,7 @@ def histogram(values: DataFrame, field: str = "field", value: str = "value", bin
     span = values.groupBy(field).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     x, lo, hi = F.col(value), F.col("_lo"), F.col("_hi")
     at = F.when(hi == lo, F.lit(bins // 2)).otherwise(F.least(F.lit(bins - 1), F.floor((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * bins).cast("int")))
-    return values.where(x.isNotNull()).join(F.broadcast(span), field).groupBy(field, at.alias("bin")).agg(F.count("*").alias("n"))
+    return values.where(x.isNotNull()).join(span, field).groupBy(field, at.alias("bin")).agg(F.count("*").alias("n"))
 
 
 # ------------------------------------------------------------------------------ retrieval
@@ -134,6 +147,17 @@ def per_tag_relevance(ranked: DataFrame) -> DataFrame:
     return rows.select("prompt_id", "tag", "rank", F.when(fits, 1).otherwise(-1).alias("relevance"))
 
 
+def all_prompts(simple: DataFrame, per_tag: DataFrame) -> DataFrame:
+    """(prompt, rank, relevance) of simple prompts (prompt_id, rank, relevance) and of two-tag ones, one list for each tag.
+
+    ``per_tag`` is as of ``per_tag_relevance``. prompt is a struct, so that ids of the two sets don't meet.
+    """
+    none = F.lit(None).cast("string")
+    one = simple.select(F.struct(F.lit("simple").alias("kind"), F.col("prompt_id").cast("string").alias("id"), none.alias("tag")).alias("prompt"), "rank", "relevance")
+    two = per_tag.select(F.struct(F.lit("complex").alias("kind"), F.col("prompt_id").cast("string").alias("id"), F.col("tag")).alias("prompt"), "rank", "relevance")
+    return one.unionByName(two)
+
+
 def labelling_tasks(prompts: DataFrame, hits: DataFrame, documents: DataFrame, k: int = 5, key: str = "drawing_id") -> DataFrame:
     """(prompt_id, prompt, tags, rank, document columns): the first k of each retrieval, to be labelled."""
     top = hits.where(F.col("rank") <= k).withColumnRenamed("query_id", "prompt_id")

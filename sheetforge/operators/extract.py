@@ -87,16 +87,15 @@ def extract_blobs(blobs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def gather(blobs: DataFrame, key: str = "drawing_id", pos: str = "pos") -> DataFrame:
-    """Lists of each drawing's blobs, joined in blob order. Blobs without any finding don't travel."""
-    some = blobs.where(" or ".join(f"size({c}) > 0" for c in LISTS))
-    lists = some.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(pos, *LISTS))).alias("_l"))
-    joined = blobs.select(key).distinct().join(lists, key, "left")
+    """Lists of each drawing's blobs, joined in blob order, in one pass. Blobs without any finding don't travel."""
+    some = F.expr(" or ".join(f"size({c}) > 0" for c in LISTS))
+    lists = blobs.groupBy(key).agg(F.sort_array(F.collect_list(F.when(some, F.struct(pos, *LISTS)))).alias("_l"))
     empty = {c: "array<array<string>>" if c == "material_class" else "array<string>" for c in LISTS}
 
     def joined_up(name: str) -> Column:
         return F.coalesce(F.flatten(F.transform("_l", lambda x: x[name])), F.array().cast(empty[name])).alias(name)
 
-    return joined.select(key, *[joined_up(c) for c in LISTS])
+    return lists.select(key, *[joined_up(c) for c in LISTS])
 
 
 def outer_measures(blobs: DataFrame, key: str = "drawing_id", pos: str = "pos") -> DataFrame:
@@ -107,7 +106,8 @@ def outer_measures(blobs: DataFrame, key: str = "drawing_id", pos: str = "pos")
     """
     m = measure(F.coalesce(F.col("text"), F.lit("")))
     usable = F.col("class").isNull() & ~F.col("is_text")
-    rows = blobs.withColumn("_m", F.when(usable, m))
+    # a list of at most one measure for each blob: what comes out of explode is computed once, whatever reads it; keys without one stay
+    rows = blobs.select(key, pos, *"xywh", F.explode_outer(F.when(usable, F.array(m))).alias("_m"))
     value, diameter = F.col("_m.value"), F.col("_m.is_diameter")
     box = F.struct(value.alias("value"), "x", "y", "w", "h")
     order = F.struct(value, -F.col(pos))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DICTIONARY_LIMIT = 50_000
+# Words that announce tolerances and materials.
 TOLERANCE_WORDS = ["2768", "7168", "toleranz", "tolerance"]
 MATERIAL_WORDS = ["material", "werkstoff", "halbzeug"]
 # Spelled-out classes, and the letters of the two norms.

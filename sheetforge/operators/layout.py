@@ -317,10 +317,11 @@ def outer_boxes(boxes: DataFrame, group: list[str]) -> DataFrame:
 
 
 def merge_text(boxes: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFrame:
-    """(drawing_id, x, y, w, h, text, is_text, kind): text blobs of drawings.
+    """(drawing_id, pos, x, y, w, h, text, is_text, kind): text blobs of drawings.
 
     Cells of the info block, text clusters and single measures of the drawing region; of pages without a frame the
-    boxes as they are. Empty cells give no row; boxes elsewhere are dropped.
+    boxes as they are. Empty cells give no row; boxes elsewhere are dropped. pos numbers the blobs of a drawing from 0: cells by
+    rectangle, then clusters by number, then measures, or boxes, by their place.
     """
     frames = stored(inner_frames(rects, pages), "frames")
     burnt = stored(reachable_cells(rects, frames), "cells")
@@ -330,10 +331,13 @@ def merge_text(boxes: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFram
     cells = stored(without_nested(cells.join(info_cells, ["drawing_id", "rect_id"], "left_semi")), "info")
     framed = frames.select("drawing_id")
 
+    def blobs(df: DataFrame, step: int, at: str, text_like: Column, kind: str) -> DataFrame:
+        return df.select("drawing_id", F.lit(step).alias("_step"), F.col(at).cast("long").alias("_at"), *"xywh", "text", text_like.alias("is_text"), F.lit(kind).alias("kind"))
+
     in_cells = assign_cells(placed.where("region = 'info'").drop("region"), cells)
     key = ["drawing_id", "rect_id"]
     cell_text = merged_text(in_cells, line_groups(in_cells, key), key)
-    from_cells = cells.join(cell_text, key).select("drawing_id", "x", "y", "w", "h", "text", F.lit(True).alias("is_text"), F.lit("cell").alias("kind"))
+    from_cells = blobs(cells.join(cell_text, key), 0, "rect_id", F.lit(True), "cell")
 
     drawn = placed.where("region = 'drawing'").drop("region")
     is_text = letter_share(F.col("text")) > 0.5
@@ -341,10 +345,12 @@ def merge_text(boxes: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFram
     clustered = stored(wordy.join(text_clusters(wordy), ["drawing_id", "pos"]), "clusters")
     key = ["drawing_id", "cluster"]
     cluster_text = merged_text(clustered, line_groups(clustered, key), key)
-    from_clusters = outer_boxes(clustered, key).join(cluster_text, key).select("drawing_id", "x", "y", "w", "h", "text", F.lit(True).alias("is_text"), F.lit("cluster").alias("kind"))
-    measures = drawn.where(~is_text).select("drawing_id", "x", "y", "w", "h", "text", F.lit(False).alias("is_text"), F.lit("measure").alias("kind"))
-    loose = boxes.join(framed, "drawing_id", "left_anti").select("drawing_id", "x", "y", "w", "h", "text", is_text.alias("is_text"), F.lit("box").alias("kind"))
-    return from_cells.unionByName(from_clusters).unionByName(measures).unionByName(loose)
+    from_clusters = blobs(outer_boxes(clustered, key).join(cluster_text, key), 1, "cluster", F.lit(True), "cluster")
+    measures = blobs(drawn.where(~is_text), 2, "pos", F.lit(False), "measure")
+    loose = blobs(boxes.join(framed, "drawing_id", "left_anti"), 3, "pos", is_text, "box")
+    order = Window.partitionBy("drawing_id").orderBy("_step", "_at")
+    every = from_cells.unionByName(from_clusters).unionByName(measures).unionByName(loose)
+    return every.select("drawing_id", (F.row_number().over(order) - 1).alias("pos"), *"xywh", "text", "is_text", "kind")
 
 
 def ordered_views(views: DataFrame, key: str = "drawing_id", idx: str = "idx") -> DataFrame:

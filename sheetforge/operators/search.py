@@ -1,7 +1,7 @@
 """Exact nearest neighbours of many queries: composite distance and cosine similarity.
 
-The queries go to the tasks in blocks of bounded size; each task compares its batch of corpus rows with
-a block by matrix products and keeps k rows per query, so what is shuffled is k rows per query and task.
+The queries are a table in the shared folder (one that pyarrow opens, as all executors read it); each task compares its slice of
+corpus rows with blocks of them by matrix products and keeps k rows per query, so what is shuffled is k rows per query and slice.
 """
 
 from __future__ import annotations
@@ -11,13 +11,15 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs, parquet
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetforge.functions.distance import DIMENSION_STDS, LAYOUT, SURFACE_STD, WEIGHTS
+from sheetforge.scratch import stored
 
-#: Queries whose vectors go to the tasks at once.
-BLOCK = 2_048
+#: Queries that a task compares at once, and corpus rows that it holds.
+BLOCK, SLICE = 512, 8_192
 
 
 def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,34 +67,44 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _nearest(queries: DataFrame, corpus: DataFrame, k: int, width: int, compare, id_col: str, vec_col: str, query_col: str, score: str) -> DataFrame:
-    """Top k of each query by least value of ``compare(query matrix, corpus matrix)``, ties by id."""
-    listed = queries.select(F.col(query_col).cast("long"), vec_col).where(F.size(vec_col) == width)
+    """Top k of each query by least value of ``compare(query matrix, corpus matrix)``, ties by id.
+
+    The queries are a stored table; a task reads its corpus rows once, SLICE at a time, and streams over the queries' files
+    in blocks for each slice. So neither set passes through the driver, and a task holds one slice and one block, however many there are.
+    """
+    listed = stored(queries.select(F.col(query_col).cast("long").alias("q"), F.col(vec_col).cast("array<double>").alias("v")).where(F.size("v") == width), "queries")
+    files = sorted(listed.inputFiles())
     rows = corpus.select(F.col(id_col).cast("long"), vec_col).where(F.size(vec_col) == width)
-    best = None
-    numbered = [(r[0], r[1]) for r in listed.toLocalIterator()]  # the caller's queries, in blocks of BLOCK vectors
-    for at in range(0, max(1, len(numbered)), BLOCK):
-        part = numbered[at : at + BLOCK]
-        names = np.array([q for q, _ in part], dtype=np.int64)
-        wanted = np.array([v for _, v in part], dtype=np.float64).reshape(-1, width)
-
-        def local(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, wanted: np.ndarray = wanted) -> Iterator[pa.RecordBatch]:
-            ids = np.empty((len(names), 0), dtype=np.int64)
-            values = np.empty((len(names), 0))
-            for batch in batches:
-                for start in range(0, len(batch), 1024):
-                    piece = batch.slice(start, 1024)
-                    own = piece[0].to_numpy()
-                    ids = np.hstack([ids, np.broadcast_to(own, (len(names), len(own)))])
-                    values = np.hstack([values, compare(wanted, _matrix(piece[1], width))])
-                    order = np.lexsort((ids, values), axis=1)[:, :k]
-                    ids, values = np.take_along_axis(ids, order, 1), np.take_along_axis(values, order, 1)
-            n = ids.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(ids.ravel()), pa.array(values.ravel())], names=["query_id", id_col, score])
-
-        found = rows.mapInArrow(local, f"query_id long, {id_col} long, {score} double")
-        best = found if best is None else best.unionByName(found)
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for file in files:
+            store, path = fs.FileSystem.from_uri(file)
+            with store.open_input_file(path) as source:
+                for batch in parquet.ParquetFile(source).iter_batches(batch_size=BLOCK):
+                    if len(batch):
+                        yield batch.column("q").to_numpy(), _matrix(batch.column("v"), width)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ranked(ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for names, wanted in blocks():
+                values = compare(wanted, vectors)
+                order = np.lexsort((np.broadcast_to(ids, values.shape), values), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(values, order, 1).ravel())], names=["query_id", id_col, score])
+
+        ids, vectors, n = [], [], 0
+        for batch in batches:
+            ids.append(batch[0].to_numpy())
+            vectors.append(_matrix(batch[1], width))
+            n += len(batch)
+            if n >= SLICE:
+                yield from ranked(np.concatenate(ids), np.concatenate(vectors))
+                ids, vectors, n = [], [], 0
+        if n:
+            yield from ranked(np.concatenate(ids), np.concatenate(vectors))
+
+    found = rows.mapInArrow(local, f"query_id long, {id_col} long, {score} double")
     rank = Window.partitionBy("query_id").orderBy(score, id_col)
-    return best.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
 def search(queries: DataFrame, corpus: DataFrame, k: int = 5, weights: list[float] | None = None, layout: dict[str, int] = LAYOUT, *, id_col: str = "drawing_id", vec_col: str = "search_vector", query_col: str = "query_id") -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheetforge.operators.numbering import numbered
+
 #: child table -> (foreign key, parent table)
 PARENTS = {"runtimes": [("drawing_id", "drawings")], "searchdata": [("drawing_id", "drawings")], "feedbacks": [("history_id", "history"), ("drawing_id", "drawings")]}
 
@@ -24,10 +26,10 @@ def not_found(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 
 def upsert(base: DataFrame, delta: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """``base`` with rows of ``delta`` replacing those of equal key; of several for one key the last by ``order`` counts."""
-    if order is not None:
-        latest = Window.partitionBy(key).orderBy(F.desc(order))
-        delta = delta.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
+    """``base`` with rows of ``delta`` replacing those of equal key; of several for one key the last by ``order`` counts, one by a hash without it."""
+    others = [c for c in delta.columns if c != key]
+    latest = Window.partitionBy(key).orderBy(F.desc(order) if order is not None else F.xxhash64(*others))
+    delta = delta.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
     if order is not None and order not in base.columns:
         delta = delta.drop(order)
     return base.join(delta.select(key), key, "left_anti").unionByName(delta)
@@ -123,18 +125,11 @@ def flatten_history(documents: DataFrame) -> dict[str, DataFrame]:
 
 
 def with_serial_ids(new_rows: DataFrame, base: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """``new_rows`` with ids that follow the greatest of ``base``, in the order of ``order``.
-
-    Numbers are dealt in two steps, within ranges and by the ranges' counts, so no task orders all rows.
-    """
-    top = base.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    parts = max(1, int(new_rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = new_rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    within = Window.partitionBy("_part").orderBy(*order)
-    ranked = ranged.withColumn("_rank", F.row_number().over(within))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranked.join(F.broadcast(before), "_part").crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_before") + F.col("_rank")).cast("int").alias(key), *[c for c in new_rows.columns if c != key])
+    """``new_rows`` with ids that follow the greatest of ``base``, in the order of ``order``; dealt in two steps, so no task orders all rows."""
+    top = base.agg(F.coalesce(F.max(key), F.lit(0)).cast("long").alias("_top"))  # one row
+    others = [c for c in new_rows.columns if c != key]
+    ranked = numbered(new_rows.select(*others), order, "_id")
+    return ranked.crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_id")).alias(key), *others)
 
 
 def with_default_timestamp(df: DataFrame, column: str = "timestamp") -> DataFrame:

@@ -25,7 +25,9 @@ DOMAIN = {
     "rects": "SELECT o AS drawing_id, n AS rect_id, (p % 12) * 40 AS x, (s % 12) * 40 AS y, 60 + (p % 5) * 40 AS w, 60 + (s % 5) * 40 AS h FROM lines",
     "frames": "SELECT drawing_id, CAST(MIN(rect_id) AS INT) AS rect_id, 0 AS x, 0 AS y, 600 AS w, 600 AS h FROM rects GROUP BY drawing_id",
     "pages": "SELECT DISTINCT o AS drawing_id, CAST(90000 AS BIGINT) AS image_area FROM lines",
-    "boxes": "SELECT o AS drawing_id, n AS pos, (s % 25) * 20 AS x, (p % 25) * 20 AS y, 20 + p % 30 AS w, 10 + s % 6 AS h, CONCAT('w', CAST(p % 7 AS STRING)) AS text FROM lines",
+    "boxes": """SELECT o AS drawing_id, n AS pos, (s % 25) * 20 AS x, (p % 25) * 20 AS y, 20 + p % 30 AS w, 10 + s % 6 AS h, CASE p % 11 WHEN 0 THEN CONCAT('Ra ', CAST(s % 30 AS STRING), '.2') WHEN 1 THEN 'DIN ISO 2768 mK' WHEN 2 THEN CONCAT('DIN ISO ', CAST(1000 + s % 90 * 10 AS STRING))
+        WHEN 3 THEN CONCAT('⌀', CAST(s % 90 AS STRING)) WHEN 4 THEN CAST(s % 400 AS STRING) WHEN 5 THEN CONCAT('M', CAST(s % 40 AS STRING), 'x1.5') WHEN 6 THEN CONCAT('// 0.0', CAST(n AS STRING), ' A')
+        WHEN 7 THEN 'red ring' WHEN 8 THEN 'Werkstoff' WHEN 9 THEN CONCAT('part no ', CAST(p % 7 AS STRING)) ELSE CONCAT('w', CAST(p % 7 AS STRING)) END AS text FROM lines""",
     "corpus": "SELECT CAST(vec_id AS INT) AS drawing_id, embedding AS search_vector, label FROM embeddings",
     "features": """SELECT CAST(p_partkey AS INT) AS drawing_id, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'mK' WHEN p_size % 3 = 1 THEN 'f-' ELSE 'xh' END AS tolerance,
       CASE WHEN p_size % 5 = 0 THEN 'c-' ELSE 'vL' END AS tolerance2, CONCAT('Ra ', CAST(p_size AS STRING), '.2') AS surface, CONCAT('Rz', CAST(p_size % 7 AS STRING), '.5') AS surface2,

@@ -51,13 +51,12 @@ def a4_text_literals(features: DataFrame) -> DataFrame:
     return rows.select("drawing_id", "literal", F.size(back).alias("n"), F.try_element_at(back, F.lit(-1)).alias("last"))
 
 
-@query("documents", sql="SELECT doc_id, lang AS tag, source AS tag2, length(text) AS n FROM (SELECT doc_id, lang, source, coalesce(replace(replace(trim(text, ' '), chr(10), ' '), ':', ';'), '') AS text FROM documents)")
+@query("documents", sql="SELECT doc_id, lang AS tag, source AS tag2, length(trim(text, ' ')) AS n FROM (SELECT doc_id, lang, source, coalesce(replace(replace(trim(text, ' '), chr(10), ' '), ':', ';'), '') AS text FROM documents)")
 def a7_split_prompts(documents: DataFrame) -> DataFrame:
     """Prompt lines of two tags split into tags and prompt."""
     text = F.coalesce(F.replace(F.replace(F.trim("text"), F.lit("\n"), F.lit(" ")), F.lit(":"), F.lit(";")), F.lit(""))
     lines = documents.select("doc_id", F.concat_ws(":", F.concat_ws(",", "lang", "source"), text).alias("value"))
-    out = lines.select("doc_id", F.split(F.split_part("value", F.lit(":"), F.lit(1)), ",").alias("tags"), F.expr("substr(value, instr(value, ':') + 1)").alias("prompt"))
-    return out.select("doc_id", F.get("tags", F.lit(0)).alias("tag"), F.get("tags", F.lit(1)).alias("tag2"), F.length("prompt").cast("long").alias("n"))
+    return files.split_prompts(lines).select("doc_id", F.get("tags", F.lit(0)).alias("tag"), F.get("tags", F.lit(1)).alias("tag2"), F.length("prompt").cast("long").alias("n"))
 
 
 # ------------------------------------------------------------------------------ store
@@ -354,12 +353,30 @@ def _by(column: str):
     return Window.orderBy(column)
 
 
-@query("part", "supplier")
-def d7_fuzzy_match(part: DataFrame, supplier: DataFrame) -> DataFrame:
+_CANDIDATE = "CASE WHEN m[i] = 1 THEN coalesce(prev[i - 1], 0) + 1 ELSE prev[i] END"
+_ROW = f"list_transform(range(1, len(m) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: {_CANDIDATE})))"
+
+
+def _sql_ratios(pairs: str) -> str:
+    """CTEs up to ratios(t, w, r): partial ratios of the pairs (t, w) of a SELECT, none of them empty; LCS by dynamic programming."""
+    return f"""pairs AS (SELECT DISTINCT t, w FROM ({pairs})),
+  sided AS (SELECT t, w, CASE WHEN length(t) <= length(w) THEN t ELSE w END AS a, CASE WHEN length(t) <= length(w) THEN w ELSE t END AS b FROM pairs UNION SELECT t, w, w, t FROM pairs WHERE length(t) = length(w)),
+  wins AS (SELECT t, w, a, unnest(list_concat(list_transform(range(1, length(a)), lambda i: b[1:i]), list_transform(range(0, length(b) - length(a) + 1), lambda i: b[i + 1:i + length(a)]),
+    list_transform(range(length(b) - length(a) + 1, length(b)), lambda i: b[i + 1:length(b)]))) AS v FROM sided),
+  grids AS (SELECT a, v, list_transform(range(1, length(v) + 1), lambda j: 0) AS zero, list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(v) + 1), lambda j: CASE WHEN a[i] = v[j] THEN 1 ELSE 0 END)) AS marks
+    FROM (SELECT DISTINCT a, v FROM wins)),
+  lcs AS (SELECT a, v, list_max(list_reduce(marks, lambda prev, m: {_ROW}, zero)) AS l FROM grids),
+  ratios AS (SELECT t, w, max(200 * l / (length(a) + length(v))) AS r FROM wins JOIN lcs USING (a, v) GROUP BY 1, 2)"""
+
+
+@query("part", sql=f"""WITH words AS (SELECT regexp_extract(p_brand, '[0-9]+')::BIGINT AS word_id, min(p_name) AS word FROM part GROUP BY p_brand), texts AS (SELECT p_partkey, regexp_replace(p_name, '[aeo]', 'e', 'g') AS text FROM part),
+  {_sql_ratios('SELECT lower(text) AS t, lower(word) AS w FROM texts, words')}, best AS (SELECT t, max(word_id) AS word_id FROM ratios JOIN words ON w = lower(word) WHERE r >= 85 AND length(t) >= 5 GROUP BY 1)
+  SELECT p_partkey, text, coalesce(word_id, -1) AS word_id FROM texts LEFT JOIN best ON t = lower(text)""")
+def d7_fuzzy_match(part: DataFrame) -> DataFrame:
     """Drawing names against a word list; tested against a plain version."""
     words = part.groupBy("p_brand").agg(F.min("p_name").alias("word")).select(F.regexp_extract("p_brand", r"\d+", 0).cast("long").alias("word_id"), "word")
     texts = part.select("p_partkey", F.regexp_replace("p_name", "[aeo]", "e").alias("text"))
-    return fuzzy.fuzzy_match(texts, words)
+    return fuzzy.fuzzy_match(texts, words).withColumn("word_id", F.coalesce("word_id", F.lit(-1)))
 
 
 @query("blobs", "part")
@@ -400,10 +417,20 @@ def e5_gdt_vector(features: DataFrame) -> DataFrame:
     return features.select("drawing_id", F.get(v, F.lit(0)).alias("concentric"), F.get(v, F.lit(8)).alias("parallel"), F.get(v, F.lit(3)).alias("other"))
 
 
-@query("blobs", "part")
+def _norms(part: DataFrame) -> DataFrame:
+    """A dictionary of norms: one for each size in steps of five, so a bounded number."""
+    sizes = part.select((F.col("p_size") - F.col("p_size") % 5).alias("norm_id")).distinct()
+    return sizes.select("norm_id", F.concat(F.lit("DIN ISO "), (10_000 + F.col("norm_id") * 200).cast("string")).alias("name"))
+
+
+@query("blobs", "part", sql=rf"""WITH norms AS (SELECT DISTINCT p_size - p_size % 5 AS norm_id, (10000 + (p_size - p_size % 5) * 200)::VARCHAR AS norm FROM part),
+  found AS (SELECT drawing_id, unnest(list_filter(list_transform(regexp_extract_all(lower(text), '(?:din |iso )+[0-9]+'), lambda x: regexp_replace(x, '[^0-9.]', '', 'g')), lambda x: x NOT IN ('2768', '7168', ''))) AS number FROM blobs),
+  {_sql_ratios('SELECT norm AS t, number AS w FROM norms, found')}, hot AS (SELECT DISTINCT drawing_id, t FROM found JOIN ratios ON number = w WHERE r >= 85),
+  every AS (SELECT drawing_id, norm_id, norm FROM (SELECT DISTINCT drawing_id FROM blobs), norms)
+  SELECT every.drawing_id, string_agg(CASE WHEN t IS NULL THEN '0' ELSE '1' END, '' ORDER BY norm_id) AS norms FROM every LEFT JOIN hot ON hot.drawing_id = every.drawing_id AND t = norm GROUP BY 1""")
 def e6_norm_flags(blobs: DataFrame, part: DataFrame) -> DataFrame:
     """Known norms that drawings name, fuzzily; tested against a plain version."""
-    known = part.groupBy().agg(F.max("p_size")).select(F.explode(F.sequence(F.lit(0), F.lit(8))).alias("norm_id")).select("norm_id", F.concat(F.lit("DIN ISO "), (1000 + F.col("norm_id") * 100).cast("string")).alias("name"))
+    known = _norms(part)
     found = extract.gather(extract.extract_blobs(blobs))
     out = fuzzy.norm_flags(found, known)
     return out.select("drawing_id", F.array_join(F.transform("norm_vector", lambda x: x.cast("int").cast("string")), "").alias("norms"))
@@ -696,10 +723,11 @@ def h5_tolerance_scores(features: DataFrame) -> DataFrame:
     return features.select("drawing_id", chars("tolerance").alias("t"), chars("tolerance2").alias("f")).select("drawing_id", evaluate.tolerance_scores(F.col("t"), F.col("f")).alias("s")).select("drawing_id", "s.*")
 
 
-@query("part")
+@query("part", sql=f"""WITH n AS (SELECT p_partkey, lower(p_name) AS t, lower(regexp_replace(p_name, 'e', 'a', 'g')) AS w FROM part), {_sql_ratios('SELECT t, w FROM n')}
+  SELECT p_partkey, CASE WHEN r > 90 THEN 1.0 ELSE 0.0 END::DOUBLE AS match FROM n JOIN ratios USING (t, w)""")
 def h6_name_match(part: DataFrame) -> DataFrame:
     """Fuzzy name matches; tested against a plain version."""
-    return part.select("p_partkey", evaluate.name_match(F.col("p_name"), F.regexp_replace("p_name", "^s", "z")).alias("match"))
+    return evaluate.match_names(part.select("p_partkey", "p_name", F.regexp_replace("p_name", "e", "a").alias("found")), "p_name", "found").select("p_partkey", "match")
 
 
 def _sql_gap(a: str, b: str) -> str:
@@ -747,11 +775,22 @@ def h9_precision_at_3(ranked: DataFrame) -> DataFrame:
 @query("ranked", sql=f"""WITH {_CODES}, x AS (SELECT tag || '-a' AS t, tag, prompt_id, rank, CASE WHEN feature IN (0, 1) THEN 1 ELSE -1 END AS rel FROM r UNION ALL SELECT tag || '-b', tag, prompt_id, rank, CASE WHEN feature IN (0, 2) THEN 1 ELSE -1 END FROM r),
   e AS (SELECT t, prompt_id, count(*) FILTER (WHERE rel = 1 AND rank <= 5) / 5 AS p FROM x GROUP BY 1, 2) SELECT t AS tag, round(avg(p), 6) AS precision, count(*) AS n FROM e GROUP BY 1""")
 def h11_precision_per_tag(ranked: DataFrame) -> DataFrame:
-    """Two-tag prompts as one relevance list per tag."""
+    """Two-tag prompts as one relevance list per tag."""
     rows = _codes(ranked).withColumn("tags", F.array(F.concat("tag", F.lit("-a")), F.concat("tag", F.lit("-b"))))
     return evaluate.precision_at_k(evaluate.per_tag_relevance(rows), 5, by=["tag"]).withColumn("precision", F.round("precision", 6))
 
 
+@query("ranked", sql=f"""WITH {_CODES}, x AS (SELECT 's' AS k, tag || prompt_id AS id, rank, rel FROM r UNION ALL SELECT 'a', tag || prompt_id, rank, CASE WHEN feature IN (0, 1) THEN 1 ELSE -1 END FROM r
+  UNION ALL SELECT 'b', tag || prompt_id, rank, CASE WHEN feature IN (0, 2) THEN 1 ELSE -1 END FROM r),
+  e AS (SELECT k, id, count(*) FILTER (WHERE rel = 1 AND rank <= 3) / 3 AS p, count(*) FILTER (WHERE rel >= 0 AND rank <= 3) / 3 AS q FROM x GROUP BY 1, 2) SELECT round(avg(p), 6) AS precision, round(avg(q), 6) AS precision_partly, count(*) AS n FROM e""")
+def h12_all_prompts(ranked: DataFrame) -> DataFrame:
+    """Simple and two-tag prompts together: overall precision@3."""
+    rows = _codes(ranked).withColumn("prompt_id", F.concat("tag", F.col("prompt_id").cast("string")))
+    per_tag = evaluate.per_tag_relevance(rows.withColumn("tags", F.array(F.concat("tag", F.lit("-a")), F.concat("tag", F.lit("-b")))))
+    out = evaluate.precision_at_k(evaluate.all_prompts(rows, per_tag), 3, key="prompt", partial=True)
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "precision_partly")})
+
+
 @query("corpus", "drawings", sql=f"{_COSINE} SELECT query_id AS prompt_id, rank, drawing_id, name FROM r JOIN drawings USING (drawing_id) WHERE rank <= 5")
 def h13_labelling_tasks(corpus: DataFrame, drawings: DataFrame) -> DataFrame:
     v = corpus.select("drawing_id", F.col("search_vector").alias("llm_vector"))
@@ -790,8 +829,9 @@ def h15_truth_classes(pixels: DataFrame) -> DataFrame:
 @query("boxes", "rects", "pages", "part")
 def w1_index(boxes: DataFrame, rects: DataFrame, pages: DataFrame, part: DataFrame) -> DataFrame:
     """Bulk load: layout, extraction, gathering and encoding of all drawings; its steps have SQL of their own."""
-    out = workloads.index_drawings(boxes, rects, pages, _materials(part))
-    return out.select("drawing_id", F.size("ocr_vector").alias("width"), F.array_join("surfaces", "|").alias("surfaces"))
+    out = workloads.index_drawings(boxes, rects, pages, _materials(part), _norms(part))
+    vector = F.array_join(F.transform("ocr_vector", lambda x: F.round(x, 4).cast("string")), " ")
+    return out.select("drawing_id", F.size("ocr_vector").alias("width"), F.sha2(vector, 256).alias("vector_sha256"), F.array_join("surfaces", "|").alias("surfaces"), F.array_join("other_isos", "|").alias("norms"))
 
 
 @query("corpus", "drawings")

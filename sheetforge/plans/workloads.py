@@ -17,7 +17,7 @@ def index_drawings(boxes: DataFrame, rects: DataFrame, pages: DataFrame, materia
 
     ``materials`` and ``norms`` are small dictionaries; without norms their section is empty.
     """
-    blobs = stored(layout.merge_text(boxes, rects, pages).withColumn("pos", F.xxhash64("x", "y", "kind", "text")), "blobs")
+    blobs = stored(layout.merge_text(boxes, rects, pages), "blobs")
     found = stored(extract.extract_blobs(fuzzy.match_attributes(blobs, materials)), "found")
     gathered = extract.gather(found).join(extract.outer_measures(found), "drawing_id", "left")
     if norms is not None:

@@ -6,10 +6,12 @@ Missing lists are read as empty lists.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheetforge.operators.numbering import numbered
+
 DRAWINGS = "drawing_id int, original_drawing binary"
 RUNTIMES = "runtime_id int, drawing_id int, machine string, machine_runtime double"
 SEARCHDATA = (
@@ -94,21 +96,20 @@ def read_searchdata_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def searchdata_rows(wide: DataFrame) -> DataFrame:
-    """Second projection of a wide table of drawings: searchdata with array literals and ids 0, 1, ... by drawing_id."""
-    numbered = wide.withColumn("searchdata_id", row_ids(wide, ["drawing_id"], first=0))
+    """Second projection of a wide table of drawings (one row for each): searchdata with array literals and ids 0, 1, ... by drawing_id.
+
+    Only keys are numbered; the wide rows are joined with them.
+    """
+    ids = numbered(wide.select("drawing_id").distinct(), ["drawing_id"], "searchdata_id", first=0)
+    joined = wide.drop("searchdata_id").join(ids, "drawing_id")
 
     def text(name: str) -> Column:
-        if name not in numbered.columns:
+        if name not in joined.columns:
             return F.lit("{}" if name in FLOAT_LISTS + TEXT_LISTS else None).cast("string").alias(name)
         column = F.col(name)
         return (numbers_literal(column) if name in FLOAT_LISTS else texts_literal(column) if name in TEXT_LISTS else column.cast("string")).alias(name)
 
-    return numbered.select(*[text(c) for c in _names(SEARCHDATA)])
-
-
-def row_ids(df: DataFrame, order: list[str], first: int = 1) -> Column:
-    """Gapless numbers in the order of ``order``. For slim tables of keys: one task orders them."""
-    return F.row_number().over(Window.orderBy(*order)) + F.lit(first - 1)
+    return joined.select(*[text(c) for c in _names(SEARCHDATA)])
 
 
 def write_drawings_and_searchdata(wide: DataFrame, drawings_path: str, searchdata_path: str) -> None:
@@ -128,8 +129,9 @@ def read_drawing_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     good = F.lower("path").rlike(r"\.(" + "|".join(ACCEPTED_FILES) + ")$")
-    ids = files.where(good).select("path").withColumn("drawing_id", row_ids(files, ["path"], first=0))
-    accepted = files.where(good).join(F.broadcast(ids), "path") if ids.count() <= 100_000 else files.where(good).join(ids, "path")
+    ids = numbered(files.where(good).select("path"), ["path"], "drawing_id", first=0)
+    # a table of paths, stored, so Spark knows its size and broadcasts it only if it is small
+    accepted = files.where(good).join(ids, "path")
     return accepted.select("drawing_id", "path", F.col("content").alias("original_drawing")), files.where(~good).select("path")
 
 
@@ -146,9 +148,10 @@ def read_norms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_prompts(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Lines ``tag1,tag2:prompt`` -> (tags, prompt); blank lines go."""
+    """Lines ``tag1,tag2:prompt`` -> other columns, tags, prompt; blank lines go."""
     rows = lines.where(F.trim(column) != "")
     return rows.select(
+        *[c for c in lines.columns if c != column],
         F.transform(F.split(F.split_part(column, F.lit(":"), F.lit(1)), ","), lambda t: F.trim(t)).alias("tags"),
         F.trim(F.expr(f"substr({column}, instr({column}, ':') + 1)")).alias("prompt"),
     )
@@ -156,15 +159,20 @@ def split_prompts(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """Prompt file -> (prompt_id, tags, prompt), ids by line."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("prompt_id", "value"))
-    rows = lines.where(F.trim("value") != "")
-    return rows.select("prompt_id", *[c for c in (F.transform(F.split(F.split_part("value", F.lit(":"), F.lit(1)), ","), lambda t: F.trim(t)).alias("tags"), F.trim(F.expr("substr(value, instr(value, ':') + 1)")).alias("prompt"))])
+    return split_prompts(spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("prompt_id", "value")))
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation run ``{results: [{ground_truth, prediction}]}`` -> one row per result."""
-    schema = f"results array<struct<ground_truth: struct<{ANSWER.replace(' array', ':array').replace(' struct', ':struct').replace('name string', 'name:string')}>, response: string>>"
-    return spark.read.json(path, schema=schema, multiLine=True).select(F.posexplode("results").alias("result_id", "r")).select("result_id", "r.ground_truth", F.from_json("r.response", ANSWER).alias("prediction"))
+    """Evaluation run ``{results: [{ground_truth, <answer>}]}`` -> (result_id, ground_truth, prediction).
+
+    The answer is JSON text under vlm_reponse or a struct under preprocessor_reponse (fixed names, spelled so in the files); a result without either has
+    a null prediction.
+    """
+    answer = T._parse_datatype_string(ANSWER)
+    result = T.StructType([T.StructField("ground_truth", answer), T.StructField("vlm_reponse", T.StringType()), T.StructField("preprocessor_reponse", answer)])
+    runs = spark.read.json(path, schema=T.StructType([T.StructField("results", T.ArrayType(result))]), multiLine=True)
+    prediction = F.coalesce(F.from_json("r.vlm_reponse", answer), F.col("r.preprocessor_reponse"))
+    return runs.select(F.posexplode("results").alias("result_id", "r")).select("result_id", "r.ground_truth", prediction.alias("prediction"))
 
 
 def read_table(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int = 16, **options: str) -> DataFrame:
