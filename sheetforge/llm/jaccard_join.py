@@ -36,7 +36,7 @@ from sheetforge.llm.common import connected_components, dropped, mix64, shingle_
 SKETCH_BITS = 18
 SLICES = 64
 LEAST_WIDTH = 2048  # bits of a document's bitmap
-TREE_WIDTH = 512  # bits of the bitmaps in trees: members' ones folded
+TREE_WIDTH = 1024  # bits of the bitmaps in trees: members' ones folded
 FAN = 32
 CHUNK = 256  # members of a block that are numbered together
 MOST_IDS = 8_000_000  # ids that a filter of bounded size tells apart well; more are joined
@@ -362,11 +362,17 @@ def _leaf_pairs(percent: int):
         bits = [int.from_bytes(m["small"], "little") for m in members]
         return sorted((m["n"], m["doc"], m["component"], x, m["n"] - x.bit_count()) for m, x in zip(members, bits, strict=True))
 
+    def flush(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+        found.clear()
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # pairs listed already; a pair can stand in many blocks. It only spares repeats, so it may be emptied
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for same, left, right in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
+            for same, left, right in zip(*(batch[i] for i in range(3)), strict=True):
+                same, left, right = same.as_py(), left.as_py(), right.as_py()  # one pair of leaves at a time
                 a = unpacked(left)
                 b = a if same else unpacked(right)
                 for i, (n, doc, component, x, slack) in enumerate(a):
@@ -379,9 +385,11 @@ def _leaf_pairs(percent: int):
                         if pair not in seen:
                             seen.add(pair)
                             found.append(pair)
-            if len(seen) > 2_000_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+                if len(found) > 20_000:
+                    yield flush(found)
+                if len(seen) > 100_000:
+                    seen.clear()
+            yield flush(found)
 
     return run
 
@@ -460,9 +468,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     blocks = stored(shared.join(slim.where("rep = doc").select("doc", "n").distinct(), "doc").select("token", F.col("doc").alias("rep"), "n").distinct(), "blocks")
 
     # hubs
+    first = F.struct("rep", "n")
+    led = blocks.where(~hot).withColumn("hub", F.min(first).over(token))
+    if often:
+        led = led.unionByName(with_extremes(blocks.where(hot), ["token"], "rep", {"hub": (F.min, first)}))
     stars = (
-        with_extremes(blocks, ["token"], "rep", {"hub": (F.min, F.struct("rep", "n"))})
-        .where((F.col("rep") != F.col("hub.rep")) & (100 * F.col("n") >= percent * F.col("hub.n")) & (100 * F.col("hub.n") >= percent * F.col("n")))
+        led.where((F.col("rep") != F.col("hub.rep")) & (100 * F.col("n") >= percent * F.col("hub.n")) & (100 * F.col("hub.n") >= percent * F.col("n")))
         .select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"))
         .distinct()
     )
