@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetforge.operators.numbering import numbered
+from sheetforge.scratch import stored
 
 #: child table -> (foreign key, parent table)
 PARENTS = {"runtimes": [("drawing_id", "drawings")], "searchdata": [("drawing_id", "drawings")], "feedbacks": [("history_id", "history"), ("drawing_id", "drawings")]}
@@ -32,6 +33,7 @@ def upsert(base: DataFrame, delta: DataFrame, key: str, order: str | None = None
     delta = delta.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
     if order is not None and order not in base.columns:
         delta = delta.drop(order)
+    delta = stored(delta, "delta")  # read twice, and the same row must win both times
     return base.join(delta.select(key), key, "left_anti").unionByName(delta)
 
 
