@@ -455,14 +455,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     marks = stored(signatures(docs, levels, percent=percent, **source), "signatures")
     slim = stored(with_extremes(marks.select("doc", "n", "key_a", "key_b"), ["key_a", "key_b", "n"], "doc", {"rep": (F.min, "doc")}).select("doc", "n", "rep"), "classes")
 
-    # blocks: shingles in the prefixes of different sets. A shingle whose counter is low has few rows, so they may meet in a window;
+    # blocks: shingles in the prefixes of different documents. A shingle whose counter is low has few rows, so they may meet in a window;
     # those of the other shingles count as shared
     token = Window.partitionBy("token")
     slot = F.shiftrightunsigned("token", 64 - SKETCH_BITS)
     often = [i for i, level in enumerate(levels.tolist()) if level >= HOT_LEVEL]
-    rows = marks.where("n > 0 and doc is not null").select("doc", "key_a", F.explode("prefix").alias("token"))
+    rows = marks.where("n > 0 and doc is not null").select("doc", F.explode("prefix").alias("token"))
     hot = slot.isin(often) if often else F.lit(False)
-    rare = rows.where(~hot).withColumns({"lo": F.min("key_a").over(token), "hi": F.max("key_a").over(token)}).where("lo <> hi").select("token", "doc")
+    rare = rows.where(~hot).withColumns({"lo": F.min("doc").over(token), "hi": F.max("doc").over(token)}).where("lo <> hi").select("token", "doc")
     shared = rare.unionByName(rows.where(hot).select("token", "doc")) if often else rare
     # the smallest document of a class stands for it
     blocks = stored(shared.join(slim.where("rep = doc").select("doc", "n").distinct(), "doc").select("token", F.col("doc").alias("rep"), "n").distinct(), "blocks")
@@ -484,15 +484,22 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     tested = stored(_pruned(hubs, marks, percent), "stars")
     one = stored(connected_components(verified(tested, docs, percent=percent, **source).unionByName(same_id)), "components")
 
-    # trees over what is left
-    labelled = stored(blocks.join(one.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "labelled")
+    # trees over what is left; most documents are in no component yet, and a filter tells them apart in place
+    linked = id_filter(one.select("node"))
+    joined, alone = blocks, None
+    if linked is not None:
+        marked = blocks.withColumn("linked", _maybe(linked)(F.col("rep")))
+        joined, alone = marked.where("linked").drop("linked"), marked.where("not linked").select("token", "rep", "n", F.col("rep").alias("component"))
+    named = joined.join(one.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    labelled = stored(named if alone is None else named.unionByName(alone), "labelled")
     alike = (
         labelled.groupBy("token")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("p"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("q"), F.count("*").alias("m"))
         .where("lo <> hi")
     )
     chosen = stored(alike.groupBy("p", "q", "m").agg(F.min("token").alias("token")).select("token", "m"), "chosen")
-    members = labelled.join(chosen, "token").select(F.col("token").alias("block"), "m", F.col("rep").alias("doc"), "component", "n")
+    few = id_filter(chosen.select("token"))
+    members = (labelled if few is None else labelled.where(_maybe(few)(F.col("token")))).join(chosen, "token").select(F.col("token").alias("block"), "m", F.col("rep").alias("doc"), "component", "n")
     near = tree_candidates(members.join(marks.where("n > 0").select("doc", "n", "small"), ["doc", "n"]), percent)
     left = stored(_pruned(near, marks, percent), "candidates")
     more = verified(left, docs, percent=percent, **source)

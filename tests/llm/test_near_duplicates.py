@@ -93,3 +93,18 @@ def test_bounds_never_drop_a_link():
         if 100 * both >= 80 * len(a | b):
             maps = [jaccard_join._bitmap(s, 128) for s in (x, y)]
             assert jaccard_join.could_link(len(a), maps[0], len(b), maps[1], 80)
+
+
+def test_registered_tables_go_through_trees(spark, monkeypatch):
+    seen, keep = [], jaccard_join.tree_candidates
+
+    def spy(members, percent):
+        seen.append(members.count())
+        return keep(members, percent)
+
+    monkeypatch.setattr(jaccard_join, "tree_candidates", spy)
+    monkeypatch.setattr(jaccard_join, "FAN", 4)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs).collect())
+    assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert seen and seen[0] > 0
