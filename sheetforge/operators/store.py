@@ -29,7 +29,7 @@ def not_found(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 def upsert(base: DataFrame, delta: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """``base`` with rows of ``delta`` replacing those of equal key; of several for one key the last by ``order`` counts, one by a hash without it."""
     others = [c for c in delta.columns if c != key]
-    latest = Window.partitionBy(key).orderBy(F.desc(order) if order is not None else F.xxhash64(*others))
+    latest = Window.partitionBy(key).orderBy(F.desc(order) if order is not None else F.xxhash64(*others) if others else F.col(key))
     delta = delta.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
     if order is not None and order not in base.columns:
         delta = delta.drop(order)
