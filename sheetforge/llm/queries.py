@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetforge.llm import chat, decontamination, fingerprints, html, jaccard_join, mixing, secrets, sharding, toxicity, training_order
+from sheetforge.llm import bpe, chat, decontamination, fingerprints, html, jaccard_join, mixing, secrets, sharding, toxicity, training_order
 from sheetforge.llm.common import table
 
 #: Production weights of the mix: the hot source is held at a fifth, two more are fixed, the others share the rest.
@@ -101,6 +101,18 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc").alias("doc_id"), "chunk", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32")
 
 
+#: JSON file of the byte-level vocabulary that op13 encodes with.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and the text that they decode to."""
+    ids = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, carry=["doc_id"])
+    out = bpe.decode(ids, TOKENIZER)
+    digest = F.sha2(F.col("decoded").cast("binary"), 256)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), digest.alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard": op2_jaccard,
@@ -112,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_training_order": op10_training_order,
+    "op13_bpe": op13_bpe,
 }
 
 ORACLES: dict[str, str] = {}
