@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetforge.llm import bpe, chat, decontamination, fingerprints, html, jaccard_join, mixing, secrets, sharding, toxicity, training_order
+from sheetforge.llm import bpe, chat, clustering, decontamination, fingerprints, html, jaccard_join, mixing, secrets, sharding, toxicity, training_order
 from sheetforge.llm.common import table
 
 #: Production weights of the mix: the hot source is held at a fifth, two more are fixed, the others share the rest.
@@ -101,6 +101,11 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc").alias("doc_id"), "chunk", "slot", "shard", "byte_offset", "n_tokens", "tokens_crc32")
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 64-dimensional vectors in 40 clusters after five rounds."""
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), dims=64, k=40, rounds=5).withColumnRenamed("id", "vec_id")
+
+
 #: JSON file of the byte-level vocabulary that op13 encodes with.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -124,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_sharding": op9_sharding,
     "op10_training_order": op10_training_order,
+    "op11_clusters": op11_clusters,
     "op13_bpe": op13_bpe,
 }
 
@@ -213,6 +219,35 @@ FROM e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN prints b ON b.do
 """
 
 
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds over (vector, dimension, component) rows, one pair of steps for each round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS (SELECT row, cluster, sum((p.v - c.v) * (p.v - c.v)) AS d FROM parts p JOIN c{r} c USING (dim) GROUP BY 1, 2),
+a{r} AS (SELECT row, arg_min(cluster, d * 64 + cluster) AS cluster, min(d)::BIGINT AS distance FROM d{r} GROUP BY 1)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS (
+  SELECT c.cluster, c.dim, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+    SELECT cluster, dim, ((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS v FROM a{r} JOIN parts USING (row) GROUP BY 1, 2) m
+  USING (cluster, dim))""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id, embedding) AS row FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+parts AS (SELECT row, unnest(range(64)) AS dim, unnest(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS v FROM kept),
+chosen AS (SELECT row, row_number() OVER (ORDER BY h) - 1 AS cluster FROM (SELECT row, sha256('2:' || vec_id) AS h FROM kept ORDER BY h LIMIT {k})),
+c0 AS (SELECT cluster, dim, v FROM chosen JOIN parts USING (row)),
+{", ".join(steps)},
+sums AS (SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY 1),
+digests AS (SELECT cluster, sha256(string_agg(v::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, cluster::INTEGER AS cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM a{rounds}) AS inertia, centroid_sha256
+FROM kept JOIN a{rounds} USING (row) JOIN sums USING (cluster) JOIN digests USING (cluster)
+"""
+
+
+ORACLES["op11_clusters"] = _lloyd_sql()
+
+
 def _crc_table() -> list[int]:
     """CRC-32 of each single byte, by the rule of its polynomial."""
     out = []
