@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetforge.llm.common import dropped, stored
+from sheetforge.llm.common import dropped, finite_rows, stored
 from sheetforge.shipping import ship
 
 #: Rows of a block at most.
@@ -92,16 +92,9 @@ def whole_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "e
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids, column = part.column(0), part.column(1)
-            if isinstance(column, pa.ChunkedArray):
-                column = column.combine_chunks()
-            sizes = np.asarray(column.value_lengths().fill_null(-1))
-            take = pa.array(sizes == dims)
-            ids, column = ids.filter(take), column.filter(take)
-            x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-            good = np.isfinite(x).all(1)
-            v = np.clip(np.floor(x[good] * scale), -LARGEST, LARGEST).astype("<i4")
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(good)), pa.array([r.tobytes() for r in v], pa.binary())], ["id", "v"])
+            good, x = finite_rows(part.column(1), dims)
+            v = np.clip(np.floor(x * scale), -LARGEST, LARGEST).astype("<i4")
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), pa.array([r.tobytes() for r in v], pa.binary())], ["id", "v"])
 
     slim = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     return slim.mapInArrow(batches, f"id {kind}, v binary")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +92,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def finite_rows(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows of a list column have exactly ``dims`` entries, none null or non-finite; the entries of those rows)."""
+    right = np.asarray(column.value_lengths().fill_null(-1)) == dims
+    x = column.filter(pa.array(right)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    good = np.isfinite(x).all(1)
+    right[right] = good
+    return right, x[good]
+
+
 # ---------------------------------------------------------------------------------------------
 # Word shingles, vectorised over the bytes of one text
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetforge.llm import bpe, chat, clustering, decontamination, fingerprints, html, jaccard_join, mixing, secrets, sharding, toxicity, training_order
+from sheetforge.llm import bpe, chat, clustering, decontamination, fingerprints, html, jaccard_join, mixing, secrets, sharding, toxicity, training_order, whitening
 from sheetforge.llm.common import table
 
 #: Production weights of the mix: the hot source is held at a fifth, two more are fixed, the others share the rest.
@@ -106,6 +106,11 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(table(spark, sf_dir, "embeddings"), dims=64, k=40, rounds=5).withColumnRenamed("id", "vec_id")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors along the 16 strongest components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16).withColumnRenamed("id", "vec_id")
+
+
 #: JSON file of the byte-level vocabulary that op13 encodes with.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_training_order": op10_training_order,
     "op11_clusters": op11_clusters,
+    "op12_whitening": op12_whitening,
     "op13_bpe": op13_bpe,
 }
 
