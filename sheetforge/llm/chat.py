@@ -47,10 +47,16 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
+def _step(at: str, name: str) -> str:
+    """The path ``at`` with a field behind it; dots and brackets within a name are escaped, so they never look like structure."""
+    name = re.sub(r"[\\.\[\]]", lambda m: "\\" + m[0], name)
+    return f"{at}.{name}" if at else name
+
+
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     """Nested field paths of a Spark type; a list adds []."""
     if isinstance(kind, T.StructType):
-        return [p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
+        return [p for f in kind.fields for p in schema_paths(f.dataType, _step(at, f.name))]
     if isinstance(kind, T.ArrayType):
         return schema_paths(kind.elementType, at + "[]")
     return [at]
@@ -59,7 +65,7 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
 def value_paths(value: object, at: str = "") -> list[str]:
     """Nested field paths of a JSON value; empty lists and nulls are leaves."""
     if isinstance(value, dict) and value:
-        return [p for k, v in value.items() for p in value_paths(v, f"{at}.{k}" if at else k)]
+        return [p for k, v in value.items() for p in value_paths(v, _step(at, k))]
     if isinstance(value, list) and value:
         return [p for v in value for p in value_paths(v, at + "[]")]
     return [at]
@@ -135,7 +141,7 @@ def _record_turns(raw: str | None) -> tuple[str, str | None, list[tuple[int | No
             else:
                 turns = [(i, role, "\n\n".join(_clean(value[f]) for f in fields if value[f] not in (None, ""))) for i, (role, fields) in enumerate(spec["sequence"])]
             return fingerprint(paths), name, [(turn, _clean(role), _clean(text)) for turn, role, text in turns]
-    except (ValueError, RecursionError):
+    except (ValueError, TypeError, KeyError, RecursionError):
         pass
     return fingerprint([_clean(p) for p in paths]), None, [(None, None, None)]
 

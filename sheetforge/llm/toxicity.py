@@ -14,8 +14,10 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,9 @@ HOMOGLYPHS = str.maketrans(
 )
 # Digits and signs that stand for letters inside words.
 DIGITS = str.maketrans("0134578@$!€", "oieastbasie")
-_MIXED = re.compile(r"[^\W\d_]*[\d@$!€]+[^\W\d_][\w@$!€]*|[^\W\d_]+[\d@$€][\w@$!€]*")
+# A word that mixes letters with digits or signs. It starts where neither a letter nor a digit or sign stands before and no part of it is read
+# again in another split, so long runs take linear time.
+_MIXED = re.compile(r"(?<![^\W_])(?<![@$!€])(?:[^\W\d_]*+[\d@$!€]++[^\W\d_][\w@$!€]*+|[^\W\d_]++[\d@$€][\w@$!€]*+)")
 _COMBINING = re.compile(r"[̀-ͯ​-‏⁠﻿­]")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -104,7 +108,9 @@ def weigh(folded: str, automaton) -> tuple[float, int, int]:
         elif begin not in best or best[begin][0] < length:
             best[begin] = (length, weight)
     if spared:
-        best = {b: v for b, v in best.items() if not any(x <= b <= y for x, y in spared)}
+        spared.sort()
+        starts, ends = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+        best = {b: v for b, v in best.items() if not ((i := bisect_right(starts, b)) and ends[i - 1] >= b)}
     return sum(w for _, w in best.values()), len(best), words
 
 
@@ -119,25 +125,26 @@ def score_of(weight: float, words: int, coefficients: tuple[float, float, float]
     return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 20_000, max_terms: int = 500, min_contexts: int = 5, min_ratio: float = 6.0, min_share: float = 0.02) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = 20_000, min_contexts: int = 5, min_ratio: float = 6.0, min_share: float = 0.02) -> Model:
     """A model from labelled rows; ``labels`` has ``id_col`` and ``label_col`` (0/1).
 
-    It is fitted on at most ``fit_rows`` labelled rows, those of least hash of their id. Candidate terms
+    It is fitted on at most ``fit_rows`` labelled ids, those of least hash; an id that repeats counts once, with its least text and greatest label. Candidate terms
     are beginnings of words (3 to 10 letters) and whole words. Per candidate the toxic and other
     rows that have it are counted in Spark, and the different words that stand before it in toxic rows: copies of
     one text repeat the same neighbours, a term of its own has many. Kept are those with a
     likelihood ratio of at least ``min_ratio`` in ``min_share`` of the toxic rows, or one of 50 anywhere, and enough
     neighbours (``min_contexts``, and a quarter of their toxic rows or 20); of nested ones only that with most evidence. The rows are
     split in two halves by a hash of the text, and a term must stand in toxic rows of both, so that one text and its repetitions teach nothing.
-    The lexicon has at most ``max_terms`` learned terms, those of most evidence (toxic rows times log ratio) of at most 40 * ``max_terms``
-    that Spark ranks by the same evidence; both bound the model, not the documents scored. Null labels and ids are left out. Without usable rows the seed model remains.
+    All terms that pass are taken; they can be no more than the bounded sample holds.
+    Null labels and ids are left out. Without usable rows the seed model remains.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     sample = known.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(fit_rows)
     # at most fit_rows rows, so the texts stay where they are
-    labelled = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
+    labelled = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(sample), id_col)
+    one_each = labelled.groupBy(id_col).agg(F.min("_text").alias("text"), F.max("_label").cast("int").alias("label"))
     # a bounded table, read by each of the steps below
-    rows = stored(labelled.select(F.col(text_col).alias("text"), F.col("_label").cast("int").alias("label"), F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(2)).cast("int").alias("half")), "sample")
+    rows = stored(one_each.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, list[int]] = {}
@@ -172,26 +179,24 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return Model()
 
     over = (F.col("pos") / F.lit(n_pos)) / ((F.col("neg") + F.lit(0.5)) / F.lit(n_neg + 1))
-    evidence = F.round(F.col("pos") * (F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))), 6)
     best = (
         rows.mapInArrow(count, "term string, pos0 long, pos1 long, neg0 long, neg1 long, near long")
         .groupBy("term")
         .agg(*[F.sum(c).alias(c) for c in ("pos0", "pos1", "neg0", "neg1")], F.bit_count(F.expr("bit_or(near)")).alias("near"))
         .withColumns({"pos": F.col("pos0") + F.col("pos1"), "neg": F.col("neg0") + F.col("neg1")})
         .where((F.col("pos0") > 0) & (F.col("pos1") > 0) & (F.col("near") >= F.greatest(F.lit(min_contexts), F.least(F.lit(20), F.col("pos") / 4))) & ((over >= 50) | (over >= min_ratio) & (F.col("pos") >= min_share * n_pos)))
-        .orderBy(F.desc(evidence), "term")
-        .limit(max_terms * 40)
+        .select("term", "pos", "neg")
         .collect()
     )
     model = Model()
-    model.terms |= _strongest(best, n_pos, n_neg, max_terms)
+    model.terms |= _strongest(best, n_pos, n_neg)
     sample_rows = rows.select("text", "label").mapInArrow(_measurer(model), "weight double, hits long, words long, label int").collect()
     dropped(rows)
     model.coefficients = _fit([(r["weight"], r["words"], r["label"]) for r in sample_rows])
     return model
 
 
-def _strongest(found: list, n_pos: int, n_neg: int, most: int) -> dict[str, float]:
+def _strongest(found: list, n_pos: int, n_neg: int) -> dict[str, float]:
     """Terms by falling evidence (toxic rows times log ratio), longer first on ties; one that begins
     a chosen one, or that a chosen one begins, is passed over."""
 
@@ -208,8 +213,6 @@ def _strongest(found: list, n_pos: int, n_neg: int, most: int) -> dict[str, floa
         stems.add(stem)
         begun.update(stem[:n] for n in range(1, len(stem) + 1))
         chosen[r["term"]] = round(min(6.0, max(0.5, weight(r))), 4)
-        if len(chosen) >= most:
-            break
     return chosen
 
 
