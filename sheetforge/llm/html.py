@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +36,7 @@ INLINE = {"b", "i", "em", "strong", "u", "s", "strike", "small", "big", "font",
 RUN_ON = {"a", "span", "label", "ruby", "rt", "rp", "data", "output", "picture", "img"}
 BOILERPLATE_TAGS = {"nav", "footer", "aside", "form", "button", "select", "option", "datalist", "fieldset", "dialog", "menu", "template", "svg", "canvas", "object", "audio", "video", "map", "head", "search"}
 BOILERPLATE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "status"}
+#: Names of classes and ids. A name counts as a whole class, as the last part of one ("site-footer"), or before a part of PLACES ("comment-list").
 BOILERPLATE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
     "sidebar", "aside", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "topbar",
@@ -43,6 +44,11 @@ BOILERPLATE_WORDS = {
     "newsletter", "subscribe", "subscription", "signup", "login", "social", "share", "sharing", "related", "recommended", "recommendations", "widget", "widgets",
     "toolbar", "pagination", "pager", "copyright", "skip", "hidden",
 }
+PLACES = {"area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "group", "holder", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "panel", "right", "row", "section", "slot", "thread", "top", "unit", "wrap", "wrapper", "zone"}
+#: Parts that make a class name a statement about something else ("with-sidebar", "category-advertising").
+STATEMENTS = {"with", "without", "no", "not", "non", "has", "have", "is", "hide", "show", "category", "tag", "topic", "format", "type", "in", "on", "off", "after", "before"}
+#: Inside an article these are parts of it.
+OF_ARTICLES = {"header", "alert"}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: A new tag of the key closes an open tag of the values, up to the nearest tag in _SCOPE.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "a": {"a"}}
@@ -50,57 +56,129 @@ _SCOPE = {"ul", "ol", "dl", "table", "select", "body", "html", "article", "main"
 
 
 class _Node:
-    """An element. ``path`` is a hash of the tags from the root, ``block`` the nearest element that is no run-on one."""
+    """An element. ``path`` is a hash of the tags from the root, ``block`` the nearest element that is no run-on one, ``named`` the nearest one
+    (itself or above) whose class or id names boilerplate. Of the latter, ``text`` is the unlinked text that it holds and ``title`` tells whether it holds an article's start."""
 
-    __slots__ = ("block", "boiler", "holds", "in_article", "linked", "number", "parent", "path", "tag")
+    __slots__ = ("block", "boiler", "dropped", "holds", "in_article", "linked", "named", "named_above", "number", "parent", "path", "tag", "text", "title")
 
-    def __init__(self, tag: str, parent: _Node | None, boiler: bool, number: int) -> None:
+    def __init__(self, tag: str, parent: _Node | None, kind: str | None, number: int) -> None:
         self.tag, self.parent, self.number, self.holds = tag, parent, number, 0
-        self.boiler = boiler or (parent is not None and parent.boiler)
+        self.text, self.title, self.dropped = 0.0, False, False
+        self.boiler = kind == "sure" or (parent is not None and parent.boiler)
+        self.named_above = parent.named if parent else None
+        self.named = self if kind == "named" else self.named_above
         self.path = hash((parent.path if parent else 0, tag))
         self.in_article = tag in ("article", "main") or (parent is not None and parent.in_article)
         self.block = parent.block if parent is not None and tag in RUN_ON else self
         self.linked = 3 if tag == "a" else max(0, parent.linked - 1) if parent else 0  # links reach two elements down
 
 
-def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+class _Stack:
+    """The open elements, with the places of each tag, of elements that are no run-on ones, and of those that no open paragraph reaches over: no search walks through the elements."""
+
+    def __init__(self, root: _Node) -> None:
+        self.nodes, self.solid, self.firm = [root], [0], [0]
+        self.places: dict[str, list[int]] = {"": [0]}
+
+    def push(self, node: _Node) -> None:
+        at = len(self.nodes)
+        self.nodes.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag not in RUN_ON:
+            self.solid.append(at)
+            if node.tag != "p" and node.tag not in HEADINGS:
+                self.firm.append(at)
+
+    def close_from(self, at: int) -> None:
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+        for some in (self.solid, self.firm):
+            while some[-1] >= at:
+                some.pop()
+
+    def last(self, tag: str) -> int:
+        """Place of the innermost open element of a tag, 0 for none."""
+        return (self.places.get(tag) or [0])[-1]
+
+    def close_siblings(self, tag: str) -> None:
+        """Ends what a new element of the tag ends: from the outermost such element above the nearest scope."""
+        ended = CLOSES[tag]
+        scope = max(self.last(t) for t in _SCOPE - ended)
+        found = [places[i] for t in ended if (places := self.places.get(t)) and (i := bisect_right(places, scope)) < len(places)]
+        if found:
+            self.close_from(min(found))
+
+
+def _names_boilerplate(value: str, in_article: bool) -> bool:
+    words = BOILERPLATE_WORDS - OF_ARTICLES if in_article else BOILERPLATE_WORDS
+    for name in value.split():
+        parts = [p.lower() for p in _WORD.findall(name)]
+        if not parts or STATEMENTS.intersection(parts):
+            continue
+        if parts[-1] in words or (len(parts) > 1 and parts[0] in words and all(p in PLACES or p in words for p in parts[1:])):
+            return True
+    return False
+
+
+def _boilerplate(tag: str, attributes: str, in_article: bool) -> str | None:
+    """"sure" by tag, role or style; "named" by a class or id, which the text that the element holds can overrule; None."""
     if tag in BOILERPLATE_TAGS or (tag == "header" and not in_article):
-        return True
+        return "sure"
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return None
+    named = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if in_article:
-                words -= {"header"}
-            if words & BOILERPLATE_WORDS:
-                return True
+            named = named or _names_boilerplate(value, in_article)
         elif (name == "role" and value.lower() in BOILERPLATE_ROLES) or name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return "sure"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "sure"
+    if not named:
+        return None
+    return "sure" if tag in RUN_ON else "named"
+
+
+def _drop_named(named: list[_Node], blocks: list[tuple[_Node, str, float]]) -> list[tuple[_Node, str, float]]:
+    """``blocks`` without those in elements that a class or id names, unless such an element holds the page's text.
+
+    It does if it holds nine tenths of the unlinked text, or half of it and an article's start (h1, article, main). ``named``: all such elements,
+    parents first.
+    """
+    total = 0.0
+    for node, text, link in blocks:
+        size = len(text) * (1 - link)
+        total += size
+        if node.named is not None:
+            node.named.text += size
+    for node in reversed(named):
+        if node.named_above is not None:
+            node.named_above.text += node.text
+            node.named_above.title |= node.title
+    for node in named:
+        kept = node.text >= 0.9 * total or (node.title and node.text >= 0.5 * total)
+        node.dropped = not kept or (node.named_above is not None and node.named_above.dropped)
+    return [b for b in blocks if b[0].named is None or not b[0].named.dropped]
 
 
 def text_blocks(page: str) -> list[tuple[_Node, str, float]]:
-    """(element, text, share of it in links) of each block of a page, in page order."""
-    root = _Node("", None, False, 0)
-    stack, blocks, made = [root], [], 0
-    open_tags: Counter[str] = Counter()  # of the stack: searches for a tag that isn't open are spared
+    """(element, text, share of it in links) of each block of a page outside boilerplate, in page order."""
+    stack, blocks, made = _Stack(_Node("", None, None, 0)), [], 0
+    named: list[_Node] = []
     parts: list[str] = []
     linked = [0]
 
     def flush(node: _Node) -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text:
+            if text and not node.boiler:
                 blocks.append((node, text, min(1.0, linked[0] / len(text))))
             parts.clear()
             linked[0] = 0
 
     def say(text: str) -> None:
-        top = stack[-1]
+        top = stack.nodes[-1]
         if text and not (top.boiler and not text.strip()):
             if top.boiler and not top.block.boiler:  # an inline advert in an article block
                 return
@@ -108,10 +186,6 @@ def text_blocks(page: str) -> list[tuple[_Node, str, float]]:
             if top.linked:
                 linked[0] += len(text.strip())
 
-    def close_from(i: int) -> None:
-        open_tags.subtract(n.tag for n in stack[i:])
-        del stack[i:]
-
     at, end = 0, len(page)
     while at < end:
         m = _TOKEN.search(page, at)
@@ -130,45 +204,38 @@ def text_blocks(page: str) -> list[tuple[_Node, str, float]]:
         if tag in RAW and not closing:
             if tag not in ("textarea", "title", "xmp") and attributes.rstrip().endswith("/") and tag not in ("script", "style"):
                 continue
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            close = re.compile(rf"</{tag}\b", re.I).search(page, at)
+            at = page.find(">", close.end()) + 1 if close else 0
+            at = at or end
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag not in RUN_ON:
-            flush(stack[-1].block)
+            flush(stack.nodes[-1].block)
         if tag in VOID:
             continue
         if closing:
-            if open_tags[tag]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        close_from(i)
-                        break
-                    if tag in RUN_ON and stack[i].tag not in RUN_ON:
-                        break
+            last = stack.last(tag)
+            if last and (tag not in RUN_ON or last > stack.solid[-1]):
+                stack.close_from(last)
             continue
-        if tag in CLOSES and any(open_tags[t] for t in CLOSES[tag]):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES[tag]:
-                    close_from(i)
-                elif stack[i].tag in _SCOPE:
-                    break
-        if tag not in RUN_ON and open_tags["p"]:  # a block ends an open paragraph
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close_from(i)
-                    break
-                if stack[i].tag not in RUN_ON and stack[i].tag not in HEADINGS:
-                    break
+        if tag in CLOSES:
+            stack.close_siblings(tag)
+        if tag not in RUN_ON and (last := stack.last("p")) > stack.firm[-1]:  # a block ends an open paragraph
+            stack.close_from(last)
         if attributes.endswith("/") and tag in RUN_ON:
             continue
         made += 1
-        stack.append(_Node(tag, stack[-1], _is_boilerplate(tag, attributes, stack[-1].in_article), made))
-        open_tags[tag] += 1
-    flush(stack[-1].block)
-    return blocks
+        above = stack.nodes[-1]
+        node = _Node(tag, above, _boilerplate(tag, attributes, above.in_article), made)
+        if node.named is node:
+            named.append(node)
+        if tag in ("h1", "article", "main") and node.named is not None:
+            node.named.title = True
+        stack.push(node)
+    flush(stack.nodes[-1].block)
+    return _drop_named(named, blocks)
 
 
 def path_scores(blocks: list[tuple[_Node, str, float]]) -> dict[int, float]:
@@ -200,12 +267,13 @@ def main_text(page: str | None, *, threshold: float = 0.1) -> str:
     """Main text of a page: blocks joined by newlines; empty for null or when there is none.
 
     Content paths score at least ``threshold`` of the best path. Where at least half of the text outside links is in
-    <article> and <main> elements, they are the article; else it is the smallest element that holds all blocks on content paths and
-    the last heading before them. Inside a block white space is one space; character references are decoded.
+    <article> and <main> elements, they are the article; else it is the smallest element that holds all blocks on content paths,
+    with the last heading before it and what stands between them. Blocks of links on other paths go, and where no element marks the article so do
+    those of its parts (div and section elements) that hold no content path. Inside a block white space is one space; character references are decoded.
     """
     if not page:
         return ""
-    blocks = [b for b in text_blocks(page) if not b[0].boiler]
+    blocks = text_blocks(page)
     if not blocks:
         return ""
     inside = [b for b in blocks if b[0].in_article]
@@ -218,8 +286,10 @@ def main_text(page: str | None, *, threshold: float = 0.1) -> str:
     content = [i for i, (node, _, link) in enumerate(blocks) if scores[node.path] >= threshold * best and link < 1]
     if not content:
         return "\n".join(t for _, t, _ in blocks)
+    menu = [link > 0.8 and scores[node.path] < threshold * best and not node.in_article for node, _, link in blocks]
+    if whole:
+        return "\n".join(t for (_, t, _), drop in zip(blocks, menu, strict=True) if not drop)
     heading = next((i for i in range(content[0], -1, -1) if blocks[i][0].tag in HEADINGS), content[0])
-    covered = [blocks[i][0] for i in {heading, *content}]
     # elements above any block, each once, in the order of their making: parents come before children
     above: dict[int, _Node] = {}
     for node, _, _ in blocks:
@@ -228,22 +298,22 @@ def main_text(page: str | None, *, threshold: float = 0.1) -> str:
             above[up.number] = up
             up = up.parent
     order = [above[n] for n in sorted(above)]
-    for node in covered:
-        node.holds += 1
+    for i in content:
+        blocks[i][0].holds += 1
     for node in reversed(order):
         if node.parent is not None:
             node.parent.holds += node.holds
-    article = covered[0]
-    while article.parent is not None and (whole or article.holds < len(covered) or article.tag in ("p", *HEADINGS, "li", "td", "th", "dd", "dt", "blockquote", "pre", "ul", "ol", "tr", "tbody", "table", "figure", "header")):
+    article = blocks[content[0]][0]
+    while article.parent is not None and (article.holds < len(content) or article.tag in ("p", *HEADINGS, "li", "td", "th", "dd", "dt", "blockquote", "pre", "ul", "ol", "tr", "tbody", "table", "figure", "header")):
         article = article.parent
     inside_article: set[int] = set()
     for node in order:
-        if node is article or (node.parent is not None and node.parent.number in inside_article):
+        spare = node.tag in ("div", "section") and not node.holds and node.parent is article
+        if node is article or (node.parent is not None and node.parent.number in inside_article and not spare):
             inside_article.add(node.number)
     kept = []
-    for node, text, link in blocks:
-        menu = link > 0.8 and scores[node.path] < threshold * best and not node.in_article
-        if node.number in inside_article and not menu:
+    for i, (node, text, _) in enumerate(blocks):
+        if not menu[i] and (node.number in inside_article or heading <= i < content[0]):
             kept.append(text)
     return "\n".join(kept)
 
