@@ -58,11 +58,12 @@ def winnowed(df: DataFrame, text_col: str, out: str, k: int = CHARS, window: int
     """``df`` with ``out``: packed selected hashes of the runs of k code points of a text, in text order.
 
     Every text has at least one, the empty one too; null counts as empty. A text of fewer than k code points has one gram,
-    itself; one of fewer than ``window`` grams keeps them all. Very long texts are read in whole, up to 2^27 code points.
+    itself; one of fewer than ``window`` grams keeps them all. Very long texts are read in whole; one beyond 2^27 code points raises an error.
     """
     grams, n, few = unused(df, "grams"), unused(df, "n_grams"), unused(df, "few")
     df = rolling_hashes(df, F.coalesce(F.col(text_col), F.lit("")), grams, k)
     df = df.withColumn(grams, F.transform(grams, _packed)).withColumn(n, F.size(grams))
+    df = df.withColumn(n, F.when(F.col(n) <= _POSITIONS, F.col(n)).otherwise(F.raise_error(F.lit("a text has more than 2^27 code points")).cast("int")))
     df = df.withColumn(few, F.when(F.col(n) < window, F.col(grams)))
     least = F.array_distinct(F.slice(grams, F.lit(1), F.greatest(F.col(n) - (window - 1), F.lit(1))))
     return _window_minima(df, grams, n, window).withColumn(out, F.coalesce(few, least)).drop(grams, n, few)
@@ -158,4 +159,6 @@ def edited_pairs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     first = F.filter("selected", lambda x: at(x) <= F.col("same"))
     rest = F.filter(F.transform("tail_selected", lambda x: x - F.col("start")), lambda x: at(x) > F.col("same"))
-    return tail.select("doc_id", "n_chars", "edited", "selected", F.concat(first, rest).alias("edited_selected"), "next_selected")
+    out = tail.select("doc_id", "n_chars", "edited", "selected", F.concat(first, rest).alias("edited_selected"), "next_selected")
+    # filters on the result don't go below a generator; pushed further they would repeat each doubling twice
+    return out.select(F.inline(F.array(F.struct(*out.columns))))

@@ -70,3 +70,13 @@ def test_likenesses_of_all_documents_against_plain_version(spark):
         after = rows[(i + 1) % len(rows)][1]
         edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
         assert got[d]["near_edited"] == likeness(t, edited) and got[d]["near_next"] == likeness(t, after)
+
+
+def test_a_filter_on_the_result_stays_small(spark):
+    """Filters stay above the doubling steps: the plan grows with them and not with their powers."""
+    from sheetforge.llm import queries
+
+    rows = queries.op7_fingerprints(spark, "/root/testdata/sf0.001")
+    some = rows.where("near_edited < 0.3")
+    assert len(some._jdf.queryExecution().optimizedPlan().toString()) < 3 * len(rows._jdf.queryExecution().optimizedPlan().toString())
+    assert some.count() == sum(r["near_edited"] < 0.3 for r in rows.select("near_edited").collect())
