@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from sheetforge.operators import tiles
 from sheetforge.scratch import stored
 
 FRAME_SHARE, TOUCH, GROWN, EPS, MIN_POINTS = 0.33, 20, 5, 20, 20
@@ -115,23 +116,48 @@ def dominant_angle(angles: DataFrame, key: str = "drawing_id", pos: str = "pos",
     return counted.groupBy(key).agg(F.min_by("_a", F.struct(-F.col("_n"), "_first")).alias("angle"))
 
 
-def _regions(boxes: DataFrame, cells: DataFrame, frames: DataFrame, box_id: str, grown: int) -> DataFrame:
-    cx, cy = centre()
-    points = boxes.select("drawing_id", box_id, cx.alias("_cx"), cy.alias("_cy"))
-    f = frames.select("drawing_id", F.col("x").alias("fx"), F.col("y").alias("fy"), F.col("w").alias("fw"), F.col("h").alias("fh"))
-    small = cells.join(f, "drawing_id").where(F.col("w").cast("long") * F.col("h") < F.col("fw").cast("long") * F.col("fh"))
-    grow = small.select("drawing_id", (F.col("x") - grown).alias("x0"), (F.col("y") - grown).alias("y0"), (F.col("x") + F.col("w") + grown).alias("x1"), (F.col("y") + F.col("h") + grown).alias("y1"))
-    inside = (F.col("_cx") >= F.col("x0")) & (F.col("_cx") < F.col("x1")) & (F.col("_cy") >= F.col("y0")) & (F.col("_cy") < F.col("y1"))
-    p, g = points.alias("p"), grow.alias("g")
-    info = p.join(g, (F.col("p.drawing_id") == F.col("g.drawing_id")) & inside, "left_semi").select("drawing_id", box_id).withColumn("_info", F.lit(True))
-    in_frame = (F.col("_cx") >= F.col("fx") + grown) & (F.col("_cx") < F.col("fx") + F.col("fw") - grown) & (F.col("_cy") >= F.col("fy") + grown) & (F.col("_cy") < F.col("fy") + F.col("fh") - grown)
-    marked = points.join(f, "drawing_id", "left").join(info, ["drawing_id", box_id], "left")
-    return marked.select("drawing_id", box_id, F.when(F.col("_info"), "info").when(in_frame, "drawing").otherwise("outside").alias("region"))
+def _in_grown(x: Column, y: Column, box: Column, grown: int) -> Column:
+    return (x >= box["x"] - grown) & (x < box["x"] + box["w"] + grown) & (y >= box["y"] - grown) & (y < box["y"] + box["h"] + grown)
+
+
+def _size(box: Column) -> Column:
+    return box["w"].cast("long") * box["h"]
+
+
+def _divided(df: DataFrame, large: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the ordinary drawings, and those of the large ones."""
+    if large is None:
+        return df, None
+    return df.join(large, "drawing_id", "left_anti"), df.join(large, "drawing_id", "left_semi")
 
 
 def box_regions(boxes: DataFrame, cells: DataFrame, frames: DataFrame, box_id: str = "pos", grown: int = GROWN) -> DataFrame:
-    """``boxes`` plus region: info (centre in a cell grown by ``grown``), drawing (in the shrunk frame), outside."""
-    return boxes.join(_regions(boxes, cells, frames, box_id, grown), ["drawing_id", box_id])
+    """``boxes`` plus region: info (centre in a cell, smaller than the frame, grown by ``grown``), drawing (in the shrunk frame), outside.
+
+    A drawing's cells are gathered once and looked through in the row; drawings of many cells go through tiles, by ``box_id``.
+    """
+    cx, cy = centre()
+    frame = frames.select("drawing_id", F.struct("x", "y", "w", "h").alias("_frame"))
+    in_frame = _in_grown(cx, cy, F.col("_frame"), -grown)
+    large = tiles.large_drawings(cells)
+    few_boxes, many_boxes = _divided(boxes, large)
+    few_cells, many_cells = _divided(cells, large)
+    gathered = few_cells.groupBy("drawing_id").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("_cells"))
+    met = few_boxes.join(frame.join(gathered, "drawing_id", "left"), "drawing_id", "left")
+    info = F.exists("_cells", lambda c: (_size(c) < _size(F.col("_frame"))) & _in_grown(cx, cy, c, grown))
+
+    def named(df: DataFrame, info: Column) -> DataFrame:
+        return df.withColumn("region", F.when(info, "info").when(in_frame, "drawing").otherwise("outside")).select(*boxes.columns, "region")
+
+    out = named(met, info)
+    if large is None:
+        return out
+    corners = {"_x0": F.col("x") - grown, "_y0": F.col("y") - grown, "_x1": F.col("x") + F.col("w") + grown, "_y1": F.col("y") + F.col("h") + grown}
+    grow = many_cells.join(frame, "drawing_id").where(F.col("w").cast("long") * F.col("h") < _size(F.col("_frame"))).select("drawing_id", *[v.alias(k) for k, v in corners.items()])
+    points = many_boxes.select("drawing_id", box_id, cx.alias("_cx"), cy.alias("_cy"))
+    inside = (F.col("_cx") >= F.col("_x0")) & (F.col("_cx") < F.col("_x1")) & (F.col("_cy") >= F.col("_y0")) & (F.col("_cy") < F.col("_y1"))
+    hits = tiles.points_in_boxes(points, grow, "_cx", "_cy", ("_x0", "_y0"), ("_x1", "_y1"), inside).select("drawing_id", box_id).distinct().withColumn("_info", F.lit(True))
+    return out.unionByName(named(many_boxes.join(frame, "drawing_id", "left").join(hits, ["drawing_id", box_id], "left"), F.col("_info")))
 
 
 def distinct_rects(rects: DataFrame) -> DataFrame:
@@ -149,28 +175,62 @@ def _strictly_in(cx: Column, cy: Column, p: str) -> Column:
     return (cx > x) & (cx < x + w) & (cy > y) & (cy < y + h)
 
 
+def _centre_in(a: Column, b: Column) -> Column:
+    """Whether the middle of box a lies strictly in box b."""
+    cx, cy = a["x"] + F.floor(a["w"] / 2), a["y"] + F.floor(a["h"] / 2)
+    return (cx > b["x"]) & (cx < b["x"] + b["w"]) & (cy > b["y"]) & (cy < b["y"] + b["h"])
+
+
 def without_nested(rects: DataFrame) -> DataFrame:
     """Rectangles without those that lose to another: of a pair where one's centre lies strictly inside the other, the smaller goes.
 
-    Of equal sizes the one around goes, so two that hold each other's centres both go.
+    Of equal sizes the one around goes, so two that hold each other's centres both go. A drawing's rectangles are gathered once; those of
+    drawings of many meet by tiles.
     """
-    a = rects.select("drawing_id", *[F.col(c).alias(f"a_{c}") for c in ("rect_id", "x", "y", "w", "h")])
-    b = rects.select("drawing_id", *[F.col(c).alias(f"b_{c}") for c in ("rect_id", "x", "y", "w", "h")])
-    cx, cy = centre("a_")
-    differ = F.struct("a_x", "a_y", "a_w", "a_h") != F.struct("b_x", "b_y", "b_w", "b_h")
-    pairs = a.join(b, "drawing_id").where(differ & _strictly_in(cx, cy, "b_"))
-    larger = F.col("a_w").cast("long") * F.col("a_h") >= F.col("b_w").cast("long") * F.col("b_h")
-    losers = pairs.select("drawing_id", F.when(larger, F.col("b_rect_id")).otherwise(F.col("a_rect_id")).alias("rect_id")).distinct()
-    return rects.join(losers, ["drawing_id", "rect_id"], "left_anti").select(*rects.columns)
+    large = tiles.large_drawings(rects)
+    few, many = _divided(rects, large)
+    rows = few.groupBy("drawing_id").agg(F.collect_list(F.struct(*[c for c in rects.columns if c != "drawing_id"])).alias("_rows"))
+
+    def differ(a: Column, b: Column) -> Column:
+        return (a["x"] != b["x"]) | (a["y"] != b["y"]) | (a["w"] != b["w"]) | (a["h"] != b["h"])
+
+    def loses(a: Column) -> Column:
+        return F.exists("_rows", lambda b: differ(a, b) & (_centre_in(a, b) & (_size(a) < _size(b)) | _centre_in(b, a) & (_size(b) >= _size(a))))
+
+    lost = rows.withColumn("_lost", F.transform(F.filter("_rows", loses), lambda r: r["rect_id"]))
+    kept = lost.select("drawing_id", F.inline(F.filter("_rows", lambda r: ~F.array_contains("_lost", r["rect_id"])))).select(*rects.columns)
+    if large is None:
+        return kept
+    pairs = _strictly_met(_named(many, "a_"), many, "a_")
+    larger = F.col("a_w").cast("long") * F.col("a_h") >= F.col("c_w").cast("long") * F.col("c_h")
+    uneven = F.struct("a_x", "a_y", "a_w", "a_h") != F.struct("c_x", "c_y", "c_w", "c_h")
+    losers = pairs.where(uneven).select("drawing_id", F.when(larger, F.col("c_rect_id")).otherwise(F.col("a_rect_id")).alias("rect_id")).distinct()
+    return kept.unionByName(many.join(losers, ["drawing_id", "rect_id"], "left_anti").select(*rects.columns))
+
+
+def _named(rects: DataFrame, prefix: str) -> DataFrame:
+    return rects.select("drawing_id", *[F.col(c).alias(prefix + c) for c in ("rect_id", "x", "y", "w", "h")])
+
+
+def _strictly_met(boxes: DataFrame, cells: DataFrame, prefix: str = "") -> DataFrame:
+    """Pairs of boxes (columns with ``prefix``) and cells (columns with c_) of large drawings, the box's centre strictly in the cell."""
+    cx, cy = centre(prefix)
+    points = boxes.withColumns({"_cx": cx, "_cy": cy})
+    named = _named(cells, "c_").withColumns({"_x1": F.col("c_x") + F.col("c_w"), "_y1": F.col("c_y") + F.col("c_h")})
+    return tiles.points_in_boxes(points, named, "_cx", "_cy", ("c_x", "c_y"), ("_x1", "_y1"), _strictly_in(F.col("_cx"), F.col("_cy"), "c_"))
 
 
 def assign_cells(boxes: DataFrame, cells: DataFrame, box_id: str = "pos") -> DataFrame:
-    """(drawing_id, rect_id, box columns): boxes whose centre lies strictly in a cell; one row per cell."""
+    """(drawing_id, rect_id, box columns): boxes whose centre lies strictly in a cell; one row per cell. Drawings of many cells go through tiles."""
     cx, cy = centre()
-    points = boxes.withColumns({"_cx": cx, "_cy": cy})
-    named = cells.select("drawing_id", "rect_id", *[F.col(c).alias(f"c_{c}") for c in "xywh"])
-    met = points.join(named, "drawing_id").where(_strictly_in(F.col("_cx"), F.col("_cy"), "c_"))
-    return met.select("drawing_id", "rect_id", *[c for c in boxes.columns if c != "drawing_id"])
+    large = tiles.large_drawings(cells)
+    few_boxes, many_boxes = _divided(boxes, large)
+    few_cells, many_cells = _divided(cells, large)
+    met = few_boxes.withColumns({"_cx": cx, "_cy": cy}).join(_named(few_cells, "c_"), "drawing_id").where(_strictly_in(F.col("_cx"), F.col("_cy"), "c_"))
+    columns = ["drawing_id", F.col("c_rect_id").alias("rect_id"), *[c for c in boxes.columns if c != "drawing_id"]]
+    if large is None:
+        return met.select(*columns)
+    return met.select(*columns).unionByName(_strictly_met(many_boxes, many_cells).select(*columns))
 
 
 def line_rows(ys: list[int], avg_height: int) -> list[list[int]]:
@@ -327,8 +387,7 @@ def merge_text(boxes: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFram
     burnt = stored(reachable_cells(rects, frames), "cells")
     placed = stored(box_regions(boxes, burnt, frames), "regions")
     cells = without_frame(distinct_rects(burnt), frames)
-    info_cells = _regions(cells, burnt, frames, "rect_id", GROWN).where("region = 'info'").select("drawing_id", "rect_id")
-    cells = stored(without_nested(cells.join(info_cells, ["drawing_id", "rect_id"], "left_semi")), "info")
+    cells = stored(without_nested(box_regions(cells, burnt, frames, "rect_id").where("region = 'info'").drop("region")), "info")
     framed = frames.select("drawing_id")
 
     def blobs(df: DataFrame, step: int, at: str, text_like: Column, kind: str) -> DataFrame:
