@@ -1,6 +1,7 @@
 """Fuzzy matching of texts against dictionaries.
 
-Title-block texts repeat heavily, so distinct texts are matched and results joined back. A dictionary is a small table of
+Title-block texts repeat heavily, so distinct texts are matched and results joined back. An index of letter pairs rules out the words that can't reach the
+ratio asked for, the others are aligned. A dictionary is a small table of
 words; beyond ``DICTIONARY_LIMIT`` words matching refuses rather than sending a table of unknown size to the tasks.
 """
 
@@ -16,7 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheetforge.functions.grams import Words
+
 DICTIONARY_LIMIT = 50_000
+#: Lists up to so many words are gone through without an index; so many promising names are aligned first.
+FEW, FIRST = 4, 4
 # Words that announce tolerances and materials.
 TOLERANCE_WORDS = ["2768", "7168", "toleranz", "tolerance"]
 MATERIAL_WORDS = ["material", "werkstoff", "halbzeug"]
@@ -106,36 +111,95 @@ def could_reach(a: str, letters: frozenset[str], cutoff: float) -> bool:
     return 200 * present / (len(a) + present) >= cutoff if present else False
 
 
-def last_match(text: str, words: list[str], cutoff: float = 85, min_len: int = 5) -> int | None:
-    """Position of the last word with a ratio of at least ``cutoff``, case aside; None for short texts."""
+class Tally:
+    """Pairs of a text and a word that a task met, and those of them that it aligned."""
+
+    def __init__(self) -> None:
+        self.pairs = self.aligned = 0
+
+
+def lower(words: list[str]) -> Words:
+    return Words([w.lower() for w in words])
+
+
+def last_match(text: str, words: list[str] | Words, cutoff: float = 85, min_len: int = 5, tally: Tally | None = None) -> int | None:
+    """Position of the last word with a ratio of at least ``cutoff``, case aside; None for short texts. ``words``: a list, or its ``lower`` form."""
     if len(text) < min_len:
         return None
     low = text.lower()
+    if not isinstance(words, Words):
+        words = lower(words)
+    if len(words) > FEW:
+        open_ = words.index.candidates(low, cutoff)[::-1].tolist()
+    else:
+        open_ = range(len(words) - 1, -1, -1)
+    if tally:
+        tally.pairs += len(words)
     letters = frozenset(low)
-    for i in range(len(words) - 1, -1, -1):
-        word = words[i].lower()
-        if (len(word) > len(low) or could_reach(word, letters, cutoff)) and ratio(word, low) >= cutoff:
-            return i
+    for i in open_:
+        word = words.words[i]
+        if len(word) > len(low) or could_reach(word, letters, cutoff):
+            if tally:
+                tally.aligned += 1
+            if ratio(word, low) >= cutoff:
+                return i
     return None
 
 
-def best_class(text: str, classes: list[list[str]], above: float = 85) -> tuple[int, int, float] | None:
-    """(class, name, ratio) of the first best name, case kept, if it is over ``above``."""
-    best, found = above, None
+class Classes:
+    """Classes of names, with one list of all names."""
+
+    def __init__(self, classes: list[list[str]]) -> None:
+        self.classes = classes
+        self.places = [(c, p) for c, names in enumerate(classes) for p in range(len(names))]
+        self.names = Words([classes[c][p] for c, p in self.places])
+
+
+def best_class(text: str, classes: list[list[str]] | Classes, above: float = 85, tally: Tally | None = None) -> tuple[int, int, float] | None:
+    """(class, name, ratio) of the first best name, case kept, if it is over ``above``.
+
+    The names with most letter pairs in common are aligned first; then only those are left that can reach the best of them.
+    """
+    if not isinstance(classes, Classes):
+        classes = Classes(classes)
+    places, listed = classes.places, classes.names.words
     letters = frozenset(text)
-    for c, names in enumerate(classes):
-        for p, name in enumerate(names):
-            if len(name) <= len(text) and not could_reach(name, letters, best):
-                continue
-            score = ratio(name, text)
-            if score > best:
-                best, found = score, (c, p, score)
+    known: dict[int, float] = {}
+    if tally:
+        tally.pairs += len(listed)
+
+    def score(i: int) -> float:
+        if i not in known:
+            known[i] = ratio(listed[i], text)
+            if tally:
+                tally.aligned += 1
+        return known[i]
+
+    open_, floor = range(len(listed)), above
+    if len(listed) > FEW:
+        index = classes.names.index
+        shared = index.shared(text)
+        open_ = index.candidates(text, above, shared)
+        if len(open_) > FIRST:
+            most = (shared[0] + shared[1])[open_]
+            floor = max([above, *(score(int(i)) for i in open_[np.argsort(-most, kind="stable")[:FIRST]])])
+            open_ = index.candidates(text, floor, shared)
+    best, found = above, None
+    for i in map(int, open_):
+        name = listed[i]
+        if i not in known and len(name) <= len(text) and not could_reach(name, letters, max(best, floor)):
+            continue
+        if score(i) > best:
+            best, found = score(i), (*places[i], score(i))
     return found
 
 
+_TOLERANCE_NAMES = lower(TOLERANCE_NAMES)
+
+
 def tolerance_class(text: str) -> str:
     """Two letters of the general tolerance in a text, - for each that isn't found."""
-    spelled = last_match(text, TOLERANCE_NAMES)
+    spelled = last_match(text, _TOLERANCE_NAMES)
     if spelled is not None:
         return "fmcv"[spelled % 4] + "-"
     for norm, (first, second) in TOLERANCE_LETTERS.items():
@@ -154,13 +218,20 @@ def _dictionary(words: DataFrame, *columns: str) -> list[tuple]:
     return sorted(rows)
 
 
-def _on_distinct(df: DataFrame, text_col: str, run, schema: str, names: list[str]) -> DataFrame:
-    """``df`` with columns that ``run(text)`` gives, computed once for each distinct text."""
+def _on_distinct(df: DataFrame, text_col: str, run, schema: str, names: list[str], count=None) -> DataFrame:
+    """``df`` with columns that ``run(text, tally)`` gives, computed once for each distinct text.
+
+    ``count``: two accumulators, for pairs of a text and a word, and for those that were aligned.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            tally = Tally()
             texts = batch[0].to_pylist()
-            rows = [run(t) for t in texts]
+            rows = [run(t, tally) for t in texts]
+            if count is not None:
+                count[0].add(tally.pairs)
+                count[1].add(tally.aligned)
             frame = pd.DataFrame({"_text": texts} | {n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
             yield from pa.Table.from_pandas(frame, schema=_arrow, preserve_index=False).to_batches()
 
@@ -173,19 +244,19 @@ def _on_distinct(df: DataFrame, text_col: str, run, schema: str, names: list[str
     return df.join(found, F.col(text_col) == F.col("_text"), "left").drop("_text")
 
 
-def fuzzy_match(df: DataFrame, words: DataFrame, *, text_col: str = "text", cutoff: float = 85, min_len: int = 5, out: str = "word_id") -> DataFrame:
-    """``df`` plus ``out``: id of the last matching word of ``words`` (word_id, word), or null."""
+def fuzzy_match(df: DataFrame, words: DataFrame, *, text_col: str = "text", cutoff: float = 85, min_len: int = 5, out: str = "word_id", count=None) -> DataFrame:
+    """``df`` plus ``out``: id of the last matching word of ``words`` (word_id, word), or null. ``count``: as in ``_on_distinct``."""
     listed = _dictionary(words, "word_id", "word")
-    ids, texts = [i for i, _ in listed], [w for _, w in listed]
+    ids, texts = [i for i, _ in listed], lower([w for _, w in listed])
 
-    def run(text: str) -> tuple:
-        at = last_match(text, texts, cutoff, min_len)
+    def run(text: str, tally: Tally) -> tuple:
+        at = last_match(text, texts, cutoff, min_len, tally)
         return (None if at is None else ids[at],)
 
-    return _on_distinct(df, text_col, run, f"{out} long", [out])
+    return _on_distinct(df, text_col, run, f"{out} long", [out], count)
 
 
-def match_attributes(blobs: DataFrame, materials: DataFrame, *, text_col: str = "text") -> DataFrame:
+def match_attributes(blobs: DataFrame, materials: DataFrame, *, text_col: str = "text", count=None) -> DataFrame:
     """``blobs`` plus material, material_class and general_tolerances as lists of at most one entry.
 
     ``materials`` is (class_id, pos, name). A gate of keywords and names comes before each of the two.
@@ -194,32 +265,34 @@ def match_attributes(blobs: DataFrame, materials: DataFrame, *, text_col: str =
     for c, _, name in _dictionary(materials, "class_id", "pos", "name"):
         classes.setdefault(c, []).append(name)
     groups = list(classes.values())
-    gate = MATERIAL_WORDS + [n for g in groups for n in g]
+    gate, named, tolerances = lower(MATERIAL_WORDS + [n for g in groups for n in g]), Classes(groups), lower(TOLERANCE_WORDS)
 
-    def run(text: str) -> tuple:
+    def run(text: str, tally: Tally) -> tuple:
         material, group, tolerance = [], [], []
-        if last_match(text, TOLERANCE_WORDS) is not None:
+        if last_match(text, tolerances) is not None:
             tolerance = [tolerance_class(text)]
-        if last_match(text, gate) is not None and (best := best_class(text, groups)):
+        if last_match(text, gate, tally=tally) is not None and (best := best_class(text, named, tally=tally)):
             material, group = [groups[best[0]][best[1]]], [groups[best[0]]]
         return material, group, tolerance
 
-    out = _on_distinct(blobs, text_col, run, "material array<string>, material_class array<array<string>>, general_tolerances array<string>", ["material", "material_class", "general_tolerances"])
+    out = _on_distinct(blobs, text_col, run, "material array<string>, material_class array<array<string>>, general_tolerances array<string>", ["material", "material_class", "general_tolerances"], count)
     return out.withColumns({"material": F.coalesce("material", F.array().cast("array<string>")), "material_class": F.coalesce("material_class", F.array().cast("array<array<string>>")), "general_tolerances": F.coalesce("general_tolerances", F.array().cast("array<string>"))})
 
 
-def nearest_class(df: DataFrame, materials: DataFrame, *, text_col: str) -> DataFrame:
+def nearest_class(df: DataFrame, materials: DataFrame, *, text_col: str, count=None) -> DataFrame:
     """``df`` plus nearest: names of the class with the best ratio, without a threshold; the text itself if none scores."""
     classes: dict[int, list[str]] = {}
     for c, _, name in _dictionary(materials, "class_id", "pos", "name"):
         classes.setdefault(c, []).append(name)
     groups = list(classes.values())
 
-    def run(text: str) -> tuple:
-        best = best_class(text, groups, 0)
+    named = Classes(groups)
+
+    def run(text: str, tally: Tally) -> tuple:
+        best = best_class(text, named, 0, tally)
         return (groups[best[0]] if best else [text],)
 
-    return _on_distinct(df, text_col, run, "nearest array<string>", ["nearest"])
+    return _on_distinct(df, text_col, run, "nearest array<string>", ["nearest"], count)
 
 
 def norm_flags(numbers: DataFrame, norms: DataFrame, *, key: str = "drawing_id", list_col: str = "other_isos") -> DataFrame:
@@ -230,8 +303,11 @@ def norm_flags(numbers: DataFrame, norms: DataFrame, *, key: str = "drawing_id",
     known = _dictionary(norms, "norm_id", "name")
     plain = ["".join(ch for ch in name if ch.isdigit() or ch == ".") for _, name in known]
 
-    def run(number: str) -> tuple:
-        return ([float(last_match(p, [number]) is not None) for p in plain],)
+    lowered = lower(plain)
+
+    def run(number: str, _: Tally) -> tuple:
+        near = set(lowered.index.candidates(number.lower(), 85).tolist())
+        return ([float(i in near and last_match(p, [number]) is not None) for i, p in enumerate(plain)],)
 
     exploded = numbers.select(key, F.explode(list_col).alias("_number"))
     flags = _on_distinct(exploded, "_number", run, "_flags array<double>", ["_flags"])
