@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sheetforge.operators import tiles
+from sheetforge.operators import edges, tiles
+from sheetforge.operators.components import connected_components
+from sheetforge.operators.numbering import numbered
 from sheetforge.scratch import stored
 
 FRAME_SHARE, TOUCH, GROWN, EPS, MIN_POINTS = 0.33, 20, 5, 20, 20
@@ -67,32 +69,81 @@ def inner_frames(rects: DataFrame, pages: DataFrame, min_ratio: float = FRAME_SH
     return fit.groupBy("drawing_id").agg(F.min_by(F.struct("rect_id", "x", "y", "w", "h"), F.struct(area, "rect_id")).alias("f")).select("drawing_id", "f.*")
 
 
+def _touched(fx: float, fy: float, fw: float, fh: float, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, dist: float) -> np.ndarray:
+    """Which rectangles touch one of the four edges, thickened by ``dist``, of a rectangle."""
+    near, half = np.zeros(len(x), dtype=bool), dist / 2
+    for ex, ey, ew, eh in ((fx, fy, fw, 0.0), (fx + fw, fy, 0.0, fh), (fx, fy + fh, fw, 0.0), (fx, fy, 0.0, fh)):
+        near |= (x <= ex + ew + half) & (x + w >= ex - half) & (y <= ey + eh + half) & (y + h >= ey - half)
+    return near
+
+
 def reachable_cells(rects: DataFrame, frames: DataFrame, dist: int = TOUCH) -> DataFrame:
     """Rectangles reachable from the frame by steps to any that touches one of the four edges thickened by ``dist``.
 
-    A search through each drawing's rectangles, which are a page's cells and so few.
+    A search through each drawing's rectangles, which are a page's cells and so few; drawings of many go through ``_reached_by_rounds``.
     """
 
     def spread(rows: list[dict]) -> list[tuple]:
         cells = [r for r in rows if not r["_frame"]]
         x, y, w, h = (np.array([r[c] for r in cells], dtype=np.float64) for c in "xywh")
-        burnt, half = np.zeros(len(cells), dtype=bool), dist / 2
+        burnt = np.zeros(len(cells), dtype=bool)
         todo = deque((float(r["x"]), float(r["y"]), float(r["w"]), float(r["h"])) for r in rows if r["_frame"])
         while todo:
-            fx, fy, fw, fh = todo.popleft()
-            near = np.zeros(len(cells), dtype=bool)
-            for ex, ey, ew, eh in ((fx, fy, fw, 0.0), (fx + fw, fy, 0.0, fh), (fx, fy + fh, fw, 0.0), (fx, fy, 0.0, fh)):
-                left, top, right, bottom = ex - half, ey - half, ex + ew + half, ey + eh + half
-                near |= (x <= right) & (x + w >= left) & (y <= bottom) & (y + h >= top)
-            fresh = np.flatnonzero(near & ~burnt)
+            fresh = np.flatnonzero(_touched(*todo.popleft(), x, y, w, h, dist) & ~burnt)
             burnt[fresh] = True
             todo.extend(zip(x[fresh], y[fresh], w[fresh], h[fresh], strict=True))
         return [(r["rect_id"], r["x"], r["y"], r["w"], r["h"]) for r, b in zip(cells, burnt, strict=True) if b]
 
     names = ["rect_id", "x", "y", "w", "h"]
-    both = rects.select("drawing_id", *names, F.lit(False).alias("_frame")).unionByName(frames.select("drawing_id", *names, F.lit(True).alias("_frame")))
+    large = tiles.large_drawings(rects)
+    few, many = _divided(rects, large)
+    both = few.select("drawing_id", *names, F.lit(False).alias("_frame")).unionByName(frames.select("drawing_id", *names, F.lit(True).alias("_frame")))
     added = ", ".join(f"{c} {rects.schema[c].dataType.simpleString()}" for c in names)
-    return _each_group(both, ["drawing_id"], [*names, "_frame"], spread, added)
+    out = _each_group(both, ["drawing_id"], [*names, "_frame"], spread, added)
+    return out if large is None else out.unionByName(_reached_by_rounds(many.select("drawing_id", *names), frames, dist))
+
+
+def _reached_by_rounds(rects: DataFrame, frames: DataFrame, dist: int) -> DataFrame:
+    """``reachable_cells`` of drawings of many rectangles: a table of touches, met by tiles, and rounds that go from the newly reached ones.
+
+    Rectangles within one tile that reach each other are a hop of one round: groups in which all steps go both ways are joined
+    beforehand, so a chain of cells takes few rounds whatever its length.
+    """
+    half = dist / 2
+    listed = stored(numbered(rects.withColumn("_frame", F.lit(False)).unionByName(frames.join(rects.select("drawing_id").distinct(), "drawing_id", "left_semi").select(*rects.columns, F.lit(True).alias("_frame"))), ["drawing_id", "rect_id", "x", "y", "w", "h", "_frame"], "_n"), "listed")
+    met = tiles.boxes_near_boxes(listed.select("drawing_id", "_n", *"xywh"), half)
+    a, b = ({c: F.col(f"{side}{c}").cast("double") for c in "xywh"} for side in ("a_", "b_"))
+
+    def touches(f: dict, r: dict) -> Column:
+        """Whether r touches an edge of f."""
+        edges_ = ((f["x"], f["y"], f["w"], F.lit(0.0)), (f["x"] + f["w"], f["y"], F.lit(0.0), f["h"]), (f["x"], f["y"] + f["h"], f["w"], F.lit(0.0)), (f["x"], f["y"], F.lit(0.0), f["h"]))
+        hits = [(r["x"] <= ex + ew + half) & (r["x"] + r["w"] >= ex - half) & (r["y"] <= ey + eh + half) & (r["y"] + r["h"] >= ey - half) for ex, ey, ew, eh in edges_]
+        return hits[0] | hits[1] | hits[2] | hits[3]
+
+    steps = stored(met.select(F.col("a__n").alias("a"), F.col("b__n").alias("b"), touches(a, b).alias("out"), touches(b, a).alias("back")).where("out or back"), "steps")
+    groups = connected_components(steps.where("out and back").select("a", "b"))
+    group = stored(listed.select("_n").join(groups, F.col("_n") == F.col("node"), "left").select("_n", F.coalesce("component", "_n").alias("g")), "group")
+
+    def of(df: DataFrame, column: str, out: str) -> DataFrame:
+        return df.join(group.select(F.col("_n").alias(column), F.col("g").alias(out)), column)
+
+    one_way = steps.select(F.explode(F.array(F.when(F.col("out"), F.struct("a", "b")), F.when(F.col("back"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).alias("s")).where("s is not null").select("s.a", "s.b")
+    hops = stored(of(of(one_way, "a", "ga"), "b", "gb").where("ga <> gb").select("ga", "gb").distinct(), "hops")
+    start = of(listed.where("_frame").select(F.col("_n").alias("a")), "a", "g").select("g").distinct()
+    reached = fresh = stored(start, "reached")
+    while not fresh.isEmpty():
+        found = hops.join(fresh.select(F.col("g").alias("ga")), "ga").select(F.col("gb").alias("g")).distinct()
+        fresh = stored(found.join(reached, "g", "left_anti"), "fresh")
+        reached = stored(reached.unionByName(fresh), "reached")
+    # a frame's own group is reached where any step leads into it; what only starts there is the frame itself
+    return _into(listed, group, reached, one_way, rects.columns)
+
+
+def _into(listed: DataFrame, group: DataFrame, reached: DataFrame, one_way: DataFrame, columns: list[str]) -> DataFrame:
+    """Rectangles, but frames, of reached groups that a step from a reached one leads to."""
+    inside = group.join(reached, "g").select("_n")
+    entered = one_way.join(inside.select(F.col("_n").alias("a")), "a").select(F.col("b").alias("_n")).distinct()
+    return listed.where("not _frame").join(entered, "_n", "left_semi").select(*columns)
 
 
 def rotate_rects(rects: DataFrame, rotation: str = "rotation", width: str = "image_w", height: str = "image_h") -> DataFrame:
@@ -354,20 +405,24 @@ def text_clusters(boxes: DataFrame, pos: str = "pos") -> DataFrame:
     """(drawing_id, pos, cluster): clusters of the text boxes of a drawing by the pixels of their edges.
 
     A box has the label of its top left pixel. A box that is noise becomes a cluster of its own, numbered behind
-    the others.
+    the others. Drawings of many boxes are clustered by tiles.
     """
 
     def cluster(rows: list[dict]) -> list[tuple]:
-        points = np.concatenate([perimeter(r["x"], r["y"], r["w"], r["h"]) for r in rows])
-        labels = density_clusters(points)
-        first: dict[tuple[int, int], int] = {}
-        for i, p in enumerate(map(tuple, points.tolist())):
-            first.setdefault(p, i)
-        own = [int(labels[first[r["x"], r["y"]]]) for r in rows]
-        free = iter(range(int(labels.max(initial=-1)) + 1, len(points) + 1))
-        return [(r[pos], next(free) if label == -1 else label) for r, label in zip(rows, own, strict=True)]
-
-    return _each_group(boxes.select("drawing_id", pos, "x", "y", "w", "h"), ["drawing_id"], [pos, "x", "y", "w", "h"], cluster, f"{pos} {boxes.schema[pos].dataType.simpleString()}, cluster int")
+        own = edges.box_clusters(np.array([[r[c] for c in "xywh"] for r in rows], dtype=np.int64), EPS, MIN_POINTS)
+        free = iter(range(int(own.max(initial=-1)) + 1, len(rows) * 2 + 1))
+        return [(r[pos], next(free) if label == -1 else int(label)) for r, label in zip(rows, own, strict=True)]
+
+    slim = boxes.select("drawing_id", pos, "x", "y", "w", "h")
+    large = tiles.large_drawings(slim)
+    few, many = _divided(slim, large)
+    out = _each_group(few, ["drawing_id"], [pos, "x", "y", "w", "h"], cluster, f"{pos} {boxes.schema[pos].dataType.simpleString()}, cluster int")
+    if large is None:
+        return out
+    found = edges.tiled_box_clusters(many, pos, EPS, MIN_POINTS)
+    most = F.coalesce(F.max("cluster").over(Window.partitionBy("drawing_id")), F.lit(-1))
+    behind = F.row_number().over(Window.partitionBy("drawing_id", F.col("cluster").isNull()).orderBy(pos, "x", "y", "w", "h"))
+    return out.unionByName(found.select("drawing_id", pos, F.coalesce("cluster", most + behind).cast("int").alias("cluster")))
 
 
 def outer_boxes(boxes: DataFrame, group: list[str]) -> DataFrame:

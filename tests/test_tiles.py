@@ -95,3 +95,30 @@ def test_no_join_of_a_drawing_with_itself_and_few_exchanges(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     plan = layout.box_regions(rects.withColumnRenamed("rect_id", "pos"), rects, rects.where("rect_id = 0"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_reachability_by_rounds_and_by_page(spark, monkeypatch, seed):
+    r = np.random.default_rng(seed)
+    rows = []
+    for d in range(6):
+        for i in range(60):
+            w, h = (int(v) for v in r.choice([r.integers(1, 15, 2), r.integers(10, 90, 2), r.integers(150, 400, 2)]))
+            rows.append((d, i, *(int(v) for v in r.integers(0, 1_500, 2)), w, h))
+        if d < 4:
+            rows.append((d, 60, 100, 100, 900, 700))
+    rects = spark.createDataFrame(rows, RECT)
+    frames = rects.where("rect_id = 60")
+    want = sorted(map(tuple, layout.reachable_cells(rects, frames).collect()))
+    assert 20 < len(want) < len(rows) - 60
+    monkeypatch.setattr(tiles, "MANY", 10)
+    assert sorted(map(tuple, layout.reachable_cells(rects, frames).collect())) == want
+
+
+def test_a_chain_of_20000_cells(spark):
+    n = 20_000
+    chain = spark.range(n).select(F.lit(1).alias("drawing_id"), F.col("id").cast("int").alias("rect_id"), (F.col("id") * 30).cast("int").alias("x"), F.lit(0).alias("y"), F.lit(25).alias("w"), F.lit(25).alias("h"))
+    lone = chain.where("rect_id < 50").selectExpr("drawing_id", "rect_id + 100000 as rect_id", "x", "y + 500 as y", "w", "h")
+    frames = spark.createDataFrame([(1, 999_999, -105, 0, 100, 25)], RECT)
+    out = layout.reachable_cells(chain.unionByName(lone), frames)
+    assert out.count() == n and out.where("rect_id >= 100000").count() == 0
