@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetforge.operators.fuzzy import match_count, partial_ratio
+from sheetforge.scratch import stored
 
 # ------------------------------------------------------------------------------ extraction
 
@@ -46,10 +48,9 @@ def match_fuzzy(results: DataFrame, key: str, truth: str, found: str, cutoff: fl
     """
     skipping = variant == "skipping"
     tp = match_count(cutoff, spaceless=not skipping, skipping=skipping)(F.col(truth), F.col(found))
-    # equal pairs of lists are matched once
-    matched = results.select(truth, found).distinct().withColumn("tp", tp)
-    same = results.alias("r").join(matched.alias("m"), F.col(f"r.{truth}").eqNullSafe(F.col(f"m.{truth}")) & F.col(f"r.{found}").eqNullSafe(F.col(f"m.{found}")))
-    rows = same.select(F.col(f"r.{key}").alias(key), F.greatest(F.size(f"r.{truth}"), F.lit(0)).alias("_n"), F.greatest(F.size(f"r.{found}"), F.lit(0)).alias("_m"), "m.tp")
+    sizes = [F.greatest(F.size(c), F.lit(0)).alias(n) for c, n in ((truth, "_n"), (found, "_m"))]
+    # both lists lie in the row, so nothing is shuffled
+    rows = results.select(key, *sizes, tp.alias("tp"))
     return rows.select(key, "tp", (F.col("_m") - F.col("tp")).alias("fp"), (F.col("_n") - F.col("tp")).alias("fn"))
 
 
@@ -91,9 +92,65 @@ def measure_distance(truth: Column, found: Column) -> Column:
     return F.least(*sums)
 
 
-def field_summary(values: DataFrame, field: str = "field", value: str = "value") -> DataFrame:
-    """(field, mean, median, n) of the scores of each field."""
-    return values.groupBy(field).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.count(value).alias("n"))
+#: Fields of more values than this get their median by counting passes.
+GATHERED = 100_000
+#: Bins of a counting pass.
+BINS = 1_024
+
+
+def field_summary(values: DataFrame, field: str = "field", value: str = "value", gathered: int | None = None) -> DataFrame:
+    """(field, mean, median, n) of the scores of each field, all exact. Null values and NaN don't count.
+
+    Medians of fields of more than ``gathered`` values (default: GATHERED) are found by ``selected_medians``, so no task holds such a field.
+    """
+    gathered = GATHERED if gathered is None else gathered
+    x = F.col(value).cast("double")
+    clean = values.select(field, F.when(~F.isnan(x), x).alias("_v"))
+    stats = stored(clean.groupBy(field).agg(F.avg("_v").alias("mean"), F.count("_v").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")), "stats")
+    large = stats.where(F.col("n") > gathered)
+    if large.isEmpty():
+        few = clean.groupBy(field).agg(F.percentile("_v", F.lit(0.5)).alias("median"))
+    else:
+        some = clean.join(large.select(F.col(field).alias("_f")), F.col(field).eqNullSafe(F.col("_f")), "left_anti")
+        many = selected_medians(clean.where("_v is not null"), large.select(field, F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "n"), field)
+        few = some.groupBy(field).agg(F.percentile("_v", F.lit(0.5)).alias("median")).unionByName(many)
+    medians = few.withColumnRenamed(field, "_f")
+    return stats.join(medians, F.col(field).eqNullSafe(F.col("_f")), "left").select(field, "mean", "median", "n")
+
+
+def selected_medians(values: DataFrame, spans: DataFrame, field: str) -> DataFrame:
+    """(field, median) of ``values`` (field, _v), from ``spans`` (field, lo, hi, n), by selection.
+
+    Each pass counts the values of a field's range in equal bins, with the least and greatest of each bin. Where the two middle places lie in two bins, or in one
+    of a single value, they are found; else the range shrinks to that bin's least and greatest value. A pass sends one row for each task, field and bin.
+    Infinite values count as the largest double.
+    """
+    largest = F.lit(1.7976931348623157e308)
+    v = F.least(largest, F.greatest(-largest, F.col("_v")))
+    values = values.select(F.col(field).alias("_f"), v.alias("_v"))
+    held = {c: F.least(largest, F.greatest(-largest, F.col(c))) for c in ("lo", "hi")}
+    middle = {"k1": F.floor((F.col("n") - 1) / 2), "k2": F.floor(F.col("n") / 2)}
+    state = stored(spans.select(field, *[c.alias(k) for k, c in held.items()], *[c.cast("long").alias(k) for k, c in middle.items()]), "ranges")
+    found = []
+    while not state.isEmpty():
+        rows = values.join(state, F.col("_f").eqNullSafe(F.col(field))).where("_v between lo and hi")
+        # halves, so that no difference overflows
+        share = (F.col("_v") / 2 - F.col("lo") / 2) / F.nullif(F.col("hi") / 2 - F.col("lo") / 2, F.lit(0.0))
+        at = F.least(F.lit(BINS - 1), F.floor(F.coalesce(share, F.lit(0.0)) * BINS)).cast("int")
+        counts = rows.groupBy(field, "k1", "k2", at.alias("bin")).agg(F.count("*").alias("c"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+        running = Window.partitionBy(field).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("before", F.coalesce(F.sum("c").over(running), F.lit(0)))
+
+        def holds(k: str) -> Column:
+            return (F.col("before") <= F.col(k)) & (F.col(k) < F.col("before") + F.col("c"))
+
+        ends = {"lo": F.max(F.when(holds("k1"), F.col("least"))), "low": F.max(F.when(holds("k1"), F.col("most"))), "high": F.max(F.when(holds("k2"), F.col("least"))), "before": F.max(F.when(holds("k1"), F.col("before")))}
+        both = F.max(holds("k1") & holds("k2"))
+        step = stored(placed.groupBy(field, "k1", "k2").agg(*[c.alias(k) for k, c in ends.items()], both.alias("same")), "pass")
+        one = F.col("same") & (F.col("lo") == F.col("low"))
+        found.append(step.where(~F.col("same") | one).select(field, (0.5 * F.col("low") + 0.5 * F.col("high")).alias("median")))
+        state = step.where(F.col("same") & ~one).select(field, "lo", F.col("low").alias("hi"), (F.col("k1") - F.col("before")).alias("k1"), (F.col("k2") - F.col("before")).alias("k2"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def histogram(values: DataFrame, field: str = "field", value: str = "value", bins: int = 20) -> DataFrame:
