@@ -14,6 +14,15 @@ GEOMETRY_NAMES = {"h": "tight", "k": "normal", "l": "loose"}
 # The sentences before and instead of the results of a search.
 RESULTS_HEAD = "Here are the retrieved results from the previous search:"
 NO_RESULTS = "No previous search has been performed, so there are no search results yet."
+# Labels and sentences of descriptions.
+NAME_LABEL = "Name: "
+MATERIAL_LABEL = "Material"
+TOLERANCE_LABEL = "Toleranzen nach ISO-2768"
+SURFACE_LABEL = "Oberflächenrauheit"
+GDT_LABEL = "GD&T"
+THREAD_LABEL = "Gewinde"
+DIMENSIONS_BEFORE, DIMENSIONS_AFTER = "Die Aussendimensionen des Teils sind ", " Millimeter. "
+NO_DIMENSIONS = "Keine Aussendimensionen"
 
 
 # ------------------------------------------------------------------------------ roll-ups
@@ -110,8 +119,8 @@ def gdt_words(gdt: Column) -> Column:
 
 def dimension_line(dims: Column) -> Column:
     joined = F.array_join(F.transform(dims, lambda x: x.cast("string")), "x")
-    said = F.concat(F.lit("Die Aussendimensionen des Teils sind "), joined, F.lit(" Millimeter. "))
-    return F.when(F.coalesce(F.size(dims), F.lit(0)) == 0, "Keine Aussendimensionen").otherwise(said)
+    said = F.concat(F.lit(DIMENSIONS_BEFORE), joined, F.lit(DIMENSIONS_AFTER))
+    return F.when(F.coalesce(F.size(dims), F.lit(0)) == 0, NO_DIMENSIONS).otherwise(said)
 
 
 def describe(features: DataFrame, *, name: str = "name", materials: str = "material_names") -> DataFrame:
@@ -121,12 +130,12 @@ def describe(features: DataFrame, *, name: str = "name", materials: str = "mater
     """
     names = F.transform(materials, lambda m: F.array_join(m, ", "))
     lines = [
-        F.concat(F.lit("Name: "), F.coalesce(F.col(name), F.lit(""))),
-        labelled_line(names, "Material"),
-        labelled_line(F.transform("general_tolerances", tolerance_words), "Toleranzen nach ISO-2768"),
-        labelled_line(F.col("surfaces"), "Oberflächenrauheit"),
-        labelled_line(F.transform("gdts", gdt_words), "GD&T"),
-        labelled_line(F.col("threads"), "Gewinde"),
+        F.concat(F.lit(NAME_LABEL), F.coalesce(F.col(name), F.lit(""))),
+        labelled_line(names, MATERIAL_LABEL),
+        labelled_line(F.transform("general_tolerances", tolerance_words), TOLERANCE_LABEL),
+        labelled_line(F.col("surfaces"), SURFACE_LABEL),
+        labelled_line(F.transform("gdts", gdt_words), GDT_LABEL),
+        labelled_line(F.col("threads"), THREAD_LABEL),
         dimension_line(F.col("outer_dimensions")),
     ]
     return features.withColumn("description", F.concat_ws("\n", *lines))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sheetforge.shipping import ship
@@ -54,11 +56,10 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
         if name not in found:
             sql = DOMAIN[name]
             used = {t: get(t) for t in [*BASE, *ORDER] if t != name and f" {t}" in sql.replace("\n", " ") and (t in base or ORDER.index(t) < ORDER.index(name))}
-            for t, df in used.items():
-                df.createOrReplaceTempView(f"sheetforge_{t}")
             for t in sorted(used, key=len, reverse=True):
-                sql = sql.replace(f"FROM {t}", f"FROM sheetforge_{t}").replace(f"JOIN {t}", f"JOIN sheetforge_{t}")
-            found[name] = spark.sql(sql)
+                sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
+            # tables by name of their frames: the session's views stay as they are
+            found[name] = spark.sql(sql, **used)
         return found[name]
 
     return [get(n) for n in names]

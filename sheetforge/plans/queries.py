@@ -512,12 +512,21 @@ def e9_sections(corpus: DataFrame) -> DataFrame:
 
 @query("corpus", sql=f"WITH {_VEC} SELECT q.drawing_id AS a, c.drawing_id AS b, round({_sql_composite(distance.WEIGHTS)}, 5) AS distance FROM vec q JOIN vec c ON c.drawing_id = q.drawing_id + 1")
 def f5_composite_distance(corpus: DataFrame) -> DataFrame:
-    """Column form of the composite distance between neighbours in the table."""
+    """Column form of the composite distance between neighbours in the table."""
     v = _vectors(corpus)
     pairs = v.select(F.col("drawing_id").alias("a"), F.col("search_vector").alias("q"), (F.col("drawing_id") + 1).alias("b")).join(v.select(F.col("drawing_id").alias("b"), F.col("search_vector").alias("c")), "b")
     return pairs.select("a", "b", F.round(distance.composite_distance(F.col("q"), F.col("c"), layout=LAYOUT64), 5).alias("distance"))
 
 
+@query("corpus", sql=f"""WITH {_VEC}, p AS (SELECT q.drawing_id AS a, c.drawing_id AS b, q.v[46:48] AS x, c.v[46:48] AS y FROM vec q JOIN vec c ON c.drawing_id = q.drawing_id + 1)
+  SELECT a, b, round(sqrt({" + ".join(f"pow((x[{i + 1}] - y[{i + 1}]) / {s}, 2)" for i, s in enumerate(distance.DIMENSION_STDS))}) / 3, 5) AS distance FROM p""")
+def f10_standardised_distance(corpus: DataFrame) -> DataFrame:
+    """Standardised distance of the outer dimensions of neighbours in the table, in their given order."""
+    v = _vectors(corpus).select("drawing_id", F.slice("search_vector", 46, 3).alias("dims"))
+    pairs = v.select(F.col("drawing_id").alias("a"), F.col("dims").alias("x"), (F.col("drawing_id") + 1).alias("b")).join(v.select(F.col("drawing_id").alias("b"), F.col("dims").alias("y")), "b")
+    return pairs.select("a", "b", F.round(distance.zscore_l2(F.col("x"), F.col("y"), distance.DIMENSION_MEANS, distance.DIMENSION_STDS), 5).alias("distance"))
+
+
 @query("corpus", sql=_NEAREST)
 def f7_search(corpus: DataFrame) -> DataFrame:
     """Five nearest of every twentieth drawing among all."""

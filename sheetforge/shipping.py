@@ -17,10 +17,11 @@ BATCH_ROWS = 1_000
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once for each application, and bounds the batches of Python helpers.
 
-    Python helpers run in workers that have their own search path; a cluster needs the code there.
+    Python helpers run in workers that have their own search path; a cluster needs the code there. Results are lazy, so the bound has to stay in the
+    session; a session that has its own value, not Spark's default, keeps it.
     """
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(limit, "10000")) > BATCH_ROWS:
+    if spark.conf.get(limit, "10000") == "10000":
         spark.conf.set(limit, str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _done:

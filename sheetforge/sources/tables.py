@@ -6,6 +6,8 @@ Missing lists are read as empty lists.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,3 +185,76 @@ def read_table(spark: SparkSession, url: str, table: str, key: str, low: int, hi
 def write_table(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
     """Database table written in batches by each partition."""
     df.write.jdbc(url, table, mode=mode, properties={"batchsize": "10000"} | options)
+
+
+def _quoted(url: str, name: str) -> str:
+    return f"`{name}`" if url.startswith("jdbc:mysql") or url.startswith("jdbc:mariadb") else f'"{name}"'
+
+
+def merge_statement(url: str, table: str, staging: str, columns: list[str], keys: list[str]) -> str:
+    """One statement that replaces the rows of ``table`` with a key that ``staging`` has, and adds the others; by the database's own words where it lacks MERGE."""
+    q = {c: _quoted(url, c) for c in columns}
+    every, others = ", ".join(q[c] for c in columns), [c for c in columns if c not in keys]
+    if url.startswith(("jdbc:postgresql", "jdbc:sqlite")):
+        sets = ", ".join(f"{q[c]} = excluded.{q[c]}" for c in others)
+        return f"INSERT INTO {table} ({every}) SELECT {every} FROM {staging} WHERE 1 = 1 ON CONFLICT ({', '.join(q[c] for c in keys)}) DO " + (f"UPDATE SET {sets}" if others else "NOTHING")
+    if url.startswith(("jdbc:mysql", "jdbc:mariadb")):
+        sets = ", ".join(f"{q[c]} = VALUES({q[c]})" for c in others or keys)
+        return f"INSERT INTO {table} ({every}) SELECT {every} FROM {staging} ON DUPLICATE KEY UPDATE {sets}"
+    met = " AND ".join(f"t.{q[c]} = s.{q[c]}" for c in keys)
+    update = "WHEN MATCHED THEN UPDATE SET " + ", ".join(f"{q[c]} = s.{q[c]}" for c in others) + " " if others else ""
+    return f"MERGE INTO {table} t USING {staging} s ON {met} {update}WHEN NOT MATCHED THEN INSERT ({every}) VALUES ({', '.join('s.' + q[c] for c in columns)})"
+
+
+def delete_statement(url: str, table: str, staging: str, keys: list[str]) -> str:
+    """One statement that removes the rows of ``table`` with a key that ``staging`` has."""
+    q = [_quoted(url, c) for c in keys]
+    met = " AND ".join(f"s.{c} = {table}.{c}" for c in q)
+    return f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {staging} s WHERE {met})"
+
+
+def _with_staging(df: DataFrame, url: str, statement, options: dict[str, str]) -> int:
+    """Writes ``df`` to a table of its own, runs ``statement(its name)`` in one transaction and drops the table; returns the rows changed."""
+    spark = df.sparkSession
+    staging = f"sheetforge_{uuid.uuid4().hex[:16]}"
+    jvm = spark._jvm
+    properties = jvm.java.util.Properties()
+    for name, value in options.items():
+        properties.setProperty(name, str(value))
+    if "driver" in options:
+        jvm.org.apache.spark.util.Utils.classForName(options["driver"], True, True)
+    write_table(df, url, staging, mode="errorifexists", **options)
+    connection = jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        connection.setAutoCommit(False)
+        work = connection.createStatement()
+        try:
+            changed = work.executeUpdate(statement(staging))
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        finally:
+            work.executeUpdate(f"DROP TABLE {staging}")
+            connection.commit()
+            work.close()
+    finally:
+        connection.close()
+    return changed
+
+
+def upsert_table(df: DataFrame, url: str, table: str, keys: list[str], **options: str) -> int:
+    """Puts rows into a database table, replacing those with the same ``keys``; returns the rows changed.
+
+    The partitions write a staging table in batches; one merge statement then changes the table, so a failed job leaves it as it was. The keys need a unique index in the
+    databases that merge on conflict. Of rows with the same keys the greatest by the other columns counts; rows with a null key are left out.
+    """
+    others = [c for c in df.columns if c not in keys]
+    known = df.dropna(subset=keys)
+    one = known.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_r")).select(*keys, "_r.*").select(*df.columns) if others else known.distinct()
+    return _with_staging(one, url, lambda staging: merge_statement(url, table, staging, df.columns, keys), options)
+
+
+def delete_from_table(found: DataFrame, url: str, table: str, keys: list[str], **options: str) -> int:
+    """Removes the rows of a database table whose ``keys`` stand in ``found``, by one statement; returns how many."""
+    return _with_staging(found.select(*keys).dropna().distinct(), url, lambda staging: delete_statement(url, table, staging, keys), options)
