@@ -25,8 +25,10 @@ from sheetforge.shipping import ship
 
 #: Rows of a block at most.
 BLOCK_ROWS = 512
-#: Bits of each dimension on the curve.
-CURVE_BITS = 4
+#: Rows of the chunks that blocks are made of.
+CHUNK = 16
+#: Directions that the curve runs through, and bits of each.
+CURVE_DIMS, CURVE_BITS = 4, 8
 #: Components are held within plus and minus this, so that squared distances of 64 of them fit in a long.
 LARGEST = 1 << 27
 #: Up to this size of components sums of squares are exact in doubles.
@@ -104,10 +106,32 @@ def _rows(column: pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<i4").reshape(-1, dims).astype(np.int64)
 
 
+def block_ends(x: np.ndarray, block_rows: int, chunk: int = CHUNK, wider: float = 1.75) -> np.ndarray:
+    """Where to cut rows in curve order into blocks: 0, ..., len(x).
+
+    Chunks of a few rows are joined while the joint box is at most ``wider`` times as wide as the narrowest of them, so rows that lie close together keep a
+    narrow box and don't share one with others.
+    """
+    ends, low, high, narrow = [0], None, None, 0.0
+    for at in range(0, len(x), chunk):
+        piece = x[at : at + chunk]
+        a, b = piece.min(0), piece.max(0)
+        width = float((b - a).sum())
+        if low is not None:
+            both = float((np.maximum(high, b) - np.minimum(low, a)).sum())
+            if at - ends[-1] < block_rows and both <= wider * max(min(narrow, width), len(a)):
+                low, high, narrow = np.minimum(low, a), np.maximum(high, b), min(narrow, width)
+                continue
+            ends.append(at)
+        low, high, narrow = a, b, width
+    return np.array([*ends, len(x)] if len(x) else [0])
+
+
 def curve_blocks(vectors: DataFrame, dims: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Blocks of ``vectors`` (id, v) along the curve: ids, v (all vectors one after the other), low and high (the box), as binary.
 
-    A dimension's cells are sixteenths of the range of two standard deviations about its mean; what is beyond lies in the outer cells. Equal keys are
+    The curve runs through the CURVE_DIMS directions of most variance: in all dimensions at once its first bits would part vectors that are near each
+    other. Along each, cells are equal parts of the range of two standard deviations about the mean; what is beyond lies in the outer cells. Equal keys are
     dealt by the id as well, so many copies of a vector are many blocks in many tasks.
     """
     spark = vectors.sparkSession
@@ -115,31 +139,33 @@ def curve_blocks(vectors: DataFrame, dims: int, block_rows: int = BLOCK_ROWS) ->
     levels = 1 << CURVE_BITS
 
     def moments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, one, two = 0, np.zeros(dims), np.zeros(dims)
+        n, one, two = 0, np.zeros(dims), np.zeros((dims, dims))
         for part in parts:
             x = _rows(part.column(0), dims).astype(np.float64)
-            n, one, two = n + len(x), one + x.sum(0), two + (x * x).sum(0)
-        yield pa.RecordBatch.from_pydict({"n": [float(n)] * dims, "dim": list(range(dims)), "one": one, "two": two}, schema=pa.schema([("n", pa.float64()), ("dim", pa.int32()), ("one", pa.float64()), ("two", pa.float64())]))
-
-    sums = vectors.select("v").mapInArrow(moments, "n double, dim int, one double, two double").groupBy("dim").agg(*[F.sum(c).alias(c) for c in ("n", "one", "two")])
-    found = np.zeros((dims, 3))
-    for r in sums.collect():  # one row for each dimension
-        found[r["dim"]] = r["n"], r["one"], r["two"]
-    n = np.maximum(found[:, 0], 1)
-    mean = found[:, 1] / n
-    wide = np.maximum(np.sqrt(np.maximum(found[:, 2] / n - mean * mean, 0)), 1e-9)
+            n, one, two = n + len(x), one + x.sum(0), two + x.T @ x
+        schema = pa.schema([("dim", pa.int32()), ("n", pa.float64()), ("one", pa.float64()), ("two", pa.list_(pa.float64()))])
+        yield pa.RecordBatch.from_pydict({"dim": list(range(dims)), "n": [float(n)] * dims, "one": one, "two": list(two)}, schema=schema)
+
+    parts = vectors.select("v").mapInArrow(moments, "dim int, n double, one double, two array<double>")
+    sums = parts.select("dim", "n", "one", F.posexplode("two").alias("other", "two")).groupBy("dim", "other").agg(*[F.sum(c).alias(c) for c in ("n", "one", "two")])
+    n, mean, square = 1.0, np.zeros(dims), np.zeros((dims, dims))
+    for r in sums.collect():  # one row for each pair of dimensions
+        n = max(r["n"], 1.0)
+        mean[r["dim"]] = r["one"] / n
+        square[r["dim"], r["other"]] = r["two"] / n
+    values, directions = np.linalg.eigh(square - np.outer(mean, mean))
+    axes = directions[:, ::-1][:, :CURVE_DIMS] / np.sqrt(np.maximum(values[::-1][:CURVE_DIMS], 1e-9))
 
     def keyed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            cells = np.clip(np.floor((_rows(part.column(1), dims) - mean) / wide * (levels / 4) + levels / 2), 0, levels - 1)
+            cells = np.clip(np.floor(((_rows(part.column(1), dims) - mean) @ axes) * (levels / 4) + levels / 2), 0, levels - 1)
             keys = hilbert_keys(cells, CURVE_BITS)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([k.tobytes() for k in keys], pa.binary())], ["id", "v", "key"])
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            pieces = -(-part.num_rows // block_rows)
-            ends = np.linspace(0, part.num_rows, pieces + 1).astype(int)
             x = _rows(part.column(1), dims)
+            ends = block_ends(x, block_rows)
             spans = list(zip(ends, ends[1:]))
             columns = [
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), part.column(0)),

@@ -92,7 +92,7 @@ def test_odd_vectors_ties_repeats_and_names(spark):
     odd = [(90, None), (91, [1.0, None, 2.0]), (92, [1.0, nan, 2.0]), (93, [inf, 1.0, 2.0]), (94, [1.0, 2.0]), (95, [])]
     rows = [*good, *odd, (None, [0.0, 0.0, 0.0]), (None, [9.0, 0.0, 0.0]), (3, [3.0, 0.5, -1.0]), (3, [7.0, 7.0, 7.0]), (97, [2.0**17, 0.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, v string, cluster string")
-    assert same(clustering.cluster(df, dims=3, k=4, block_rows=3).collect(), plain(rows, dims=3, k=4))
+    assert same(clustering.cluster(df, dims=3, k=4, block_rows=16).collect(), plain(rows, dims=3, k=4))
     assert clustering.cluster(df, dims=3, k=99).count() == 35  # fewer vectors than centroids
     assert clustering.cluster(df.limit(0), dims=3).count() == 0
     assert clustering.cluster(df, dims=8).count() == 0
