@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetforge.operators.numbering import numbered
+from sheetforge.scratch import stored
 
 DRAWINGS = "drawing_id int, original_drawing binary"
 RUNTIMES = "runtime_id int, drawing_id int, machine string, machine_runtime double"
@@ -137,6 +138,55 @@ def read_drawing_files(spark: SparkSession, folder: str) -> tuple[DataFrame, Dat
     return accepted.select("drawing_id", "path", F.col("content").alias("original_drawing")), files.where(~good).select("path")
 
 
+def new_files(spark: SparkSession, folder: str, seen: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modified, drawing_id) of files of a folder that the manifest ``seen`` doesn't hold as they are now.
+
+    A path that the manifest knows in another length or time has changed and keeps its id; new paths get ids behind the greatest known one, in their order. The table is
+    stored, so a file that comes or changes while the load runs waits for the next one. Pass it to ``mark_seen`` when its rows are safe; without that the
+    next load finds the same files again.
+    """
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=pattern).load(folder)
+    listed = stored(files.select("path", "length", F.col("modificationTime").alias("modified")), "listed")
+    known = _seen_files(spark, seen)
+    last = known.agg(F.max("drawing_id")).first()[0]
+    same = ["path", "length", "modified"]
+    fresh = listed.join(known, same, "left_anti").join(known.select("path", "drawing_id"), "path", "left")
+    first = numbered(fresh.where("drawing_id is null").select("path"), ["path"], "drawing_id", first=0 if last is None else last + 1)
+    return stored(fresh.where("drawing_id is not null").select(*same, "drawing_id").unionByName(fresh.drop("drawing_id").join(first, "path").select(*same, "drawing_id")), "fresh")
+
+
+def _seen_files(spark: SparkSession, seen: str) -> DataFrame:
+    """The last entry of each path of a manifest; empty before the first load."""
+    schema = "path string, length long, modified timestamp, drawing_id long, loaded long"
+    where = spark._jvm.org.apache.hadoop.fs.Path(seen)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema).drop("loaded")
+    rows = spark.read.schema(schema).parquet(seen)
+    return rows.groupBy("path").agg(F.max_by(F.struct("length", "modified", "drawing_id"), F.struct("loaded", "modified")).alias("r")).select("path", "r.*")
+
+
+def mark_seen(fresh: DataFrame, seen: str) -> None:
+    """Adds files of ``new_files`` to the manifest."""
+    spark = fresh.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(seen)
+    loaded = 0
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        loaded = (spark.read.parquet(seen).agg(F.max("loaded")).first()[0] or 0) + 1
+    fresh.select("path", "length", "modified", F.col("drawing_id").cast("long").alias("drawing_id"), F.lit(loaded).cast("long").alias("loaded")).write.mode("append").parquet(seen)
+
+
+def read_new_drawing_files(spark: SparkSession, folder: str, seen: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(drawings, rejected, fresh) of the files that ``seen`` doesn't hold: as ``read_drawing_files``, and the files to pass to ``mark_seen`` afterwards.
+
+    Files of other kinds take ids too, so ids of drawings have gaps.
+    """
+    good = F.lower("path").rlike(r"\.(" + "|".join(ACCEPTED_FILES) + ")$")
+    fresh = new_files(spark, folder, seen)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    drawings = files.select("path", F.col("content").alias("original_drawing")).join(fresh.where(good).select("path", "drawing_id"), "path")
+    return drawings.select("drawing_id", "path", "original_drawing"), fresh.where(~good).select("path"), fresh
+
+
 def read_material_classes(spark: SparkSession, path: str) -> DataFrame:
     """JSON list of synonym lists -> (class_id, pos, name)."""
     text = spark.read.text(path, wholetext=True)
