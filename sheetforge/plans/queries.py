@@ -11,6 +11,7 @@ from sheetforge.functions import distance
 from sheetforge.operators import describe, encode, evaluate, extract, fuzzy, layout, search, store
 from sheetforge.plans import workloads
 from sheetforge.plans.domain import tables, with_tables
+from sheetforge.scratch import stored
 from sheetforge.sources import tables as files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,6 +187,7 @@ _TOUCH = " OR ".join(
   f(drawing_id, x, y, w, h) AS (SELECT * FROM start UNION SELECT c.drawing_id, c.x, c.y, c.w, c.h FROM f JOIN rects c ON c.drawing_id = f.drawing_id WHERE {_TOUCH})
   SELECT r.drawing_id, r.rect_id FROM rects r JOIN start USING (drawing_id) WHERE EXISTS (SELECT 1 FROM f JOIN rects c ON c.drawing_id = f.drawing_id WHERE c.drawing_id = r.drawing_id AND c.rect_id = r.rect_id AND ({_TOUCH}))""")
 def c4_reachable_cells(rects: DataFrame, pages: DataFrame) -> DataFrame:
+    rects = stored(rects, "rects")
     return layout.reachable_cells(rects, layout.inner_frames(rects, pages)).select("drawing_id", "rect_id")
 
 
@@ -211,7 +213,7 @@ _REGION = f"""SELECT b.drawing_id, b.pos, CASE WHEN EXISTS (SELECT 1 FROM rects
 
 @query("boxes", "rects", "frames", sql=_REGION)
 def c7_regions(boxes: DataFrame, rects: DataFrame, frames: DataFrame) -> DataFrame:
-    return layout.box_regions(boxes, rects, frames).select("drawing_id", "pos", "region")
+    return layout.box_regions(boxes, stored(rects, "rects"), frames).select("drawing_id", "pos", "region")
 
 
 @query("rects", "frames", sql="SELECT drawing_id, min(rect_id) AS rect_id, x, y, w, h FROM rects WHERE NOT (x = 0 AND y = 0 AND w = 60 AND h = 60) GROUP BY drawing_id, x, y, w, h")
@@ -223,12 +225,12 @@ def c8_distinct_rects(rects: DataFrame, frames: DataFrame) -> DataFrame:
   WHERE (a.x, a.y, a.w, a.h) <> (b.x, b.y, b.w, b.h) AND a.x + a.w // 2 > b.x AND a.x + a.w // 2 < b.x + b.w AND a.y + a.h // 2 > b.y AND a.y + a.h // 2 < b.y + b.h)
   SELECT r.* FROM rects r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.drawing_id = r.drawing_id AND p.rect_id = r.rect_id)""")
 def c9_nested_rects(rects: DataFrame) -> DataFrame:
-    return layout.without_nested(rects)
+    return layout.without_nested(stored(rects, "rects"))
 
 
 @query("boxes", "rects", sql="SELECT b.drawing_id, r.rect_id, b.pos FROM boxes b JOIN rects r USING (drawing_id) WHERE b.x + b.w // 2 > r.x AND b.x + b.w // 2 < r.x + r.w AND b.y + b.h // 2 > r.y AND b.y + b.h // 2 < r.y + r.h")
 def c10_assign_cells(boxes: DataFrame, rects: DataFrame) -> DataFrame:
-    return layout.assign_cells(boxes, rects).select("drawing_id", "rect_id", "pos")
+    return layout.assign_cells(boxes, stored(rects, "rects")).select("drawing_id", "rect_id", "pos")
 
 
 @query("boxes")
@@ -254,7 +256,7 @@ def c13_letter_share(blobs: DataFrame) -> DataFrame:
 @query("boxes")
 def c14_text_clusters(boxes: DataFrame) -> DataFrame:
     """Density clusters of text boxes; tested against a plain version."""
-    return layout.text_clusters(boxes)
+    return layout.text_clusters(stored(boxes, "boxes"))
 
 
 @query("boxes", sql="SELECT drawing_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM boxes GROUP BY 1")
