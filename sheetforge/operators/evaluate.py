@@ -229,9 +229,18 @@ def truth_classes(view_is_paper: Column, is_shape: Column) -> Column:
     return F.when(is_shape, 2).when(view_is_paper, 0).otherwise(1)
 
 
+def _pixels(pixels: DataFrame, which: Column | None = None) -> Column:
+    """Number of pixels, of those ``which`` holds for."""
+    n = F.col("n") if "n" in pixels.columns else F.lit(1)
+    return F.coalesce(F.sum(n if which is None else F.when(which, n)), F.lit(0)).cast("long")
+
+
 def class_counts(pixels: DataFrame, classes: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-    """(image_id, class, tp, fp, fn) of label pairs; one row for each image and class."""
-    pairs = pixels.groupBy("image_id", "gt", "pred").agg(F.count("*").alias("n"))
+    """(image_id, class, tp, fp, fn) of label pairs; one row for each image and class.
+
+    A row is a pixel or, with a column n as of ``labelmaps.map_pairs``, that many; so in all scores below.
+    """
+    pairs = pixels.groupBy("image_id", "gt", "pred").agg(_pixels(pixels).alias("n"))
     rows = pairs.select("image_id", "gt", "pred", "n", F.explode(F.array(*[F.lit(c) for c in classes])).alias("class"))
     g, p = F.col("gt") == F.col("class"), F.col("pred") == F.col("class")
 
@@ -270,6 +279,6 @@ def segmentation_scores(pixels: DataFrame) -> DataFrame:
 def binary_scores(pixels: DataFrame, value: int = 0) -> DataFrame:
     """(image_id, iou, dice) of one class against the rest; 1 where it's nowhere."""
     g, p = F.col("gt") == value, F.col("pred") == value
-    counts = pixels.groupBy("image_id").agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"))
+    counts = pixels.groupBy("image_id").agg(_pixels(pixels, g & p).alias("tp"), _pixels(pixels, ~g & p).alias("fp"), _pixels(pixels, g & ~p).alias("fn"))
     iou, dice = overlap(F.col("tp"), F.col("fp"), F.col("fn"), empty=1.0)
     return counts.select("image_id", iou.alias("iou"), dice.alias("dice"))

@@ -37,7 +37,7 @@ DOMAIN = {
     "ranked": """SELECT source AS tag, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INT) AS pos,
       CASE WHEN quality = 0 THEN 'NOT Relevant' WHEN toxic = 1 THEN 'Only Feature 1 Relevant' WHEN doc_id % 7 = 0 THEN 'Only Feature 2 Relevant' ELSE 'Both Relevant' END AS label
       FROM (SELECT d.source AS source, d.doc_id AS doc_id, l.quality AS quality, l.toxic AS toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id) j""",
-    "pixels": "SELECT CAST(o % 500 AS INT) AS image_id, CAST(p % 3 AS INT) AS gt, CAST(CASE WHEN s % 4 = 0 THEN s % 3 ELSE p % 3 END AS INT) AS pred FROM lines",
+    "pixels": "SELECT CAST(o % 500 AS INT) AS image_id, CAST(FLOOR(o / 500) AS BIGINT) * 8 + n AS pos, CAST(p % 3 AS INT) AS gt, CAST(CASE WHEN s % 4 = 0 THEN s % 3 ELSE p % 3 END AS INT) AS pred FROM lines",
 }
 
 #: Domain tables in an order in which each uses only earlier ones.

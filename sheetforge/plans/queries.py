@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheetforge.functions import distance
-from sheetforge.operators import describe, encode, evaluate, extract, fuzzy, layout, search, store
+from sheetforge.operators import describe, encode, evaluate, extract, fuzzy, labelmaps, layout, search, store
 from sheetforge.plans import workloads
 from sheetforge.plans.domain import tables, with_tables
 from sheetforge.scratch import stored
@@ -821,6 +821,24 @@ def h14_class_scores(pixels: DataFrame) -> DataFrame:
     return out.withColumns({"iou": F.round("iou", 6), "dice": F.round("dice", 6)})
 
 
+@query("pixels", sql=f"WITH {_SEG} SELECT image_id, c AS class, tp, fp, fn, round(iou, 6) AS iou, round(dice, 6) AS dice FROM s")
+def h14_label_maps(pixels: DataFrame) -> DataFrame:
+    """Class scores of label images in tiles of byte strings."""
+    tiles = labelmaps.packed_labels(pixels.withColumn("tile", F.expr("pos div 4096")), ["image_id", "tile"])
+    out = evaluate.per_class_scores(labelmaps.map_pairs(tiles))
+    return out.withColumns({"iou": F.round("iou", 6), "dice": F.round("dice", 6)})
+
+
+@query("pixels", sql="""SELECT image_id, round(coalesce(count(*) FILTER (WHERE gt = 0 AND pred = 0) / nullif(count(*) FILTER (WHERE gt = 0 OR pred = 0), 0), 1.0), 6) AS iou, round(coalesce(2 * count(*) FILTER (WHERE gt = 0 AND pred = 0)
+  / nullif(count(*) FILTER (WHERE gt = 0) + count(*) FILTER (WHERE pred = 0), 0), 1.0), 6) AS dice, count(*) AS n FROM pixels GROUP BY 1""")
+def h14_run_lengths(pixels: DataFrame) -> DataFrame:
+    """Scores of the background, and pixels, of label images in tiles of runs."""
+    tiles = labelmaps.packed_labels(pixels.withColumn("tile", F.expr("pos div 4096")), ["image_id", "tile"])
+    pairs = labelmaps.run_pairs(tiles.select("image_id", *[labelmaps.run_lengths(F.col(c)).alias(c) for c in ("gt", "pred")]))
+    whole = pairs.groupBy("image_id").agg(F.sum("n").alias("n"))
+    return evaluate.binary_scores(pairs).join(whole, "image_id").select("image_id", F.round("iou", 6).alias("iou"), F.round("dice", 6).alias("dice"), "n")
+
+
 @query("pixels", sql=f"""WITH {_SEG}, i AS (SELECT image_id, avg(iou) AS a, avg(dice) AS b, avg(iou) FILTER (WHERE c > 0) AS x, avg(dice) FILTER (WHERE c > 0) AS y, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM s GROUP BY 1)
   SELECT count(*) AS images, round(avg(a), 6) AS iou_macro, round(avg(b), 6) AS dice_macro, round(avg(x), 6) AS iou_macro_fg, round(avg(y), 6) AS dice_macro_fg, round(sum(tp) / (sum(tp) + sum(fp) + sum(fn)), 6) AS iou_micro, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS dice_micro FROM i""")
 def h14_segmentation(pixels: DataFrame) -> DataFrame:

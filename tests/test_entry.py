@@ -4,7 +4,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-CHECKED = ["w2_search", "f5_composite_distance", "d1_extract_blobs", "d13_outer_measures", "b10_drawing_documents", "c9_nested_rects", "g10_description", "h1_match_exact", "h14_segmentation"]
+CHECKED = ["w2_search", "f5_composite_distance", "d1_extract_blobs", "d13_outer_measures", "b10_drawing_documents", "c9_nested_rects", "g10_description", "h1_match_exact", "h14_segmentation", "h14_label_maps", "h14_run_lengths"]
 
 
 def test_every_sql_belongs_to_a_query():
