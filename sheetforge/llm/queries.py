@@ -62,7 +62,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret candidates of all documents with the forest's word on each; the secret itself isn't shown."""
     out = secrets.scan(table(spark, sf_dir, "documents"))
     shown = F.concat(F.left("candidate", F.lit(4)), F.lit("..."))
-    return out.select(F.col("doc").alias("doc_id"), "path", "place", shown.alias("shown"), F.sha2("candidate", 256).alias("candidate_sha256"), *secrets.FEATURES, "probability", "is_secret")
+    return out.select(F.col("doc").alias("doc_id"), "path", "place", shown.alias("shown"), F.sha2("candidate", 256).alias("candidate_sha256"), *secrets.FEATURES, "label", "probability", "is_secret")
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,18 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest; DataFrame functions only.
 
 A candidate is a token-like string of at least 16 characters, or a value of any length and alphabet that follows a
-secret name or stands as the password of user:password@host. Its features are length, character transitions,
+secret name or stands as the password of user:password@host (user: up to 256 name characters). Its features are length, character transitions,
 coverage by dictionary words, the path it stands under and the words around it. The forest is trained
 from labelled findings. ``label_findings`` makes them from evidence that the features don't hold: vendors' formats, the name that a
 value is assigned to, a word that says what a value is. These are cut out of the words around it before features are taken, so the
-forest learns from values, paths and other neighbours, and judges candidates without such evidence.
+forest learns from values, paths and other neighbours, and judges candidates without such evidence. A labelled candidate is judged by a
+forest that saw neither it nor any candidate of equal value, so that a forest may overrule a rule.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,7 +28,8 @@ _NAMED = (
     r"(?<=[:=>\s\"'])(?<=[:=>]\s{0,8}[\"']?)(?<=(?i:" + _NAME + r")[\"']?\s{0,8}[:=]{1,2}>?\s{0,8}[\"']?)"
     r"(?:(?<=\")(?:[^\"\\\r\n]|\\.)++(?=\")|(?<=')(?:[^'\\\r\n]|\\.)++(?=')|(?!" + _TOKEN + r"[&,;)\]}<>])(?<![\"'])[^\s\"':=>][^\s\"']*(?<![,;.)\]}])|(?<=[\"'])[^\s\"']+(?<![,;.)\]}]))"
 )
-_LOGIN = r"(?<=:)(?<=[A-Za-z0-9._%+-]:)(?!/)[^\s\"'<>]+(?=@[A-Za-z0-9\[])"
+# Only the first colon after a user name starts an attempt, so a run of colons is searched once.
+_LOGIN = r"(?<=:)(?<=(?<![A-Za-z0-9._%+:-])[A-Za-z0-9._%+-]{1,256}:)(?!/)[^\s\"'<>]+(?=@[A-Za-z0-9\[])"
 CANDIDATE = f"{_NAMED}|{_LOGIN}|{_TOKEN}"
 
 # Formats that vendors document for their keys, and key names that announce a secret.
@@ -108,16 +112,22 @@ def with_features(candidates: DataFrame) -> DataFrame:
     return candidates.withColumns({k: v.cast("double") for k, v in values.items()})
 
 
+def _evidence() -> tuple[Column, Column]:
+    """Whether evidence calls a candidate a secret, and whether it calls it none."""
+    c = F.col("candidate")
+    named = F.col("before").rlike(SECRET_NAMES) | (F.col("before").rlike(LOGIN) & F.col("after").startswith("@"))
+    yes = c.rlike(KNOWN_FORMATS) | (named & c.rlike("[0-9]"))
+    no = (F.col("before").rlike(_SAID) | c.rlike(r"^[A-Za-z]+$|^[0-9]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[A-Za-z_/.-]+$|(.)\1{7}")) & ~yes & ~named
+    return yes, no
+
+
 def label_findings(candidates: DataFrame) -> DataFrame:
     """Candidates that evidence outside the features decides, with label 1.0 (secret) or 0.0.
 
     Secret: a vendor's format, or a value with a digit after a secret name or as the password of user:password@host. No secret: a value after a
     word that says what it is, a plain number, word or UUID, one sign many times; if nothing says the contrary.
     """
-    c = F.col("candidate")
-    named = F.col("before").rlike(SECRET_NAMES) | (F.col("before").rlike(LOGIN) & F.col("after").startswith("@"))
-    yes = c.rlike(KNOWN_FORMATS) | (named & c.rlike("[0-9]"))
-    no = (F.col("before").rlike(_SAID) | c.rlike(r"^[A-Za-z]+$|^[0-9]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[A-Za-z_/.-]+$|(.)\1{7}")) & ~yes & ~named
+    yes, no = _evidence()
     return candidates.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).where("label is not null")
 
 
@@ -135,21 +145,42 @@ def train(findings: DataFrame, *, fit_rows: int = 20_000, trees: int = 20, depth
     return model
 
 
-def scan(docs: DataFrame, findings: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
-    """(doc, path, place, candidate, FEATURES, probability, is_secret) of all candidates.
+def _word(model: RandomForestClassificationModel, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` plus the probability that ``model`` gives, as column ``name``."""
+    silent = model.copy().setRawPredictionCol("").setPredictionCol("").setProbabilityCol(name)
+    return silent.transform(rows).withColumn(name, F.get(vector_to_array(name), F.lit(1)))
 
-    ``findings`` are labelled candidates as of ``label_findings`` (default: those of ``docs`` themselves). Without
-    both labels among them the evidence's word stands: probability 1 for a known format or a named secret, else 0.
-    Where the evidence decides a candidate, the forest's word on it is still given as probability, but is_secret follows a known format. Rows that
+
+def scan(docs: DataFrame, findings: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5, folds: int = 3) -> DataFrame:
+    """(doc, path, place, candidate, FEATURES, label, probability, is_secret) of all candidates.
+
+    ``findings`` are labelled candidates as of ``label_findings``, and train one forest. By default those of ``docs`` themselves do: label is
+    what evidence says of a candidate, null where it is silent. They are dealt to ``folds`` by a hash of the value, and a forest is trained
+    without each fold. A labelled candidate is judged by the forest that left its fold out, any other by the mean of all forests. Where one
+    of the label kinds is missing in what a forest should learn from, the evidence's word stands for all: probability 1 for a known format or a named secret, else 0.
+    is_secret is the forest's word at ``threshold``, and true for a known format. Rows that
     repeat an id, an empty table and texts without candidates need no care: candidates are rows of their own, none gives none. Other columns
     of ``docs`` are ignored, whatever their names. Very long texts are searched in whole.
     """
     found = with_features(stored(find_candidates(docs, id_col=id_col, text_col=text_col, path_col=path_col), "candidates"))
-    model = train(label_findings(found) if findings is None else findings)
+    yes, no = _evidence()
+    fold = F.pmod(F.xxhash64("candidate"), F.lit(folds))
+    marked = found.withColumns({"label": F.when(yes, 1.0).when(no, 0.0), "fold": fold})
+    if findings is None:
+        known = label_findings(found).withColumn("fold", fold)
+        models = [train(known.where(F.col("fold") != i)) for i in range(folds)]
+    else:
+        models = [train(findings)]
     sure = F.col("candidate").rlike(KNOWN_FORMATS)
-    if model is None:
+    if any(m is None for m in models):
         named = (F.col("before").rlike(SECRET_NAMES) & F.col("candidate").rlike("[0-9]")) | (F.col("before").rlike(LOGIN) & F.col("after").startswith("@"))
-        scored = found.withColumn("probability", (sure | named).cast("double"))
+        scored = marked.withColumn("probability", (sure | named).cast("double"))
     else:
-        scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)).withColumn("probability", F.get(vector_to_array("probability"), F.lit(1)))
-    return scored.select("doc", "path", "place", "candidate", *FEATURES, "probability", ((F.col("probability") >= threshold) | sure).alias("is_secret"))
+        scored = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(marked)
+        names = [f"word_{i}" for i in range(len(models))]
+        for model, name in zip(models, names, strict=True):
+            scored = _word(model, scored, name)
+        mean = reduce(Column.__add__, [F.col(n) for n in names]) / len(names)
+        own = F.get(F.array(*names), F.col("fold").cast("int")) if findings is None else mean
+        scored = scored.withColumn("probability", F.when(F.col("label").isNull(), mean).otherwise(own))
+    return scored.select("doc", "path", "place", "candidate", *FEATURES, "label", "probability", ((F.col("probability") >= threshold) | sure).alias("is_secret"))
