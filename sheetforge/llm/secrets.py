@@ -158,7 +158,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, *, id_col: str = "d
     what evidence says of a candidate, null where it is silent. They are dealt to ``folds`` by a hash of the value, and a forest is trained
     without each fold. A labelled candidate is judged by the forest that left its fold out, any other by the mean of all forests. Where one
     of the label kinds is missing in what a forest should learn from, the evidence's word stands for all: probability 1 for a known format or a named secret, else 0.
-    is_secret is the forest's word at ``threshold``, and true for a known format. Rows that
+    is_secret is the forest's word at ``threshold``, but true for a known format and false where evidence says none: the forest removes what rules
+    call secrets wrongly and judges where they are silent; probability stays its own word, so label and probability measure it. Rows that
     repeat an id, an empty table and texts without candidates need no care: candidates are rows of their own, none gives none. Other columns
     of ``docs`` are ignored, whatever their names. Very long texts are searched in whole.
     """
@@ -183,4 +184,4 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, *, id_col: str = "d
         mean = reduce(Column.__add__, [F.col(n) for n in names]) / len(names)
         own = F.get(F.array(*names), F.col("fold").cast("int")) if findings is None else mean
         scored = scored.withColumn("probability", F.when(F.col("label").isNull(), mean).otherwise(own))
-    return scored.select("doc", "path", "place", "candidate", *FEATURES, "label", "probability", ((F.col("probability") >= threshold) | sure).alias("is_secret"))
+    return scored.select("doc", "path", "place", "candidate", *FEATURES, "label", "probability", (sure | ((F.col("probability") >= threshold) & ~F.col("label").eqNullSafe(0.0))).alias("is_secret"))
