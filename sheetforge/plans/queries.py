@@ -791,13 +791,14 @@ def h11_precision_per_tag(ranked: DataFrame) -> DataFrame:
     return evaluate.precision_at_k(evaluate.per_tag_relevance(rows), 5, by=["tag"]).withColumn("precision", F.round("precision", 6))
 
 
-@query("ranked", sql=f"""WITH {_CODES}, x AS (SELECT 's' AS k, tag || prompt_id AS id, rank, rel FROM r UNION ALL SELECT 'a', tag || prompt_id, rank, CASE WHEN feature IN (0, 1) THEN 1 ELSE -1 END FROM r
-  UNION ALL SELECT 'b', tag || prompt_id, rank, CASE WHEN feature IN (0, 2) THEN 1 ELSE -1 END FROM r),
+@query("ranked", sql=f"""WITH {_CODES}, x AS (SELECT 's' AS k, concat_ws(' ', prompt_id, tag) AS id, rank, rel FROM r UNION ALL SELECT 'a', concat_ws(' ', prompt_id, tag), rank, CASE WHEN feature IN (0, 1) THEN 1 ELSE -1 END FROM r
+  UNION ALL SELECT 'b', concat_ws(' ', prompt_id, tag), rank, CASE WHEN feature IN (0, 2) THEN 1 ELSE -1 END FROM r),
   e AS (SELECT k, id, count(*) FILTER (WHERE rel = 1 AND rank <= 3) / 3 AS p, count(*) FILTER (WHERE rel >= 0 AND rank <= 3) / 3 AS q FROM x GROUP BY 1, 2) SELECT round(avg(p), 6) AS precision, round(avg(q), 6) AS precision_partly, count(*) AS n FROM e""")
 def h12_all_prompts(ranked: DataFrame) -> DataFrame:
-    """Simple and two-tag prompts together: overall precision@3."""
-    rows = _codes(ranked).withColumn("prompt_id", F.concat("tag", F.col("prompt_id").cast("string")))
-    per_tag = evaluate.per_tag_relevance(rows.withColumn("tags", F.array(F.concat("tag", F.lit("-a")), F.concat("tag", F.lit("-b")))))
+    """Simple and two-tag prompts together: overall precision@3 (H12). A prompt is a number and a tag, the number first, so that no two read alike."""
+    rows = _codes(ranked).withColumn("prompt_id", F.concat_ws(" ", F.col("prompt_id").cast("string"), "tag"))
+    tag = F.coalesce("tag", F.lit(""))
+    per_tag = evaluate.per_tag_relevance(rows.withColumn("tags", F.array(F.concat(tag, F.lit("-a")), F.concat(tag, F.lit("-b")))))
     out = evaluate.precision_at_k(evaluate.all_prompts(rows, per_tag), 3, key="prompt", partial=True)
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "precision_partly")})
 
