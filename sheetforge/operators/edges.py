@@ -28,8 +28,11 @@ def sides(boxes: np.ndarray) -> np.ndarray:
     return np.stack([np.stack([x, y, x + w, y], 1), np.stack([x, y + h, x + w, y + h], 1), np.stack([x + w, y, x + w, y + h], 1), np.stack([x, y, x, y + h], 1)], axis=1).reshape(-1, 4)
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of pairs of rectangles (x0, y0, x1, y1) whose nearest points are at most ``eps`` apart. Rows of b are sorted by x, so only a band of them is looked at."""
+def near_pairs(a: np.ndarray, b: np.ndarray, eps: float, pages: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of pairs of rectangles (x0, y0, x1, y1) whose nearest points are at most ``eps`` apart. Rows of b are sorted by x, so only a band of them is looked at.
+
+    ``pages``: the pages of both, whose order is that of x (see ``apart``); then only rows of one page are looked at.
+    """
     if not len(a) or not len(b):
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     order = np.argsort(b[:, 0], kind="stable")
@@ -37,6 +40,9 @@ def near_pairs(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np
     starts = b[order, 0]
     first = np.searchsorted(starts, a[:, 0] - eps - widest)
     last = np.searchsorted(starts, a[:, 2] + eps, side="right")
+    if pages is not None:
+        first = np.maximum(first, np.searchsorted(pages[1][order], pages[0]))
+        last = np.maximum(first, np.minimum(last, np.searchsorted(pages[1][order], pages[0], side="right")))
     left, right = [], []
     at = 0
     while at < len(a):
@@ -55,16 +61,48 @@ def near_pairs(a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np
     return np.concatenate(left), np.concatenate(right)
 
 
-def pixel_counts(wanted: np.ndarray, edges: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+def apart(edges: np.ndarray, page: np.ndarray, eps: float) -> np.ndarray:
+    """How far each edge moves along x so that pages, in whose order the edges come, stand side by side, more than ``eps`` from each other."""
+    starts = np.flatnonzero(np.diff(page, prepend=-1))
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64)
+    low, high = np.minimum.reduceat(edges[:, 0], starts), np.maximum.reduceat(edges[:, 2], starts)
+    width = high - low + int(np.ceil(eps)) + 1
+    return np.repeat(np.cumsum(width) - width - low, np.diff(starts, append=len(page)))
+
+
+def _halves(eps: float) -> np.ndarray:
+    """Half the chord, in whole pixels, at each whole distance from a pixel; -1 beyond ``eps``."""
+    return np.array([int(np.floor(np.sqrt(eps * eps - d * d) + 1e-9)) for d in range(int(np.floor(eps)) + 1)] + [-1])
+
+
+def sure_edges(boxes: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Which edges of boxes, in the order of ``sides``, have only core pixels by the pixels of their own box alone.
+
+    A pixel's own edge counts least at its ends, an edge at a right angle where the pixel is farthest from it, the opposite edge at its ends.
+    """
+    reach, half = int(np.floor(eps)), _halves(eps)
+
+    def enough(along: np.ndarray, across: np.ndarray) -> np.ndarray:
+        own = np.minimum(along, reach) + 1
+        beside = np.where(along <= reach, 2 * (np.minimum(across, half[np.minimum(along, reach)]) + 1), 0)
+        opposite = np.where(across <= reach, np.minimum(along, half[np.minimum(across, reach)]) + 1, 0)
+        return own + beside + opposite >= least
+
+    level, upright = enough(boxes[:, 2], boxes[:, 3]), enough(boxes[:, 3], boxes[:, 2])
+    return np.stack([level, level, upright, upright], axis=1).reshape(-1)
+
+
+def pixel_counts(wanted: np.ndarray, edges: np.ndarray, eps: float, pages: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(first pixel of each wanted edge, and the count of all; pixels of ``edges`` within ``eps`` of each pixel, repeats counted)."""
     length = (wanted[:, 2] - wanted[:, 0]) + (wanted[:, 3] - wanted[:, 1]) + 1
     first = np.concatenate([[0], np.cumsum(length)])
     counts = np.zeros(first[-1], dtype=np.int64)
     reach = int(np.floor(eps))
-    half = np.array([int(np.floor(np.sqrt(eps * eps - d * d) + 1e-9)) for d in range(reach + 1)] + [-1])
+    half = _halves(eps)
     flat = edges[:, 1] == edges[:, 3]
     level = wanted[:, 1] == wanted[:, 3]
-    i, j = near_pairs(wanted, edges, eps)
+    i, j = near_pairs(wanted, edges, eps, pages)
     at = 0
     while at < len(i):
         many = max(1, int(np.searchsorted(np.cumsum(length[i[at:]]), _AT_ONCE, side="right")))
@@ -110,26 +148,34 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def box_clusters(boxes: np.ndarray, eps: float, least: int) -> np.ndarray:
+def box_clusters(boxes: np.ndarray, eps: float, least: int, page: np.ndarray | None = None) -> np.ndarray:
     """Label of the top left pixel of each box (x, y, w, h) under DBSCAN of all edge pixels; clusters in the order of their first core pixel, noise -1.
 
-    A pixel that is no core but near some has the first of their clusters.
+    A pixel that is no core but near some has the first of their clusters. ``page``: ascending numbers of the boxes' pages, clustered each for itself
+    at once. Pixels are counted only for edges that their own box doesn't make core.
     """
-    edges = sides(boxes)
-    first, counts = pixel_counts(edges, edges, eps)
-    _, begins, spans = core_intervals(edges, first, counts >= least)
-    if not len(begins):
+    page = np.zeros(len(boxes), dtype=np.int64) if page is None else page
+    edges, on = sides(boxes), np.repeat(page, 4)
+    edges[:, [0, 2]] += apart(edges, on, eps)[:, None]
+    sure = sure_edges(boxes, eps, least)
+    doubtful = np.flatnonzero(~sure)
+    first, counts = pixel_counts(edges[doubtful], edges, eps, (on[doubtful], on))
+    edge, _, spans = core_intervals(edges[doubtful], first, counts >= least)
+    edge, spans = np.concatenate([np.flatnonzero(sure), doubtful[edge]]), np.concatenate([edges[sure], spans])
+    if not len(edge):
         return np.full(len(boxes), -1)
-    roots = _roots(len(begins), *near_pairs(spans, spans, eps))
-    # intervals are in pixel order, so the least of a component has its first core pixel
-    _, number = np.unique(roots, return_inverse=True)
-    labels = np.full(len(boxes), len(begins))
-    tops = np.stack([boxes[:, 0], boxes[:, 1], boxes[:, 0], boxes[:, 1]], axis=1)
-    core = counts[first[:-1:4]] >= least
-    box, near = near_pairs(tops, spans, eps)
+    order = np.argsort(edge, kind="stable")
+    spans, at = spans[order], on[edge[order]]
+    i, j = near_pairs(spans, spans, eps, (at, at))
+    roots = _roots(len(spans), i[i < j], j[i < j])
+    # intervals are in pixel order, so the least of a component has its first core pixel; numbers begin at 0 on each page
+    least_of, number = np.unique(roots, return_inverse=True)
+    number = number - np.searchsorted(at[least_of], at)
+    labels = np.full(len(boxes), len(spans))
+    box, near = near_pairs(edges[::4][:, [0, 1, 0, 1]], spans, eps, (page, at))
     # a core pixel is linked to no interval of another cluster, so the least number is its own
     np.minimum.at(labels, box, number[near])
-    return np.where(core | (labels < len(begins)), labels, -1)
+    return np.where(labels < len(spans), labels, -1)
 
 
 def tiled_box_clusters(boxes: DataFrame, pos: str, eps: int, least: int) -> DataFrame:

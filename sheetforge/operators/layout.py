@@ -6,15 +6,12 @@ equi-key with the inequalities behind it. Only order-dependent steps run as help
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from sheetforge.operators import edges, tiles
 from sheetforge.operators.components import connected_components
@@ -22,32 +19,49 @@ from sheetforge.operators.numbering import numbered
 from sheetforge.scratch import stored
 
 FRAME_SHARE, TOUCH, GROWN, EPS, MIN_POINTS = 0.33, 20, 5, 20, 20
+#: Rows, or pairs of rows, that a task's helper works on together.
+AT_ONCE = 50_000
 
 
-def _each_group(df: DataFrame, group: list[str], columns: list[str], run, added: str) -> DataFrame:
-    """(group, added columns) from ``run(rows)`` for each group, rows being dicts sorted by ``columns``.
+def _grouped(df: DataFrame, group: list[str], columns: list[str], run, added: str, wanted: Column | None = None, power: int = 1) -> DataFrame:
+    """(group, added columns) from ``run(page, rows)``, called for many groups at once.
 
-    A group is a page, a cell or a cluster, so its few boxes travel as one list, and a batch of lists is one call.
+    A group is a page, a cell or a cluster, so its few boxes travel as one list. ``rows`` is a record batch of the rows of some groups, each sorted by
+    ``columns``, ``page`` the number of each row's group. ``run`` gives the numbers of the rows to return, repeats allowed, and the added columns of these.
+    ``wanted``: a condition on the list ``_rows``. Groups are taken together up to ``AT_ONCE`` of the sum of their sizes to the ``power``.
     """
-    names = [part.split()[0] for part in added.split(", ")]
-    kinds = [df.schema[c].dataType for c in group] + [T._parse_datatype_string(added)[n].dataType for n in names]
-    arrow = [to_arrow_type(k) for k in kinds]
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [batch[i].to_pylist() for i in range(len(group))]
-            out: list[list] = [[] for _ in arrow]
-            for i, rows in enumerate(batch[len(group)].to_pylist()):
-                found = run(rows)
-                for j, key in enumerate(keys):
-                    out[j] += [key[i]] * len(found)
-                for j in range(len(names)):
-                    out[len(group) + j] += [r[j] for r in found]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, arrow, strict=True)], names=[*group, *names])
+            lists = batch[len(group)]
+            rows, sizes = pa.RecordBatch.from_struct_array(lists.flatten()), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            ends, load = np.cumsum(sizes), np.cumsum(sizes**power)
+            low = 0
+            while low < len(sizes):
+                done = load[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(load, done + AT_ONCE, side="right")))
+                begin = int(ends[low] - sizes[low])
+                page = np.repeat(np.arange(low, high), sizes[low:high])
+                at, found = run(page - low, rows.slice(begin, len(page)))
+                keys = pa.array(page[at])
+                yield pa.RecordBatch.from_arrays([*[batch[i].take(keys) for i in range(len(group))], *found], names=[*group, *names])
+                low = high
 
+    names = [part.split()[0] for part in added.split(", ")]
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in group) + ", " + added
     lists = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
-    return lists.mapInArrow(call, schema)
+    return (lists if wanted is None else lists.where(wanted)).mapInArrow(call, schema)
+
+
+def _typed(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _whole(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of whole numbers; a missing one is an error."""
+    if rows[name].null_count:
+        raise ValueError(f"a box without {name}")
+    return rows[name].to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def polygon_box(points: Column) -> Column:
@@ -69,8 +83,8 @@ def inner_frames(rects: DataFrame, pages: DataFrame, min_ratio: float = FRAME_SH
     return fit.groupBy("drawing_id").agg(F.min_by(F.struct("rect_id", "x", "y", "w", "h"), F.struct(area, "rect_id")).alias("f")).select("drawing_id", "f.*")
 
 
-def _touched(fx: float, fy: float, fw: float, fh: float, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, dist: float) -> np.ndarray:
-    """Which rectangles touch one of the four edges, thickened by ``dist``, of a rectangle."""
+def _touched(fx: np.ndarray, fy: np.ndarray, fw: np.ndarray, fh: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, dist: float) -> np.ndarray:
+    """Which rectangles touch one of the four edges, thickened by ``dist``, of the rectangle beside them (f)."""
     near, half = np.zeros(len(x), dtype=bool), dist / 2
     for ex, ey, ew, eh in ((fx, fy, fw, 0.0), (fx + fw, fy, 0.0, fh), (fx, fy + fh, fw, 0.0), (fx, fy, 0.0, fh)):
         near |= (x <= ex + ew + half) & (x + w >= ex - half) & (y <= ey + eh + half) & (y + h >= ey - half)
@@ -83,23 +97,28 @@ def reachable_cells(rects: DataFrame, frames: DataFrame, dist: int = TOUCH) -> D
     A search through each drawing's rectangles, which are a page's cells and so few; drawings of many go through ``_reached_by_rounds``.
     """
 
-    def spread(rows: list[dict]) -> list[tuple]:
-        cells = [r for r in rows if not r["_frame"]]
-        x, y, w, h = (np.array([r[c] for r in cells], dtype=np.float64) for c in "xywh")
-        burnt = np.zeros(len(cells), dtype=bool)
-        todo = deque((float(r["x"]), float(r["y"]), float(r["w"]), float(r["h"])) for r in rows if r["_frame"])
-        while todo:
-            fresh = np.flatnonzero(_touched(*todo.popleft(), x, y, w, h, dist) & ~burnt)
+    def spread(page: np.ndarray, rows: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+        frame = rows["_frame"].to_numpy(zero_copy_only=False)
+        x, y, w, h = (rows[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in "xywh")
+        size = np.bincount(page, minlength=1)
+        start = np.cumsum(size) - size
+        burnt, fresh = np.zeros(len(page), dtype=bool), np.flatnonzero(frame)
+        while len(fresh):
+            n = size[page[fresh]]
+            a = np.repeat(fresh, n)
+            b = np.arange(len(a)) + np.repeat(start[page[fresh]] - np.cumsum(n) + n, n)
+            open_ = ~(frame[b] | burnt[b])
+            a, b = a[open_], b[open_]
+            fresh = np.unique(b[_touched(x[a], y[a], w[a], h[a], x[b], y[b], w[b], h[b], dist)])
             burnt[fresh] = True
-            todo.extend(zip(x[fresh], y[fresh], w[fresh], h[fresh], strict=True))
-        return [(r["rect_id"], r["x"], r["y"], r["w"], r["h"]) for r, b in zip(cells, burnt, strict=True) if b]
+        at = np.flatnonzero(burnt)
+        return at, [rows[c].take(pa.array(at)) for c in names]
 
     names = ["rect_id", "x", "y", "w", "h"]
     large = tiles.large_drawings(rects)
     few, many = _divided(rects, large)
     both = few.select("drawing_id", *names, F.lit(False).alias("_frame")).unionByName(frames.select("drawing_id", *names, F.lit(True).alias("_frame")))
-    added = ", ".join(f"{c} {rects.schema[c].dataType.simpleString()}" for c in names)
-    out = _each_group(both, ["drawing_id"], [*names, "_frame"], spread, added)
+    out = _grouped(both, ["drawing_id"], [*names, "_frame"], spread, _typed(rects, names), wanted=F.exists("_rows", lambda r: r["_frame"]), power=2)
     return out if large is None else out.unionByName(_reached_by_rounds(many.select("drawing_id", *names), frames, dist))
 
 
@@ -305,12 +324,24 @@ def line_rows(ys: list[int], avg_height: int) -> list[list[int]]:
 def line_groups(boxes: DataFrame, group: list[str], pos: str = "pos") -> DataFrame:
     """(group, pos, line): lines of the boxes of a cell or cluster, taken in the order of ``pos``; a box can be in two."""
 
-    def lines(rows: list[dict]) -> list[tuple]:
-        height = round(sum(r["h"] for r in rows) / len(rows))
-        found = line_rows([r["y"] + r["h"] // 2 for r in rows], height)
-        return [(rows[i][pos], line) for line, members in enumerate(found) for i in members]
+    def lines(page: np.ndarray, rows: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+        heights = _whole(rows, "h")
+        middles, heights = (_whole(rows, "y") + heights // 2).tolist(), heights.tolist()
+        at: list[int] = []
+        numbers: list[int] = []
+        ends = np.cumsum(np.bincount(page)).tolist()
+        for begin, end in zip([0, *ends], ends, strict=False):
+            if end - begin == 1:
+                at.append(begin)
+                numbers.append(0)
+                continue
+            for line, members in enumerate(line_rows(middles[begin:end], round(sum(heights[begin:end]) / (end - begin)))):
+                at += [begin + i for i in members]
+                numbers += [line] * len(members)
+        own = pa.array(at, pa.int64())
+        return np.array(at, dtype=np.int64), [rows[pos].take(own), pa.array(numbers, pa.int32())]
 
-    return _each_group(boxes.select(*group, pos, "y", "h"), group, [pos, "y", "h"], lines, f"{pos} {boxes.schema[pos].dataType.simpleString()}, line int")
+    return _grouped(boxes.select(*group, pos, "y", "h"), group, [pos, "y", "h"], lines, f"{_typed(boxes, [pos])}, line int")
 
 
 def merged_text(boxes: DataFrame, lines: DataFrame, group: list[str], pos: str = "pos") -> DataFrame:
@@ -408,15 +439,19 @@ def text_clusters(boxes: DataFrame, pos: str = "pos") -> DataFrame:
     the others. Drawings of many boxes are clustered by tiles.
     """
 
-    def cluster(rows: list[dict]) -> list[tuple]:
-        own = edges.box_clusters(np.array([[r[c] for c in "xywh"] for r in rows], dtype=np.int64), EPS, MIN_POINTS)
-        free = iter(range(int(own.max(initial=-1)) + 1, len(rows) * 2 + 1))
-        return [(r[pos], next(free) if label == -1 else int(label)) for r, label in zip(rows, own, strict=True)]
+    def cluster(page: np.ndarray, rows: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
+        own = edges.box_clusters(np.stack([_whole(rows, c) for c in "xywh"], axis=1), EPS, MIN_POINTS, page)
+        most = np.full(len(page), -1)
+        np.maximum.at(most, page, own)
+        noise = own == -1
+        rank = np.cumsum(noise)
+        before = rank[np.searchsorted(page, page)] - noise[np.searchsorted(page, page)]
+        return np.arange(len(page)), [rows[pos], pa.array(np.where(noise, most[page] + rank - before, own), pa.int32())]
 
     slim = boxes.select("drawing_id", pos, "x", "y", "w", "h")
     large = tiles.large_drawings(slim)
     few, many = _divided(slim, large)
-    out = _each_group(few, ["drawing_id"], [pos, "x", "y", "w", "h"], cluster, f"{pos} {boxes.schema[pos].dataType.simpleString()}, cluster int")
+    out = _grouped(few, ["drawing_id"], [pos, "x", "y", "w", "h"], cluster, f"{_typed(boxes, [pos])}, cluster int")
     if large is None:
         return out
     found = edges.tiled_box_clusters(many, pos, EPS, MIN_POINTS)
