@@ -1,6 +1,7 @@
 """Tiled joins against the gathered ones and against plain loops."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +123,30 @@ def test_a_chain_of_20000_cells(spark):
     frames = spark.createDataFrame([(1, 999_999, -105, 0, 100, 25)], RECT)
     out = layout.reachable_cells(chain.unionByName(lone), frames)
     assert out.count() == n and out.where("rect_id >= 100000").count() == 0
+
+
+def test_many_drawings_at_once_reach_what_each_reaches_alone(spark, monkeypatch):
+    rows = np.random.default_rng(9)
+    rects = [(d, i, *map(int, rows.integers(0, 220, 2)), *map(int, rows.integers(0, 40, 2))) for d in range(40) for i in range(int(rows.integers(1, 9)))]
+    frames = [(d, 99, 0, 0, 100, 100) for d in range(0, 40, 2)]
+    want = set()
+    for d, *_, x, y, w, h in frames:
+        todo = [(x, y, w, h)]
+        while todo:
+            f = todo.pop()
+            for r in rects:
+                if r[0] == d and r not in want and layout._touched(*f, *(np.array([v]) for v in r[2:]), 20)[0]:
+                    want.add(r)
+                    todo.append(r[2:])
+    calls = []
+    inner = layout._touched
+    monkeypatch.setattr(layout, "_touched", lambda *a: calls.append(1) or inner(*a))
+    captured = {}
+    monkeypatch.setattr(layout, "_grouped", lambda df, group, columns, run, added, **_: captured.update(run=run) or df)
+    layout.reachable_cells(spark.createDataFrame(rects, RECT), spark.createDataFrame(frames, RECT))
+    every = sorted([(*r, False) for r in rects] + [(*f, True) for f in frames])
+    batch = pa.RecordBatch.from_pylist([dict(zip(("rect_id", "x", "y", "w", "h", "_frame"), r[1:], strict=True)) for r in every])
+    at, _ = captured["run"](np.array([r[0] for r in every]), batch)
+    assert {every[i][:6] for i in at} == want
+    # as many rounds as the longest chain has steps, not one for each drawing and cell
+    assert len(calls) < 15
