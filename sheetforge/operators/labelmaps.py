@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,21 +41,25 @@ def packed_labels(pixels: DataFrame, by: list[str], pos: str = "pos", labels: tu
 def run_lengths(labels: Column) -> Column:
     """Runs (label, n) of a label map; null for null, none for an empty map."""
 
-    @F.pandas_udf(_RUNS)
-    def runs(maps: pd.Series) -> pd.Series:
-        out = []
+    @F.arrow_udf(_RUNS)
+    def runs(maps: pa.Array) -> pa.Array:
+        found, sizes = [], []
         for one in maps:
-            if one is None:
-                out.append(None)
-                continue
-            x = np.frombuffer(one, dtype=np.uint8)
+            x = np.frombuffer(one.as_buffer() if one.is_valid else b"", dtype=np.uint8)
             starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, dtype=np.int64)
-            out.append([{"label": int(v), "n": int(n)} for v, n in zip(x[starts], np.diff(np.r_[starts, len(x)]), strict=True)])
-        return pd.Series(out)
+            found.append(x[starts])
+            sizes.append(np.diff(np.r_[starts, len(x)]))
+        values = {"label": pa.array(np.concatenate([np.zeros(0, dtype=np.uint8), *found]).astype(np.int32)), "n": pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *sizes]))}
+        return _lists([len(x) for x in found], values, maps.is_null())
 
     return runs(labels)
 
 
+def _lists(sizes: list[int], values: dict[str, pa.Array], mask: pa.Array | None = None) -> pa.Array:
+    """Lists of structs, by the lists' lengths and the fields of all of them one behind the other: no object for a run."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.StructArray.from_arrays(list(values.values()), names=list(values)), mask=mask)
+
+
 def _summed(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.select(key, F.inline("counts")).groupBy(key, "gt", "pred").agg(F.sum("n").alias("n"))
 
@@ -90,26 +93,35 @@ def run_pairs(maps: DataFrame, key: str = "image_id", gt: str = "gt", pred: str
     Labels are any whole numbers. Runs of no pixels count nothing; negative or null lengths fail the job.
     """
 
-    def ends(runs: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        n = np.array([r["n"] for r in runs], dtype=np.int64)
+    def ends(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(labels, ends of the runs) of each list; all lists' runs stay in one array each."""
+        runs = lists.flatten()
+        label, n = runs.field("label"), runs.field("n")
+        if runs.null_count or label.null_count or n.null_count:
+            raise ValueError("a run needs a label and a length")
+        label, n, upto = label.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64), lists.offsets.to_numpy()
         if (n < 0).any():
             raise ValueError("a run can't have a negative length")
-        return np.array([r["label"] for r in runs], dtype=np.int64), np.cumsum(n)
+        for low, high in zip(upto - upto[0], upto[1:] - upto[0], strict=False):
+            yield label[low:high], np.cumsum(n[low:high])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, b in zip(batch[1], batch[2], strict=True):
-                (x, upto), (y, until) = ends(a.as_py()), ends(b.as_py())
+            for (x, upto), (y, until) in zip(ends(batch[1]), ends(batch[2]), strict=True):
                 sizes = [int(e[-1]) if len(e) else 0 for e in (upto, until)]
                 if sizes[0] != sizes[1]:
                     raise ValueError(f"label maps of {sizes[0]} and {sizes[1]} pixels can't be compared")
                 cuts = np.union1d(upto, until)
                 cuts = cuts[cuts > 0]
                 # a piece ends at its cut, so its run is the first whose end reaches the cut
-                pairs = pd.DataFrame({"gt": x[np.searchsorted(upto, cuts)], "pred": y[np.searchsorted(until, cuts)], "n": np.diff(cuts, prepend=0)})
-                out.append(pairs.groupby(["gt", "pred"], as_index=False)["n"].sum().to_dict("records"))
-            yield pa.RecordBatch.from_arrays([batch[0], pa.array(out, pa.list_(pa.struct([("gt", pa.int32()), ("pred", pa.int32()), ("n", pa.int64())])))], names=[key, "counts"])
+                pairs = np.stack([x[np.searchsorted(upto, cuts)], y[np.searchsorted(until, cuts)], np.diff(cuts, prepend=0)])
+                pairs = pairs[:, np.lexsort(pairs[:2])]
+                first = np.flatnonzero((np.diff(pairs[:2], axis=1, prepend=pairs[:2, :1] - 1) != 0).any(axis=0))
+                out.append(np.stack([*pairs[:2, first], np.add.reduceat(pairs[2], first) if len(first) else pairs[2]]))
+            flat = np.concatenate([np.zeros((3, 0), dtype=np.int64), *out], axis=1)
+            counts = {name: pa.array(row).cast(kind) for name, row, kind in zip(("gt", "pred", "n"), flat, (pa.int32(), pa.int32(), pa.int64()), strict=True)}
+            yield pa.RecordBatch.from_arrays([batch[0], _lists([o.shape[1] for o in out], counts)], names=[key, "counts"])
 
     both = maps.where(F.col(gt).isNotNull() & F.col(pred).isNotNull()).select(key, F.col(gt).alias("a"), F.col(pred).alias("b"))
     return _summed(both.mapInArrow(count, f"`{key}` {both.schema[key].dataType.simpleString()}, counts {_COUNTS}"), key)

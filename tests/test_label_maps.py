@@ -1,8 +1,10 @@
 """Label maps and runs against counting pixel by pixel."""
 
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,19 @@ def test_scores_equal_those_of_pixels(spark):
     pairs = labelmaps.map_pairs(maps)
     for scored in (evaluate.per_class_scores, evaluate.binary_scores, evaluate.segmentation_scores):
         assert sorted(map(str, scored(pixels).collect())) == sorted(map(str, scored(pairs).collect()))
+
+
+def test_runs_of_a_batch_hold_no_object_for_a_run(monkeypatch):
+    taken = {}
+    monkeypatch.setattr(labelmaps.F, "arrow_udf", lambda _: lambda f: taken.update(run=f) or (lambda c: c))
+    labelmaps.run_lengths("gt")
+    tile = bytes(range(256)) * 16
+    maps = pa.array([tile] * 300 + [None, b"", b"\x07\x07"], pa.binary())
+    tracemalloc.start()
+    runs = taken["run"](maps)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert runs[0].as_py()[:2] == [{"label": 0, "n": 1}, {"label": 1, "n": 1}] and len(runs[299]) == 4_096
+    assert runs[300:].to_pylist() == [None, [], [{"label": 7, "n": 2}]]
+    # 1.2 million runs; a dict for each took some 300 MB
+    assert peak < 60e6
