@@ -91,7 +91,7 @@ def _touched(fx: np.ndarray, fy: np.ndarray, fw: np.ndarray, fh: np.ndarray, x:
     return near
 
 
-def reachable_cells(rects: DataFrame, frames: DataFrame, dist: int = TOUCH) -> DataFrame:
+def reachable_cells(rects: DataFrame, frames: DataFrame, dist: int = TOUCH, checked: bool = False) -> DataFrame:
     """Rectangles reachable from the frame by steps to any that touches one of the four edges thickened by ``dist``.
 
     A search through each drawing's rectangles, which are a page's cells and so few; drawings of many go through ``_reached_by_rounds``.
@@ -115,7 +115,7 @@ def reachable_cells(rects: DataFrame, frames: DataFrame, dist: int = TOUCH) -> D
         return at, [rows[c].take(pa.array(at)) for c in names]
 
     names = ["rect_id", "x", "y", "w", "h"]
-    large = tiles.large_drawings(rects)
+    large = _large(rects, checked)
     few, many = _divided(rects, large)
     both = few.select("drawing_id", *names, F.lit(False).alias("_frame")).unionByName(frames.select("drawing_id", *names, F.lit(True).alias("_frame")))
     out = _grouped(both, ["drawing_id"], [*names, "_frame"], spread, _typed(rects, names), wanted=F.exists("_rows", lambda r: r["_frame"]), power=2)
@@ -194,6 +194,11 @@ def _size(box: Column) -> Column:
     return box["w"].cast("long") * box["h"]
 
 
+def _large(boxes: DataFrame, checked: bool) -> DataFrame | None:
+    """Drawings of many boxes; none where the caller has ``checked`` that there are none."""
+    return None if checked else tiles.large_drawings(boxes)
+
+
 def _divided(df: DataFrame, large: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
     """Rows of the ordinary drawings, and those of the large ones."""
     if large is None:
@@ -201,7 +206,7 @@ def _divided(df: DataFrame, large: DataFrame | None) -> tuple[DataFrame, DataFra
     return df.join(large, "drawing_id", "left_anti"), df.join(large, "drawing_id", "left_semi")
 
 
-def box_regions(boxes: DataFrame, cells: DataFrame, frames: DataFrame, box_id: str = "pos", grown: int = GROWN) -> DataFrame:
+def box_regions(boxes: DataFrame, cells: DataFrame, frames: DataFrame, box_id: str = "pos", grown: int = GROWN, checked: bool = False) -> DataFrame:
     """``boxes`` plus region: info (centre in a cell, smaller than the frame, grown by ``grown``), drawing (in the shrunk frame), outside.
 
     A drawing's cells are gathered once and looked through in the row; drawings of many cells go through tiles, by ``box_id``.
@@ -209,7 +214,7 @@ def box_regions(boxes: DataFrame, cells: DataFrame, frames: DataFrame, box_id: s
     cx, cy = centre()
     frame = frames.select("drawing_id", F.struct("x", "y", "w", "h").alias("_frame"))
     in_frame = _in_grown(cx, cy, F.col("_frame"), -grown)
-    large = tiles.large_drawings(cells)
+    large = _large(cells, checked)
     few_boxes, many_boxes = _divided(boxes, large)
     few_cells, many_cells = _divided(cells, large)
     gathered = few_cells.groupBy("drawing_id").agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("_cells"))
@@ -237,7 +242,10 @@ def distinct_rects(rects: DataFrame) -> DataFrame:
 
 def without_frame(rects: DataFrame, frames: DataFrame) -> DataFrame:
     """Rectangles but the frame itself."""
-    return rects.join(frames.select("drawing_id", "x", "y", "w", "h"), ["drawing_id", "x", "y", "w", "h"], "left_anti").select("drawing_id", "rect_id", "x", "y", "w", "h")
+    own = F.struct("x", "y", "w", "h")
+    gathered = frames.groupBy("drawing_id").agg(F.collect_list(own).alias("_frames"))
+    same = F.exists("_frames", lambda f: (f["x"] == F.col("x")) & (f["y"] == F.col("y")) & (f["w"] == F.col("w")) & (f["h"] == F.col("h")))
+    return rects.join(gathered, "drawing_id", "left").where(~F.coalesce(same, F.lit(False))).select("drawing_id", "rect_id", "x", "y", "w", "h")
 
 
 def _strictly_in(cx: Column, cy: Column, p: str) -> Column:
@@ -251,13 +259,13 @@ def _centre_in(a: Column, b: Column) -> Column:
     return (cx > b["x"]) & (cx < b["x"] + b["w"]) & (cy > b["y"]) & (cy < b["y"] + b["h"])
 
 
-def without_nested(rects: DataFrame) -> DataFrame:
+def without_nested(rects: DataFrame, checked: bool = False) -> DataFrame:
     """Rectangles without those that lose to another: of a pair where one's centre lies strictly inside the other, the smaller goes.
 
     Of equal sizes the one around goes, so two that hold each other's centres both go. A drawing's rectangles are gathered once; those of
     drawings of many meet by tiles.
     """
-    large = tiles.large_drawings(rects)
+    large = _large(rects, checked)
     few, many = _divided(rects, large)
     rows = few.groupBy("drawing_id").agg(F.collect_list(F.struct(*[c for c in rects.columns if c != "drawing_id"])).alias("_rows"))
 
@@ -290,14 +298,17 @@ def _strictly_met(boxes: DataFrame, cells: DataFrame, prefix: str = "") -> DataF
     return tiles.points_in_boxes(points, named, "_cx", "_cy", ("c_x", "c_y"), ("_x1", "_y1"), _strictly_in(F.col("_cx"), F.col("_cy"), "c_"))
 
 
-def assign_cells(boxes: DataFrame, cells: DataFrame, box_id: str = "pos") -> DataFrame:
-    """(drawing_id, rect_id, box columns): boxes whose centre lies strictly in a cell; one row per cell. Drawings of many cells go through tiles."""
+def assign_cells(boxes: DataFrame, cells: DataFrame, box_id: str = "pos", carry: tuple[str, ...] = (), checked: bool = False) -> DataFrame:
+    """(drawing_id, rect_id, box columns): boxes whose centre lies strictly in a cell; one row per cell. Drawings of many cells go through tiles.
+
+    ``carry``: columns of the cell to add, with c_ before their names.
+    """
     cx, cy = centre()
-    large = tiles.large_drawings(cells)
+    large = _large(cells, checked)
     few_boxes, many_boxes = _divided(boxes, large)
     few_cells, many_cells = _divided(cells, large)
     met = few_boxes.withColumns({"_cx": cx, "_cy": cy}).join(_named(few_cells, "c_"), "drawing_id").where(_strictly_in(F.col("_cx"), F.col("_cy"), "c_"))
-    columns = ["drawing_id", F.col("c_rect_id").alias("rect_id"), *[c for c in boxes.columns if c != "drawing_id"]]
+    columns = ["drawing_id", F.col("c_rect_id").alias("rect_id"), *[c for c in boxes.columns if c != "drawing_id"], *carry]
     if large is None:
         return met.select(*columns)
     return met.select(*columns).unionByName(_strictly_met(many_boxes, many_cells).select(*columns))
@@ -321,8 +332,8 @@ def line_rows(ys: list[int], avg_height: int) -> list[list[int]]:
     return rows
 
 
-def line_groups(boxes: DataFrame, group: list[str], pos: str = "pos") -> DataFrame:
-    """(group, pos, line): lines of the boxes of a cell or cluster, taken in the order of ``pos``; a box can be in two."""
+def line_groups(boxes: DataFrame, group: list[str], pos: str = "pos", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(group, pos, line, carried columns): lines of the boxes of a cell or cluster, taken in the order of ``pos``; a box can be in two."""
 
     def lines(page: np.ndarray, rows: pa.RecordBatch) -> tuple[np.ndarray, list[pa.Array]]:
         heights = _whole(rows, "h")
@@ -339,19 +350,38 @@ def line_groups(boxes: DataFrame, group: list[str], pos: str = "pos") -> DataFra
                 at += [begin + i for i in members]
                 numbers += [line] * len(members)
         own = pa.array(at, pa.int64())
-        return np.array(at, dtype=np.int64), [rows[pos].take(own), pa.array(numbers, pa.int32())]
+        return np.array(at, dtype=np.int64), [rows[pos].take(own), pa.array(numbers, pa.int32()), *[rows[c].take(own) for c in carry]]
 
-    return _grouped(boxes.select(*group, pos, "y", "h"), group, [pos, "y", "h"], lines, f"{_typed(boxes, [pos])}, line int")
+    added = f"{_typed(boxes, [pos])}, line int" + (f", {_typed(boxes, list(carry))}" if carry else "")
+    return _grouped(boxes.select(*group, pos, "y", "h", *carry), group, [pos, "y", "h", *carry], lines, added)
 
 
 def merged_text(boxes: DataFrame, lines: DataFrame, group: list[str], pos: str = "pos") -> DataFrame:
     """(group, text): lines by mean y, words by x; words joined by blanks, lines by line feeds. Ties keep the order."""
     cx, cy = centre()
-    words = boxes.withColumns({"_cx": cx, "_cy": cy}).select(*group, pos, "_cx", "_cy", "text").join(lines, [*group, pos])
+    return _read(boxes.withColumns({"_cx": cx, "_cy": cy}).select(*group, pos, "_cx", "_cy", "text").join(lines, [*group, pos]), group, pos, {})
+
+
+def _read(words: DataFrame, group: list[str], pos: str, extremes: dict[str, tuple]) -> DataFrame:
+    """(group, text, extremes) of words with their lines and middles. ``extremes``: column -> (F.min or F.max, name)."""
     order = F.sort_array(F.collect_list(F.struct("_cx", pos, "text")))
-    each = words.groupBy(*group, "line").agg(F.array_join(F.transform(order, lambda x: x["text"]), " ").alias("_t"), F.avg("_cy").alias("_y"))
+    ends = [f(c).alias(n) for c, (f, n) in extremes.items()]
+    each = words.groupBy(*group, "line").agg(F.array_join(F.transform(order, lambda x: x["text"]), " ").alias("_t"), F.avg("_cy").alias("_y"), *ends)
     whole = F.sort_array(F.collect_list(F.struct("_y", "line", "_t")))
-    return each.groupBy(*group).agg(F.array_join(F.transform(whole, lambda x: x["_t"]), "\n").alias("text"))
+    return each.groupBy(*group).agg(F.array_join(F.transform(whole, lambda x: x["_t"]), "\n").alias("text"), *[f(n).alias(n) for f, n in extremes.values()])
+
+
+def _framed_text(boxes: DataFrame, group: list[str], frame: tuple[str, ...]) -> DataFrame:
+    """(group, text, x, y, w, h): the text of the boxes of each group and what lies around the rectangles ``frame``.
+
+    Boxes carry all that is needed through the lines, so nothing is joined back; one exchange by drawing serves both groupings behind them.
+    """
+    cx, cy = centre()
+    x, y, w, h = (F.col(c) for c in frame)
+    ready = boxes.withColumns({"_cx": cx, "_cy": cy, "_x0": x, "_y0": y, "_x1": x + w, "_y1": y + h})
+    lined = line_groups(ready, group, carry=("_cx", "_cy", "text", "_x0", "_y0", "_x1", "_y1")).repartition("drawing_id")
+    read = _read(lined, group, "pos", {"_x0": (F.min, "x"), "_y0": (F.min, "y"), "_x1": (F.max, "_right"), "_y1": (F.max, "_bottom")})
+    return read.withColumns({"w": F.col("_right") - F.col("x"), "h": F.col("_bottom") - F.col("y")}).drop("_right", "_bottom")
 
 
 def letter_share(text: Column) -> Column:
@@ -432,8 +462,8 @@ def density_clusters(points: np.ndarray, eps: float = EPS, least: int = MIN_POIN
     return labels
 
 
-def text_clusters(boxes: DataFrame, pos: str = "pos") -> DataFrame:
-    """(drawing_id, pos, cluster): clusters of the text boxes of a drawing by the pixels of their edges.
+def text_clusters(boxes: DataFrame, pos: str = "pos", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(drawing_id, pos, cluster, carried columns): clusters of the text boxes of a drawing by the pixels of their edges.
 
     A box has the label of its top left pixel. A box that is noise becomes a cluster of its own, numbered behind
     the others. Drawings of many boxes are clustered by tiles.
@@ -446,18 +476,20 @@ def text_clusters(boxes: DataFrame, pos: str = "pos") -> DataFrame:
         noise = own == -1
         rank = np.cumsum(noise)
         before = rank[np.searchsorted(page, page)] - noise[np.searchsorted(page, page)]
-        return np.arange(len(page)), [rows[pos], pa.array(np.where(noise, most[page] + rank - before, own), pa.int32())]
+        return np.arange(len(page)), [rows[pos], pa.array(np.where(noise, most[page] + rank - before, own), pa.int32()), *[rows[c] for c in carry]]
 
-    slim = boxes.select("drawing_id", pos, "x", "y", "w", "h")
+    columns = list(dict.fromkeys([pos, "x", "y", "w", "h", *carry]))
+    slim = boxes.select("drawing_id", *columns)
     large = tiles.large_drawings(slim)
     few, many = _divided(slim, large)
-    out = _grouped(few, ["drawing_id"], [pos, "x", "y", "w", "h"], cluster, f"{_typed(boxes, [pos])}, cluster int")
+    out = _grouped(few, ["drawing_id"], columns, cluster, f"{_typed(boxes, [pos])}, cluster int" + (f", {_typed(boxes, list(carry))}" if carry else ""))
     if large is None:
         return out
     found = edges.tiled_box_clusters(many, pos, EPS, MIN_POINTS)
     most = F.coalesce(F.max("cluster").over(Window.partitionBy("drawing_id")), F.lit(-1))
     behind = F.row_number().over(Window.partitionBy("drawing_id", F.col("cluster").isNull()).orderBy(pos, "x", "y", "w", "h"))
-    return out.unionByName(found.select("drawing_id", pos, F.coalesce("cluster", most + behind).cast("int").alias("cluster")))
+    named = found.select("drawing_id", pos, F.coalesce("cluster", most + behind).cast("int").alias("cluster"))
+    return out.unionByName(named.join(many.select("drawing_id", pos, *carry), ["drawing_id", pos]) if carry else named)
 
 
 def outer_boxes(boxes: DataFrame, group: list[str]) -> DataFrame:
@@ -474,29 +506,27 @@ def merge_text(boxes: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFram
     rectangle, then clusters by number, then measures, or boxes, by their place.
     """
     frames = stored(inner_frames(rects, pages), "frames")
-    burnt = stored(reachable_cells(rects, frames), "cells")
-    placed = stored(box_regions(boxes, burnt, frames), "regions")
-    cells = without_frame(distinct_rects(burnt), frames)
-    cells = stored(without_nested(box_regions(cells, burnt, frames, "rect_id").where("region = 'info'").drop("region")), "info")
-    framed = frames.select("drawing_id")
+    ordinary = tiles.large_drawings(rects) is None
+    burnt = stored(reachable_cells(rects, frames, checked=ordinary), "cells")
+    placed = stored(box_regions(boxes, burnt, frames, checked=ordinary), "regions")
+    # dealt by drawing once: what follows groups and joins by drawing
+    cells = without_frame(distinct_rects(burnt.repartition("drawing_id")), frames)
+    cells = stored(without_nested(box_regions(cells, burnt, frames, "rect_id", checked=ordinary).where("region = 'info'").drop("region"), checked=ordinary), "info")
 
     def blobs(df: DataFrame, step: int, at: str, text_like: Column, kind: str) -> DataFrame:
         return df.select("drawing_id", F.lit(step).alias("_step"), F.col(at).cast("long").alias("_at"), *"xywh", "text", text_like.alias("is_text"), F.lit(kind).alias("kind"))
 
-    in_cells = assign_cells(placed.where("region = 'info'").drop("region"), cells)
-    key = ["drawing_id", "rect_id"]
-    cell_text = merged_text(in_cells, line_groups(in_cells, key), key)
-    from_cells = blobs(cells.join(cell_text, key), 0, "rect_id", F.lit(True), "cell")
+    box = ("c_x", "c_y", "c_w", "c_h")
+    in_cells = assign_cells(placed.where("region = 'info'").drop("region"), cells, carry=box, checked=ordinary)
+    from_cells = blobs(_framed_text(in_cells, ["drawing_id", "rect_id"], box), 0, "rect_id", F.lit(True), "cell")
 
     drawn = placed.where("region = 'drawing'").drop("region")
     is_text = letter_share(F.col("text")) > 0.5
-    wordy = drawn.where(is_text)
-    clustered = stored(wordy.join(text_clusters(wordy), ["drawing_id", "pos"]), "clusters")
-    key = ["drawing_id", "cluster"]
-    cluster_text = merged_text(clustered, line_groups(clustered, key), key)
-    from_clusters = blobs(outer_boxes(clustered, key).join(cluster_text, key), 1, "cluster", F.lit(True), "cluster")
+    clustered = text_clusters(drawn.where(is_text), carry=("x", "y", "w", "h", "text"))
+    from_clusters = blobs(_framed_text(clustered, ["drawing_id", "cluster"], ("x", "y", "w", "h")), 1, "cluster", F.lit(True), "cluster")
     measures = blobs(drawn.where(~is_text), 2, "pos", F.lit(False), "measure")
-    loose = blobs(boxes.join(framed, "drawing_id", "left_anti"), 3, "pos", is_text, "box")
+    # without a frame every box is outside
+    loose = blobs(placed.where("region = 'outside'").join(frames.select("drawing_id"), "drawing_id", "left_anti"), 3, "pos", is_text, "box")
     order = Window.partitionBy("drawing_id").orderBy("_step", "_at")
     every = from_cells.unionByName(from_clusters).unionByName(measures).unionByName(loose)
     return every.select("drawing_id", (F.row_number().over(order) - 1).alias("pos"), *"xywh", "text", "is_text", "kind")

@@ -267,7 +267,7 @@ def c15_outer_boxes(boxes: DataFrame) -> DataFrame:
 @query("boxes", "rects", "pages")
 def c16_merge_text(boxes: DataFrame, rects: DataFrame, pages: DataFrame) -> DataFrame:
     """The whole layout step; its parts have SQL of their own."""
-    return layout.merge_text(boxes, rects, pages)
+    return layout.merge_text(stored(boxes, "boxes"), stored(rects, "rects"), pages)
 
 
 @query("rects", sql="SELECT drawing_id, rect_id, row_number() OVER (PARTITION BY drawing_id ORDER BY w * h DESC, rect_id DESC) - 1 AS view_pos FROM rects")
@@ -859,7 +859,7 @@ def h15_truth_classes(pixels: DataFrame) -> DataFrame:
 @query("boxes", "rects", "pages", "part")
 def w1_index(boxes: DataFrame, rects: DataFrame, pages: DataFrame, part: DataFrame) -> DataFrame:
     """Bulk load: layout, extraction, gathering and encoding of all drawings; its steps have SQL of their own."""
-    out = workloads.index_drawings(boxes, rects, pages, _materials(part), _norms(part))
+    out = workloads.index_drawings(stored(boxes, "boxes"), stored(rects, "rects"), pages, _materials(part), _norms(part))
     vector = F.array_join(F.transform("ocr_vector", lambda x: F.round(x, 4).cast("string")), " ")
     return out.select("drawing_id", F.size("ocr_vector").alias("width"), F.sha2(vector, 256).alias("vector_sha256"), F.array_join("surfaces", "|").alias("surfaces"), F.array_join("other_isos", "|").alias("norms"))
 

@@ -100,3 +100,12 @@ def test_whole_page(spark):
     )
     got = {(r["drawing_id"], r["kind"], r["text"], r["is_text"]) for r in layout.merge_text(boxes, rects, pages).collect()}
     assert got == {(1, "cell", "left right\nbelow", True), (1, "cluster", "note", True), (1, "measure", "120", False), (2, "box", "loose", True), (2, "box", "7", False)}
+
+
+def test_text_of_groups_joins_nothing_back(spark):
+    rows = [(1, 0, 0, 0, 20, 10, "a", 0, 0, 90, 80, 5), (1, 1, 30, 1, 20, 10, "b", 0, 0, 90, 80, 5), (1, 2, 0, 40, 20, 10, "c", 0, 0, 90, 80, 5), (2, 0, 0, 0, 9, 9, "d", 7, 7, 1, 1, 5)]
+    boxes = spark.createDataFrame(rows, BOX + ", c_x int, c_y int, c_w int, c_h int, rect_id int")
+    out = layout._framed_text(boxes, ["drawing_id", "rect_id"], ("c_x", "c_y", "c_w", "c_h"))
+    assert sorted(tuple(r[c] for c in ("drawing_id", "text", "x", "y", "w", "h")) for r in out.collect()) == [(1, "a b\nc", 0, 0, 90, 80), (2, "d", 7, 7, 1, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
