@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheetforge.functions.grams import Words
+from sheetforge.scratch import stored
 
 DICTIONARY_LIMIT = 50_000
 #: Lists up to so many words are gone through without an index; so many promising names are aligned first.
@@ -96,6 +98,10 @@ def ratio(a: str, b: str) -> float:
     return alignment(a, b)[0]
 
 
+#: Lists of attributes repeat few texts; a process keeps the ratios of so many pairs.
+known_ratio = lru_cache(maxsize=100_000)(ratio)
+
+
 @F.pandas_udf(T.DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Partial ratio of two text columns; null where either is."""
@@ -306,12 +312,14 @@ def norm_flags(numbers: DataFrame, norms: DataFrame, *, key: str = "drawing_id",
     lowered = lower(plain)
 
     def run(number: str, _: Tally) -> tuple:
-        near = set(lowered.index.candidates(number.lower(), 85).tolist())
-        return ([float(i in near and last_match(p, [number]) is not None) for i, p in enumerate(plain)],)
+        near = lowered.index.candidates(number.lower(), 85).tolist()
+        return ([i for i in near if last_match(plain[i], [number]) is not None],)
 
+    # read twice, so kept: what the lists come from is worked out once
+    numbers = stored(numbers.select(key, list_col), "numbers")
     exploded = numbers.select(key, F.explode(list_col).alias("_number"))
-    flags = _on_distinct(exploded, "_number", run, "_flags array<double>", ["_flags"])
-    places = flags.select(key, F.posexplode("_flags").alias("_i", "_v")).where("_v > 0").groupBy(key).agg(F.collect_set("_i").alias("_set"))
+    flags = _on_distinct(exploded, "_number", run, "_near array<int>", ["_near"])
+    places = flags.select(key, F.explode("_near").alias("_i")).groupBy(key).agg(F.collect_set("_i").alias("_set"))
     span = F.sequence(F.lit(0), F.lit(len(plain) - 1))
     vector = F.transform(span, lambda i: F.when(F.array_contains(F.coalesce("_set", F.array().cast("array<int>")), i), 1.0).otherwise(0.0))
     return numbers.select(key).distinct().join(places, key, "left").select(key, vector.alias("norm_vector"))
@@ -326,7 +334,7 @@ def greedy_matches(truth: list[str], found: list[str], cutoff: float, skipping:
     for t in truth:
         i = 0
         while i < len(left):
-            if ratio(t, left[i]) > cutoff:
+            if known_ratio(t, left[i]) > cutoff:
                 hits += 1
                 del left[i]
                 if not skipping:

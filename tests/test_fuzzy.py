@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -79,3 +80,29 @@ def test_norm_flags(spark):
     norms = spark.createDataFrame([(0, "ISO 16016"), (1, "DIN EN ISO 13715")], "norm_id int, name string")
     got = {r["drawing_id"]: r["norm_vector"] for r in fuzzy.norm_flags(numbers, norms).collect()}
     assert got == {1: [1.0, 0.0], 2: [0.0, 0.0], 3: [0.0, 1.0]}
+
+
+def test_a_pair_of_texts_is_aligned_once(monkeypatch):
+    calls = []
+    inner = fuzzy.alignment
+    monkeypatch.setattr(fuzzy, "alignment", lambda a, b: calls.append((a, b)) or inner(a, b))
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        truth, found = ([f"Quartz 7.{v}" for v in rng.integers(0, n, 4)] for n in (5, 7))
+        fuzzy.greedy_matches(truth, found, 90)
+    assert len(calls) == len(set(calls)) <= 35
+
+
+def test_norm_flags_read_their_input_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def listed(n):
+        read.add(1)
+        return [str(n)] if n else []
+
+    numbers = spark.range(40).select(F.col("id").alias("drawing_id"), listed(F.when(F.col("id") % 2 == 0, 10000 + F.col("id") * 100)).alias("other_isos"))
+    norms = spark.createDataFrame([(1, "DIN 10000"), (2, "DIN 10200"), (3, "DIN 99999")], "norm_id int, name string")
+    got = {r["drawing_id"]: r["norm_vector"] for r in fuzzy.norm_flags(numbers, norms).collect()}
+    assert len(got) == 40 and got[0][0] == got[2][1] == 1.0 and got[1] == [0.0, 0.0, 0.0]
+    assert read.value == 40
