@@ -433,7 +433,7 @@ def _norms(part: DataFrame) -> DataFrame:
 def e6_norm_flags(blobs: DataFrame, part: DataFrame) -> DataFrame:
     """Known norms that drawings name, fuzzily; tested against a plain version."""
     known = _norms(part)
-    found = extract.gather(extract.extract_blobs(blobs))
+    found = extract.gather(extract.extract_blobs(blobs), lists=["other_isos"])
     out = fuzzy.norm_flags(found, known)
     return out.select("drawing_id", F.array_join(F.transform("norm_vector", lambda x: x.cast("int").cast("string")), "").alias("norms"))
 
