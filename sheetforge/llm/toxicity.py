@@ -52,6 +52,9 @@ SEED = {
 #: Phrases in which a term is no insult.
 EXCEPTIONS = ["trash can", "trash bin", "trash collection", "class clown", "clown fish", "clownfish", "circus clown", "shiitake", "shitake", "scumble", "losers bracket", "idiot proof", "idiot light", "fire retardant", "flame retardant"]
 
+#: Different terms that a worker counts before it passes them on; about 200 bytes each.
+MOST_TERMS = 100_000
+
 
 def fold(text: str) -> str:
     """Lower case without look-alikes: NFKC, homoglyphs and accents to plain Latin, digits in words to letters.
@@ -146,33 +149,6 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # a bounded table, read by each of the steps below
     rows = stored(one_each.select("text", "label", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half")), "sample")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, label, half in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
-                words = fold(text or "").split()
-                seen: set[str] = set()
-                before = ""
-                for w in words:
-                    bit = 1 << zlib.crc32(before.encode("utf-8", "surrogatepass")) % 62 if label else 0
-                    for term in (*(w[:n] + "*" for n in range(3, min(10, len(w)) + 1)), w):
-                        x = found.get(term)
-                        if x is None:
-                            x = found[term] = [0, 0, 0, 0, 0]
-                        x[4] |= bit
-                        if term not in seen:
-                            seen.add(term)
-                            x[(0 if label else 2) + half] += 1
-                    before = w
-            if len(found) > 400_000:
-                yield flush(found)
-        yield flush(found)
-
-    def flush(found: dict[str, list[int]]) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in range(5))], names=["term", "pos0", "pos1", "neg0", "neg1", "near"])
-        found.clear()
-        return out
-
     totals = {(r["label"], r["half"]): r["n"] for r in rows.groupBy("label", "half").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = (sum(n for (label, _), n in totals.items() if label == x) for x in (1, 0))
     if not n_pos or not n_neg:
@@ -180,7 +156,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     over = (F.col("pos") / F.lit(n_pos)) / ((F.col("neg") + F.lit(0.5)) / F.lit(n_neg + 1))
     best = (
-        rows.mapInArrow(count, "term string, pos0 long, pos1 long, neg0 long, neg1 long, near long")
+        rows.mapInArrow(term_counts, "term string, pos0 long, pos1 long, neg0 long, neg1 long, near long")
         .groupBy("term")
         .agg(*[F.sum(c).alias(c) for c in ("pos0", "pos1", "neg0", "neg1")], F.bit_count(F.expr("bit_or(near)")).alias("near"))
         .withColumns({"pos": F.col("pos0") + F.col("pos1"), "neg": F.col("neg0") + F.col("neg1")})
@@ -196,6 +172,45 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return model
 
 
+def term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (text, label, half): the candidate terms with their toxic and other rows by half, and a bit for each word (by hash) before them in toxic rows.
+
+    A term comes once for each MOST_TERMS different ones that a task has met, so what a worker holds doesn't grow with its share of the rows.
+    """
+    found: dict[str, list[int]] = {}
+    for batch in batches:
+        for text, label, half in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
+            for term, near in _terms_of(text or "", bool(label)).items():
+                x = found.get(term)
+                if x is None:
+                    x = found[term] = [0, 0, 0, 0, 0]
+                x[(0 if label else 2) + half] += 1
+                x[4] |= near
+            if len(found) > MOST_TERMS:
+                yield _flushed(found)
+    yield _flushed(found)
+
+
+def _terms_of(text: str, toxic: bool) -> dict[str, int]:
+    """The text's terms, each with the bits of the words before it; without bits if not toxic."""
+    words = fold(text).split()
+    near = dict.fromkeys(words, 0)
+    if toxic:
+        for before, w in zip(["", *words], words, strict=False):
+            near[w] |= 1 << zlib.crc32(before.encode("utf-8", "surrogatepass")) % 62
+    out: dict[str, int] = {}
+    for w, bits in near.items():
+        for term in (*(w[:n] + "*" for n in range(3, min(10, len(w)) + 1)), w):
+            out[term] = out.get(term, 0) | bits
+    return out
+
+
+def _flushed(found: dict[str, list[int]]) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[i] for v in found.values()], pa.int64()) for i in range(5))], names=["term", "pos0", "pos1", "neg0", "neg1", "near"])
+    found.clear()
+    return out
+
+
 def _strongest(found: list, n_pos: int, n_neg: int) -> dict[str, float]:
     """Terms by falling evidence (toxic rows times log ratio), longer first on ties; one that begins
     a chosen one, or that a chosen one begins, is passed over."""

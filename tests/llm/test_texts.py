@@ -2,7 +2,9 @@ import hashlib
 import json
 import random
 import re
+import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,6 +50,32 @@ def test_learned_model_and_odd_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_term_counts_are_passed_on_in_parts(monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_TERMS", 500)
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuvwz", k=rng.randrange(1, 13))) for _ in range(2_000)]
+    rows = [(" ".join(rng.choices(words, k=rng.randrange(0, 60))) if i % 50 else None, int(i % 4 == 0), i % 2) for i in range(300)]
+    want: dict[str, list] = {}
+    for text, label, half in rows:
+        said = toxicity.fold(text or "").split()
+        met = set()
+        for before, w in zip(["", *said], said, strict=False):
+            for term in {w, *(w[:n] + "*" for n in range(3, min(10, len(w)) + 1))}:
+                x = want.setdefault(term, [0, 0, 0, 0, 0])
+                x[(0 if label else 2) + half] += term not in met
+                met.add(term)
+                x[4] |= label << zlib.crc32(before.encode()) % 62
+    # one batch, as a worker gets it: what it holds is bounded inside the batch too
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows, strict=True)], names=["text", "label", "half"])
+    parts = list(toxicity.term_counts(iter([batch])))
+    assert len(parts) > 10 and max(len(p) for p in parts) <= 500 + 60 * 9
+    got: dict[str, list] = {}
+    for term, *counts, near in (r for p in parts for r in zip(*(c.to_pylist() for c in p.columns), strict=True)):
+        x = got.setdefault(term, [0, 0, 0, 0, 0])
+        got[term] = [*(a + b for a, b in zip(x, counts, strict=False)), x[4] | near]
+    assert got == want
+
+
 # ------------------------------------------------------------------------------ chats
 
 
